@@ -165,56 +165,72 @@ def residue_level(avg, count, levels=RESIDUE_LEVELS) -> Column:
     return _level(col(avg), col(count) == 0, "No_Data", levels)
 
 
-def geodesic_m(lat1, lon1, lat2, lon2, steps: int = 12) -> Column:
-    """Length in metres on the WGS84 ellipsoid (inverse problem, fixed number of iterations)."""
-    lat1, lon1, lat2, lon2 = (F.radians(col(c)) for c in (lat1, lon1, lat2, lon2))
+def _bind(name: str, value: str, body: str) -> str:
+    """SQL text that evaluates ``value`` once, as ``name``, for ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _fields(**parts: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
+
+
+def geodesic_sql(lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 12) -> str:
+    """``geodesic_m`` as Spark SQL text; the arguments are SQL expressions in degrees."""
     f = WGS84_F
-    red1, red2 = F.atan(F.tan(lat1) * (1 - f)), F.atan(F.tan(lat2) * (1 - f))
-    base = F.struct(
-        (lon2 - lon1).alias("dl"), F.sin(red1).alias("s1"), F.cos(red1).alias("c1"),
-        F.sin(red2).alias("s2"), F.cos(red2).alias("c2"),
-    )
+    minor = WGS84_A * (1 - f)
 
-    def at(g: Column, lam: Column) -> Column:
-        sin_l, cos_l = F.sin(lam), F.cos(lam)
-        cross = g["c2"] * sin_l
-        along = g["c1"] * g["s2"] - g["s1"] * g["c2"] * cos_l
-        return F.struct(
-            g["dl"].alias("dl"), g["s1"].alias("s1"), g["c1"].alias("c1"), g["s2"].alias("s2"), g["c2"].alias("c2"),
-            lam.alias("lam"),
-            F.sqrt(cross * cross + along * along).alias("ss"),
-            (g["s1"] * g["s2"] + g["c1"] * g["c2"] * cos_l).alias("cs"),
-            (g["c1"] * g["c2"] * sin_l).alias("num"),
-        )
+    def num(v: float) -> str:
+        return f"{v!r}D"
 
-    def sin_alpha(g: Column) -> Column:
-        return F.coalesce(F.try_divide(g["num"], g["ss"]), F.lit(0.0))
-
-    def cos2_mid(g: Column, ca2: Column) -> Column:
-        return g["cs"] - F.coalesce(F.try_divide(2 * g["s1"] * g["s2"], ca2), F.lit(0.0))
-
-    def advance(g: Column) -> Column:
-        sa = sin_alpha(g)
-        ca2 = 1 - sa * sa
-        mid = cos2_mid(g, ca2)
-        c = ca2 * (4 + f * (4 - 3 * ca2)) * (f / 16)
-        sigma = F.atan2(g["ss"], g["cs"])
-        lam = g["dl"] + (1 - c) * f * sa * (sigma + c * g["ss"] * (mid + c * g["cs"] * (2 * mid * mid - 1)))
-        return at(g, lam)
-
-    def length(g: Column) -> Column:
-        sa = sin_alpha(g)
-        ca2 = 1 - sa * sa
-        mid = cos2_mid(g, ca2)
-        minor = WGS84_A * (1 - f)
-        u2 = ca2 * ((WGS84_A**2 - minor**2) / minor**2)
-        a = 1 + u2 / 16384 * (4096 + u2 * (u2 * (320 - 175 * u2) - 768))
-        b = u2 / 1024 * (256 + u2 * (u2 * (74 - 47 * u2) - 128))
-        sigma = F.atan2(g["ss"], g["cs"])
-        inner = g["cs"] * (2 * mid * mid - 1) - b / 6 * mid * (4 * g["ss"] * g["ss"] - 3) * (4 * mid * mid - 3)
-        return a * minor * (sigma - b * g["ss"] * (mid + b / 4 * inner))
-
-    start = F.transform(F.array(base), lambda g0: at(g0, g0["dl"]))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), F.element_at(start, 1), lambda gstate, _step: advance(gstate), length
+    def angles(lam: str, body: str) -> str:
+        """Spherical quantities for one longitude difference on the auxiliary sphere, bound as ``gq``."""
+        full = _fields(
+            ss="ga.ss", cs="ga.cs", sigma="ga.sigma", sa="ga.sa", ca2="1 - ga.sa * ga.sa",
+            mid="ga.cs - coalesce(try_divide(2 * gu.s1 * gu.s2, 1 - ga.sa * ga.sa), 0D)",
+        )
+        azimuth = _fields(
+            ss="gr.ss", cs="gr.cs", sigma="atan2(gr.ss, gr.cs)", sa="coalesce(try_divide(gr.num, gr.ss), 0D)"
+        )
+        arc = _fields(ss="sqrt(gp.cross * gp.cross + gp.along * gp.along)", cs="gp.cs", num="gu.c1 * gp.cross")
+        pair = _fields(
+            cross="gu.c2 * gl.sl", along="gu.c1 * gu.s2 - gu.s1 * gu.c2 * gl.cl",
+            cs="gu.s1 * gu.s2 + gu.c1 * gu.c2 * gl.cl",
+        )
+        value = _bind("gl", _fields(sl=f"sin({lam})", cl=f"cos({lam})"), pair)
+        for name, step in (("gp", arc), ("gr", azimuth), ("ga", full)):
+            value = _bind(name, value, step)
+        return _bind("gq", value, body)
+
+    c = f"{num(f / 16)} * gq.ca2 * (4 + {num(f)} * (4 - 3 * gq.ca2))"
+    moved = _bind(
+        "gc", c,
+        f"gu.dl + (1 - gc) * {num(f)} * gq.sa * "
+        "(gq.sigma + gc * gq.ss * (gq.mid + gc * gq.cs * (2 * gq.mid * gq.mid - 1)))",
     )
+    series = _fields(
+        a="1 + gw / 16384 * (4096 + gw * (gw * (320 - 175 * gw) - 768))",
+        b="gw / 1024 * (256 + gw * (gw * (74 - 47 * gw) - 128))",
+    )
+    twist = (
+        "(gq.cs * (2 * gq.mid * gq.mid - 1)"
+        " - gs.b / 6 * gq.mid * (4 * gq.ss * gq.ss - 3) * (4 * gq.mid * gq.mid - 3))"
+    )
+    metres = _bind(
+        "gw", f"gq.ca2 * {num((WGS84_A**2 - minor**2) / minor**2)}",
+        _bind("gs", series, f"gs.a * {num(minor)} * (gq.sigma - gs.b * gq.ss * (gq.mid + gs.b / 4 * {twist}))"),
+    )
+    solved = f"aggregate(sequence(1, {steps}), gu.dl, (gm, gn) -> {angles('gm', moved)}, ge -> {angles('ge', metres)})"
+    reduced = _fields(
+        dl=f"radians({lon2}) - radians({lon1})",
+        r1=f"atan(tan(radians({lat1})) * {num(1 - f)})", r2=f"atan(tan(radians({lat2})) * {num(1 - f)})",
+    )
+    trig = _fields(dl="gv.dl", s1="sin(gv.r1)", c1="cos(gv.r1)", s2="sin(gv.r2)", c2="cos(gv.r2)")
+    return _bind("gu", _bind("gv", reduced, trig), solved)
+
+
+def geodesic_m(lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 12) -> Column:
+    """Length in metres on the WGS84 ellipsoid (inverse problem, fixed number of iterations).
+
+    Arguments are column names or SQL expressions in degrees.
+    """
+    return F.expr(geodesic_sql(lat1, lon1, lat2, lon2, steps))
