@@ -231,7 +231,7 @@ def clamp_gt(b, w, h) -> Column:
     return F.when((x2 > x1) & (y2 > y1), make_box(x1, y1, x2, y2))
 
 
-def centered_crop(b, w, h, size: int = 1024) -> Column:
+def centered_crop(b, w, h, size=1024) -> Column:
     """Crop of ``size`` centred on a ground-truth box, snapped to the image edge.
 
     Returns the crop (``cx1..cy2``) and the box in crop-local pixels (``rx1..ry2``).
@@ -239,7 +239,8 @@ def centered_crop(b, w, h, size: int = 1024) -> Column:
     b, w, h = col(b), col(w), col(h)
     gx1, gy1 = _clamp_int(b["x1"], w - 1), _clamp_int(b["y1"], h - 1)
     gx2, gy2 = _clamp_int(b["x2"], w), _clamp_int(b["y2"], h)
-    half = F.lit(size / 2.0)
+    size = lit(size)
+    half = size / 2.0
 
     def axis(lo: Column, hi: Column, length: Column):
         mid = (lo + hi) / 2.0

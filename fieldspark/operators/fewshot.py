@@ -64,7 +64,7 @@ def best_class(scored: DataFrame, ids: list[str], threshold: float | None = None
 
 def classify(
     props: DataFrame, supports: DataFrame, objectness: float = 0.1, similarity_threshold: float = 0.2,
-    nms_iou: float = 0.5, k: int = TOP_K, class_order: Column | None = None, **plan,
+    nms_iou: float = 0.5, k: int = TOP_K, **plan,
 ) -> DataFrame:
     """Detections ``backend, image_key, box, class, score`` after class-agnostic suppression.
 
@@ -72,12 +72,13 @@ def classify(
     the threshold gives a detection; suppression then keeps the best of each place.
     An image has at most ``k`` proposals here, so its group is bounded.
     """
-    ids = [*IMAGE, "ord", *bx.EDGES]
-    top = topk_proposals(props, k, objectness)
-    scored = similarity(top, supports, ["backend"], ids, **plan)
+    top = topk_proposals(props, k, objectness).withColumn("_solid", bx.area(bx.make_box()) > 0)
+    # equal boxes overlap fully, so of a box with an area only the best class can survive
+    ids = [*IMAGE, "ord", *bx.EDGES, "_solid"]
+    single = "_solid" if nms_iou < 1.0 else None
+    scored = similarity(top, supports, ["backend"], ids, best_only=single, **plan)
     hits = scored.filter(F.col("similarity") > similarity_threshold)
-    order = F.struct(F.col("class") if class_order is None else class_order, F.col("ord"))
-    hits = hits.withColumn("box", bx.make_box()).withColumn("_o", order)
+    hits = hits.withColumn("box", bx.make_box()).withColumn("_o", F.struct("class", "ord"))
     kept = nms(hits, IMAGE, "box", "similarity", "_o", nms_iou, bounded=True)
     return kept.select(*IMAGE, "ord", "box", "class", F.col("similarity").alias("score"))
 
@@ -118,7 +119,7 @@ def crop_size_search(generated: DataFrame, sizes: DataFrame | None = None) -> Da
     value or the mean improves on it by more than a tenth. A size without boxes is passed
     over. The fold runs over one row per size.
     """
-    avg = generated.groupBy("size").agg(F.avg("iou").alias("avg_iou"))
+    avg = generated.groupBy("size").agg(F.avg(F.coalesce("iou", F.lit(0.0))).alias("avg_iou"))
     if sizes is not None:
         avg = sizes.select("size").distinct().join(avg, "size", "left")
     ordered = avg.agg(

@@ -63,11 +63,11 @@ def accuracy(df: DataFrame, logits: str = "logits", label: str = "label") -> Dat
 
 
 def infer_classes(pixels: DataFrame, ignore: int | None = None) -> DataFrame:
-    """Distinct class ids in masks and their names (``class_<id>``)."""
+    """Distinct class ids in masks; the name is the id as text."""
     if ignore is not None:
         pixels = pixels.filter(F.col("gt") != ignore)
     ids = pixels.select(F.col("gt").alias("id")).distinct()
-    return ids.withColumn("name", F.concat(F.lit("class_"), F.col("id").cast("string")))
+    return ids.withColumn("name", F.col("id").cast("string"))
 
 
 def mask_bbox(pixels: DataFrame, keys: list[str]) -> DataFrame:

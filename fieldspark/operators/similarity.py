@@ -47,7 +47,9 @@ def _blocks(pdf: pd.DataFrame, keys: list[str], mode: str):
     return out
 
 
-def _score(pdf: pd.DataFrame, blocks: dict, keys: list[str], ids: list[str], mode: str) -> pd.DataFrame:
+def _score(
+    pdf: pd.DataFrame, blocks: dict, keys: list[str], ids: list[str], mode: str, best_only: str | None
+) -> pd.DataFrame:
     parts = []
     if len(pdf):
         pdf = pdf.assign(_dim=[len(v) for v in pdf["embedding"]])
@@ -56,8 +58,14 @@ def _score(pdf: pd.DataFrame, blocks: dict, keys: list[str], ids: list[str], mod
                 continue
             ref, starts, names = blocks[group]
             best = class_maxima(unit(matrix(part["embedding"]), mode) @ ref.T, starts)
-            rows = part[ids].loc[part.index.repeat(len(names))].reset_index(drop=True)
-            parts.append(rows.assign(**{"class": np.tile(names, len(part)), "similarity": best.ravel()}))
+            show = np.ones_like(best, dtype=bool)
+            if best_only:
+                one = part[best_only].to_numpy(dtype=bool)
+                show[one] = np.arange(len(names)) == best[one].argmax(axis=1)[:, None]
+            row, col = np.nonzero(show)
+            parts.append(
+                part[ids].iloc[row].reset_index(drop=True).assign(**{"class": names[col], "similarity": best[row, col]})
+            )
     if parts:
         return pd.concat(parts, ignore_index=True)
     return pd.DataFrame({**{c: [] for c in ids}, "class": [], "similarity": []})
@@ -65,13 +73,14 @@ def _score(pdf: pd.DataFrame, blocks: dict, keys: list[str], ids: list[str], mod
 
 def similarity(
     vectors: DataFrame, refs: DataFrame, keys: list[str], ids: list[str], mode: str = "max",
-    budget: int = BROADCAST_BYTES, slice_bytes: int = SLICE_BYTES,
+    budget: int = BROADCAST_BYTES, slice_bytes: int = SLICE_BYTES, best_only: str | None = None,
 ) -> DataFrame:
     """Greatest cosine per vector and class: ``ids, class, similarity``.
 
     ``vectors`` has ``keys``, ``ids`` (they include the keys and identify a row) and
     ``embedding``; ``refs`` has ``keys``, ``class``, ``embedding``. Classes whose dimension differs from a vector's
-    give it no row.
+    give it no row. Where the boolean id column ``best_only`` is true, only the best class
+    (first name on ties) of the row is returned.
     """
     types = dict(vectors.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in ids) + ", class string, similarity double"
@@ -83,7 +92,7 @@ def similarity(
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield _score(pdf, blocks.value, keys, ids, mode)
+                yield _score(pdf, blocks.value, keys, ids, mode, best_only)
 
         return slim.mapInPandas(run, schema)
 
@@ -96,7 +105,13 @@ def similarity(
     right = refs.select("*", piece, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).cast("bigint").alias("_c"))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _score(a, _blocks(b, keys, mode) if len(b) else {}, keys, ids, mode)
+        return _score(a, _blocks(b, keys, mode) if len(b) else {}, keys, ids, mode, best_only)
 
     partial = left.groupBy("_s", "_c").cogroup(right.groupBy("_s", "_c")).applyInPandas(pair, schema)
-    return partial.groupBy(*ids, "class").agg(F.max("similarity").alias("similarity"))
+    merged = partial.groupBy(*ids, "class").agg(F.max("similarity").alias("similarity"))
+    if not best_only:
+        return merged
+    top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("class").alias("c"))).alias("_b")
+    best = merged.filter(F.col(best_only)).groupBy(*ids).agg(top)
+    best = best.select(*ids, F.col("_b.c").alias("class"), (-F.col("_b.s")).alias("similarity"))
+    return merged.filter(~F.col(best_only)).unionByName(best)
