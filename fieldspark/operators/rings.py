@@ -154,8 +154,10 @@ def level_geometry(polygons: DataFrame, by: list[str], level: str = "level", max
     return one.select(*keys, wkt.alias("wkt")).unionByName(with_wkt(rest).select(*keys, "wkt"))
 
 
-def box_wkt(minx: str = "minx", miny: str = "miny", maxx: str = "maxx", maxy: str = "maxy") -> Column:
+def box_wkt(
+    minx: str = "minx", miny: str = "miny", maxx: str = "maxx", maxy: str = "maxy", digits: int = 9
+) -> Column:
     x0, y0, x1, y1 = (F.col(c) for c in (minx, miny, maxx, maxy))
     corners = ((x1, y0), (x1, y1), (x0, y1), (x0, y0), (x1, y0))
-    points = [F.format_string("%.9f %.9f", x, y) for x, y in corners]
+    points = [F.format_string(f"%.{digits}f %.{digits}f", x, y) for x, y in corners]
     return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *points), F.lit("))"))

@@ -59,9 +59,11 @@ def locate(
     return out, missing, without
 
 
-def farm_boundary(spec: DataFrame, by: list[str]) -> DataFrame:
+def farm_boundary(spec: DataFrame, by: list[str], digits: int = 9) -> DataFrame:
+    """One extent box per group with the field's width and height in metres."""
     return spec.select(
-        *by, F.col("width_m").alias("field_width_m"), F.col("height_m").alias("field_height_m"), rings.box_wkt().alias("wkt")
+        *by, F.col("width_m").alias("field_width_m"), F.col("height_m").alias("field_height_m"),
+        rings.box_wkt(digits=digits).alias("wkt"),
     )
 
 
