@@ -79,7 +79,8 @@ def gps_tag_chain(spark, sf):
         "lat_ref": F.when(known, F.when(k % 3 == 0, "S").otherwise("N")),
         "lon_ref": F.when(known, F.when(k % 5 == 0, "W").otherwise("E")),
     }
-    out = table(spark, sf, "orders").select(k.alias("id"), geo.gps_from_tags(tags).alias("p"))
+    rows = table(spark, sf, "orders").select(k.alias("id"), *[c.alias(n) for n, c in tags.items()])
+    out = rows.select("id", geo.gps_from_tags({n: F.col(n) for n in tags}).alias("p"))
     return out.select("id", F.round("p.latitude", 9).alias("latitude"), F.round("p.longitude", 9).alias("longitude"))
 
 
@@ -373,10 +374,23 @@ edge as (select a.level, a.code u, b.code v from mine a join mine b on a.level =
 reach as (select level, code u, code v from mine union select r.level, r.u, e.v from reach r join edge e on e.level = r.level and e.u = r.v)"""
 
 
+def _flood(group: str) -> str:
+    """CTE ``flood``: smallest cell code each cell reaches over same-level edges (label propagation)."""
+    return f"""
+, mine as (select {group}, level, i, j, (cast(j as bigint) << 32) + i code from cells),
+edge as (select a.{group} g, a.level l, a.code u, b.code v from mine a join mine b on a.{group} = b.{group} and a.level = b.level and a.j = b.j and a.i + 1 = b.i
+  union all select a.{group}, a.level, a.code, b.code from mine a join mine b on a.{group} = b.{group} and a.level = b.level and a.i = b.i and a.j + 1 = b.j),
+twoway as (select * from edge union all select g, l, v, u from edge),
+flood(g, l, u, c) using key (g, l, u) as (select {group}, level, code, code from mine
+  union (select f.g, f.l, f.u, min(n.c) from recurring.flood f join twoway e on e.g = f.g and e.l = f.l and e.u = f.u
+    join flood n on n.g = e.g and n.l = e.l and n.u = e.v where n.c < f.c group by f.g, f.l, f.u))"""
+
+
 @query("residue_components")
 def residue_components(spark, sf):
     _, labelled, _ = residue_labelled(spark, sf)
-    return labelled.select("level", "i", "j", "component")
+    cell = F.shiftleft(F.col("j").cast("bigint"), 32) + F.col("i")
+    return labelled.select("level", cell.alias("cell"), "component")
 
 
 COARSE = RESIDUE_CELLS.replace("15e0 / 3.28084e0", "60e0 / 3.28084e0")
@@ -419,9 +433,22 @@ def weed(spark, sf, **options):
     return maps.weed_map(det, gps(spark, sf), images, cell_ft=(6.0, 6.0), **options)
 
 
-@query("weed_map")
+@query(
+    "weed_map",
+    with_views("fx_detections", "fx_gps", "fx_images", recursive=True, body=WEED_CELLS + _flood("label") + """
+, parts as (select g as label, l as level, count(distinct c) n from flood group by g, l),
+total as (select label, level, sum(crop_count) t from cells group by label, level)
+select label, level, cast(n * floor(t / n) as bigint) as crop_count, cast(case level when 'No' then 0 else 2 end as int) as obj_id,
+  cast(case level when 'No' then 0 else 15 end as int) as target_rate, n as polygon_count, label as label_slug
+from total join parts using (label, level)"""),
+)
 def weed_map(spark, sf):
-    return weed(spark, sf).features
+    return weed(spark, sf).features.drop("wkt")
+
+
+@query("weed_map_outlines")
+def weed_map_outlines(spark, sf):
+    return weed(spark, sf).features.select("label", "level", "wkt")
 
 
 # The same by flood: components of the occupied level come from edge-sharing reachability of its cells.
@@ -452,9 +479,17 @@ def spray_level_totals(spark, sf):
     return shared.join(exact, ["label", "level"])
 
 
-@query("residue_map")
+@query(
+    "residue_map",
+    with_views("fx_residue", recursive=True, body=RESIDUE_CELLS + """
+select level, cast(sum(pt_count) as bigint) as pt_count, round(avg(avg_res), 6) as avg_res, round(avg(avg_res) * 100, 4) as res_pct,
+  min(obj_id) as obj_id, count(*) as n_cells, 'output' as label_slug from cells group by level"""),
+)
 def residue_map(spark, sf):
-    return maps.residue_map(view(spark, sf, "fx_residue"), (15.0, 15.0)).features
+    out = maps.residue_map(view(spark, sf, "fx_residue"), (15.0, 15.0)).features
+    return out.select(
+        "level", "pt_count", r6("avg_res").alias("avg_res"), F.round("res_pct", 4).alias("res_pct"), "obj_id", "n_cells", "label_slug"
+    )
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
+from ..functions.numbers import round_to
 from .similarity import similarity
 from .suppress import nms
 
@@ -141,9 +142,9 @@ def crop_size_search(generated: DataFrame, sizes: DataFrame | None = None) -> Da
             (mean > acc["prev"]) & (F.abs(mean - acc["prev"]) / F.nullif(acc["prev"], F.lit(0.0)) > 0.1)
         )
         better = F.coalesce(better, F.lit(False))
-        row = F.struct(item["size"].cast("int").alias("size"), F.round(mean, 3).alias("avg_iou"), better.alias("improved"))
+        row = F.struct(item["size"].cast("int").alias("size"), round_to(mean, 3).alias("avg_iou"), better.alias("improved"))
         moved = F.struct(
-            F.round(mean, 3).alias("prev"), better.alias("go"), F.array_append(acc["seen"], row).alias("seen")
+            round_to(mean, 3).alias("prev"), better.alias("go"), F.array_append(acc["seen"], row).alias("seen")
         )
         return F.when(~acc["go"] | mean.isNull(), acc).otherwise(moved)
 

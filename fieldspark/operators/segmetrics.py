@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
+from ..functions.numbers import round_to
 
 IGNORE = 255
 
@@ -35,10 +36,11 @@ def class_scores(pixels: DataFrame, ignore: int | None = IGNORE) -> DataFrame:
 
 def mean_iou(pixels: DataFrame, ignore: int | None = IGNORE) -> DataFrame:
     """One row: mean IoU and mean accuracy over classes present, overall accuracy (4 dp)."""
-    return class_scores(pixels, ignore).agg(
-        F.round(F.avg("iou"), 4).alias("mean_iou"), F.round(F.avg("accuracy"), 4).alias("mean_accuracy"),
-        F.round(F.try_divide(F.sum("tp"), F.sum("n_gt")), 4).alias("overall_accuracy"),
+    means = class_scores(pixels, ignore).agg(
+        F.avg("iou").alias("mean_iou"), F.avg("accuracy").alias("mean_accuracy"),
+        F.try_divide(F.sum("tp"), F.sum("n_gt")).alias("overall_accuracy"),
     )
+    return means.select(*[round_to(c, 4).alias(c) for c in means.columns])
 
 
 def dice_iou(masks: DataFrame, batch: str = "batch", smooth: float = 1.0) -> DataFrame:

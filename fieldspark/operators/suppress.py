@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
+from ..functions.numbers import round_to
 from ..scale import GROUP_LIMIT, bounded_broadcast, cut_lineage, split_hot
 from . import spatial as sp
 
@@ -297,9 +298,8 @@ def nms_guarded(
     kept = suppress(
         work.filter("_ok"), [image, label], F.col(score), F.col(ord), grown, raw, rule, bounded, limit, block
     )
-    kept = kept.withColumn(box, bx.make_box(*[F.round(grown[n], 2) for n in bx.EDGES])).withColumn(
-        score, F.round(score, 6)
-    )
+    kept = kept.withColumn(box, bx.make_box(*[round_to(grown[n], 2) for n in bx.EDGES]))
+    kept = kept.withColumn(score, round_to(score, 6))
     without = work.groupBy(image).agg(F.max("_ok").alias("_any")).filter(~F.col("_any")).select(image)
     raw_rows = work.filter(~F.col("_ok")).join(without, image, "left_semi")
     return kept.select(*df.columns).unionByName(raw_rows.select(*df.columns))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from ..functions import text
+from ..functions.numbers import round_to
 from ..operators import fewshot, grid, match, report
 from ..operators import relabel as rl
 from ..operators import segmetrics as sm
@@ -114,7 +115,7 @@ def merge_prompt_boxes(candidates: DataFrame, image: list[str], iou_threshold: f
     moved = candidates.withColumn("box", bx.shift("box", "ox", "oy"))
     b = F.col("box")
     moved = moved.withColumn("box", bx.make_box(*[b[n].cast("int") for n in bx.EDGES]))
-    moved = moved.withColumn("score", F.round("score", 4))
+    moved = moved.withColumn("score", round_to("score", 4))
     keys = [*image, "prompt_index"]
     kept = nms(moved, keys, iou_threshold=iou_threshold, kind="clamped", **plan)
     return PromptMerge(kept, report.prompt_stats(moved, kept, keys))
