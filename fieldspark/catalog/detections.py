@@ -213,13 +213,13 @@ for _name in FINAL:
         "fx_detections", "img", "score desc, ord", BOX, overlap_sql("k.", "r.") + " > 0.5e0") + f"""
 , pairs as (select r.img, r.ord, k.ord by_ord, k.score, {overlap_sql("k.", "r.")} iou from fx_detections r join kept k on k.img = r.img
   where r.ord not in (select ord from kept))
-select img, ord, by_ord, round(iou, 6) as iou from (
+select img, ord, by_ord, round(iou, 9) as iou from (
   select *, row_number() over (partition by img, ord order by score desc, by_ord) rn from pairs where iou > 0.5e0) where rn = 1"""),
 )
 def suppressed_by(spark, sf):
     d = detections(spark, sf)
     kept = suppress.nms(d, ["img"], iou_threshold=0.5)
-    return suppress.suppressed_by(d, kept, ["img"], 0.5).withColumn("iou", F.round("iou", 6))
+    return suppress.suppressed_by(d, kept, ["img"], 0.5).withColumn("iou", F.round("iou", 9))
 
 
 def tiled(spark, sf):

@@ -237,7 +237,7 @@ def crop_size_search(spark, sf):
     with_views("fx_gt", "fx_images", body="""
 , b as (select g.img, g.ord, least(i.width, trunc(g.x2)) - greatest(0, least(trunc(g.x1), i.width - 1)) w,
    least(i.height, trunc(g.y2)) - greatest(0, least(trunc(g.y1), i.height - 1)) h from fx_gt g join fx_images i using (img))
-select ord, round(w / sqrt(w*w + h*h + 1), 4) as e0, round(h / sqrt(w*w + h*h + 1), 4) as e1 from b where w > 0 and h > 0"""),
+select img, count(*) as n, round(sum(w / sqrt(w*w + h*h + 1)), 2) as e0, round(sum(h / sqrt(w*w + h*h + 1)), 2) as e1 from b where w > 0 and h > 0 group by img"""),
 )
 def model_embeddings(spark, sf):
     """A stand-in model through the embedder contract: (width, height, 1) of the clamped box."""
@@ -258,8 +258,8 @@ def model_embeddings(spark, sf):
     done = labelling.collect_supports(
         gt.withColumn("backend", F.lit("size")), images, lambda df: udf.embed(df, factory, ["box"], 3, batch=512)
     )
-    at = [F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"e{i}") for i in range(2)]
-    return done.vectors.select("ord", *at)
+    at = [F.round(F.sum(F.get("embedding", F.lit(i)).cast("double")), 2).alias(f"e{i}") for i in range(2)]
+    return done.vectors.groupBy(F.col("image_path").alias("img")).agg(F.count(F.lit(1)).alias("n"), *at)
 
 
 @query(

@@ -7,30 +7,20 @@ from pyspark.sql import functions as F
 
 from .boxes import col
 
-SPLIT = 134217729.0  # 2**27 + 1
-
-
-def _halves(v: float) -> tuple[float, float]:
-    t = v * SPLIT
-    hi = t - (t - v)
-    return hi, v - hi
-
 
 def round_to(c, digits: int) -> Column:
     """Nearest decimal, ties to even, judged on the double's exact value.
 
     ``round`` works on the shortest decimal text instead, so 0.285 becomes 0.29 there
-    and 0.28 here. The distance to the midpoint is an error-free product.
+    and 0.28 here. The distance to the midpoint is summed over the binary digits of
+    the scale, largest first; every partial sum is exact.
     """
     x = col(c)
-    s = 10.0**digits
-    bh, bl = _halves(2 * s)
-    p = x * F.lit(2 * s)
-    t = x * F.lit(SPLIT)
-    hi = t - (t - x)
-    lo = x - hi
-    err = ((hi * F.lit(bh) - p) + hi * F.lit(bl) + lo * F.lit(bh)) + lo * F.lit(bl)
-    n = F.floor(x * F.lit(s)).cast("double")
-    d = (p - (n * 2 + 1)) + err
-    even = F.when(n % 2 == 0, n).otherwise(n + 1)
-    return F.when(d > 0, n + 1).when(d < 0, n).otherwise(even) / F.lit(s)
+    scale = 10**digits
+    n = F.floor(x * F.lit(float(scale))).cast("double")
+    gap = -(n * 2 + 1)
+    for k in range((2 * scale).bit_length() - 1, -1, -1):
+        if 2 * scale >> k & 1:
+            gap = gap + x * F.lit(float(1 << k))
+    up = F.signum(gap) + F.abs(n % 2) * 0.5 > 0
+    return (n + up.cast("double")) / F.lit(float(scale))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..functions import text
 from ..functions.numbers import round_to
-from ..scale import bounded_broadcast
-from .suppress import Preset, nms_guarded, preset
+from ..scale import bind, bounded_broadcast
+from .suppress import Preset, guarded_parts, preset
 
 
 def search_terms(configs: DataFrame) -> DataFrame:
@@ -61,9 +61,12 @@ def finalize_detections(
     limit = p.confidence if confidence is None else confidence
     sized = raw.join(bounded_broadcast(images.select("img", "width", "height")), "img")
     if letterboxed:
-        sized = sized.withColumn("box", bx.unletterbox("box", bx.letterbox("width", "height")))
-    kept = nms_guarded(sized, p, **plan)
-    kept = kept.withColumn("box", bx.make_box(*[round_to(F.col("box")[n], 2) for n in bx.EDGES]))
+        sized = bind(sized, _meta=bx.letterbox("width", "height"))
+        sized = bind(sized, box=bx.unletterbox("box", "_meta")).drop("_meta")
+    kept, untouched = guarded_parts(sized, p, **plan)
+    # survivors are rounded already
+    untouched = bind(untouched, box=bx.make_box(*[round_to(F.col("box")[n], 2) for n in bx.EDGES]))
+    kept = kept.unionByName(untouched)
     b = F.col("box")
     if p.max_side is not None:
         kept = kept.filter(F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"]) <= p.max_side)
@@ -71,7 +74,7 @@ def finalize_detections(
         kept = kept.filter(~bx.too_large("box", "width", "height"))
     if p.grow_tiny:
         kept = kept.withColumn("box", bx.min_visible("box", "width", "height"))
-    kept = kept.withColumn("confidence", round_to("score", 2))
+    kept = bind(kept, confidence=round_to("score", 2))
     kept = kept.filter(F.col("confidence") > limit if p.strict_confidence else F.col("confidence") >= limit)
     named = map_terms(kept, terms)
     return named.select(

@@ -102,7 +102,7 @@ def similarity(
     number = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), F.lit(n_chunks)).alias("_c")
     left = slim.select("*", number, F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("_s"))
     piece = F.pmod(F.xxhash64("class", "embedding"), F.lit(n_slices)).cast("int").alias("_s")
-    right = refs.select("*", piece, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).cast("bigint").alias("_c"))
+    right = refs.select("*", piece, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")).alias("_c"))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _score(a, _blocks(b, keys, mode) if len(b) else {}, keys, ids, mode, best_only)

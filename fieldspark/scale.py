@@ -66,6 +66,17 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def bind(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    ``withColumn`` lets the optimizer paste an expression into each of its uses, which
+    grows without bound for chained box arithmetic. A one-element generator is not
+    pasted and stays in the generated code.
+    """
+    row = F.struct(*[c.alias(n) for n, c in values.items()])
+    return df.select(*[F.col(c) for c in df.columns if c not in values], F.inline(F.array(row)))
+
+
 def split_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT):
     """Split ``df`` into (groups of <= limit rows, rows of larger groups or None).
 
