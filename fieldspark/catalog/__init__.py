@@ -27,6 +27,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import boxes, detections, fewshot, field, matching, metrics  # noqa: F401
+    from . import boxes, detections, fewshot, field, files, matching, metrics, streams  # noqa: F401
 
     return QUERIES, ORACLES
