@@ -29,7 +29,7 @@ def _parts(axis: str):
 
 def gps(spark, sf):
     tags = {"lat": _parts("lat"), "lon": _parts("lon"), "lat_ref": F.col("lat_ref"), "lon_ref": F.col("lon_ref")}
-    return view(spark, sf, "fx_gps").withColumn("_p", geo.gps_from_tags(tags)).select("img", "_p.latitude", "_p.longitude")
+    return maps.positions(view(spark, sf, "fx_gps"), tags)
 
 
 @query("gps_positions", with_views("fx_gps", body=FIX + " select img, round(lat, 9) as latitude, round(lon, 9) as longitude from fix"))
@@ -79,9 +79,8 @@ def gps_tag_chain(spark, sf):
         "lat_ref": F.when(known, F.when(k % 3 == 0, "S").otherwise("N")),
         "lon_ref": F.when(known, F.when(k % 5 == 0, "W").otherwise("E")),
     }
-    rows = table(spark, sf, "orders").select(k.alias("id"), *[c.alias(n) for n, c in tags.items()])
-    out = rows.select("id", geo.gps_from_tags({n: F.col(n) for n in tags}).alias("p"))
-    return out.select("id", F.round("p.latitude", 9).alias("latitude"), F.round("p.longitude", 9).alias("longitude"))
+    out = maps.positions(table(spark, sf, "orders").withColumn("id", k), tags, "id")
+    return out.select("id", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"))
 
 
 def located(spark, sf):

@@ -45,34 +45,45 @@ class Rule:
         return hit
 
     def mask(self, kept: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """The same test, one kept box against rows of ``others``."""
-        w = np.minimum(kept[2], others[:, 2]) - np.maximum(kept[0], others[:, 0])
-        h = np.minimum(kept[3], others[:, 3]) - np.maximum(kept[1], others[:, 1])
+        """The same test for all pairs of rows: (len(kept), len(others))."""
+        k, o = kept.T[:, :, None], others.T[:, None, :]
+        w = np.minimum(k[2], o[2]) - np.maximum(k[0], o[0])
+        h = np.minimum(k[3], o[3]) - np.maximum(k[1], o[1])
         inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
-        size_k, size_o = kept[2:] - kept[:2], others[:, 2:] - others[:, :2]
+        kw, kh, ow, oh = k[2] - k[0], k[3] - k[1], o[2] - o[0], o[3] - o[1]
         if self.kind == "clamped":
-            size_k, size_o = np.maximum(size_k, 0.0), np.maximum(size_o, 0.0)
-        union = size_k[0] * size_k[1] + size_o[:, 0] * size_o[:, 1] - inter
+            kw, kh, ow, oh = (np.maximum(v, 0.0) for v in (kw, kh, ow, oh))
+        union = kw * kh + ow * oh - inter
         if self.kind == "eps":
-            union = union + 1e-9
+            union += 1e-9
         ok = (union != 0.0) if self.kind == "plain" else (inter > 0.0) & (union > 0.0)
         score = np.divide(inter, union, out=np.zeros_like(inter), where=ok)
         hit = score > self.threshold if self.strict else score >= self.threshold
         if self.containment:
-            hit = hit | ((others[:, :2] >= kept[:2]) & (others[:, 2:] <= kept[2:])).all(axis=1)
-            hit = hit | ((kept[:2] >= others[:, :2]) & (kept[2:] <= others[:, 2:])).all(axis=1)
+            hit |= (o[0] >= k[0]) & (o[1] >= k[1]) & (o[2] <= k[2]) & (o[3] <= k[3])
+            hit |= (k[0] >= o[0]) & (k[1] >= o[1]) & (k[2] <= o[2]) & (k[3] <= o[3])
         return hit
 
 
-def sweep(grown: np.ndarray, raw: np.ndarray, rule: Rule) -> np.ndarray:
-    """Positions of the survivors among rows sorted best first."""
+def sweep(grown: np.ndarray, raw: np.ndarray, rule: Rule, chunk: int = 256) -> np.ndarray:
+    """Positions of the survivors among rows sorted best first.
+
+    The next ``chunk`` rows are settled among themselves; their survivors then clear
+    the rest in one vectorised test.
+    """
     pending = np.arange(len(raw))
     kept = []
     while pending.size:
-        i, rest = pending[0], pending[1:]
-        kept.append(i)
-        pending = rest[~rule.mask(grown[i], raw[rest])]
-    return np.asarray(kept, dtype=np.int32)
+        head, rest = pending[:chunk], pending[chunk:]
+        hit = rule.mask(grown[head], raw[head])
+        alive = np.ones(len(head), dtype=bool)
+        for i in range(len(head)):
+            if alive[i]:
+                alive[i + 1 :] &= ~hit[i, i + 1 :]
+        winners = head[alive]
+        kept.append(winners)
+        pending = rest[~rule.mask(grown[winners], raw[rest]).any(axis=0)] if rest.size else rest
+    return np.concatenate(kept).astype(np.int32) if kept else np.empty(0, dtype=np.int32)
 
 
 def verdicts(grown: np.ndarray, raw: np.ndarray, alone: np.ndarray, rule: Rule) -> np.ndarray:
@@ -82,13 +93,13 @@ def verdicts(grown: np.ndarray, raw: np.ndarray, alone: np.ndarray, rule: Rule)
     also touches other cells, and everything it would suppress, stays undecided.
     """
     out = np.full(len(raw), -1, dtype=np.int32)
+    hits = rule.mask(grown, raw)
     for i in range(len(raw)):
         if out[i] == 2:
             continue
         clear = out[i] == -1
         out[i] = 1 if clear else 0
-        hit = rule.mask(grown[i], raw[i + 1 :])
-        tail = out[i + 1 :]
+        hit, tail = hits[i, i + 1 :], out[i + 1 :]
         if clear and alone[i]:
             tail[hit] = 2
         else:
@@ -131,17 +142,18 @@ def field_array(rows: str, name: str) -> Column:
     return F.transform(F.col(rows), lambda row: row[name])
 
 
-def _edge_arrays(rows: str) -> list[Column]:
-    return [field_array(rows, f"{p}_{n}") for p in ("e", "b") for n in bx.EDGES]
+def _edge_arrays(rows: str, prefixes: str = "eb") -> list[Column]:
+    return [field_array(rows, f"{p}_{n}") for p in prefixes for n in bx.EDGES]
 
 
 def _small_groups(df: DataFrame, keys: list[str], score: Column, ord_: Column, grown: Column, raw: Column, rule: Rule):
+    one_box = grown is raw
     body = sp.pack(
-        ("_neg", -score), ("_ord", ord_), *sp.flat(grown, "e"), *sp.flat(raw, "b"),
+        ("_neg", -score), ("_ord", ord_), *sp.flat(grown, "e"), *([] if one_box else sp.flat(raw, "b")),
         ("row", F.struct(*[F.col(c) for c in df.columns])),
     )
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(body)).alias("_rows"))
-    kept = packed.select("_rows", _sweep_udf(rule)(*_edge_arrays("_rows")).alias("_kept"))
+    kept = packed.select("_rows", _sweep_udf(rule)(*_edge_arrays("_rows", "ee" if one_box else "eb")).alias("_kept"))
     picked = F.transform("_kept", lambda pos: F.get(F.col("_rows"), pos)["row"])
     return kept.select(F.explode(picked).alias("_row")).select("_row.*")
 

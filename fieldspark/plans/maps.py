@@ -11,7 +11,7 @@ from ..functions import boxes as bx
 from ..functions import geo, text
 from ..operators import components as cc
 from ..operators import grid, rings
-from ..scale import bounded_broadcast, cut_lineage
+from ..scale import bind, bounded_broadcast, cut_lineage
 
 
 @dataclass
@@ -28,6 +28,13 @@ class FieldMap:
     without_gps: DataFrame | None = None
 
 
+def positions(tags: DataFrame, fields: dict, image: str = "img") -> DataFrame:
+    """``img, latitude, longitude`` per row of a GPS tag table; ``fields`` maps tag names to columns."""
+    held = bind(tags, **{f"_{n}": c for n, c in fields.items()})
+    fix = geo.gps_from_tags({n: F.col(f"_{n}") for n in fields})
+    return bind(held, _p=fix).select(image, "_p.latitude", "_p.longitude")
+
+
 def locate(
     detections: DataFrame, gps: DataFrame, images: DataFrame | None = None, **projection
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -43,14 +50,14 @@ def locate(
     if images is not None:
         fixes = images.select("img").distinct().join(fixes, "img", "left")
     # one row per image: looked up once, whatever the number of boxes
-    fixes = bounded_broadcast(fixes.withColumn("_known", F.lit(True)))
+    fixes = bounded_broadcast(cut_lineage(fixes.withColumn("_known", F.lit(True))))
     det = det.join(fixes, "img", "left")
     missing = det.filter(F.col("_known").isNull()).select("img")
     without = det.filter(F.col("_known") & F.col("_fix").isNull()).select("img")
     b = bx.box_of("bounding_box")
     placed = det.filter((F.size("bounding_box") == 4) & F.col("_fix").isNotNull())
-    g = geo.to_ground(F.col("_fix.latitude"), F.col("_fix.longitude"), b, **projection)
-    placed = placed.withColumn("_g", g)
+    placed = bind(placed, _b=b)
+    placed = bind(placed, _g=geo.to_ground(F.col("_fix.latitude"), F.col("_fix.longitude"), F.col("_b"), **projection))
     out = placed.select(
         *detections.columns, F.col("_g.latitude"), F.col("_g.longitude"),
         F.col("_g.lat1").alias("bbox_lat1"), F.col("_g.lon1").alias("bbox_lon1"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,16 +16,23 @@ KEYS = ["pipe_id", "image_id"]
 OUT = "pipe_id string, image_id string, event_id bigint, ts timestamp"
 
 
-def due(times: list[pd.Timestamp], last: pd.Timestamp | None, ttl: pd.Timedelta) -> list[int]:
-    """Positions of the requests that find no live encoding; ``times`` ascending."""
+def due(times: np.ndarray, last: int | None, ttl: int) -> list[int]:
+    """Positions of the requests that find no live encoding; ``times`` ascending.
+
+    One binary search per encode, however many requests lie between.
+    """
     hits = []
-    for k, t in enumerate(times):
-        if last is None or t >= last + ttl:
-            hits.append(k)
-            last = t
+    k = 0 if last is None else int(np.searchsorted(times, last + ttl))
+    while k < len(times):
+        hits.append(k)
+        k = int(np.searchsorted(times, times[k] + ttl))
     return hits
 
 
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy("datetime64[us]").astype(np.int64)
+
+
 def encode_once(stream: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
     """Requests that need an encode: the first per key, and the first after each expiry.
 
@@ -32,21 +40,22 @@ def encode_once(stream: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes")
     State is one timestamp per key and is dropped once the watermark passes its expiry.
     ``stream``: ``pipe_id, image_id, event_id, ts`` (TIMESTAMP).
     """
-    ttl = pd.Timedelta(seconds=ttl_s)
+    ttl = ttl_s * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        hits = rows.iloc[due(rows["ts"].to_list(), last, ttl)]
-        if len(hits):
-            last = hits["ts"].iloc[-1]
-            state.update((int(last.value // 1000),))
-        expiry = int((last + ttl).value // 1_000_000)
+        times, last = _micros(rows["ts"]), state.get[0] if state.exists else None
+        at = due(times, last, ttl)
+        if at:
+            last = int(times[at[-1]])
+            state.update((last,))
+        expiry = (last + ttl) // 1000
         if expiry > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(expiry)
+        hits = rows.iloc[at]
         yield hits[["event_id", "ts"]].assign(pipe_id=key[0], image_id=key[1])[
             ["pipe_id", "image_id", "event_id", "ts"]
         ]
@@ -63,18 +72,24 @@ def encode_once_batch(requests: DataFrame, ttl_s: int = 3600) -> DataFrame:
     Rows arrive sorted per key and stream through each task with one timestamp of
     state: no key's rows are held together.
     """
-    ttl = pd.Timedelta(seconds=ttl_s)
+    ttl = ttl_s * 1_000_000
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, None
         for pdf in frames:
-            for name, part in pdf.groupby(KEYS, sort=False):
-                if name != key:
-                    key, last = name, None
-                hits = part.iloc[due(part["ts"].to_list(), last, ttl)]
-                if len(hits):
-                    last = hits["ts"].iloc[-1]
-                    yield hits[["pipe_id", "image_id", "event_id", "ts"]]
+            times = _micros(pdf["ts"])
+            names = list(zip(pdf["pipe_id"], pdf["image_id"]))
+            fresh = (pdf[KEYS] != pdf[KEYS].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(fresh)
+            picked = []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                if names[lo] != key:
+                    key, last = names[lo], None
+                at = due(times[lo:hi], last, ttl)
+                if at:
+                    last = int(times[lo + at[-1]])
+                    picked.extend(lo + k for k in at)
+            yield pdf[["pipe_id", "image_id", "event_id", "ts"]].iloc[picked]
 
     # requests at one instant: only the first can need the encode
     first = requests.groupBy(*KEYS, "ts").agg(F.min("event_id").alias("event_id"))
