@@ -90,7 +90,7 @@ def fewshot_precision(spark, sf):
     """Objectness filter, top 100 per image, similarity, best class, and precision against the truth."""
     top = fewshot.topk_proposals(proposals(spark, sf))
     ids = ["backend", "image_key", "ord", "label"]
-    scored = similarity(top.withColumn("_one", F.lit(True)), supports(spark, sf), ["backend"], [*ids, "_one"], best_only="_one")
+    scored = similarity(top, supports(spark, sf), ["backend"], ids, best_only=F.lit(True))
     best = scored.filter(F.col("similarity") > 0.2)
     right = (F.col("class") == F.concat(F.lit("class_"), F.col("label").cast("string"))).cast("int")
     return best.groupBy("class").agg(

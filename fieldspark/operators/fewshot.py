@@ -73,11 +73,10 @@ def classify(
     the threshold gives a detection; suppression then keeps the best of each place.
     An image has at most ``k`` proposals here, so its group is bounded.
     """
-    top = topk_proposals(props, k, objectness).withColumn("_solid", bx.area(bx.make_box()) > 0)
+    top = topk_proposals(props, k, objectness)
     # equal boxes overlap fully, so of a box with an area only the best class can survive
-    ids = [*IMAGE, "ord", *bx.EDGES, "_solid"]
-    single = "_solid" if nms_iou < 1.0 else None
-    scored = similarity(top, supports, ["backend"], ids, best_only=single, **plan)
+    solid = bx.area(bx.make_box()) > 0 if nms_iou < 1.0 else None
+    scored = similarity(top, supports, ["backend"], [*IMAGE, "ord", *bx.EDGES], best_only=solid, **plan)
     hits = scored.filter(F.col("similarity") > similarity_threshold)
     hits = hits.withColumn("box", bx.make_box()).withColumn("_o", F.struct("class", "ord"))
     kept = nms(hits, IMAGE, "box", "similarity", "_o", nms_iou, bounded=True)

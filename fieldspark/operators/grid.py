@@ -26,21 +26,24 @@ def tiles(images: DataFrame, size: int = 960, overlap: float = 0.2, safe: bool =
         n = F.ceil((length - size) / F.lit(stride)).cast("int") + 1
         return F.greatest(n, F.lit(1)) if safe else n
 
-    def starts(n: Column) -> Column:
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1))
-
-    def span(i: Column, length: Column) -> tuple[Column, Column]:
-        lo = i * stride
-        hi = F.least(lo + size, length)
-        return F.when(hi == length, F.greatest(F.lit(0), length - size)).otherwise(lo), hi
-
-    w, h = F.col("width"), F.col("height")
-    grid = images.withColumn("_r", F.explode(starts(count(h)))).withColumn("_c", F.explode(starts(count(w))))
-    (x1, x2), (y1, y2) = span(F.col("_c"), w), span(F.col("_r"), h)
-    named = zip((x1, y1, x2, y2), ("x1", "y1", "x2", "y2"))
-    out = grid.select(*images.columns, *[c.cast("int").alias(n) for c, n in named])
-    # repeats can only come from one image, so the distinct needs no more than these columns
-    return out.distinct() if safe else out
+    def spans(length: Column) -> Column:
+        """Snapped [lo, hi) intervals along one axis."""
+        n = count(length)
+
+        def span(k: Column) -> Column:
+            hi = F.least(k * stride + size, length)
+            lo = F.when(hi == length, F.greatest(F.lit(0), length - size)).otherwise(k * stride)
+            return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+        out = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), span))
+        # a tile is a pair of intervals, so distinct intervals give distinct tiles without a shuffle
+        return F.array_distinct(out) if safe else out
+
+    grid = images.withColumn("_y", F.explode(spans(F.col("height")))).withColumn("_x", F.explode(spans(F.col("width"))))
+    return grid.select(
+        *images.columns, F.col("_x.lo").alias("x1"), F.col("_y.lo").alias("y1"),
+        F.col("_x.hi").alias("x2"), F.col("_y.hi").alias("y2"),
+    )
 
 
 def extent(points: DataFrame, by: list[str], pad: float = 0.1, lon: str = "longitude", lat: str = "latitude"):

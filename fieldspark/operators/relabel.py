@@ -17,30 +17,30 @@ def resolve_prototypes(prototypes: DataFrame) -> DataFrame:
     )
 
 
-def relabel(detections: DataFrame, prototypes: DataFrame, key: str = "det_id", **plan) -> DataFrame:
+def relabel(detections: DataFrame, prototypes: DataFrame, **plan) -> DataFrame:
     """Detections with ``label`` replaced by the best prototype's class and ``classifier_confidence``.
 
-    ``detections``: ``key``, ``label``, ``embedding``; ``prototypes``: ``class, cls_ord,
-    embedding``. Scores start at -1 and must rise above it; the earlier class wins ties.
-    Without a better class the label stays and the confidence is -1.
+    ``detections``: ``label``, ``embedding`` and any other columns (the embedding is not
+    returned); ``prototypes``: ``class, cls_ord, embedding``. Scores start at -1 and must
+    rise above it; the earlier class wins ties. Without a better class the label stays
+    and the confidence is -1. Detections are neither shuffled nor joined.
     """
+    # sortable text of the list position, so that the first name on ties is the earlier class
+    code = F.format_string("%012d", "cls_ord")
     protos = resolve_prototypes(prototypes)
-    scored = similarity(
-        detections.withColumn("_all", F.lit(0)), protos.withColumn("_all", F.lit(0)), ["_all"], ["_all", key],
-        mode="add", **plan,
-    )
-    order = bounded_broadcast(protos.select("class", "cls_ord"))
-    best = (
-        scored.filter(F.col("similarity") > -1.0)
-        .join(order, "class")
-        .groupBy(key)
-        .agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("cls_ord"), F.col("class"))).alias("_b"))
-        .select(key, F.col("_b.class").alias("_class"), (-F.col("_b.s")).alias("_score"))
-    )
-    out = detections.join(best, key, "left")
+    everywhere = F.lit(0).alias("_all")
+    refs = protos.select(everywhere, code.alias("class"), "embedding")
+    kept = [c for c in detections.columns if c != "embedding"]
+    best = similarity(
+        detections.select("*", everywhere), refs, ["_all"], kept, mode="add", best_only=F.lit(True),
+        keep_unmatched=True, **plan,
+    ).withColumnRenamed("class", "_code")
+    names = bounded_broadcast(protos.select(code.alias("_code"), F.col("class").alias("_class")))
+    out = best.join(names, "_code", "left")
+    better = F.col("similarity") > -1.0
     return out.select(
-        *[F.coalesce("_class", "label").alias("label") if c == "label" else F.col(c) for c in detections.columns],
-        F.coalesce("_score", F.lit(-1.0)).alias("classifier_confidence"),
+        *[F.when(better, F.col("_class")).otherwise(F.col(c)).alias(c) if c == "label" else F.col(c) for c in kept],
+        F.when(better, F.col("similarity")).otherwise(F.lit(-1.0)).alias("classifier_confidence"),
     )
 
 

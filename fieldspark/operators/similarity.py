@@ -1,19 +1,19 @@
 """Cosine similarity of many vectors against reference vectors, best match per class.
 
-A support table up to ``budget`` bytes (checked) is broadcast as one matrix per
-(backend, dimension) and multiplied inside Arrow batches. A larger one is cut into
+A reference table up to ``budget`` bytes (checked) is broadcast as one matrix per
+(keys, dimension) and multiplied inside a vectorised UDF: the other columns of the
+large side stay in the JVM and nothing is shuffled. A larger reference table is cut into
 slices that meet chunks of the other side in co-grouped tasks; partial maxima are then
-combined. Neither plan emits a row per pair.
+combined. Neither plan emits a row per pair of vectors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -21,6 +21,8 @@ SLICE_BYTES = 32 * 1024 * 1024
 #: Floor of a vector norm.
 EPS = 1e-12
 
+FOUND = "struct<class:array<string>,similarity:array<double>>"
+
 
 def unit(rows: np.ndarray, mode: str = "max") -> np.ndarray:
     norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
@@ -31,87 +33,105 @@ def matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def class_maxima(sim: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Column-block maxima: columns sorted by class, ``starts`` the first column of each."""
-    return np.maximum.reduceat(sim, starts, axis=1)
+def _grouped(keys: pd.DataFrame, vectors: pd.Series):
+    """Row positions per (key values, dimension)."""
+    at = keys.reset_index(drop=True).assign(_dim=[-1 if v is None else len(v) for v in vectors])
+    return at.groupby(list(at.columns), sort=False, dropna=False).indices.items()
 
 
-def _blocks(pdf: pd.DataFrame, keys: list[str], mode: str):
-    """Reference vectors as unit matrices per (keys, dim): (matrix, class starts, class names)."""
+def _blocks(refs: pd.DataFrame, keys: list[str], mode: str) -> dict:
+    """Unit matrices per (key values, dimension): (matrix, first row of each class, class names)."""
     out = {}
-    pdf = pdf.assign(_dim=[len(v) for v in pdf["embedding"]])
-    for group, part in pdf.groupby([*keys, "_dim"], sort=False):
-        part = part.sort_values("class", kind="stable")
+    for group, rows in _grouped(refs[keys], refs["embedding"]):
+        part = refs.iloc[rows].sort_values("class", kind="stable")
         names, starts = np.unique(part["class"].to_numpy(dtype=str), return_index=True)
-        out[group] = (unit(matrix(part["embedding"]), mode), starts, names)
+        out[group] = (unit(matrix(part["embedding"]), mode), starts, names.astype(object))
     return out
 
 
-def _score(
-    pdf: pd.DataFrame, blocks: dict, keys: list[str], ids: list[str], mode: str, best_only: str | None
-) -> pd.DataFrame:
-    parts = []
-    if len(pdf):
-        pdf = pdf.assign(_dim=[len(v) for v in pdf["embedding"]])
-        for group, part in pdf.groupby([*keys, "_dim"], sort=False):
-            if group not in blocks:
-                continue
-            ref, starts, names = blocks[group]
-            best = class_maxima(unit(matrix(part["embedding"]), mode) @ ref.T, starts)
-            show = np.ones_like(best, dtype=bool)
-            if best_only:
-                one = part[best_only].to_numpy(dtype=bool)
-                show[one] = np.arange(len(names)) == best[one].argmax(axis=1)[:, None]
-            row, col = np.nonzero(show)
-            parts.append(
-                part[ids].iloc[row].reset_index(drop=True).assign(**{"class": names[col], "similarity": best[row, col]})
-            )
-    if parts:
-        return pd.concat(parts, ignore_index=True)
-    return pd.DataFrame({**{c: [] for c in ids}, "class": [], "similarity": []})
+def _search(blocks: dict, keys: pd.DataFrame, vectors: pd.Series, best_only: np.ndarray, mode: str) -> pd.DataFrame:
+    """Class names and greatest similarities per vector; only the best class where ``best_only``."""
+    none = np.empty(0, dtype=object), np.empty(0)
+    names_out, sims_out = [none[0]] * len(vectors), [none[1]] * len(vectors)
+    vectors = vectors.reset_index(drop=True)
+    for group, rows in _grouped(keys, vectors):
+        if group not in blocks:
+            continue
+        ref, starts, names = blocks[group]
+        best = np.maximum.reduceat(unit(matrix(vectors.iloc[rows]), mode) @ ref.T, starts, axis=1)
+        top = best.argmax(axis=1)
+        for k, row in enumerate(rows):
+            if best_only[row]:
+                names_out[row], sims_out[row] = names[top[k] : top[k] + 1], best[k, top[k] : top[k] + 1]
+            else:
+                names_out[row], sims_out[row] = names, best[k]
+    return pd.DataFrame({"class": names_out, "similarity": sims_out})
+
+
+def reference_bytes(refs: DataFrame) -> int:
+    return refs.agg(F.sum(F.size("embedding").cast("bigint") * 8)).first()[0] or 0
+
+
+def _spread(df: DataFrame, ids: list[str], found: str, outer: bool) -> DataFrame:
+    pairs = F.arrays_zip(F.col(f"{found}.class").alias("class"), F.col(f"{found}.similarity").alias("similarity"))
+    return df.select(*ids, F.inline_outer(pairs) if outer else F.inline(pairs))
 
 
 def similarity(
     vectors: DataFrame, refs: DataFrame, keys: list[str], ids: list[str], mode: str = "max",
-    budget: int = BROADCAST_BYTES, slice_bytes: int = SLICE_BYTES, best_only: str | None = None,
+    budget: int = BROADCAST_BYTES, slice_bytes: int = SLICE_BYTES, best_only: Column | None = None,
+    keep_unmatched: bool = False,
 ) -> DataFrame:
     """Greatest cosine per vector and class: ``ids, class, similarity``.
 
-    ``vectors`` has ``keys``, ``ids`` (they include the keys and identify a row) and
-    ``embedding``; ``refs`` has ``keys``, ``class``, ``embedding``. Classes whose dimension differs from a vector's
-    give it no row. Where the boolean id column ``best_only`` is true, only the best class
-    (first name on ties) of the row is returned.
+    ``vectors`` has ``keys``, ``embedding`` and the columns ``ids`` to carry along
+    (they identify a row); ``refs`` has ``keys``, ``class``, ``embedding``. A class whose
+    dimension differs from a vector's gives it no row. Where ``best_only`` holds, only the
+    best class of the row is returned, the first name on ties. ``keep_unmatched`` returns
+    vectors without any class with nulls.
     """
-    types = dict(vectors.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ids) + ", class string, similarity double"
-    slim = vectors.select(*ids, "embedding")
+    flag = (F.lit(False) if best_only is None else best_only).alias("_one")
     refs = refs.select(*keys, "class", "embedding")
-    size = refs.agg(F.sum(F.size("embedding").cast("bigint") * 8)).first()[0] or 0
+    n_keys = len(keys)
+    size = reference_bytes(refs)
     if size <= budget:
-        blocks = slim.sparkSession.sparkContext.broadcast(_blocks(refs.toPandas(), keys, mode))
+        blocks = vectors.sparkSession.sparkContext.broadcast(_blocks(refs.toPandas(), keys, mode))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield _score(pdf, blocks.value, keys, ids, mode, best_only)
+        @F.pandas_udf(FOUND)
+        def search(part: pd.DataFrame) -> pd.DataFrame:
+            return _search(
+                blocks.value, part.iloc[:, :n_keys], part["embedding"], part["_one"].to_numpy(dtype=bool), mode
+            )
 
-        return slim.mapInPandas(run, schema)
+        row = F.struct(*[F.col(k) for k in keys], F.col("embedding"), flag)
+        return _spread(vectors.select(*ids, search(row).alias("_f")), ids, "_f", keep_unmatched)
 
+    types = dict(vectors.dtypes)
     n_slices = math.ceil(size / slice_bytes)
-    width = slim.agg(F.sum(F.size("embedding").cast("bigint") * 8)).first()[0] or 0
-    n_chunks = max(1, math.ceil(width / slice_bytes))
-    number = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), F.lit(n_chunks)).alias("_c")
+    n_chunks = max(1, math.ceil(reference_bytes(vectors) / slice_bytes))
+    # rows are numbered by their content; the vector side is sent once per slice
+    slim = vectors.select(*keys, F.struct(*ids).alias("_id"), "embedding", flag)
+    number = F.pmod(F.xxhash64("_id"), F.lit(n_chunks)).alias("_c")
     left = slim.select("*", number, F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("_s"))
     piece = F.pmod(F.xxhash64("class", "embedding"), F.lit(n_slices)).cast("int").alias("_s")
-    right = refs.select("*", piece, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")).alias("_c"))
+    right = refs.select(
+        "*", piece, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")).alias("_c")
+    )
+    schema = f"_id struct<{', '.join(f'`{c}`:{types[c]}' for c in ids)}>, _one boolean, _f {FOUND}"
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _score(a, _blocks(b, keys, mode) if len(b) else {}, keys, ids, mode, best_only)
+        blocks = _blocks(b, keys, mode) if len(b) else {}
+        found = _search(blocks, a[keys], a["embedding"], a["_one"].to_numpy(dtype=bool), mode)
+        return a[["_id", "_one"]].assign(_f=found.to_dict("records"))
 
     partial = left.groupBy("_s", "_c").cogroup(right.groupBy("_s", "_c")).applyInPandas(pair, schema)
-    merged = partial.groupBy(*ids, "class").agg(F.max("similarity").alias("similarity"))
-    if not best_only:
-        return merged
-    top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("class").alias("c"))).alias("_b")
-    best = merged.filter(F.col(best_only)).groupBy(*ids).agg(top)
-    best = best.select(*ids, F.col("_b.c").alias("class"), (-F.col("_b.s")).alias("similarity"))
-    return merged.filter(~F.col(best_only)).unionByName(best)
+    rows = _spread(partial, ["_id", "_one"], "_f", True)
+    merged = rows.groupBy("_id", "_one", "class").agg(F.max("similarity").alias("similarity"))
+    each = merged.filter(~F.col("_one") & F.col("class").isNotNull()).select("_id", "class", "similarity")
+    named = F.when(F.col("class").isNotNull(), F.struct((-F.col("similarity")).alias("s"), F.col("class").alias("c")))
+    per_row = merged.groupBy("_id", "_one").agg(F.min(named).alias("_b"))
+    top = per_row.filter(F.col("_one") | F.col("_b").isNull()).select(
+        "_id", F.col("_b.c").alias("class"), (-F.col("_b.s")).alias("similarity")
+    )
+    out = each.unionByName(top if keep_unmatched else top.filter(F.col("class").isNotNull()))
+    return out.select("_id.*", "class", "similarity")

@@ -24,17 +24,15 @@ class Relabelled:
     manifest: DataFrame
 
 
-def relabel_detections(
-    detections: DataFrame, images: DataFrame, prototypes: DataFrame, key: str = "det_id", **plan
-) -> Relabelled:
+def relabel_detections(detections: DataFrame, images: DataFrame, prototypes: DataFrame, **plan) -> Relabelled:
     """Existing images and valid boxes only; then nearest prototype, counts and image manifest.
 
-    ``detections`` carries ``img, label, bounding_box, embedding`` and a row ``key``.
+    ``detections`` carries ``img, label, bounding_box, embedding`` and any other columns.
     """
     usable = rl.usable_detections(detections, images)
-    done = rl.relabel(usable, prototypes, key, **plan)
+    done = rl.relabel(usable, prototypes, **plan)
     hit = done.filter(F.col("classifier_confidence") > -1.0)
-    return Relabelled(done.drop("embedding"), rl.class_summary(done), rl.manifest(hit, prototypes))
+    return Relabelled(done, rl.class_summary(done), rl.manifest(hit, prototypes))
 
 
 @dataclass
