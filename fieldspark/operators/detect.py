@@ -64,9 +64,10 @@ def finalize_detections(
         sized = bind(sized, _meta=bx.letterbox("width", "height"))
         sized = bind(sized, box=bx.unletterbox("box", "_meta")).drop("_meta")
     kept, untouched = guarded_parts(sized, p, **plan)
-    # survivors are rounded already
-    untouched = bind(untouched, box=bx.make_box(*[round_to(F.col("box")[n], 2) for n in bx.EDGES]))
-    kept = kept.unionByName(untouched)
+    if untouched is not None:
+        # survivors are rounded already
+        untouched = bind(untouched, box=bx.make_box(*[round_to(F.col("box")[n], 2) for n in bx.EDGES]))
+        kept = kept.unionByName(untouched)
     b = F.col("box")
     if p.max_side is not None:
         kept = kept.filter(F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"]) <= p.max_side)

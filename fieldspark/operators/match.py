@@ -111,17 +111,25 @@ def _large(gt: DataFrame, gen: DataFrame, image: str, threshold: float) -> DataF
     return out
 
 
+def image_sizes(gt: DataFrame, gen: DataFrame, image: str) -> DataFrame:
+    """Boxes per image and side; images of either side appear."""
+    rows = gt.select(image, F.lit(1).alias("g"), F.lit(0).alias("p")).union(gen.select(image, F.lit(0), F.lit(1)))
+    return rows.groupBy(image).agg(F.sum("g").alias("num_gt"), F.sum("p").alias("num_generated"))
+
+
 def match_boxes(
-    gt: DataFrame, gen: DataFrame, iou_threshold: float = 0.5, image: str = "image_path", limit: int = GROUP_LIMIT
+    gt: DataFrame, gen: DataFrame, iou_threshold: float = 0.5, image: str = "image_path",
+    limit: int = GROUP_LIMIT, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Matched pairs ``(image, gt_ord, gen_ord, iou)``.
 
-    Both inputs carry the image key, ``ord`` (list position) and ``box``.
+    Both inputs carry the image key, ``ord`` (list position) and ``box``. ``sizes`` may
+    give the counts per image (``image_sizes``) if they are at hand.
     """
     gt, gen = gt.select(image, "ord", "box"), gen.select(image, "ord", "box")
-    sizes = gt.select(image, F.lit(0).alias("side")).union(gen.select(image, F.lit(1).alias("side")))
-    hot = sizes.groupBy(image, "side").count().filter(F.col("count") > limit).select(image).distinct()
-    hot = cut_lineage(hot)
+    sizes = image_sizes(gt, gen, image) if sizes is None else sizes
+    large_one = (F.col("num_gt") > limit) | (F.col("num_generated") > limit)
+    hot = cut_lineage(sizes.filter(large_one).select(image))
     if hot.isEmpty():
         return _small(gt, gen, image, iou_threshold)
     hot = bounded_broadcast(hot)
@@ -140,30 +148,27 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """(totals, per image) with TP/FP/FN, precision and recall; totals add F1.
 
-    Every image of either side appears. Counts are partially aggregated and combined
-    by union, so no image's boxes meet for counting. ``with_pairs`` adds the matched
-    pairs of each image as an array; the pairs as rows come from ``match_boxes``.
+    Every image of either side appears. ``with_pairs`` adds the matched pairs of each
+    image as an array; the pairs as rows come from ``match_boxes``.
     """
     if similarity_threshold > 0:
         score = F.coalesce(F.col("score"), F.lit(1.0)) if "score" in gen.columns else F.lit(1.0)
         gen = gen.filter(score >= similarity_threshold)
-    pairs = match_boxes(gt, gen, iou_threshold, image, limit)
-    one, zero = F.lit(1), F.lit(0)
-    none = F.lit(None).cast("struct<gt:bigint,gen:bigint,iou:double>")
-    pair = F.struct(
-        F.col("gt_ord").cast("bigint").alias("gt"), F.col("gen_ord").cast("bigint").alias("gen"), F.col("iou")
+    # one row per image, read again for the large-image check and for the result
+    sizes = cut_lineage(image_sizes(gt, gen, image))
+    pairs = match_boxes(gt, gen, iou_threshold, image, limit, sizes)
+    aggs = [F.count(F.lit(1)).alias("num_tp")]
+    if with_pairs:
+        pair = F.struct(
+            F.col("gt_ord").cast("bigint").alias("gt"), F.col("gen_ord").cast("bigint").alias("gen"), F.col("iou")
+        )
+        aggs.append(F.array_sort(F.collect_list(pair)).alias("matched_pairs"))
+    per_image = sizes.join(pairs.groupBy(image).agg(*aggs), image, "left").withColumn(
+        "num_tp", F.coalesce("num_tp", F.lit(0))
     )
-
-    def tagged(df: DataFrame, g, p, t, m):
-        cols = [g.alias("g"), p.alias("p"), t.alias("t")] + ([m.alias("m")] if with_pairs else [])
-        return df.select(image, *cols)
-
-    rows = tagged(gt, one, zero, zero, none).union(tagged(gen, zero, one, zero, none))
-    rows = rows.union(tagged(pairs, zero, zero, one, pair))
-    aggs = [F.sum("g").alias("num_gt"), F.sum("p").alias("num_generated"), F.sum("t").alias("num_tp")]
     if with_pairs:
-        aggs.append(F.array_sort(F.collect_list("m")).alias("matched_pairs"))
-    per_image = rows.groupBy(image).agg(*aggs)
+        empty = F.array().cast(per_image.schema["matched_pairs"].dataType)
+        per_image = per_image.withColumn("matched_pairs", F.coalesce("matched_pairs", empty))
     tp, n_gt, n_gen = F.col("num_tp"), F.col("num_gt"), F.col("num_generated")
     per_image = (
         per_image.withColumn("num_fp", n_gen - tp)
@@ -172,8 +177,7 @@ def evaluate(
         .withColumn("recall", _ratio(tp, n_gt))
     )
     totals = per_image.agg(
-        F.coalesce(F.sum("num_tp"), zero).alias("total_tp"), F.coalesce(F.sum("num_fp"), zero).alias("total_fp"),
-        F.coalesce(F.sum("num_fn"), zero).alias("total_fn"),
+        *[F.coalesce(F.sum(f"num_{k}"), F.lit(0)).alias(f"total_{k}") for k in ("tp", "fp", "fn")]
     )
     t, fp, fn = F.col("total_tp"), F.col("total_fp"), F.col("total_fn")
     totals = totals.withColumn("precision", _ratio(t, t + fp)).withColumn("recall", _ratio(t, t + fn))

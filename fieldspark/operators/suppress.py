@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from ..functions.numbers import round_to
-from ..scale import GROUP_LIMIT, bind, bounded_broadcast, cut_lineage, split_hot
+from ..scale import GROUP_LIMIT, bind, bounded_broadcast, cut_lineage, same_keys, split_hot
 from . import spatial as sp
 
 #: Rows per cell that one round of the large-group plan looks at.
@@ -300,31 +300,39 @@ def nms_guarded(
     image in which no box passes keeps its raw rows.
     """
     kept, raw_rows = guarded_parts(df, preset_, image, label, box, score, ord, width, height, bounded, limit, block)
-    return kept.unionByName(raw_rows)
+    return kept if raw_rows is None else kept.unionByName(raw_rows)
 
 
 def guarded_parts(
     df: DataFrame, preset_: str | Preset, image: str = "img", label: str = "term", box: str = "box",
     score: str = "score", ord: str = "ord", width: str = "width", height: str = "height",
     bounded: bool = False, limit: int = GROUP_LIMIT, block: int = BLOCK,
-) -> tuple[DataFrame, DataFrame]:
-    """(survivors, raw rows of images without any), see ``nms_guarded``."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """(survivors, raw rows of images without any or None), see ``nms_guarded``."""
     p = preset(preset_)
     w, h = F.col(width), F.col(height)
     raw, grown = F.col("_raw"), F.col("_e")
     work = bind(df, _raw=bx.clip(F.col(box), w, h))
     work = bind(work, _e=bx.expand(raw, p.expand, w, h) if p.expand > 0 else raw)
     work = bind(work, _ok=_fits(raw, w, h, p, True) & _fits(grown, w, h, p, False))
+    # one counting pass finds the images that need more than the ordinary plan
+    sizes = work.groupBy(image).agg(F.count_if("_ok").alias("_n"))
+    unusual = cut_lineage(sizes.filter((F.col("_n") == 0) | (F.col("_n") > limit)))
+    seen = unusual.agg(F.count_if(F.col("_n") == 0).alias("empty"), F.count_if(F.col("_n") > limit).alias("large")).first()
     rule = Rule(p.iou_threshold, strict=False, kind="eps", containment=True)
     kept = suppress(
-        work.filter("_ok"), [image, label], F.col(score), F.col(ord), grown, raw, rule, bounded, limit, block
+        work.filter("_ok"), [image, label], F.col(score), F.col(ord), grown, raw, rule,
+        bounded or not seen.large, limit, block,
     )
     kept = bind(
         kept, **{box: bx.make_box(*[round_to(grown[n], 2) for n in bx.EDGES]), score: round_to(score, 6)}
     )
-    without = work.groupBy(image).agg(F.max("_ok").alias("_any")).filter(~F.col("_any")).select(image)
-    raw_rows = work.filter(~F.col("_ok")).join(without, image, "left_semi")
-    return kept.select(*df.columns), raw_rows.select(*df.columns)
+    kept = kept.select(*df.columns)
+    if not seen.empty:
+        return kept, None
+    empty = bounded_broadcast(unusual.filter(F.col("_n") == 0).select(image))
+    raw_rows = work.filter(~F.col("_ok")).join(empty, same_keys(work, empty, [image]), "left_semi")
+    return kept, raw_rows.select(*df.columns)
 
 
 def nms_tiled(
