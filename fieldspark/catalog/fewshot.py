@@ -282,3 +282,41 @@ def model_proposals(spark, sf):
 
     images = view(spark, sf, "fx_images")
     return udf.propose(images, factory, "img string, ord bigint, x1 double, x2 double, score double")
+
+
+@query(
+    "stitched_proposals",
+    with_views("fx_images", recursive=True, body="""
+, n as (select img, width w, height h, cast(ceil((width - 960) / 768e0) as int) + 1 nc, cast(ceil((height - 960) / 768e0) as int) + 1 nr from fx_images),
+rr as (select img, w, h, nc, unnest(range(0, nr)) * 768 y from n),
+cc as (select img, w, h, y, unnest(range(0, nc)) * 768 x from rr),
+e as (select *, least(x + 960, w) x2, least(y + 960, h) y2 from cc),
+t as (select img, cast(case when x2 = w then greatest(0, w - 960) else x end as bigint) ox, cast(case when y2 = h then greatest(0, h - 960) else y end as bigint) oy from e),
+p as (select img, ox, oy, unnest(range(0, 4)) k from t),
+b as (select img, ox, oy, (oy * 100000 + ox) * 4 + k as ord, 0.2e0 + ((ox + 3 * oy + 7 * k) % 100) / 200e0 score,
+  ox + k * 150e0 x1, oy + (k % 2) * 300e0 y1, ox + k * 150e0 + 400 x2, oy + (k % 2) * 300e0 + 350 y2 from p)""" + greedy_sql(
+        "b", "img, ox, oy", "score desc, ord", BOX, overlap_sql("k.", "r.") + " > 0.3e0") + """
+, moved as (select img, ord, score, x1, y1, x2, y2 from kept)""" + greedy_sql(
+        "moved", "img", "score desc, ord", BOX, overlap_sql("k.", "r.") + " > 0.3e0"
+    ).replace("ranked", "ranked2").replace("walk", "walk2").replace("kept", "kept2") + """
+select img, ord, round(score, 6) as score, x1 as b_x1, y1 as b_y1, x2 as b_x2, y2 as b_y2 from kept2"""),
+)
+def stitched_proposals(spark, sf):
+    """Tiles of every image, a stand-in proposer with four boxes per tile, suppression per tile and image."""
+
+    def factory():
+        def fn(rows):
+            for k in range(4):
+                x, y = k * 150.0, (k % 2) * 300.0
+                yield rows.assign(
+                    ord=(rows["oy"].astype("int64") * 100000 + rows["ox"]) * 4 + k,
+                    score=0.2 + ((rows["ox"] + 3 * rows["oy"] + 7 * k) % 100) / 200.0, x1=x, y1=y, x2=x + 400, y2=y + 350,
+                )[["img", "tile", "ox", "oy", "ord", "score", "x1", "y1", "x2", "y2"]]
+
+        return fn
+
+    tiles = labelling.tile_plan(view(spark, sf, "fx_images"))
+    schema = "img string, tile string, ox int, oy int, ord bigint, score double, x1 double, y1 double, x2 double, y2 double"
+    raw = udf.propose(tiles, factory, schema, batch=1024).withColumn("box", bx.make_box())
+    out = labelling.stitch_proposals(raw, ["img"], 0.3, objectness=0.1)
+    return out.select("img", "ord", r6("score").alias("score"), *edges(F.col("box"), "b"))

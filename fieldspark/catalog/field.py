@@ -425,6 +425,59 @@ def outline_polygons(spark, sf):
     return rings.with_wkt(rings.region_polygons(labelled, spec, ["field"])).select("level", "component", "n_rings", "wkt")
 
 
+def wkt_area(wkt):
+    """Signed area of a (multi-)polygon text: outer rings count up, holes count down."""
+    rings_ = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), 1)
+
+    def axis(p, k):
+        return F.get(F.split(p, " "), F.lit(k)).cast("double")
+
+    def ring(r):
+        texts = F.split(r, ", ")
+        first = F.get(texts, F.lit(0))
+        # relative to the ring's first corner, so that large coordinates do not cancel
+        pts = F.transform(texts, lambda p: F.struct(
+            (axis(p, 0) - axis(first, 0)).alias("x"), (axis(p, 1) - axis(first, 1)).alias("y")
+        ))
+        n = F.size(pts) - 1
+        pairs = F.zip_with(F.slice(pts, 1, n), F.slice(pts, 2, n), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v)
+
+    return F.aggregate(F.transform(rings_, ring), F.lit(0.0), lambda acc, v: acc + v) / 2
+
+
+@query(
+    "outline_areas",
+    with_views("fx_residue", recursive=True, body=COARSE + _REACH + """
+, comp as (select level, u, min(v) c from reach group by level, u),
+parts as (select level, count(distinct c) n_polygons, count(*) n_cells from comp group by level)
+select level, n_polygons, n_cells as area_in_cells from parts"""),
+)
+def outline_areas(spark, sf):
+    """Outlines measured from their text: the area of each level in cells, holes taken off."""
+    points = residue(spark, sf)
+    spec = cut_lineage(grid.grid_spec(grid.extent(points, ["field"], pad=0.0), (60.0, 60.0)))
+    cells = cut_lineage(maps.residue_cells(points, spec))
+    # in cell units, so that the area is a whole number
+    unit = spec.withColumn("minx", F.lit(0.0)).withColumn("miny", F.lit(0.0)).withColumn("dx", F.lit(1.0)).withColumn("dy", F.lit(1.0))
+    polys = rings.with_wkt(rings.region_polygons(cc.components(cells, ["field"]), unit, ["field"]))
+    return polys.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n_polygons"), F.round(F.sum(wkt_area(F.col("wkt")))).cast("bigint").alias("area_in_cells")
+    )
+
+
+@query(
+    "weed_outline_shares",
+    with_views("fx_detections", "fx_gps", "fx_images", recursive=True, body=WEED_CELLS + """
+select label, level, round(count(*) * (select dx * dy from spec s where s.label = c.label) * 1e8, 1) as area from cells c group by label, level"""),
+)
+def weed_outline_shares(spark, sf):
+    """Area of each level's outline text, in 1e-8 square degrees."""
+    return weed(spark, sf).features.select(
+        "label", "level", F.round(wkt_area(F.col("wkt")) * 1e8, 1).alias("area")
+    )
+
+
 def weed(spark, sf, **options):
     d = view(spark, sf, "fx_detections")
     det = d.select("img", "ord", F.col("term").alias("label"), bx.to_array(bx.make_box()).alias("bounding_box"))

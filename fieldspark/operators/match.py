@@ -18,6 +18,8 @@ from . import spatial as sp
 from .suppress import field_array, overlap_join
 
 PAIR = "struct<gt:array<int>,iou:array<double>>"
+#: Largest number of candidate pairs of one image that is held in one array.
+PAIR_LIMIT = 500_000
 
 
 def greedy(gt: np.ndarray, gen: np.ndarray, threshold: float):
@@ -81,17 +83,46 @@ def _small(gt: DataFrame, gen: DataFrame, image: str, threshold: float) -> DataF
     )
 
 
-def _large(gt: DataFrame, gen: DataFrame, image: str, threshold: float) -> DataFrame:
-    """The same result for images of any size, in rounds.
+def take_pairs(gen: np.ndarray, gt: np.ndarray) -> np.ndarray:
+    """Positions of the pairs taken, for candidate pairs in visiting order."""
+    used_gen, used_gt, taken = set(), set(), []
+    for k, (p, g) in enumerate(zip(gen.tolist(), gt.tolist())):
+        if p not in used_gen and g not in used_gt:
+            used_gen.add(p)
+            used_gt.add(g)
+            taken.append(k)
+    return np.asarray(taken, dtype=np.int32)
 
-    A generated box takes its best free partner as soon as no earlier undecided box
-    has that partner among its candidates.
+
+def _take_udf():
+    @F.pandas_udf("array<int>")
+    def run(gen: pd.Series, gt: pd.Series) -> pd.Series:
+        return pd.Series([take_pairs(np.asarray(p), np.asarray(g)) for p, g in zip(gen, gt)])
+
+    return run
+
+
+def _finish(pairs: DataFrame, image: str) -> DataFrame:
+    """Greedy choice over the candidate pairs of each image, held in one array."""
+    body = F.struct("gen_ord", (-F.col("iou")).alias("neg"), "gt_ord")
+    lists = pairs.groupBy(image).agg(F.array_sort(F.collect_list(body)).alias("_p"))
+    lists = lists.select(image, "_p", _take_udf()(field_array("_p", "gen_ord"), field_array("_p", "gt_ord")).alias("_k"))
+    rows = lists.select(image, F.explode(F.transform("_k", lambda pos: F.get(F.col("_p"), pos))).alias("_r"))
+    return rows.select(image, F.col("_r.gt_ord"), F.col("_r.gen_ord"), (-F.col("_r.neg")).alias("iou"))
+
+
+def _large(gt: DataFrame, gen: DataFrame, image: str, threshold: float, pair_limit: int) -> DataFrame:
+    """The same result for images of any size.
+
+    Only pairs that reach the threshold are formed, through cells. Images with up to
+    ``pair_limit`` open pairs are finished in one pass; until then, in rounds, a generated box takes its
+    best free partner as soon as no earlier undecided box has that partner among its candidates.
     """
     positive = threshold <= 0.0
     pairs = overlap_join(gen, gt, [image], max(threshold, 0.0), strict=positive)
     pairs = cut_lineage(pairs.select(image, F.col("l_ord").alias("gen_ord"), F.col("r_ord").alias("gt_ord"), "iou"))
     parts: list[DataFrame] = []
-    while not pairs.isEmpty():
+    while not pairs.groupBy(image).count().filter(F.col("count") > pair_limit).isEmpty():
         best = pairs.groupBy(image, "gen_ord").agg(
             F.max(F.struct("iou", (-F.col("gt_ord")).alias("neg"))).alias("b")
         ).select(image, "gen_ord", (-F.col("b.neg")).alias("gt_ord"), F.col("b.iou").alias("iou"))
@@ -103,10 +134,8 @@ def _large(gt: DataFrame, gen: DataFrame, image: str, threshold: float) -> DataF
                 new.select(image, "gt_ord"), [image, "gt_ord"], "left_anti"
             )
         )
-    if not parts:
-        return pairs.select(image, "gt_ord", "gen_ord", "iou")
-    out = parts[0]
-    for p in parts[1:]:
+    out = _finish(pairs, image)
+    for p in parts:
         out = out.unionByName(p)
     return out
 
@@ -119,7 +148,7 @@ def image_sizes(gt: DataFrame, gen: DataFrame, image: str) -> DataFrame:
 
 def match_boxes(
     gt: DataFrame, gen: DataFrame, iou_threshold: float = 0.5, image: str = "image_path",
-    limit: int = GROUP_LIMIT, sizes: DataFrame | None = None,
+    limit: int = GROUP_LIMIT, sizes: DataFrame | None = None, pair_limit: int = PAIR_LIMIT,
 ) -> DataFrame:
     """Matched pairs ``(image, gt_ord, gen_ord, iou)``.
 
@@ -134,7 +163,7 @@ def match_boxes(
         return _small(gt, gen, image, iou_threshold)
     hot = bounded_broadcast(hot)
     small = _small(gt.join(hot, image, "left_anti"), gen.join(hot, image, "left_anti"), image, iou_threshold)
-    large = _large(gt.join(hot, image, "left_semi"), gen.join(hot, image, "left_semi"), image, iou_threshold)
+    large = _large(gt.join(hot, image, "left_semi"), gen.join(hot, image, "left_semi"), image, iou_threshold, pair_limit)
     return small.unionByName(large)
 
 

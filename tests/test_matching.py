@@ -54,7 +54,9 @@ def test_large_image_plan_equals_small(spark, threshold):
 
     gt, gen = side(spark, rows(60)), side(spark, rows(80))
     small = match.match_boxes(gt, gen, threshold)
-    large = match.match_boxes(gt, gen, threshold, limit=10)
+    large = match.match_boxes(gt, gen, threshold, limit=10, pair_limit=100)
+    whole = match.match_boxes(gt, gen, threshold, limit=10)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, large.select(whole.columns).collect()))
     key = ["image_path", "gt_ord", "gen_ord"]
     assert sorted(map(tuple, small.select(key).collect())) == sorted(map(tuple, large.select(key).collect()))
     n = small.count()
@@ -62,6 +64,30 @@ def test_large_image_plan_equals_small(spark, threshold):
     assert t.total_tp == n and t.total_tp + t.total_fn == 60 and t.total_tp + t.total_fp == 80
 
 
+def test_crop_search_from_annotations(spark):
+    """Anchors are the crop's reference box, shrunk more for larger crops; the best is shifted back."""
+    from pyspark.sql import functions as F
+
+    from fieldspark.plans import labelling
+
+    ann = spark.createDataFrame([("a", 1, 100.0, 100.0, 140.0, 140.0)], "image_path string, gt_ord int, x1 double, y1 double, x2 double, y2 double")
+    ann = ann.select("image_path", "gt_ord", bx.make_box().alias("box"))
+    images = spark.createDataFrame([("a", 300, 300)], "image_path string, width int, height int")
+    sizes = spark.createDataFrame([(200,), (100,)], "size int")
+
+    def anchors(crops):
+        r, cut = F.col("ref"), F.col("size") / 10
+        small = bx.make_box(r["x1"], r["y1"], r["x2"], r["y2"] - cut)
+        far = bx.make_box(r["x1"] + 900, r["y1"], r["x2"] + 900, r["y2"])
+        both = F.posexplode(F.array(far, small)).alias("ord", "box")
+        return crops.drop("box").select("*", both)
+
+    out = labelling.search_crop_size(ann, images, anchors, sizes)
+    boxes = {r.size: tuple(r.box) for r in out.anchors.collect()}
+    assert boxes == {200: (100.0, 100.0, 140.0, 120.0), 100: (100.0, 100.0, 140.0, 130.0)}
+    assert [(r.size, r.avg_iou, r.improved) for r in out.sizes.collect()] == [(200, 0.5, True), (100, 0.75, True)]
+
+
 def test_crop_size_search_stops_at_first_small_gain(spark):
     g = spark.createDataFrame([(1024, 0.4), (768, 0.5), (512, 0.52), (256, 0.9)], "size int, iou double")
     out = [(r.size, r.avg_iou, r.improved) for r in fewshot.crop_size_search(g).collect()]
