@@ -190,25 +190,38 @@ def classes_per_image(spark, sf):
 @query(
     "best_anchors",
     with_views("fx_gt", body=f"""
-, p as (select g.img, g.ord gt_ord, d.ord, {overlap_sql("g.", "d.")} iou from fx_gt g join fx_detections d on d.img = g.img and d.ord between g.ord - 4000 and g.ord + 4000)
-select img, gt_ord, ord, round(iou, 6) as iou from p qualify row_number() over (partition by img, gt_ord order by iou desc, ord) = 1"""),
+, a as (select g.img, g.ord gt_ord, l.l_partkey * 10 + l.l_linenumber ord, g.x1 gx1, g.y1 gy1, g.x2 gx2, g.y2 gy2,
+   g.x1 + l.l_partkey % 41 - 20 dx1, g.y1 + l.l_suppkey % 31 - 15 dy1, g.x2 + l.l_partkey % 37 - 18 dx2, g.y2 + l.l_suppkey % 29 - 14 dy2
+  from fx_gt g join lineitem l on l.l_orderkey = g.ord),
+p as (select *, {overlap_sql("g", "d").replace("case when", "case when dx2 <= dx1 or dy2 <= dy1 then 0e0 when", 1)} iou from a)
+select img, gt_ord, ord, round(iou, 9) as iou from p qualify row_number() over (partition by img, gt_ord order by iou desc, ord) = 1"""),
 )
 def best_anchors(spark, sf):
-    gt = view(spark, sf, "fx_gt").select("img", F.col("ord").alias("gt_ord"), bx.make_box().alias("ref"))
-    d = view(spark, sf, "fx_detections").select("img", "ord", bx.make_box().alias("box"))
-    near = gt.join(d, "img").filter(F.abs(F.col("ord") - F.col("gt_ord")) <= 4000)
-    return fewshot.best_anchor(near, ["img", "gt_ord"]).select("img", "gt_ord", "ord", r6("iou").alias("iou"))
+    """Line items as anchor candidates of their order's box."""
+    c = F.col
+    gt = view(spark, sf, "fx_gt").select("img", c("ord").alias("gt_ord"), bx.make_box().alias("ref"))
+    r = c("ref")
+    box = bx.make_box(
+        r["x1"] + c("l_partkey") % 41 - 20, r["y1"] + c("l_suppkey") % 31 - 15,
+        r["x2"] + c("l_partkey") % 37 - 18, r["y2"] + c("l_suppkey") % 29 - 14,
+    )
+    items = table(spark, sf, "lineitem").select(c("l_orderkey").alias("gt_ord"), "l_partkey", "l_suppkey", "l_linenumber")
+    anchors = gt.join(items, "gt_ord").select(
+        "img", "gt_ord", "ref", (c("l_partkey") * 10 + c("l_linenumber")).alias("ord"), box.alias("box")
+    )
+    best = fewshot.best_anchor(anchors, ["img", "gt_ord"])
+    return best.select("img", "gt_ord", "ord", F.round("iou", 9).alias("iou"))
 
 
 SIZES = (1280, 1024, 768, 512, 256)
-_SIZE_OF = "case event_id % 5 when 0 then 1280 when 1 then 1024 when 2 then 768 when 3 then 512 else 256 end"
+_SIZE_OF = "case event_id % 5 when 0 then 1280 when 1 then 768 when 2 then 768 when 3 then 512 else 256 end"
 _IOU_OF = "case event_id % 5 when 0 then 0.2e0 when 1 then 0.3e0 when 2 then 0.4e0 when 3 then 0.41e0 else 0.9e0 end + value / 100000"
 
 
 @query(
     "crop_size_search",
     f"""
-with recursive g as (select {_SIZE_OF} size, {_IOU_OF} iou from events where event_id % 5 <> 1),
+with recursive g as (select {_SIZE_OF} size, {_IOU_OF} iou from events),
 a as (select size, avg(iou) m, row_number() over (order by size desc) rn from g group by size),
 w(rn, size, avg_iou, improved, prev) as (
   select a.rn, size, {round_sql("m", 3)}, true, {round_sql("m", 3)} from a where rn = 1
@@ -218,7 +231,7 @@ select cast(size as int) as size, avg_iou, improved from w""",
 )
 def crop_size_search(spark, sf):
     k = F.col("event_id") % 5
-    e = table(spark, sf, "events").filter(k != 1)
+    e = table(spark, sf, "events")
 
     def pick(values):
         out = F.when(k == 0, F.lit(values[0]))
@@ -226,9 +239,10 @@ def crop_size_search(spark, sf):
             out = out.when(k == i, F.lit(v))
         return out
 
-    g = e.select(pick(SIZES).alias("size"), (pick((0.2, 0.3, 0.4, 0.41, 0.9)) + F.col("value") / 100000).alias("iou"))
+    used = tuple(768 if s == 1024 else s for s in SIZES)
+    g = e.select(pick(used).alias("size"), (pick((0.2, 0.3, 0.4, 0.41, 0.9)) + F.col("value") / 100000).alias("iou"))
     # all listed sizes are tried; 1024 has no boxes and is passed over
-    sizes = table(spark, sf, "events").select(pick(SIZES).alias("size"))
+    sizes = e.select(pick(SIZES).alias("size"))
     return fewshot.crop_size_search(g, sizes)
 
 
