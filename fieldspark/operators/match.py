@@ -114,26 +114,38 @@ def _finish(pairs: DataFrame, image: str) -> DataFrame:
 def _large(gt: DataFrame, gen: DataFrame, image: str, threshold: float, pair_limit: int) -> DataFrame:
     """The same result for images of any size.
 
-    Only pairs that reach the threshold are formed, through cells. Images with up to
-    ``pair_limit`` open pairs are finished in one pass; until then, in rounds, a generated box takes its
-    best free partner as soon as no earlier undecided box has that partner among its candidates.
+    Only pairs that reach the threshold are formed, through cells. An image with up to
+    ``pair_limit`` open pairs is finished in one pass. Larger ones go on in rounds of two exact steps: a
+    generated box takes its best free partner if no earlier undecided box has that partner among its
+    candidates; and the pairs of the first boxes in list order, about half of ``pair_limit``, are
+    settled together. Each round drops the pairs of boxes that are taken or passed.
     """
     positive = threshold <= 0.0
     pairs = overlap_join(gen, gt, [image], max(threshold, 0.0), strict=positive)
     pairs = cut_lineage(pairs.select(image, F.col("l_ord").alias("gen_ord"), F.col("r_ord").alias("gt_ord"), "iou"))
     parts: list[DataFrame] = []
-    while not pairs.groupBy(image).count().filter(F.col("count") > pair_limit).isEmpty():
+
+    def settle(new: DataFrame, passed: DataFrame) -> DataFrame:
+        parts.append(new.select(image, "gt_ord", "gen_ord", "iou"))
+        open_ = pairs.join(passed, [image, "gen_ord"], "left_anti")
+        return cut_lineage(open_.join(new.select(image, "gt_ord"), [image, "gt_ord"], "left_anti"))
+
+    while True:
+        open_pairs = pairs.groupBy(image).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pair_limit)
+        open_pairs = cut_lineage(open_pairs)
+        if open_pairs.isEmpty():
+            break
         best = pairs.groupBy(image, "gen_ord").agg(
             F.max(F.struct("iou", (-F.col("gt_ord")).alias("neg"))).alias("b")
         ).select(image, "gen_ord", (-F.col("b.neg")).alias("gt_ord"), F.col("b.iou").alias("iou"))
         first = pairs.groupBy(image, "gt_ord").agg(F.min("gen_ord").alias("gen_ord"))
         new = cut_lineage(best.join(first, [image, "gt_ord", "gen_ord"]))
-        parts.append(new.select(image, "gt_ord", "gen_ord", "iou"))
-        pairs = cut_lineage(
-            pairs.join(new.select(image, "gen_ord"), [image, "gen_ord"], "left_anti").join(
-                new.select(image, "gt_ord"), [image, "gt_ord"], "left_anti"
-            )
-        )
+        pairs = settle(new, new.select(image, "gen_ord"))
+        share = F.lit(pair_limit / 2.0) / F.greatest(F.max("n"), F.lit(pair_limit))
+        part = open_pairs.agg(share.alias("s")).first().s
+        cut = pairs.groupBy(image).agg(F.percentile_approx("gen_ord", F.lit(part), F.lit(10_000)).alias("_cut"))
+        early = pairs.join(bounded_broadcast(cut), image).filter(F.col("gen_ord") <= F.col("_cut")).drop("_cut")
+        pairs = settle(cut_lineage(_finish(early, image)), early.select(image, "gen_ord").distinct())
     out = _finish(pairs, image)
     for p in parts:
         out = out.unionByName(p)

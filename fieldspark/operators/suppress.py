@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from ..functions.numbers import round_to
-from ..scale import GROUP_LIMIT, bind, bounded_broadcast, cut_lineage, same_keys, split_hot
+from ..scale import GROUP_LIMIT, at_most, bind, bounded_broadcast, cut_lineage, same_keys, split_hot
 from . import spatial as sp
 
 #: Rows per cell that one round of the large-group plan looks at.
 BLOCK = 512
+#: Largest number of new survivors that is sent to every task.
+FENCE_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -137,6 +139,40 @@ def _verdict_udf(rule: Rule):
     return run
 
 
+def _fenced(rest: DataFrame, fence: DataFrame, rule: Rule) -> DataFrame:
+    """(row, cell) entries of ``rest`` that conflict with a survivor of their cell.
+
+    A fence of checked size is sent to the tasks as one array per cell and tested in
+    vectorised batches; a larger one is joined on the cell.
+    """
+    cell = ["_k", "_cx", "_cy"]
+    key = F.to_json("_g").alias("_k")
+    flat = fence.select(key, "_cx", "_cy", *[F.col("_e")[n].alias(n) for n in bx.EDGES])
+    if not at_most(flat, FENCE_ROWS):
+        lists = fence.groupBy("_g", "_cx", "_cy").agg(F.collect_list("_e").alias("_fence"))
+        spread = sp.to_cells(rest, F.col("_e"), F.col("_side"))
+        return spread.join(lists, ["_g", "_cx", "_cy"]).filter(
+            F.exists("_fence", lambda kept: rule.column(kept, F.col("_b")))
+        )
+    held = {k: part[list(bx.EDGES)].to_numpy() for k, part in flat.toPandas().groupby(cell)}
+    shared = rest.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def hit(rows: pd.DataFrame) -> pd.Series:
+        raw, out = rows[list(bx.EDGES)].to_numpy(), np.zeros(len(rows), dtype=bool)
+        for k, at in rows.groupby(cell).indices.items():
+            kept = shared.value.get(k)
+            if kept is not None:
+                for lo in range(0, len(at), 4096):
+                    some = at[lo : lo + 4096]
+                    out[some] = rule.mask(kept, raw[some]).any(axis=0)
+        return pd.Series(out)
+
+    plain = rest.select("_g", "_ord", "_e", "_side", key, *[F.col("_b")[n].alias(n) for n in bx.EDGES])
+    spread = sp.to_cells(plain, F.col("_e"), F.col("_side"))
+    return spread.withColumn("_hit", hit(F.struct(*cell, *bx.EDGES))).filter("_hit")
+
+
 def field_array(rows: str, name: str) -> Column:
     """One field of an array of structs, as an array."""
     return F.transform(F.col(rows), lambda row: row[name])
@@ -202,13 +238,8 @@ def _large_groups(df, keys, score, ord_, grown, raw, rule, limit, block):
         new = cut_lineage(rest.join(agreed, ids, "left_semi"))
         parts.append(new.select(*ids))
         # at most ``block`` new survivors per cell
-        fence = sp.to_cells(new, F.col("_e"), F.col("_side")).groupBy(*cell).agg(F.collect_list("_e").alias("_fence"))
-        gone = (
-            spread.join(fence, cell)
-            .filter(F.exists("_fence", lambda kept: rule.column(kept, F.col("_b"))))
-            .select(*ids)
-            .distinct()
-        )
+        fence = sp.to_cells(new, F.col("_e"), F.col("_side")).select("_g", "_cx", "_cy", "_e")
+        gone = _fenced(rest, fence, rule).select(*ids).distinct()
         rest = cut_lineage(rest.join(gone.union(new.select(*ids)), ids, "left_anti"))
     out = parts[0]
     for p in parts[1:]:
