@@ -373,8 +373,8 @@ w as (select *, coalesce(len(cleaned), 0) > 0 has_text, x is not null and y is n
 select event_id, case when len(cleaned) > 0 then array_to_string(cleaned, '|') end as prompts, coalesce(p, c) as effective_patch, ov as overlap_ratio,
   case when p <= 0 or c <= 0 then 'patch_size/crop_size must be > 0' when ov < 0 or ov >= 1 then 'overlap_ratio must be in [0, 1)'
     when t < 0 or t > 1 then 'thresholds must be in [0, 1]' when p <> c then 'patch_size and crop_size differ'
-    when not has_text and not has_point then 'text prompts or a point required'
-    when has_text and has_point then 'text prompts and a point exclude each other' end as reject_reason
+    when not has_text and not has_point then 'neither prompts nor a point given'
+    when has_text and has_point then 'give prompts or a point, not both' end as reject_reason
 from w""".replace(", r as", "with r as", 1)
 
 

@@ -109,7 +109,7 @@ def _add_guarded(name: str) -> None:
         return kept.select("img", "ord", "term", "score", *edges(F.col("box"), "b", 2))
 
 
-for _name in ("owlv2", "grounding_dino", "sam3"):
+for _name in GUARDS:
     _add_guarded(_name)
 
 
@@ -141,25 +141,29 @@ def all_search_terms(spark, sf):
     return detect.search_terms(configs).select("cfg_ord", "term_ord", "term")
 
 
-@query(
-    "named_phrases",
-    with_views("fx_detections", "fx_terms", body="""
+PHRASED = """
 , d as (select ord, case when ord % 3 = 0 then concat(' ', upper(term), ' ') when ord % 3 = 1 then concat('young ', term) else left(term, 3) end phrase from fx_detections),
 t as (select *, row_number() over (order by cfg_ord, term_ord) pos from fx_terms),
 p as (select distinct phrase from d),
 x as (select phrase, min(pos) pos from p join t on lower(trim(phrase)) = lower(trim(term)) group by phrase),
 y as (select phrase, min(pos) pos from p join t on contains(lower(trim(phrase)), term) or contains(term, lower(trim(phrase))) group by phrase),
-z as (select phrase, coalesce(x.pos, y.pos) pos from y left join x using (phrase))
-select ord, d.phrase, t.term from d join z on d.phrase = z.phrase join t on t.pos = z.pos"""),
-)
-def named_phrases(spark, sf):
+z as (select phrase, coalesce(x.pos, y.pos) pos from y left join x using (phrase)),
+named as (select ord, d.phrase, t.term from d join z on d.phrase = z.phrase join t on t.pos = z.pos)"""
+
+
+def phrased(spark, sf):
+    """Detections that carry a model's phrase instead of a search term."""
     k, term = F.col("ord") % 3, F.col("term")
     phrase = (
         F.when(k == 0, F.concat(F.lit(" "), F.upper(term), F.lit(" "))).when(k == 1, F.concat(F.lit("young "), term))
         .otherwise(F.left(term, F.lit(3)))
     )
-    d = detections(spark, sf).select("ord", phrase.alias("phrase"))
-    return detect.name_phrases(d, view(spark, sf, "fx_terms"))
+    return detections(spark, sf).withColumn("phrase", phrase).drop("term")
+
+
+@query("named_phrases", with_views("fx_detections", "fx_terms", body=PHRASED + " select ord, phrase, term from named"))
+def named_phrases(spark, sf):
+    return detect.name_phrases(phrased(spark, sf).select("ord", "phrase"), view(spark, sf, "fx_terms"))
 
 
 def _final_sql(name: str, cmp: str, limit: float, side: str, shown: str) -> str:
@@ -207,6 +211,47 @@ for _name in FINAL:
     _add_final(_name)
 
 
+def _boxes_out(out, *more):
+    boxes = [F.get("bounding_box", F.lit(i)).alias(f"b_{n}") for i, n in enumerate(bx.EDGES)]
+    return out.select("img", "ord", "prediction", "label", "confidence", *more, *boxes)
+
+
+_FROM_PHRASES = PHRASED + """
+, spoken as (select v.img, v.ord, n.term, v.score, v.x1, v.y1, v.x2, v.y2 from fx_detections v join named n on v.ord = n.ord)"""
+
+
+@query(
+    "final_detections_grounding_dino",
+    with_views("fx_detections", "fx_images", "fx_terms", recursive=True, body=_FROM_PHRASES + _final_sql(
+        "grounding_dino", ">", 0.12, "greatest(bx2-bx1, by2-by1) <= 700", "cast(ord % 50 as double) / 1000 as latency, " + _ASIS,
+    ).replace("fx_detections", "spoken").replace("ord % 50", "b.ord % 50")),
+)
+def final_detections_grounding_dino(spark, sf):
+    """From phrases to the detection table, with the model's latency carried along."""
+    raw = phrased(spark, sf).withColumn("latency", (F.col("ord") % 50).cast("double") / 1000)
+    out = detect.finalize_detections(raw, view(spark, sf, "fx_images"), view(spark, sf, "fx_terms"), "grounding_dino")
+    return _boxes_out(out, "latency")
+
+
+_UNBOXED = """
+, m as (select d.*, i.width w, i.height h, least(960e0/i.height, 960e0/i.width) scale from fx_detections d join fx_images i on d.img = i.img),
+n as (select *, cast(trunc(w*scale) as int) nw, cast(trunc(h*scale) as int) nh from m),
+q as (select *, (960-nw)//2 pl, (960-nh)//2 pt, cast(w as double)/nw sx, cast(h as double)/nh sy from n),
+unboxed as (select img, ord, term, score, greatest(0e0, least((x1-pl)*sx, cast(w as double))) x1, greatest(0e0, least((y1-pt)*sy, cast(h as double))) y1,
+  greatest(0e0, least((x2-pl)*sx, cast(w as double))) x2, greatest(0e0, least((y2-pt)*sy, cast(h as double))) y2 from q)"""
+
+
+@query(
+    "final_detections_letterboxed",
+    with_views("fx_detections", "fx_images", "fx_terms", recursive=True,
+               body=_UNBOXED + _final_sql("owlv2", *FINAL["owlv2"]).replace("fx_detections", "unboxed")),
+)
+def final_detections_letterboxed(spark, sf):
+    """Boxes in 960-pixel letterbox coordinates."""
+    return _boxes_out(detect.finalize_detections(
+        detections(spark, sf), view(spark, sf, "fx_images"), view(spark, sf, "fx_terms"), "owlv2", letterboxed=True))
+
+
 @query(
     "suppressed_by",
     with_views("fx_detections", recursive=True, body=greedy_sql(
@@ -282,6 +327,36 @@ def prompt_stats(spark, sf):
     return labelling.merge_prompt_boxes(prompted(spark, sf), ["img"]).stats
 
 
+@query(
+    "prompt_segments",
+    with_views("fx_detections", recursive=True, body=_PROMPT + """
+select k.img, k.prompt_index, k.ord, unnest([0, 1]) as point,
+  unnest([cast(trunc(d.x1) as int) + cast(k.ord % 2 * 200 as int), cast(trunc(d.x2) as int) + cast(k.ord % 2 * 200 as int)]) as x,
+  unnest([cast(trunc(d.y1) as int) + cast(k.ord % 3 * 150 as int), cast(trunc(d.y2) as int) + cast(k.ord % 3 * 150 as int)]) as y
+from kept k join fx_detections d on d.ord = k.ord"""),
+)
+def prompt_segments(spark, sf):
+    """Polygons of the kept boxes, moved with them to image coordinates."""
+    def point(x, y):
+        return F.array(F.col(x).cast("int"), F.col(y).cast("int"))
+
+    c = prompted(spark, sf).withColumn("segmentation", F.array(point("x1", "y1"), point("x2", "y2")))
+    out = labelling.merge_prompt_boxes(c, ["img"]).boxes
+    rows = out.select("img", "prompt_index", "ord", F.posexplode("segmentation").alias("point", "p"))
+    return rows.select("img", "prompt_index", "ord", "point", *[F.get("p", F.lit(i)).cast("int").alias(n) for i, n in enumerate("xy")])
+
+
+@query(
+    "prompt_totals",
+    with_views("fx_detections", recursive=True, body=_PROMPT + """
+, n as (select img, count(distinct prompt_index) as prompt_count from m group by img),
+k as (select img, count(*) as total_detections from kept group by img)
+select img, prompt_count, total_detections from n join k using (img)"""),
+)
+def prompt_totals(spark, sf):
+    return labelling.merge_prompt_boxes(prompted(spark, sf), ["img"]).totals
+
+
 @query(
     "exact_rounding",
     with_views("fx_detections", body=f"""

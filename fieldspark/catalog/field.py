@@ -495,7 +495,7 @@ select label, level, cast(n * floor(t / n) as bigint) as crop_count, cast(case l
 from total join parts using (label, level)"""),
 )
 def weed_map(spark, sf):
-    return weed(spark, sf).features.drop("wkt")
+    return weed(spark, sf).levels
 
 
 @query("weed_map_outlines")
@@ -538,7 +538,7 @@ select level, cast(sum(pt_count) as bigint) as pt_count, round(avg(avg_res), 6)
   min(obj_id) as obj_id, count(*) as n_cells, 'output' as label_slug from cells group by level"""),
 )
 def residue_map(spark, sf):
-    out = maps.residue_map(view(spark, sf, "fx_residue"), (15.0, 15.0)).features
+    out = maps.residue_map(view(spark, sf, "fx_residue"), (15.0, 15.0)).levels
     return out.select(
         "level", "pt_count", r6("avg_res").alias("avg_res"), F.round("res_pct", 4).alias("res_pct"), "obj_id", "n_cells", "label_slug"
     )

@@ -258,7 +258,7 @@ def diagnostic_files(spark, sf):
     "evaluation_files",
     with_views("fx_gt", recursive=True, body=MATCH + """
 , c as (select (select count(*) from pairs) tp, (select count(*) from gen) p, (select count(*) from fx_gt) g),
-k as (select count(distinct img) n from (select img from fx_gt union all select img from gen))
+k as (select count(distinct img) n from (select img from fx_gt union all select img from fx_detections))
 select tp as total_tp, p - tp as total_fp, g - tp as total_fn, n as images, tp as listed_pairs from c, k"""),
 )
 def evaluation_files(spark, sf):

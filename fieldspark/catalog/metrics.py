@@ -78,11 +78,13 @@ def binary_masks(spark, sf):
 @query(
     "logit_accuracy",
     """
-select round(avg(case when list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label then 1e0 else 0e0 end), 6) as accuracy from embeddings""",
+select round(avg(case when (list_position(embedding, list_max(embedding)) - 1) % 10 = label then 1e0 else 0e0 end), 6) as accuracy from embeddings""",
 )
 def logit_accuracy(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.slice("embedding", 1, 10).alias("logits"), "label")
-    return sm.accuracy(e).select(F.round("accuracy", 6).alias("accuracy"))
+    # the greatest of all 64 values names one of the ten classes
+    e = table(spark, sf, "embeddings")
+    wide = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.array_max(F.filter("embedding", lambda v, i: i % 10 == c)))
+    return sm.accuracy(e.select(wide.alias("logits"), "label")).select(F.round("accuracy", 6).alias("accuracy"))
 
 
 @query(

@@ -85,11 +85,11 @@ select 'dinov3' as backend, concat('class_', cast(label as string)) as class, ve
 from embeddings where vec_id % 10 = 0
 """,
     ),
-    # proposal vectors; `label` is the truth for checks only
+    # proposal vectors, 270 per image; `label` is the truth for checks only
     "fx_proposals": (
         ("embeddings",),
         """
-select 'dinov3' as backend, 'sam3' as proposer, concat('q_', cast(vec_id % 3 as string)) as image_key, vec_id as ord,
+select 'dinov3' as backend, 'sam3' as proposer, concat('q_', cast(cast(floor(vec_id / 300) as bigint) as string)) as image_key, vec_id as ord,
        cast((vec_id * 37) % 100 as double) / 100 as score,
        cast((vec_id * 53) % 400 as double) as x1, cast((vec_id * 71) % 300 as double) as y1,
        cast((vec_id * 53) % 400 + 60 as double) as x2, cast((vec_id * 71) % 300 + 50 as double) as y2,

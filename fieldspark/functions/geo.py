@@ -135,7 +135,7 @@ def spray_levels(mode: str = "binary", names=None, thresholds=None):
         return BINARY_LEVELS
     if names and thresholds:
         if len(names) != len(thresholds):
-            raise ValueError("spray level names and thresholds must match in count")
+            raise ValueError("every level needs a name and a threshold")
         return tuple(zip(names, thresholds))
     return DEFAULT_LEVELS
 
@@ -174,6 +174,10 @@ def _fields(**parts: str) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
 
 
+#: Change of the last iteration, in radians, up to which it counts as settled (under 0.01 mm).
+SETTLED = 1e-12
+
+
 def geodesic_sql(lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 12) -> str:
     """``geodesic_m`` as Spark SQL text; the arguments are SQL expressions in degrees."""
     f = WGS84_F
@@ -219,7 +223,8 @@ def geodesic_sql(lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 12) ->
         "gw", f"gq.ca2 * {num((WGS84_A**2 - minor**2) / minor**2)}",
         _bind("gs", series, f"gs.a * {num(minor)} * (gq.sigma - gs.b * gq.ss * (gq.mid + gs.b / 4 * {twist}))"),
     )
-    solved = f"aggregate(sequence(1, {steps}), gu.dl, (gm, gn) -> {angles('gm', moved)}, ge -> {angles('ge', metres)})"
+    settled = f"if(abs({angles('ge', moved)} - ge) < {num(SETTLED)}, {angles('ge', metres)}, cast(null as double))"
+    solved = f"aggregate(sequence(1, {steps}), gu.dl, (gm, gn) -> {angles('gm', moved)}, ge -> {settled})"
     reduced = _fields(
         dl=f"radians({lon2}) - radians({lon1})",
         r1=f"atan(tan(radians({lat1})) * {num(1 - f)})", r2=f"atan(tan(radians({lat2})) * {num(1 - f)})",
@@ -229,7 +234,9 @@ def geodesic_sql(lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 12) ->
 
 
 def geodesic_m(lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 12) -> Column:
-    """Length in metres on the WGS84 ellipsoid (inverse problem, fixed number of iterations).
+    """Length in metres on the WGS84 ellipsoid (inverse problem).
+
+    Null where ``steps`` iterations do not settle, which happens only between nearly opposite points.
 
     Arguments are column names or SQL expressions in degrees.
     """

@@ -75,8 +75,8 @@ def check_requests(df: DataFrame) -> DataFrame:
         .when((c("overlap_ratio") < 0) | (c("overlap_ratio") >= 1), "overlap_ratio must be in [0, 1)")
         .when(outside("threshold") | outside("mask_threshold"), "thresholds must be in [0, 1]")
         .when(c("patch_size") != c("crop_size"), "patch_size and crop_size differ")
-        .when(~has_text & ~has_point, "text prompts or a point required")
-        .when(has_text & has_point, "text prompts and a point exclude each other")
+        .when(~has_text & ~has_point, "neither prompts nor a point given")
+        .when(has_text & has_point, "give prompts or a point, not both")
     )
     return df.withColumn("effective_patch", F.coalesce("patch_size", "crop_size")).withColumn(REJECT, reason)
 

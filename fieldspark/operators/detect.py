@@ -52,11 +52,14 @@ def finalize_detections(
     raw: DataFrame, images: DataFrame, terms: DataFrame, preset_: str | Preset = "owlv2",
     confidence: float | None = None, letterboxed: bool = False, **plan,
 ) -> DataFrame:
-    """Raw boxes to ``img, prediction, label, confidence, bounding_box``.
+    """Raw boxes to ``img, prediction, label, confidence, bounding_box``, and ``latency`` if ``raw`` has it.
 
-    ``raw``: ``img, ord, term, score, box`` (960-pixel letterbox coordinates when
-    ``letterboxed``); ``images``: ``img, width, height``.
+    ``raw``: ``img, ord, box`` (960-pixel letterbox coordinates when ``letterboxed``), ``score`` and the search
+    ``term``, or a model's ``phrase`` that is first resolved to one; ``images``: ``img, width, height``.
+    Boxes are suppressed per term text: a term listed twice is one group.
     """
+    if "term" not in raw.columns:
+        raw = name_phrases(raw, terms).drop("phrase")
     p = preset(preset_)
     limit = p.confidence if confidence is None else confidence
     sized = raw.join(bounded_broadcast(images.select("img", "width", "height")), "img")
@@ -80,5 +83,5 @@ def finalize_detections(
     named = map_terms(kept, terms)
     return named.select(
         "img", "ord", F.col("prediction_value").alias("prediction"), F.col("class_name").alias("label"),
-        "confidence", bx.to_array("box").alias("bounding_box"),
+        "confidence", bx.to_array("box").alias("bounding_box"), *[c for c in ("latency",) if c in raw.columns],
     )

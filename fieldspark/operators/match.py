@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
@@ -152,9 +152,10 @@ def _large(gt: DataFrame, gen: DataFrame, image: str, threshold: float, pair_lim
     return out
 
 
-def image_sizes(gt: DataFrame, gen: DataFrame, image: str) -> DataFrame:
-    """Boxes per image and side; images of either side appear."""
-    rows = gt.select(image, F.lit(1).alias("g"), F.lit(0).alias("p")).union(gen.select(image, F.lit(0), F.lit(1)))
+def image_sizes(gt: DataFrame, gen: DataFrame, image: str, counted: Column | None = None) -> DataFrame:
+    """Boxes per image and side; images of either side appear, also where no generated box is ``counted``."""
+    one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
+    rows = gt.select(image, F.lit(1).alias("g"), F.lit(0).alias("p")).union(gen.select(image, F.lit(0), one))
     return rows.groupBy(image).agg(F.sum("g").alias("num_gt"), F.sum("p").alias("num_generated"))
 
 
@@ -189,14 +190,14 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """(totals, per image) with TP/FP/FN, precision and recall; totals add F1.
 
-    Every image of either side appears. ``with_pairs`` adds the matched pairs of each
+    Every image of either side appears, also one whose generated boxes all score too low. ``with_pairs`` adds the matched pairs of each
     image as an array; the pairs as rows come from ``match_boxes``.
     """
-    if similarity_threshold > 0:
-        score = F.coalesce(F.col("score"), F.lit(1.0)) if "score" in gen.columns else F.lit(1.0)
-        gen = gen.filter(score >= similarity_threshold)
+    scored = similarity_threshold > 0 and "score" in gen.columns
+    passes = F.coalesce(F.col("score"), F.lit(1.0)) >= similarity_threshold if scored else F.lit(similarity_threshold <= 1.0)
     # one row per image, read again for the large-image check and for the result
-    sizes = cut_lineage(image_sizes(gt, gen, image))
+    sizes = cut_lineage(image_sizes(gt, gen, image, passes))
+    gen = gen.filter(passes)
     pairs = match_boxes(gt, gen, iou_threshold, image, limit, sizes)
     aggs = [F.count(F.lit(1)).alias("num_tp")]
     if with_pairs:

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from ..scale import bounded_broadcast, cut_lineage, same_keys
 from . import components as cc
 
-#: Largest region (cells) whose outline is traced in one task.
+#: Largest region (cells) whose outline is traced in one task; larger ones are traced by joins, with the same result.
 REGION_CELLS = 1_000_000
-#: Largest multi-polygon text (characters) that is put into one row.
-FEATURE_CHARS = 256 * 1024 * 1024
 
 
 def _successor(ax, ay, bx, by, turn) -> np.ndarray:
@@ -84,12 +82,67 @@ def _trace_udf():
 
 
 def _trace_all(edges: DataFrame, keys: list[str]) -> DataFrame:
-    packed = edges.groupBy(*keys).agg(F.collect_list(F.struct("ax", "ay", "dir")).alias("_e"))
+    # sorted, so that a ring starts at its smallest edge whatever the order of rows
+    packed = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ax", "ay", "dir"))).alias("_e"))
     parts = [F.transform("_e", lambda edge: edge["ax"]), F.transform("_e", lambda edge: edge["ay"])]
     traced = packed.select(*keys, _trace_udf()(*parts, F.transform("_e", lambda edge: edge["dir"])).alias("_t"))
     return traced.select(*keys, F.arrays_zip(F.col("_t.xs").alias("xs"), F.col("_t.ys").alias("ys")).alias("rings"))
 
 
+def _trace_by_joins(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as ``_trace_all`` for regions of any size: edges find their successors by joins, rings by pointer doubling.
+
+    Only corners are gathered, into the one value that a polygon's text is anyway.
+    """
+    number = F.shiftleft(F.col("ax").cast("bigint"), 32) + F.col("ay") * 4 + F.col("dir")
+    step_x, step_y = (F.element_at(F.array(*map(F.lit, d)), F.col("dir") + 1) for d in ((1, 0, -1, 0), (0, 1, 0, -1)))
+    e = edges.select(*keys, "ax", "ay", "dir", number.alias("id"), (F.col("ax") + step_x).alias("bx"), (F.col("ay") + step_y).alias("by"))
+    e = cut_lineage(e)
+    after = e.select(*keys, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("to"), F.col("dir").alias("to_dir"))
+    # right turns first: a region that touches itself at a corner keeps its rings apart
+    turn = F.pmod(F.col("to_dir") - F.col("dir"), F.lit(4))
+    rank = F.when(turn == 3, 0).when(turn == 0, 1).when(turn == 1, 2)
+    nxt = e.join(after, [*keys, "bx", "by"]).filter(rank.isNotNull()).groupBy(*keys, "id").agg(
+        F.min_by("to", rank).alias("next"))
+    nxt = cut_lineage(nxt)
+
+    def jump(state: DataFrame, value: str) -> DataFrame:
+        """Every row with the ``hop`` and ``value`` of the row its hop points to."""
+        there = state.select(*keys, F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col(value).alias("value2"))
+        return state.join(there, [*keys, "hop"])
+
+    state = nxt.select(*keys, "id", "next", F.col("next").alias("hop"), F.least("id", "next").alias("leader"))
+    while True:
+        moved = cut_lineage(jump(state, "leader").select(
+            *keys, "id", "next", F.col("hop2").alias("hop"), F.least("leader", "value2").alias("leader"),
+            (F.col("value2") < F.col("leader")).alias("changed")))
+        state = moved.drop("changed")
+        if moved.filter("changed").isEmpty():
+            break
+    last = F.col("next") == F.col("leader")
+    state = state.select(*keys, "id", "next", "leader", F.when(last, F.col("id")).otherwise(F.col("next")).alias("hop"),
+                         F.when(last, 0).otherwise(1).cast("bigint").alias("left"))
+    while not state.filter("hop <> id").join(
+        state.filter("left > 0").select(*keys, F.col("id").alias("hop")), [*keys, "hop"], "left_semi"
+    ).isEmpty():
+        state = cut_lineage(jump(state, "left").select(
+            *keys, "id", "next", "leader", F.col("hop2").alias("hop"), (F.col("left") + F.col("value2")).alias("left")))
+    # a corner is an edge that its predecessor meets at an angle
+    came = state.select(*keys, F.col("next").alias("id"), F.pmod("id", F.lit(4)).cast("int").alias("from_dir"))
+    placed = e.join(state.select(*keys, "id", "leader", "left"), [*keys, "id"]).join(came, [*keys, "id"])
+    area = F.sum(F.col("ax") * step_y - F.col("ay") * step_x)
+    corner = F.when(F.col("dir") != F.col("from_dir"), F.struct((-F.col("left")).alias("p"), F.col("ax").alias("x"), F.col("ay").alias("y")))
+    rings = placed.groupBy(*keys, "leader").agg((area < 0).alias("hole"), F.array_sort(F.collect_list(corner)).alias("c"))
+    closed = F.concat("c", F.slice("c", 1, 1))
+    drawn = F.struct(F.transform(closed, _axis("x")).alias("xs"), F.transform(closed, _axis("y")).alias("ys"))
+    sorted_rings = F.array_sort(F.collect_list(F.struct("hole", "leader", drawn.alias("ring"))))
+    return rings.groupBy(*keys).agg(F.transform(sorted_rings, lambda r: r["ring"]).alias("rings"))
+
+
+def _axis(name: str):
+    return lambda corner: corner[name].cast("int")
+
+
 def _polygon_body(rings: Column) -> Column:
     def point(v: Column) -> Column:
         x, y = F.col("minx") + v["x"] * F.col("dx"), F.col("miny") + v["y"] * F.col("dy")
@@ -104,12 +157,11 @@ def _polygon_body(rings: Column) -> Column:
 
 def region_polygons(
     labelled: DataFrame, spec: DataFrame, by: list[str], level: str = "level",
-    region_cells: int = REGION_CELLS, block: int = cc.BLOCK,
+    region_cells: int = REGION_CELLS,
 ) -> DataFrame:
-    """One polygon per region: ``body`` (WKT polygon text without its keyword), ``n_rings``.
+    """One polygon per region, whatever its size: ``body`` (WKT polygon text without its keyword), ``n_rings``.
 
-    A region of more than ``region_cells`` cells is cut along grid blocks, and its pieces
-    come as several rows of the same ``component``: the same area, no task that holds it all.
+    Regions of more than ``region_cells`` cells are traced by joins instead of in one task each.
     """
     keys = [*by, level, "component"]
     sizes = cc.component_sizes(labelled, by, level).filter(F.col("n_cells") > region_cells).select(*keys)
@@ -122,12 +174,8 @@ def region_polygons(
         small = labelled.join(sizes, cond, "left_anti")
     traced = _trace_all(cc.boundary_edges(small, by, level), keys)
     if big:
-        pieces = labelled.join(sizes, cond, "left_semi").withColumn("region", F.col("component"))
-        pieces = pieces.withColumn("_bi", F.floor(F.col("i") / block)).withColumn("_bj", F.floor(F.col("j") / block))
-        within = [*by, "region", "_bi", "_bj"]
-        local = cc.block_components(pieces.drop("component"), within, level, block)
-        cut = _trace_all(cc.boundary_edges(local, within, level), [*within, level, "component"])
-        traced = traced.unionByName(cut.select(*by, level, F.col("region").alias("component"), "rings"))
+        large = labelled.join(sizes, cond, "left_semi")
+        traced = traced.unionByName(_trace_by_joins(cc.boundary_edges(large, by, level), keys))
     placed = traced.join(bounded_broadcast(spec.select(*by, "minx", "miny", "dx", "dy")), by)
     return placed.select(*keys, F.size("rings").alias("n_rings"), _polygon_body(F.col("rings")).alias("body"))
 
@@ -137,21 +185,17 @@ def with_wkt(polygons: DataFrame) -> DataFrame:
     return polygons.withColumn("wkt", F.concat(F.lit("POLYGON "), F.col("body"))).drop("body")
 
 
-def level_geometry(polygons: DataFrame, by: list[str], level: str = "level", max_chars: int = FEATURE_CHARS) -> DataFrame:
-    """One (multi-)polygon text per level; levels too long for one row stay one row per polygon."""
-    keys = [*by, level]
-    sizes = cut_lineage(polygons.groupBy(*keys).agg(F.sum(F.length("body")).alias("chars")))
-    small = bounded_broadcast(sizes.filter(F.col("chars") <= max_chars).select(*keys))
-    large = bounded_broadcast(sizes.filter(F.col("chars") > max_chars).select(*keys))
-    bodies = F.transform(
-        F.array_sort(F.collect_list(F.struct("component", "body"))), lambda part: part["body"]
-    ).alias("_b")
-    one = polygons.join(small, same_keys(polygons, small, keys), "left_semi").groupBy(*keys).agg(bodies)
+def level_geometry(polygons: DataFrame, by: list[str], level: str = "level") -> DataFrame:
+    """One (multi-)polygon text per level.
+
+    A level's text is one value and so has to fit into one task; where it may not,
+    use the polygons themselves, one per region.
+    """
+    bodies = F.transform(F.array_sort(F.collect_list(F.struct("component", "body"))), lambda part: part["body"])
     wkt = F.when(F.size("_b") == 1, F.concat(F.lit("POLYGON "), F.get("_b", F.lit(0)))).otherwise(
         F.concat(F.lit("MULTIPOLYGON ("), F.array_join("_b", ", "), F.lit(")"))
     )
-    rest = polygons.join(large, same_keys(polygons, large, keys), "left_semi")
-    return one.select(*keys, wkt.alias("wkt")).unionByName(with_wkt(rest).select(*keys, "wkt"))
+    return polygons.groupBy(*by, level).agg(bodies.alias("_b")).select(*by, level, wkt.alias("wkt"))
 
 
 def box_wkt(

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import cut_lineage
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 SLICE_BYTES = 32 * 1024 * 1024
 #: Floor of a vector norm.
@@ -85,7 +87,7 @@ def similarity(
     """Greatest cosine per vector and class: ``ids, class, similarity``.
 
     ``vectors`` has ``keys``, ``embedding`` and the columns ``ids`` to carry along
-    (they identify a row); ``refs`` has ``keys``, ``class``, ``embedding``. A class whose
+    (rows that agree in all of them stay separate); ``refs`` has ``keys``, ``class``, ``embedding``. A class whose
     dimension differs from a vector's gives it no row. Where ``best_only`` holds, only the
     best class of the row is returned, the first name on ties. ``keep_unmatched`` returns
     vectors without any class with nulls.
@@ -106,22 +108,25 @@ def similarity(
         row = F.struct(*[F.col(k) for k in keys], F.col("embedding"), flag)
         return _spread(vectors.select(*ids, search(row).alias("_f")), ids, "_f", keep_unmatched)
 
-    types = dict(vectors.dtypes)
     n_slices = math.ceil(size / slice_bytes)
-    n_chunks = max(1, math.ceil(reference_bytes(vectors) / slice_bytes))
-    # rows are numbered by their content; the vector side is sent once per slice
-    slim = vectors.select(*keys, F.struct(*ids).alias("_id"), "embedding", flag)
+    # every row gets a number of its own, written down before the rows part: alike rows stay apart
+    numbered = cut_lineage(vectors.select(*vectors.columns, F.monotonically_increasing_id().alias("_id"), flag))
+    n_chunks = max(1, math.ceil(reference_bytes(numbered) / slice_bytes))
+    slim = numbered.select(*keys, "_id", "embedding", "_one")
     number = F.pmod(F.xxhash64("_id"), F.lit(n_chunks)).alias("_c")
+    # the vector side is sent once per slice
     left = slim.select("*", number, F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("_s"))
     piece = F.pmod(F.xxhash64("class", "embedding"), F.lit(n_slices)).cast("int").alias("_s")
     right = refs.select(
         "*", piece, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")).alias("_c")
     )
-    schema = f"_id struct<{', '.join(f'`{c}`:{types[c]}' for c in ids)}>, _one boolean, _f {FOUND}"
+    schema = f"_id bigint, _one boolean, _f {FOUND}"
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         blocks = _blocks(b, keys, mode) if len(b) else {}
         found = _search(blocks, a[keys], a["embedding"], a["_one"].to_numpy(dtype=bool), mode)
+        if not len(a):
+            return pd.DataFrame({"_id": [], "_one": [], "_f": pd.Series([], dtype=object)})
         return a[["_id", "_one"]].assign(_f=found.to_dict("records"))
 
     partial = left.groupBy("_s", "_c").cogroup(right.groupBy("_s", "_c")).applyInPandas(pair, schema)
@@ -134,4 +139,5 @@ def similarity(
         "_id", F.col("_b.c").alias("class"), (-F.col("_b.s")).alias("similarity")
     )
     out = each.unionByName(top if keep_unmatched else top.filter(F.col("class").isNotNull()))
-    return out.select("_id.*", "class", "similarity")
+    carried = numbered.select("_id", F.struct(*ids).alias("_row"))
+    return out.join(carried, "_id").select("_row.*", "class", "similarity")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..functions import text
 from ..functions.numbers import round_to
-from ..operators import fewshot, grid, match, report
+from ..operators import fewshot, grid, report
 from ..operators import relabel as rl
 from ..operators import segmetrics as sm
 from ..operators.suppress import nms, nms_tiled
@@ -100,23 +100,33 @@ def stitch_proposals(
 
 @dataclass
 class PromptMerge:
+    """``boxes`` and their ``segmentation``, counts per prompt (``stats``) and per image (``totals``)."""
+
     boxes: DataFrame
     stats: DataFrame
+    totals: DataFrame
 
 
 def merge_prompt_boxes(candidates: DataFrame, image: list[str], iou_threshold: float = 0.5, **plan) -> PromptMerge:
     """Per-prompt boxes of tiles to image level: shift, round, suppress per prompt, count.
 
-    ``candidates``: ``image, prompt_index, label, ord, score, box`` (tile-local), ``ox, oy``.
+    ``candidates``: ``image, prompt_index, label, ord, score, box`` (tile-local), ``ox, oy``, and
+    optionally ``segmentation`` (points ``[x, y]``), which moves with its box.
     Corners become whole pixels and the confidence 4 dp before suppression.
     """
     moved = candidates.withColumn("box", bx.shift("box", "ox", "oy"))
+    if "segmentation" in candidates.columns:
+        moved = moved.withColumn("segmentation", F.transform("segmentation", lambda p: F.array(
+            F.get(p, F.lit(0)) + F.col("ox"), F.get(p, F.lit(1)) + F.col("oy"))))
     b = F.col("box")
     moved = moved.withColumn("box", bx.make_box(*[b[n].cast("int") for n in bx.EDGES]))
     moved = moved.withColumn("score", round_to("score", 4))
     keys = [*image, "prompt_index"]
     kept = nms(moved, keys, iou_threshold=iou_threshold, kind="clamped", **plan)
-    return PromptMerge(kept, report.prompt_stats(moved, kept, keys))
+    stats = report.prompt_stats(moved, kept, keys)
+    totals = stats.groupBy(*image).agg(
+        F.count(F.lit(1)).alias("prompt_count"), F.sum("detections").alias("total_detections"))
+    return PromptMerge(kept, stats, totals)
 
 
 def plan_crops(images: DataFrame, roi: str) -> DataFrame:
@@ -146,7 +156,3 @@ def seg_metrics(pixels: DataFrame, foreground: int = 1, images: DataFrame | None
     )
     unpaired = None if images is None else pair_masks(images, masks)[1]
     return SegReport(sm.mean_iou(pixels), sm.class_scores(pixels), sm.dice_iou(binary), unpaired)
-
-
-evaluate = match.evaluate
-classify = fewshot.classify

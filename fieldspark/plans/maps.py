@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +18,28 @@ from ..scale import bind, bounded_broadcast, cut_lineage
 
 @dataclass
 class FieldMap:
-    """Results of a map job. ``features`` is one row per group and level, with WKT."""
+    """Results of a map job. ``levels`` is one row per group and level; ``features`` adds its WKT.
+
+    Outlines are traced when ``polygons`` or ``features`` is first asked for.
+    """
 
     points: DataFrame
     boundary: DataFrame
     cells: DataFrame
     levels: DataFrame
-    polygons: DataFrame
-    features: DataFrame
+    by: str
+    outlines: Callable[[], DataFrame]
     missing: DataFrame | None = None
     without_gps: DataFrame | None = None
 
+    @cached_property
+    def polygons(self) -> DataFrame:
+        return cut_lineage(self.outlines())
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return self.levels.join(rings.level_geometry(self.polygons, [self.by]), [self.by, "level"])
+
 
 def positions(tags: DataFrame, fields: dict, image: str = "img") -> DataFrame:
     """``img, latitude, longitude`` per row of a GPS tag table; ``fields`` maps tag names to columns."""
@@ -46,7 +59,8 @@ def locate(
     """
     det = detections.filter(F.col("img").isNotNull() & (F.col("img") != ""))
     fix = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct("latitude", "longitude"))
-    fixes = gps.groupBy("img").agg(F.first(fix, ignorenulls=True).alias("_fix"))
+    # of several fixes of one image the southernmost, then westernmost counts: any fixed rule will do
+    fixes = gps.groupBy("img").agg(F.min(fix).alias("_fix"))
     if images is not None:
         fixes = images.select("img").distinct().join(fixes, "img", "left")
     # one row per image: looked up once, whatever the number of boxes
@@ -96,10 +110,11 @@ def weed_map(
     cells = cut_lineage(spray_cells(points, spec, levels))
     labelled = cc.components(cells, ["label"])
     summary = cc.dissolve_counts(cells, labelled, ["label"], exact_counts=exact_counts)
-    polygons = cut_lineage(rings.region_polygons(labelled, spec, ["label"]))
-    shapes = rings.level_geometry(polygons, ["label"])
-    features = summary.join(shapes, ["label", "level"]).withColumn("label_slug", text.slug("label"))
-    return FieldMap(points, farm_boundary(spec, ["label"]), cells, summary, polygons, features, missing, without)
+    summary = summary.withColumn("label_slug", text.slug("label"))
+    return FieldMap(
+        points, farm_boundary(spec, ["label"]), cells, summary, "label",
+        lambda: rings.region_polygons(labelled, spec, ["label"]), missing, without,
+    )
 
 
 def residue_cells(points: DataFrame, spec: DataFrame, by: str = "field") -> DataFrame:
@@ -118,9 +133,8 @@ def residue_map(points: DataFrame, cell_ft=(30.0, 30.0), name: str = "output") -
     points = points.withColumn("residue_fraction", F.coalesce("residue_fraction", F.lit(0.0)))
     spec = cut_lineage(grid.grid_spec(grid.extent(points, ["field"], pad=0.0), cell_ft))
     cells = cut_lineage(residue_cells(points, spec))
-    labelled = cc.components(cells, ["field"])
-    summary = cc.dissolve_means(cells, ["field"])
-    polygons = cut_lineage(rings.region_polygons(labelled, spec, ["field"]))
-    shapes = rings.level_geometry(polygons, ["field"])
-    features = summary.join(shapes, ["field", "level"]).withColumn("label_slug", F.col("field"))
-    return FieldMap(points, farm_boundary(spec, ["field"]), cells, summary, polygons, features)
+    summary = cc.dissolve_means(cells, ["field"]).withColumn("label_slug", F.col("field"))
+    return FieldMap(
+        points, farm_boundary(spec, ["field"]), cells, summary, "field",
+        lambda: rings.region_polygons(cc.components(cells, ["field"]), spec, ["field"]),
+    )

@@ -32,7 +32,8 @@ def parse_detections(df: DataFrame, col: str = "value") -> DataFrame:
 
 def read_detections(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     if lines:
-        return spark.read.schema(schemas.DETECTION).json(path).withColumn("key", text.basename("img"))
+        rows = spark.read.schema(schemas.DETECTION).json(path, mode="FAILFAST")
+        return rows.withColumn("key", text.basename("img"))
     return parse_detections(_documents(spark, path))
 
 
@@ -75,7 +76,7 @@ def parse_residue_points(df: DataFrame, col: str = "value") -> DataFrame:
         part = f"try_variant_get(_v, '$.{name}', 'variant')"
         chosen = chosen.when(_is_list(part), F.expr(f"cast({part} as array<variant>)"))
     chosen = chosen.when(F.expr("schema_of_variant(_v) like 'OBJECT%'"), F.array("_v")).otherwise(
-        F.raise_error(F.lit("JSON must be a list or an object")).cast("array<variant>")
+        F.raise_error(F.lit("samples need a list or an object")).cast("array<variant>")
     )
     rows = doc.select(*keep, F.posexplode(chosen).alias("ord", "_r"))
     null_key = "try_variant_get(_r, '$.residue_fraction', 'variant')"
@@ -172,7 +173,9 @@ def join_coco(images: DataFrame, anns: DataFrame, cats: DataFrame, keys: list[st
 
 
 def read_coco(spark: SparkSession, path: str) -> DataFrame:
-    return join_coco(*parse_coco(_documents(spark, path)))
+    """Images with their annotations of every file; ids count within their ``file``, so files never mix."""
+    docs = _documents(spark, path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return join_coco(*parse_coco(docs), keys=["file"])
 
 
 def folder_samples(paths: DataFrame) -> DataFrame:

@@ -20,17 +20,20 @@ def write_diagnostics(missing: DataFrame, without_gps: DataFrame, path: str) ->
 
 
 def geojson_lines(features: DataFrame, wkt: str = "wkt") -> DataFrame:
-    """Features as one JSON text per row: properties plus the geometry as WKT."""
+    """One GeoJSON feature per row: the other columns as properties, the (multi-)polygon as geometry."""
     props = [c for c in features.columns if c != wkt]
-    body = F.struct(
-        F.lit("Feature").alias("type"), F.struct(*props).alias("properties"),
-        F.lit("EPSG:4326").alias("crs"), F.col(wkt).alias("geometry_wkt"),
-    )
-    return features.select(F.to_json(body).alias("value"))
+    text = F.col(wkt)
+    kind = F.when(text.startswith("MULTI"), "MultiPolygon").otherwise("Polygon")
+    pairs = F.regexp_replace(F.regexp_extract(text, r"[(].*", 0), r"(-?[0-9.]+) (-?[0-9.]+)", "[$1,$2]")
+    geometry = F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), F.translate(pairs, "()", "[]"), F.lit("}"))
+    return features.select(F.concat(
+        F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*props)), F.lit(',"geometry":'),
+        F.coalesce(geometry, F.lit("null")), F.lit("}"),
+    ).alias("value"))
 
 
 def write_layer(features: DataFrame, path: str, slug: str = "label_slug") -> None:
-    """Map layer: Parquet with WKT, one folder per label slug, and JSON lines beside it."""
+    """Map layer: Parquet with WKT, one folder per label slug, and GeoJSON lines beside it."""
     features.write.mode("overwrite").partitionBy(slug).parquet(f"{path}/heatmap")
     geojson_lines(features).write.mode("overwrite").text(f"{path}/heatmap_geojson")
 

@@ -37,7 +37,9 @@ def encode_once(stream: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes")
     """Requests that need an encode: the first per key, and the first after each expiry.
 
     An encoding lives ``ttl_s`` seconds from its encode time; reads do not extend it.
-    State is one timestamp per key and is dropped once the watermark passes its expiry.
+    State is one timestamp per key and is dropped once the watermark passes its expiry. A request that arrives
+    more than ``delay`` behind the newest one seen may be dropped as late, as watermarks do;
+    ``encode_once_batch`` keeps every row.
     ``stream``: ``pipe_id, image_id, event_id, ts`` (TIMESTAMP).
     """
     ttl = ttl_s * 1_000_000
@@ -46,8 +48,12 @@ def encode_once(stream: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes")
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
-        times, last = _micros(rows["ts"]), state.get[0] if state.exists else None
+        last = state.get[0] if state.exists else None
+        # of a batch's requests of one key only times and ids are held: 16 bytes each
+        parts = [(_micros(f["ts"]), f["event_id"].to_numpy(np.int64)) for f in frames]
+        times, ids = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
         at = due(times, last, ttl)
         if at:
             last = int(times[at[-1]])
@@ -55,10 +61,12 @@ def encode_once(stream: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes")
         expiry = (last + ttl) // 1000
         if expiry > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(expiry)
-        hits = rows.iloc[at]
-        yield hits[["event_id", "ts"]].assign(pipe_id=key[0], image_id=key[1])[
-            ["pipe_id", "image_id", "event_id", "ts"]
-        ]
+        else:  # nothing that can still arrive finds this encoding alive
+            state.remove()
+        if at:
+            yield pd.DataFrame({
+                "pipe_id": key[0], "image_id": key[1], "event_id": ids[at], "ts": times[at].astype("datetime64[us]"),
+            })
 
     marked = stream.select(*KEYS, "event_id", "ts").withWatermark("ts", delay)
     return marked.groupBy(*KEYS).applyInPandasWithState(

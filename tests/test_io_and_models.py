@@ -189,3 +189,54 @@ def test_python_rounding(spark):
     for digits in (2, 3, 4, 6):
         got = [r.r for r in df.select(round_to("v", digits).alias("r")).collect()]
         assert got == [round(v, digits) + 0.0 for v in values]
+
+
+def test_coco_files_keep_their_ids_apart(spark, tmp_path):
+    from fieldspark.sources import readers
+
+    for split, label in (("train", "weed"), ("val", "crop")):
+        doc = {
+            "images": [{"id": 1, "file_name": f"{split}.jpg"}], "categories": [{"id": 0, "name": label}],
+            "annotations": [{"image_id": 1, "category_id": 0, "bbox": [0.0, 0.0, 2.0, 3.0]}],
+        }
+        (tmp_path / f"{split}.json").write_text(json.dumps(doc))
+    got = readers.read_coco(spark, str(tmp_path)).collect()
+    assert sorted((r.file_name, r.name, r.area, r.file.rsplit("/", 1)[1]) for r in got) == [
+        ("train.jpg", "weed", 6.0, "train.json"), ("val.jpg", "crop", 6.0, "val.json")]
+
+
+def test_broken_lines_fail(spark, tmp_path):
+    from fieldspark.sources import readers
+
+    (tmp_path / "a.json").write_text('{"img": "x/a.jpg", "confidence": 0.5}\n{"img": \n')
+    with pytest.raises(Exception):
+        readers.read_detections(spark, str(tmp_path), lines=True).collect()
+
+
+def test_relabel_keeps_alike_rows_beyond_the_budget(spark):
+    from fieldspark.operators import relabel as rl
+
+    det = spark.createDataFrame(
+        [("a.jpg", "weed", [1.0, 0.0]), ("a.jpg", "weed", [1.0, 0.0]), ("a.jpg", "weed", [0.0, 1.0]), ("b.jpg", "crop", [0.6, 0.8])],
+        "img string, label string, embedding array<double>")
+    protos = spark.createDataFrame([("p", 0, [1.0, 0.0]), ("q", 1, [0.0, 1.0])], "class string, cls_ord int, embedding array<double>")
+    small, sliced = (sorted(map(tuple, rl.relabel(det, protos, **o).collect())) for o in ({}, {"budget": 1, "slice_bytes": 16}))
+    assert small == sliced and len(small) == 4
+
+
+def test_unsettled_lengths_are_null(spark):
+    from fieldspark.functions import geo
+
+    row = spark.sql("select 0.0D a, 0.0D b, 0.5D c, 179.7D d, 40.0D e, -83.0D f, 40.01D g").select(
+        geo.geodesic_m("a", "b", "c", "d").alias("far"), geo.geodesic_m("e", "f", "g", "f").alias("near")).first()
+    assert row.far is None and abs(row.near - 1110.36) < 0.1
+
+
+def test_geojson_opens(spark):
+    rows = spark.createDataFrame([
+        ("a", 3, "POLYGON ((0.5 -1.0, 2.0 0.0, 0.5 -1.0), (1.0 1.0, 1.5 1.0, 1.0 1.0))"), ("b", 4, "MULTIPOLYGON (((0 0, 1 0, 0 0)), ((5 5, 6 5, 5 5)))"),
+        ("c", 5, None)], "level string, n int, wkt string")
+    got = [json.loads(r.value) for r in writers.geojson_lines(rows).collect()]
+    assert got[0]["geometry"] == {"type": "Polygon", "coordinates": [[[0.5, -1.0], [2.0, 0.0], [0.5, -1.0]], [[1.0, 1.0], [1.5, 1.0], [1.0, 1.0]]]}
+    assert got[1]["geometry"] == {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [0, 0]]], [[[5, 5], [6, 5], [5, 5]]]]}
+    assert got[2]["geometry"] is None and got[2]["properties"] == {"level": "c", "n": 5}
