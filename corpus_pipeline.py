@@ -46,8 +46,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the number of tokens and the digest of the decoded text."""
     coded = bpe.tokenize(docs.select("doc_id", "text", "lang", "source"), vocabulary_path())
     return coded.select(
-        "doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        "doc_id", "lang", "source", F.size("tokens.ids").cast("bigint").alias("n_tokens"), F.col("tokens.ids").alias("token_ids"),
+        F.sha2("tokens.decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

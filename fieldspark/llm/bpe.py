@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .tables import slices
+
 #: Words and fragments remembered per task, so that memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: A merge is one number, its rank above the token that it makes; no merge is larger than all.
 TOKEN, NONE = 0xFFFFFFFF, 1 << 62
 #: Characters on whose letters, digits and normal forms all Unicode versions in use agree. Words with
@@ -56,10 +58,12 @@ class Vocabulary:
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.ranks = {(self.ids[a], self.ids[b]): rank << 32 | self.ids[a + b] for rank, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        self.texts = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.texts = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
+        for t, i in (self.ids | self.special).items():
+            self.texts[i] = t
         letters = byte_letters()
         self.byte_of = byte_of = {c: b for b, c in enumerate(letters)}
-        self.rules = Tokenizer.from_file(path)
+        self.path, self.rules = path, None
         self.joined = np.zeros((256, 256), bool)
         for token in self.ids:
             body = token.removesuffix(self.suffix) if self.suffix and token != self.suffix else token
@@ -92,6 +96,7 @@ class Vocabulary:
         if SETTLED(text):
             words = self.words(lower(unicodedata.normalize("NFC", text)))
         else:
+            self.rules = self.rules or Tokenizer.from_file(self.path)
             parts = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
             words = [bytes(map(self.byte_of.__getitem__, w)).decode("utf-8", "surrogatepass") for w, _ in parts]
         for word in words:
@@ -123,9 +128,8 @@ class Vocabulary:
     # ------------------------------------------------------------ decoding
 
     def decode(self, ids) -> str:
-        """Token texts joined by spaces: the file names no decoder. Unknown ids are skipped."""
-        texts = self.texts
-        return " ".join([texts[i] for i in ids if i in texts])
+        """Token texts joined by spaces: the file names no decoder."""
+        return " ".join(map(self.texts.__getitem__, ids))
 
 
 def lower(text: str) -> str:
@@ -197,54 +201,39 @@ def _vocabulary(name: str) -> Vocabulary:
     return _held[name]
 
 
-def encode_column(text: Column, name: str) -> Column:
-    """Token ids of a text column, by the shared vocabulary file ``name``; null is empty."""
+TOKENS = "struct<ids:array<int>,packed:binary,decoded:string>"
 
-    @F.arrow_udf("array<int>")
-    def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(name)
-        for values in texts:
-            offsets, flat = [0], []
-            for v in values:
-                t = v.as_py()
-                if t:
-                    flat.append(np.frombuffer(vocabulary.encode(t), np.int32))
-                    offsets.append(offsets[-1] + len(flat[-1]))
-                else:
-                    offsets.append(offsets[-1])
-            ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
-    return encoded(text)
+def tokens_column(text: Column, name: str) -> Column:
+    """Struct TOKENS of a text column, by the shared vocabulary file ``name``; null is empty.
 
+    Encoding and decoding share one function, so that a task holds one vocabulary.
+    """
 
-def decode_column(ids: Column, name: str) -> Column:
-    """Decoded text of a column of id arrays; null is empty."""
-
-    @F.arrow_udf("string")
-    def decoded(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(TOKENS)
+    def coded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(name)
-        for column in values:
-            yield pa.array([vocabulary.decode(v.as_py() or ()) for v in column], pa.string())
+        for values in (part for column in texts for part in slices(column)):
+            offsets, packed, decoded = [0], [], []
+            for v in values:
+                ids = vocabulary.encode(v.as_py() or "")
+                offsets.append(offsets[-1] + len(ids))
+                packed.append(np.frombuffer(ids, np.int32).astype("<u4").tobytes())
+                decoded.append(vocabulary.decode(ids))
+            flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+            yield pa.StructArray.from_arrays([
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(packed, pa.binary()),
+                pa.array(decoded, pa.string()),
+            ], names=["ids", "packed", "decoded"])
 
-    return decoded(ids)
+    return coded(text)
 
 
-def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with the token ids of whole texts and the text they decode to.
+def tokenize(docs: DataFrame, path: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """``docs`` with a struct ``out``: ids of the whole text, the same packed as little-endian unsigned 32-bit integers,
+    and the text they decode to.
 
     Null and empty texts have no ids and decode to an empty text; texts, words and fragments may have any length;
     repeated rows are encoded alike; other columns pass through. No shuffle.
     """
-    name = share(docs, path)
-    return docs.withColumn(ids, encode_column(F.col(text), name)).withColumn(decoded, decode_column(F.col(ids), name))
-
-
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 of the ids as little-endian unsigned 32-bit integers, in hex."""
-
-    @F.arrow_udf("binary")
-    def packed(column: pa.Array) -> pa.Array:
-        return pa.array([np.array(v.as_py() or (), "<u4").tobytes() for v in column], pa.binary())
-
-    return F.sha2(packed(ids), 256)
+    return docs.withColumn(out, tokens_column(F.col(text), share(docs, path)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import column_bytes, free_name, store, utf8
+from .tables import column_bytes, free_name, slices, store, utf8
 
 WINDOW = 13
 #: Test strings (window, item) held in one search structure; larger sets are searched block by block.
@@ -116,7 +116,7 @@ def search_column(text: Column, strings) -> Column:
     def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not held:
             held.append(Searcher(strings.value))
-        for values in texts:
+        for values in (part for column in texts for part in slices(column)):
             rows = [_row(words_of(v or b""), held[0]) for v in column_bytes(values)]
             yield pa.array(rows, type=_FOUND_ARROW)
 

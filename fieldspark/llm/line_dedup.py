@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import column_bytes, free_name, mix64, store
+from .tables import column_bytes, free_name, mix64, slices, store
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -179,7 +179,8 @@ def probed_column(doc_id: Column, text: Column, index, min_chars: int) -> Column
         if not held:
             held.append(LineIndex(*index.value))
         for ids, texts in columns:
-            yield _probed(held[0], ids, texts, min_chars)
+            for part in zip(slices(ids), slices(texts), strict=True):
+                yield _probed(held[0], *part, min_chars)
 
     return probed(doc_id.cast("bigint"), text)
 

@@ -88,8 +88,8 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
     return coded.select(
-        "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("token_ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        "doc_id", F.size("tokens.ids").cast("bigint").alias("n_tokens"), F.sha2("tokens.packed", 256).alias("ids_sha256"),
+        F.sha2("tokens.decoded", 256).alias("decoded_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,12 @@ def column_bytes(values: pa.Array) -> Iterator[bytes | None]:
         yield v.as_py()
 
 
+def slices(values, rows: int = 500):
+    """A column or batch in short pieces, so that what is built from them stays small."""
+    for k in range(0, len(values), rows):
+        yield values.slice(k, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
