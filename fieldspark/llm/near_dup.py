@@ -5,8 +5,10 @@ retained values propose pairs, the sketch of the union estimates their similarit
 
 Which lists a document enters. Values that one document alone retains link nothing. The others are ranked by how
 many documents retain them, rarest first. Of two sets with similarity ``t`` or more, each lacks few of the other's retained
-values, so the first value they share stands near the front of both rankings; only that front is listed. For sets that
-fit into the sketch this is certain, beyond it fails with a probability under ``MISS``.
+values, so the first value they share stands near the front of both rankings; only that front is listed, and two
+members of a list are a pair only if it stands near enough to both fronts for their sizes. For sets that fit into the
+sketch this is certain; beyond, a pair that is just at the similarity is missed with a probability under ``MISS``, and other
+pairs with far smaller ones.
 
 Large lists. No list is expanded into all its pairs at once. In a round every member is compared with a few
 leaders of each list, verified links join components, and members of one component need no comparison any more. When the
@@ -25,16 +27,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.scale import bounded_broadcast
+from fieldspark.scale import BROADCAST_ROWS
 
-from .tables import mix64, store
+from .tables import mix64, slices, store
 
-SKETCH = 64
-MISS = 1e-9
+SKETCH = 128
+MISS = 1e-6
 LEADERS = 3
 ROUNDS = 8
 #: Pairs per list entry up to which all remaining pairs are compared at once.
-PAIRS_PER_ENTRY = 8
+PAIRS_PER_ENTRY = 1
+#: Pairs up to which sketches are not read before the sets that contain them.
+FEW_PAIRS = 50_000
+
+
+def hinted(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``rows`` rows (counted from its footers)."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
 
 
 # ---------------------------------------------------------------- shingle sets
@@ -58,7 +67,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     flow = hashes[numbers]
     times = np.uint64(0x9E3779B97F4A7C15)
     rolled = flow.copy()
-    for j in range(1, words):
+    for j in range(1, min(words, len(flow))):
         rolled[:len(flow) - j] = rolled[:len(flow) - j] * times + flow[j:]
     rolled = mix64(rolled)
     for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -73,17 +82,12 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 400) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
 def sketched(docs: DataFrame, doc_id: str, text: str, words: int, k: int) -> DataFrame:
     """(doc, n, print, sketch): set size, 128-bit fingerprint of the set (null if empty), bottom-k sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 sizes, prints, sketches = [], [], []
                 for s in shingle_sets(part.column(1), words):
                     sizes.append(len(s))
@@ -98,18 +102,21 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words: int, k: int) -> Dat
         rows, "doc long, n long, print binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(node, set): the sorted hashes of the documents in ``wanted`` (node)."""
+def full_sets(docs: DataFrame, doc_id: str, text: str, words: int, k: int, wanted: DataFrame) -> DataFrame:
+    """(node, set, sketch) of the documents in ``wanted`` (node): all sorted hashes, and the upper halves of the ``k`` smallest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
-                sets = [s.tobytes() for s in shingle_sets(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+            for part in slices(batch):
+                sets = list(shingle_sets(part.column(1), words))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([(s[:k] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary()),
+                ], ["node", "set", "sketch"])
 
     picked = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("t")).join(
-        bounded_broadcast(wanted), "node", "left_semi")
-    return picked.mapInArrow(rows, "node long, set binary")
+        hinted(wanted), "node", "left_semi")
+    return picked.mapInArrow(rows, "node long, set binary, sketch binary")
 
 
 # ---------------------------------------------------------------- how deep lists and sketches must be read
@@ -119,134 +126,179 @@ def _tail(n: int, p: float, least: int) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least, n + 1))
 
 
-def front(k: int, threshold: float) -> int:
-    """How many of ``k`` sampled values to list so that a linked pair misses each other with P < MISS."""
-    return next((r + 1 for r in range(k) if _tail(k, 1 - threshold, r + 1) < MISS), k)
+def _reach(k: int, part: float) -> int:
+    """The number of ``k`` sampled values that a ``part`` of all exceeds with P < MISS."""
+    return next((r for r in range(k) if _tail(k, part, r + 1) < MISS), k)
+
+
+def least_shared(k: int, percent: int) -> int:
+    """Values of a union sketch that both sets hold at least if they reach the similarity."""
+    return k - _reach(k, 1 - percent / 100)
+
+
+def common(small: Column, large: Column, percent: int) -> Column:
+    """The fewest values that linked sets of these sizes share."""
+    return F.ceil((small + large) * (percent / (100.0 + percent)) - 1e-9)
+
+
+def depth(small: Column, large: Column, k: int, percent: int) -> Column:
+    """The highest rank at which the first value that two linked sets share can stand in either sketch.
+
+    The larger set has at most ``large - common`` values of its own. If it does not fit into its sketch, that is
+    a sample without replacement: its mean, and with P < MISS no more than some deviations beyond.
+    """
+    alone = large - common(small, large, percent)
+    part = alone / large
+    spread = F.sqrt(k * part * (1 - part) * F.greatest(large - k, F.lit(0)) / large)
+    return F.least(alone, F.floor(k * part + math.sqrt(-2 * math.log(MISS)) * spread + 1)) + 1
+
 
+def near_front(a: Column, b: Column, k: int, percent: int) -> Column:
+    """Whether a shared value at ranks ``r`` can be the first that two linked sets of sizes ``n`` share.
 
-def least_shared(k: int, threshold: float) -> int:
-    """Shared values in the union's sketch below which a similarity of ``threshold`` has P < MISS."""
-    return next((s for s in range(k, 0, -1) if _tail(k, 1 - threshold, k - s + 1) < MISS), 0)
+    ``a`` and ``b`` are structs (n, r). Sizes that no linked pair has are ruled out too.
+    """
+    small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    both = common(small, large, percent)
+    whole = (a["r"] <= a["n"] - both + 1) & (b["r"] <= b["n"] - both + 1)  # both sketches hold the whole sets
+    sampled = F.greatest(a["r"], b["r"]) <= depth(small, large, k, percent)
+    return (small * 100 >= large * percent) & F.when(large <= k, whole).otherwise(sampled)
 
 
 # ---------------------------------------------------------------- lists
 
 def list_entries(nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, node, n): the lists each node enters, by the rarest of its retained values."""
+    """(v, node, n, r): the lists each node enters, by the rarest of its retained values; r is the value's rank."""
     postings = nodes.select("node", "n", F.explode("sketch").alias("v"))
     shared = store(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-values")
     ranked = postings.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
-    depth = F.when(
-        F.col("n") <= k, F.floor(F.col("n") * (100 - percent) / 100) + 1
-    ).otherwise(F.lit(front(k, percent / 100)))
-    own = F.least(F.col("n"), F.lit(k)) - F.size("vs")  # values of no other document rank first
-    room = F.greatest(depth - own, F.lit(0)).cast("int")
-    return ranked.select("node", "n", F.explode(F.slice("vs", 1, room)).alias("e")).select(F.col("e.v").alias("v"), "node", "n")
+    n = F.col("n")
+    # all partners of a set of up to percent * k values fit into their sketches; the largest partner needs most depth
+    reach = F.when(n * 100 <= k * percent, F.floor(n * (100 - percent) / 100) + 1).otherwise(
+        depth(n, F.floor(n * 100 / percent), k, percent))
+    own = F.least(n, F.lit(k)) - F.size("vs")  # values of no other document rank first
+    room = F.greatest(reach - own, F.lit(0)).cast("int")
+    return ranked.select("node", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, room)).alias("p", "e")).select(
+        F.col("e.v").alias("v"), "node", "n", (F.col("own") + F.col("p") + 1).cast("bigint").alias("r"))
 
 
-def _sizes_agree(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+MEMBER = ("node", "comp", "n", "r")
 
 
-def leader_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): members of lists with several components against leaders of another component.
+def list_leaders(entries: DataFrame, turn: int) -> DataFrame:
+    """(v, m, leaders) of lists with several components.
 
-    Leaders are the members with the smallest salted hashes, found by partial aggregation.
+    One leader is a member to which the value ranks highest: it has fewest values of its own, as the
+    original of many edited copies. The others have the smallest salted hashes. Only partial aggregates are shuffled.
     """
     picks = []
     for i in range(LEADERS):
         order = F.xxhash64("node", F.lit(turn * LEADERS + i))
-        picks += [F.min_by("node", order).alias(f"l{i}"), F.min_by("comp", order).alias(f"c{i}"), F.min_by("n", order).alias(f"n{i}")]
-    lists = store(
-        entries.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *picks).filter("lo < hi").drop("lo", "hi"),
-        "list-leaders")
-    leaders = F.array(*[F.struct(F.col(f"l{i}").alias("node"), F.col(f"c{i}").alias("comp"), F.col(f"n{i}").alias("n"))
-                        for i in range(LEADERS)])
-    near = F.filter(leaders, lambda x: (x["comp"] != F.col("comp")) & _sizes_agree(x["n"], F.col("n"), percent))
-    met = entries.join(lists, "v").select("node", F.explode(F.array_distinct(near)).alias("l"))
+        if i == 0:
+            order = F.shiftleft("r", 40) + F.pmod(order, F.lit(1 << 40))
+        picks += [F.min_by(c, order).alias(f"{c}{i}") for c in MEMBER]
+    lists = entries.groupBy("v").agg(
+        F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *picks).filter("lo < hi")
+    leaders = F.array(*[F.struct(*[F.col(f"{c}{i}").alias(c) for c in MEMBER]) for i in range(LEADERS)])
+    return lists.select("v", "m", F.array_distinct(leaders).alias("leaders"))
+
+
+def leader_pairs(entries: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): members of lists against leaders of another component."""
+    own = F.struct("n", "r")
+    near = F.filter("leaders", lambda x: (x["comp"] != F.col("comp")) & near_front(x, own, k, percent))
+    met = entries.join(hinted(lists), "v").select("node", F.explode(near).alias("l"))
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def open_pairs(entries: DataFrame) -> int:
+def open_pairs(entries: DataFrame, lists: DataFrame) -> int:
     """Pairs across components that the lists still hold."""
-    per = entries.groupBy("v", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    lists = per.groupBy("v").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    return int(lists.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+    per = entries.join(hinted(lists.select("v")), "v", "left_semi").groupBy("v", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    sums = per.groupBy("v").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    return int(sums.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
 
 
-def remaining_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs across components that share a list."""
-    left = entries.select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = entries.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return left.join(right, "v").filter(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_agree(F.col("na"), F.col("nb"), percent)
-    ).select("a", "b").distinct()
+def remaining_pairs(entries: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): all pairs across components that share a list; each comes once, from the first list that it shares."""
+    still = entries.join(hinted(lists.select("v")), "v", "left_semi").groupBy("node", "comp", "n").agg(
+        F.array_sort(F.collect_list(F.struct("r", "v"))).alias("rv"))
+    earlier = F.transform(F.slice("rv", 1, F.col("p")), lambda e: e["v"]).alias("earlier")
+    rows = still.select("*", F.posexplode("rv").alias("p", "e")).select(
+        F.col("e.v").alias("v"), F.struct("node", "comp", "n", F.col("e.r").alias("r"), earlier).alias("x"))
+    rows = store(rows, "open-entries")
+    other = rows.withColumnRenamed("x", "y")
+    x, y = F.col("x"), F.col("y")
+    met = (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & near_front(x, y, k, percent) & ~F.arrays_overlap(x["earlier"], y["earlier"])
+    return rows.join(other, (rows["v"] == other["v"]) & met).select(x["node"].alias("a"), y["node"].alias("b"))
 
 
 # ---------------------------------------------------------------- verification
 
-def _paired(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    first = table.select(F.col("node").alias("a"), F.col(value).alias("x"))
-    second = table.select(F.col("node").alias("b"), F.col(value).alias("y"))
-    return pairs.join(first, "a").join(second, "b")
-
-
-def promising(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose union sketch shows enough values that both sketches hold."""
-    need = least_shared(k, percent / 100)
+def promising(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose sketches, merged into the sketch of their union, show enough values that both hold."""
+    need = least_shared(k, percent)
 
     @F.arrow_udf("boolean")
     def likely(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(xs, ys, strict=True):
-            p, q = (np.asarray(v.values).view(np.uint64) for v in (x, y))
-            union = np.union1d(p, q)[:k]
-            both = np.intersect1d(p, q, assume_unique=True)
-            # a sketch below k values is the whole set: then the estimate is the similarity
-            if len(p) < k and len(q) < k:
-                out.append(100 * len(both) >= percent * (len(p) + len(q) - len(both)))
-            else:
-                out.append(int((both <= union[-1]).sum()) >= need - (k - len(union)))
-        return pa.array(out, pa.bool_())
+        both = zip(xs, ys, strict=True)
+        return pa.array([hopeful(*(np.frombuffer(v.as_buffer(), np.uint32) for v in pair), k, need) for pair in both], pa.bool_())
 
-    return _paired(pairs, nodes, "sketch").filter(likely("x", "y")).select("a", "b")
+    return _paired(pairs, sets, "sketch").filter(likely("x", "y")).select("a", "b")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
+def hopeful(p: np.ndarray, q: np.ndarray, k: int, need: int) -> bool:
+    """Whether enough of the union's sketch is in both sketches; sketches of whole sets always pass."""
+    union, shared = np.union1d(p, q)[:k], np.intersect1d(p, q)
+    return len(union) < k or np.searchsorted(shared, union[-1], "right") >= need
+
+
+def linked(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the similarity; the sketches at their heads rule pairs out first."""
+    need = least_shared(k, percent)
 
     @F.arrow_udf("boolean")
     def alike(xs: pa.Array, ys: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(xs, ys, strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(p, q, assume_unique=True)) if hopeful(p[:k], q[:k], k, need) else 0
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pa.array(out, pa.bool_())
 
     return _paired(pairs, sets, "set").filter(alike("x", "y")).select("a", "b")
 
 
+def _paired(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    first, second = (sets.select(F.col("node").alias(n), F.col(value).alias(v)) for n, v in (("a", "x"), ("b", "y")))
+    return hinted(pairs).join(first, "a").join(second, "b")
+
+
 # ---------------------------------------------------------------- components
 
-def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merge_components(labels: DataFrame, links: DataFrame, steps: int | None = None) -> DataFrame:
     """``labels`` (node, comp) after joining the components of linked nodes; a component is named by its smallest node.
 
-    The graph of components is contracted until no link is left: each takes its smallest neighbour as parent.
+    The graph of components is contracted until no link is left, or for some ``steps`` only: in each, every
+    component takes its smallest neighbour as parent.
     """
-    a = labels.select(F.col("node").alias("a"), F.col("comp").alias("x"))
-    b = labels.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+    named = hinted(labels)
+    a, b = named.select(F.col("node").alias("a"), F.col("comp").alias("x")), named.select(F.col("node").alias("b"), F.col("comp").alias("y"))
     edges = store(links.join(a, "a").join(b, "b").filter("x <> y").select("x", "y").distinct(), "component-links")
-    while not edges.isEmpty():
+    done = 0
+    while done != steps and not edges.isEmpty():
+        done += 1
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        parent = store(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p")), "parents")
+        parent = hinted(store(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("p")), "parents"))
         up = parent.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-        for _ in range(2):  # parents are smaller than children: jumping shortens every chain
-            up = parent.join(up, "p").select(F.col("x").alias("p"), "pp")
-        jumped = store(up, "parents")
-        labels = store(labels.join(jumped, F.col("comp") == F.col("p"), "left").select(
-            "node", F.coalesce("pp", "comp").alias("comp")), "labels")
-        px, py = jumped.select(F.col("p").alias("x"), F.col("pp").alias("u")), jumped.select(F.col("p").alias("y"), F.col("pp").alias("w"))
+        jumped = parent
+        for _ in range(3):  # parents are smaller than children: jumping shortens every chain
+            jumped = jumped.join(up, "p").select("x", F.col("pp").alias("p"))
+        jumped = hinted(store(jumped, "parents"))
+        labels = store(labels.join(jumped, F.col("comp") == F.col("x"), "left").select(
+            "node", F.coalesce("p", "comp").alias("comp")), "labels")
+        if done == steps:
+            break
+        px, py = (jumped.select(F.col("x").alias(n), F.col("p").alias(v)) for n, v in (("x", "u"), ("y", "w")))
         edges = store(edges.join(px, "x").join(py, "y").filter("u <> w").select(
             F.col("u").alias("x"), F.col("w").alias("y")).distinct(), "component-links")
     return labels
@@ -267,43 +319,45 @@ def near_duplicates(
     component and are kept. Rows that share an id are taken as one document. Other columns play no part.
     """
     base = store(sketched(docs, doc_id, text, words, k), "sketches")
-    reps = store(base.filter("n > 0 and doc is not null").groupBy("print").agg(F.min("doc").alias("node")), "distinct-sets")
-    nodes = store(base.join(reps.withColumnRenamed("node", "doc"), ["doc", "print"]).select(
-        F.col("doc").alias("node"), "n", "sketch"), "set-nodes")
+    reps = hinted(store(base.filter("n > 0 and doc is not null").groupBy("print").agg(F.min("doc").alias("node")), "distinct-sets"))
+    nodes = store(base.join(reps, (base["print"] == reps["print"]) & (base["doc"] == reps["node"])).select("node", "n", "sketch"), "set-nodes")
     entries = store(list_entries(nodes, k, percent), "list-entries")
     listed = store(entries.select("node").distinct(), "listed-nodes")
     labels = listed.withColumn("comp", F.col("node"))
     if not listed.isEmpty():
-        some = store(nodes.join(listed, "node", "left_semi"), "listed-sketches")
-        sets = store(full_sets(docs, doc_id, text, words, listed), "listed-sets")
-        labels = _settle(entries, labels, some, sets, k, percent)
+        sets = store(full_sets(docs, doc_id, text, words, k, listed), "listed-sets")
+        labels = _settle(entries, labels, sets, k, percent)
+    named = hinted(labels)
     members = base.select("doc", "n", "print").join(reps, "print", "left")
-    named = members.join(labels, "node", "left")
     component = F.coalesce("comp", "node", "doc")
-    return named.select(
+    return members.join(named, "node", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"),
     )
 
 
-def _settle(entries: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+def _settle(entries: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Rounds of leaders, then everything that is left."""
     size = entries.count()
-    tried, left = None, None
+    tried, found, left = None, None, None
     for turn in range(ROUNDS + 1):
-        now = store(entries.join(labels, "node"), "entries")
-        still = open_pairs(now)
-        if not still:
-            break
+        now = entries.join(hinted(labels), "node")
+        lists = store(list_leaders(now, turn), "list-leaders")
+        if lists.isEmpty():
+            return merge_components(labels, found) if found is not None else labels
+        # at first every node is a component of its own
+        still = open_pairs(now, lists) if turn else lists.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0]
         last = turn == ROUNDS or still <= PAIRS_PER_ENTRY * size or (left is not None and still > 0.8 * left)
-        pairs = remaining_pairs(now, percent) if last else leader_pairs(now, turn, percent)
+        pairs = remaining_pairs(now, lists, k, percent) if last else leader_pairs(now, lists, k, percent)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(hinted(tried), ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
-        if not pairs.isEmpty():
-            likely = store(promising(pairs, sketches, k, percent), "promising")
-            labels = merge_components(labels, store(linked(likely, sets, percent), "links"))
-            tried = pairs if tried is None else tried.unionByName(pairs)
+        likely = pairs if pairs.count() <= FEW_PAIRS else store(promising(pairs, sets, k, percent), "promising")
+        links = store(linked(likely, sets, k, percent), "links")
+        found = links if found is None else found.unionByName(links)
+        # between rounds a first contraction will do: it only spares comparisons
+        labels = merge_components(labels, links if not last else found, None if last else 1)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if last:
             break
         left = still
