@@ -153,6 +153,15 @@ def depth(small: Column, large: Column, k: int, percent: int) -> Column:
     return F.least(alone, F.floor(k * part + math.sqrt(-2 * math.log(MISS)) * spread + 1)) + 1
 
 
+def reach(n: Column, k: int, percent: int) -> Column:
+    """How many ranks a set of size ``n`` lists, so that no partner of any size is missed.
+
+    All partners of a set of up to ``percent * k`` values fit into their sketches; else the largest partner needs most.
+    """
+    return F.when(n * 100 <= k * percent, F.floor(n * (100 - percent) / 100) + 1).otherwise(
+        depth(n, F.floor(n * 100 / percent), k, percent))
+
+
 def near_front(a: Column, b: Column, k: int, percent: int) -> Column:
     """Whether a shared value at ranks ``r`` can be the first that two linked sets of sizes ``n`` share.
 
@@ -173,11 +182,8 @@ def list_entries(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     shared = store(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-values")
     ranked = postings.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
     n = F.col("n")
-    # all partners of a set of up to percent * k values fit into their sketches; the largest partner needs most depth
-    reach = F.when(n * 100 <= k * percent, F.floor(n * (100 - percent) / 100) + 1).otherwise(
-        depth(n, F.floor(n * 100 / percent), k, percent))
     own = F.least(n, F.lit(k)) - F.size("vs")  # values of no other document rank first
-    room = F.greatest(reach - own, F.lit(0)).cast("int")
+    room = F.greatest(reach(n, k, percent) - own, F.lit(0)).cast("int")
     return ranked.select("node", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, room)).alias("p", "e")).select(
         F.col("e.v").alias("v"), "node", "n", (F.col("own") + F.col("p") + 1).cast("bigint").alias("r"))
 
@@ -222,13 +228,18 @@ def remaining_pairs(entries: DataFrame, lists: DataFrame, k: int, percent: int)
     """(a, b): all pairs across components that share a list; each comes once, from the first list that it shares."""
     still = entries.join(hinted(lists.select("v")), "v", "left_semi").groupBy("node", "comp", "n").agg(
         F.array_sort(F.collect_list(F.struct("r", "v"))).alias("rv"))
-    earlier = F.transform(F.slice("rv", 1, F.col("p")), lambda e: e["v"]).alias("earlier")
+    listed = F.transform("rv", lambda e: e["v"])
     rows = still.select("*", F.posexplode("rv").alias("p", "e")).select(
-        F.col("e.v").alias("v"), F.struct("node", "comp", "n", F.col("e.r").alias("r"), earlier).alias("x"))
+        F.col("e.v").alias("v"), F.struct("node", "comp", "n", F.col("e.r").alias("r"), "p", listed.alias("vs")).alias("x"))
     rows = store(rows, "open-entries")
     other = rows.withColumnRenamed("x", "y")
     x, y = F.col("x"), F.col("y")
-    met = (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & near_front(x, y, k, percent) & ~F.arrays_overlap(x["earlier"], y["earlier"])
+    first = ~F.arrays_overlap(F.slice(x["vs"], 1, x["p"]), F.slice(y["vs"], 1, y["p"]))
+    # of the ranks that both list, linked sets lack no more than the depth allows: all others are in both fronts
+    deep = depth(F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"]), k, percent)
+    need = F.least(reach(x["n"], k, percent), reach(y["n"], k, percent)) - deep + 1
+    enough = F.size(F.array_intersect(x["vs"], y["vs"])) >= need
+    met = (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & near_front(x, y, k, percent) & first & enough
     return rows.join(other, (rows["v"] == other["v"]) & met).select(x["node"].alias("a"), y["node"].alias("b"))
 
 
