@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -228,17 +229,85 @@ def best_rank(entry: list) -> int:
     return best
 
 
+class Part:
+    """A wrapper's entry made ready for reading: its inner entries in sequence, groups resolved into spans that repeat."""
+
+    __slots__ = ("key", "repeated", "inner", "places", "spans")
+
+    def __init__(self, entry: list):
+        self.key, self.repeated = entry[0], entry[1]
+        self.inner: list[Part] = []
+        self.places: dict[str, list[int]] = {}
+        self.spans: list[tuple[int, int]] = []
+
+    def next(self, key: str, at: int) -> int:
+        """The place of a page's next child after the one at ``at`` (-1: none yet); -1 if no entry has its key.
+
+        The expression's order is followed: the same repeated entry, the rest of its group, the group again, what comes later. A child
+        out of order takes the first entry of its key.
+        """
+        places = self.places.get(key)
+        if not places:
+            return -1
+        if at >= 0:
+            if self.inner[at].key == key and (key == "#" or self.inner[at].repeated):
+                return at
+            low, high = self.spans[at]
+            later = bisect_right(places, at)
+            if later < len(places) and places[later] < high:
+                return places[later]
+            first = bisect_left(places, low)
+            if first < len(places) and places[first] < high and high - low > 1:
+                return places[first]
+            if later < len(places):
+                return places[later]
+        return places[0]
+
+
+def compiled(wrapper: list) -> Part:
+    top = Part(wrapper)
+    todo = [(top, wrapper[3])]
+    while todo:
+        part, entries = todo.pop()
+        for entry in entries:
+            low = len(part.inner)
+            members = [entry]
+            while members:
+                e = members.pop()
+                if e[0] == "":
+                    members += reversed(e[3])
+                else:
+                    inner = Part(e)
+                    part.places.setdefault(e[0], []).append(len(part.inner))
+                    part.inner.append(inner)
+                    todo.append((inner, e[3]))
+            part.spans += [(low, len(part.inner))] * (len(part.inner) - low)
+    return top
+
+
 def read_page(root: Node, wrapper: list) -> str:
     """The texts in the wrapper's main slots, one line per block, in page order.
 
     A page without the host's main region is read outside the regions that are beside it.
     """
-    rank = best_rank(wrapper)
-    lines = _read(root, wrapper, rank)
-    return "\n".join(lines if lines is not None or not rank else _read(root, wrapper, 0) or [])
+    rank, part = best_rank(wrapper), compiled(wrapper)
+    lines = _read(root, part, rank)
+    return "\n".join(lines if lines is not None or not rank else _read(root, part, 0) or [])
+
 
+def matched(node: Node, part: Part | None) -> Iterator[tuple[Node | str, Part | None]]:
+    """The children of a page's block with their entries, taken in sequence; none where the wrapper has no such entry."""
+    at = -1
+    for child in node.children:
+        if part is None or isinstance(child, str) and not child.strip():
+            yield child, None
+            continue
+        place = part.next("#" if isinstance(child, str) else child.key, at)
+        at = at if place < 0 else place
+        yield child, None if place < 0 else part.inner[place]
 
-def _read(root: Node, wrapper: list, rank: int) -> list[str] | None:
+
+def _read(root: Node, wrapper: Part, rank: int) -> list[str] | None:
     """Lines of the regions of this rank (0: the whole page); None if the page has none."""
     lines: list[str] = []
     text: list[str] = []
@@ -256,7 +325,7 @@ def _read(root: Node, wrapper: list, rank: int) -> list[str] | None:
         if item is None:
             end()
             continue
-        node, entry, inside = item
+        node, part, inside = item
         if isinstance(node, str):
             if inside:
                 text.append(node)
@@ -267,22 +336,11 @@ def _read(root: Node, wrapper: list, rank: int) -> list[str] | None:
             inside = met = True
         end()
         todo.append(None)
-        inner = {e[0]: e for e in _flat(entry[3])} if entry else {}
-        slot = entry is None or "#" in inner
-        for child in reversed(node.children):
-            if isinstance(child, str):
-                todo.append((child, None, inside and slot))
-            else:
-                todo.append((child, inner.get(child.key), inside))
+        todo += reversed([(child, its, inside) for child, its in matched(node, part)])
     end()
     return lines if met else None
 
 
-def _flat(entries: list) -> Iterator[list]:
-    for e in entries:
-        yield from _flat(e[3]) if e[0] == "" else (e,)
-
-
 # ---------------------------------------------------------------- Spark
 
 def _signatures(pages: DataFrame, host: str, page: str) -> DataFrame:

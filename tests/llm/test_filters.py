@@ -174,3 +174,15 @@ def test_wrappers():
     both = html_text.merge(a, b)[3]
     assert [(e[0], e[2]) for e in both] == [("div", False), ("footer", True)]
     assert [(e[0], e[1], e[2]) for e in both[0][3]] == [("h1", False, True), ("p", True, False)]
+
+
+def _texts(spark, *pages, host="http://h.com/"):
+    table = spark.createDataFrame([(i, f"{host}{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract_text(table).orderBy("page_id").collect()]
+
+
+def test_equal_siblings_apart(spark):
+    a = "<article><p>First</p><h2>x</h2><p><img></p></article>"
+    b = "<article><div>intro</div><h2>y</h2><div><p>in</p></div></article>"
+    assert _texts(spark, a) == ["First\nx"] and _texts(spark, b) == ["intro\ny\nin"]
+    assert _texts(spark, a, b, a.replace("First", "Other")) == ["First\nx", "intro\ny\nin", "Other\nx"]
