@@ -4,8 +4,9 @@ Candidates are found by one regular expression, validated by their own rule (che
 permuted inside the set of values of the same format, so that equal values stay equal and different ones stay different
 across all documents:
 
-* payment cards  - 13 to 19 digits with a valid Luhn digit: all other digits are permuted, the Luhn digit follows,
-* IBAN           - valid modulo 97: the digits of the account part are permuted, the check digits follow,
+* payment cards  - 13 to 19 digits with a valid Luhn digit: all other digits are permuted, the Luhn digit follows; in a run of
+                   more numbers they begin and end at a space or dash,
+* IBAN           - valid modulo 97, of its country's length where that is known: the digits of the account part are permuted, the check digits follow,
 * dates          - yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy in the calendar: the day is permuted within its 400-year
                    cycle of 146 097 = 189 * 773 days,
 * US social security numbers - inside the ranges that are issued,
@@ -30,15 +31,32 @@ ROUNDS = 8
 
 # Formats of the candidates; repetitions are bounded, so that long texts cost linear time.
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,6}"
+#: Countries by the length of their IBANs after the first four characters.
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV",
+    18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST",
+    22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA", 26: "JO KW MU YE",
+    27: "MT SC", 28: "LC", 29: "RU",
+}
+KNOWN_IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}" for n, c in IBAN_LENGTHS.items()) + ")"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 DAY_DATE = r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
 PHONE = r"\+[0-9]{1,3}[ \-]?\(?[0-9]{2,4}\)?[ \-]?[0-9]{3,4}[ \-]?[0-9]{3,4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
+#: Digits of a card in the order in which they are tried at one place; the common length first, then the longest.
+CARD_LENGTHS = (16, 15, 19, 18, 17, 14, 13)
+#: Cards as they are commonly written; one that is valid counts before any other reading of the digits around it.
+WRITTEN_CARD = r"(?:[0-9]{4}[ \-]){3}[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19}"
 BEFORE, AFTER = r"(?<![A-Za-z0-9._%+\-])", r"(?![A-Za-z0-9])"
-CANDIDATE = f"{BEFORE}(?:{EMAIL}|{IBAN}|{PHONE}|{ISO_DATE}|{DAY_DATE}|{SSN}|{IPV4}|{CARD}){AFTER}"
+#: Words of digits and capitals, joined by single spaces or dashes, up to the next value of another format. Cards, IBANs, ISO dates
+#: and social security numbers are looked for inside, at every word.
+RUN = (r"(?=[A-Z0-9 \-]{10})(?:[A-Z]{2}[0-9]{2}[A-Z0-9]*+|[0-9]++)(?![A-Za-z0-9])"
+       rf"(?:[ \-](?!(?:{EMAIL}|{DAY_DATE}|{IPV4}){AFTER})[A-Z0-9]++{AFTER})*+")
+CANDIDATE = f"{BEFORE}(?:{EMAIL}|{PHONE}|{DAY_DATE}|{IPV4}|{RUN}){AFTER}"
+#: One word with what separates it; the group holds what is read from its start.
+WORD = r"(?:^|[ \-])(?=([A-Z0-9][A-Z0-9 \-]{0,59}))[A-Z0-9]++"
 
 #: Days of the 400-year cycle that starts on FIRST_DAY, and its two factors.
 FIRST_DAY, CYCLE, CYCLE_A, CYCLE_B = "1800-01-01", 146_097, 189, 773
@@ -112,6 +130,10 @@ def luhn_sum(digits: Column, doubled_from: int) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, v: s + v)
 
 
+def _luhn(text: Column) -> Column:
+    return F.pmod(luhn_sum(_digits(text), 1), F.lit(10)) == 0
+
+
 def luhn_digit(payload: Column) -> Column:
     return F.pmod(-luhn_sum(payload, 0), F.lit(10)).cast("string")
 
@@ -149,7 +171,7 @@ def _card(text: Column, key: Column) -> Column:
     digits = _digits(text)
     payload = F.substring(digits, 1, 18).substr(F.lit(1), F.length(digits) - 1)
     new = _let(permute_digits(payload, key, F.lit("card")), lambda p: F.concat(p, luhn_digit(p)))
-    return F.when(F.pmod(luhn_sum(digits, 1), F.lit(10)) == 0, fill_digits(text, new))
+    return F.when(_luhn(text), fill_digits(text, new))
 
 
 def _iban(text: Column, key: Column) -> Column:
@@ -212,21 +234,73 @@ def _email(text: Column, key: Column) -> Column:
     return F.when(digits != "", F.concat(fill_digits(local, new), text.substr(F.length(local) + 1, F.length(text))))
 
 
-#: Kinds in the order in which a candidate is tried.
+#: Kinds that are tried on a whole candidate, in this order.
 KINDS: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
-    "email": (EMAIL, _email), "iban": (IBAN, _iban), "phone": (PHONE, _phone), "date": (f"(?:{ISO_DATE}|{DAY_DATE})", _day),
-    "ssn": (SSN, _ssn), "ipv4": (IPV4, _ipv4), "card": (CARD, _card),
+    "email": (EMAIL, _email), "phone": (PHONE, _phone), "date": (DAY_DATE, _day), "ipv4": (IPV4, _ipv4),
 }
 
 
-def pseudonym(candidate: Column, key: Column) -> Column:
-    """Struct (kind, value): kind is null and the value unchanged if the candidate is not valid."""
-    def named(kind: str) -> Callable[[Column], Column]:
-        return lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+def _named(kind: str) -> Callable[[Column], Column]:
+    return lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
+def _first(texts: list[Column], make: Callable[[Column, Column], Column], valid: Callable[[Column], Column], key: Column) -> Column:
+    """What ``make`` gives for the first valid text that is not empty; null if there is none."""
+    return _let(F.get(F.filter(F.array(*texts), lambda t: (t != "") & valid(t)), F.lit(0)), lambda t: F.when(
+        t.isNotNull(), F.struct(t.alias("old"), make(t, key).alias("new"))))
+
+
+def _word(token: Column, ahead: Column, key: Column) -> Column:
+    """Struct (kind, old, new) of the value that starts at a word of a run; null if none does."""
+
+    def head(pattern: str) -> Column:
+        return F.regexp_extract(ahead, f"^(?:{pattern}){AFTER}", 0)
 
-    tried = [F.when(candidate.rlike(f"^(?:{pattern})$"), _let(make(candidate, key), named(kind)))
-             for kind, (pattern, make) in KINDS.items()]
-    return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), candidate.alias("value")))
+    def of(kind: str, found: Column) -> Column:
+        return _let(found, lambda v: F.when(v["new"].isNotNull(), F.struct(
+            F.lit(kind).alias("kind"), v["old"].alias("old"), v["new"].alias("new"))))
+
+    own = ~token.startswith("-")  # dates and social security numbers do not go on from a dash
+    dated = of("date", _first([head(ISO_DATE)], _day, lambda t: _date(t).isNotNull(), key))
+    social = of("ssn", _first([head(SSN)], _ssn, lambda t: F.lit(True), key))
+    # A card ends before a date or social security number that follows it, and before a valid card as commonly written.
+    alone = F.regexp_extract(ahead, f"^(.*?)(?: (?:{ISO_DATE}|{SSN}){AFTER}|$)", 1)
+    later = F.get(F.filter(F.regexp_extract_all(alone, F.lit(f"[ \\-](?=((?:{WRITTEN_CARD}){AFTER}))"), F.lit(1)), _luhn), F.lit(0))
+    short = _let(later, lambda c: F.when(c.isNull(), alone).otherwise(alone.substr(F.lit(1), F.instr(alone, c) - 2)))
+    cards = [F.regexp_extract(short, rf"^[0-9](?:[ \-]?[0-9]){{{n - 1}}}{AFTER}", 0) for n in CARD_LENGTHS]
+    card = of("card", _first([F.regexp_extract(alone, f"^(?:{WRITTEN_CARD}){AFTER}", 0), *cards], _card, _luhn, key))
+    # An IBAN has its country's length; where that is not known, every end is tried, the longest first.
+    strange = f"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})"
+    ends = [f"{strange}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}" for n in range(7, 1, -1) for tail in ("(?: ?[A-Z0-9]{1,3})", "")]
+    iban = of("iban", _first([head(KNOWN_IBAN), head(IBAN), *map(head, ends)], _iban, lambda t: iban_rest(F.replace(t, F.lit(" "), F.lit(""))) == 1, key))
+    return F.when(ahead.rlike("^[A-Z]{2}[0-9]{2}"), iban).when(
+        ahead.rlike("^[0-9]"), F.coalesce(F.when(own, dated), F.when(own, social), card))
+
+
+def _run(run: Column, key: Column) -> Column:
+    """Array of (kind, value): the words of a run from left to right, each valid value as one."""
+    words = F.arrays_zip(F.regexp_extract_all(run, F.lit(WORD), F.lit(0)).alias("token"), F.regexp_extract_all(run, F.lit(WORD), F.lit(1)).alias("ahead"))
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<struct<kind:string,value:string>>").alias("out"))
+
+    def step(state: Column, word: Column) -> Column:
+        def added(found: Column) -> Column:
+            before = F.regexp_extract(word["token"], "^[ \\-]?", 0)
+            value = F.when(found.isNull(), word["token"]).otherwise(F.concat(before, found["new"]))
+            return F.struct(
+                F.when(found.isNull(), 0).otherwise(F.size(F.split(found["old"], "[ \\-]")) - 1).alias("skip"),
+                F.concat(state["out"], F.array(F.struct(found["kind"].alias("kind"), value.alias("value")))).alias("out"))
+
+        return F.when(state["skip"] > 0, F.struct((state["skip"] - 1).alias("skip"), state["out"].alias("out"))).otherwise(
+            _let(_word(word["token"], word["ahead"], key), added))
+
+    return F.aggregate(words, start, step, lambda state: state["out"])
+
+
+def pseudonym(candidate: Column, key: Column) -> Column:
+    """Array of structs (kind, value) that replace the candidate: kind is null and the value unchanged where nothing is valid."""
+    tried = [F.when(candidate.rlike(f"^(?:{pattern})$"), _let(make(candidate, key), _named(kind))) for kind, (pattern, make) in KINDS.items()]
+    whole = F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), candidate.alias("value")))
+    return F.when(candidate.rlike(f"^(?:{RUN})$"), _run(candidate, key)).otherwise(F.array(whole))
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", out: str = "masked", kinds: str = "kinds") -> DataFrame:
@@ -243,6 +317,6 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", out: str = "mask
     staged = docs.withColumn(new, F.transform(
         F.when(source.rlike("[0-9]"), found).otherwise(none), lambda c: pseudonym(c, secret)))
     woven = F.array_join(F.flatten(F.zip_with(
-        gaps, F.col(new), lambda g, n: F.array(g, F.coalesce(n["value"], F.lit(""))))), "")
+        gaps, F.col(new), lambda g, n: F.array(g, F.coalesce(F.array_join(n["value"], ""), F.lit(""))))), "")
     return staged.withColumn(out, F.when(F.size(new) > 0, woven).otherwise(source)).withColumn(
-        kinds, F.filter(F.transform(new, lambda n: n["kind"]), lambda k: k.isNotNull())).drop(new)
+        kinds, F.filter(F.transform(F.flatten(new), lambda n: n["kind"]), lambda k: k.isNotNull())).drop(new)
