@@ -29,7 +29,7 @@ BLOCK = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th "
     "thead tr ul").split())
-UNREAD = frozenset("script style noscript template svg math iframe object select button textarea title canvas audio video".split())
+UNREAD = frozenset("script style noscript template svg iframe object select button textarea title canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end when one of these begins in the same parent.
 CLOSED_BY = {
@@ -43,13 +43,15 @@ BESIDE_NAMES = frozenset((
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related reply "
     "replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget").split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
+#: With these, joined by hyphens or underscores, names of the main text stay names of it.
+OF_MAIN = MAIN_NAMES | frozenset("area body container page section site text the wrap wrapper".split())
 
 TOKEN = regex.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)"
     r"|<(script|style|textarea|title)\b[^>]*+>.*?(?:</\1\s*+>|$)"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|[^<]++|<""", regex.S | regex.I)
 NAMED = regex.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", regex.I)
-NAME = regex.compile(r"[a-z]+")
+DIGITS = regex.compile(r"[0-9]+")
 
 
 class Node:
@@ -62,40 +64,67 @@ class Node:
 
 
 def block_key(tag: str, attributes: str) -> str:
-    """The tag with the words of its class, id and role."""
+    """The tag with the whole names of its class, id and role, without their digits (so that numbered names are one)."""
     if "=" not in attributes:
         return tag
-    names = {n for m in NAMED.finditer(attributes) for n in NAME.findall((m[2] or m[3] or m[4] or "").lower())}
-    return " ".join([tag, *sorted(names)])
+    names = {DIGITS.sub("", n).strip("-_") for m in NAMED.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()}
+    return " ".join([tag, *sorted(names - {""})])
+
+
+def unread_ends(tokens: list) -> dict[int, int]:
+    """Where each unread element ends, by the place of its start; those that are not closed inside their parent block are left out."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    for place, m in enumerate(tokens):
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if tag not in UNREAD and tag not in BLOCK or tag in VOID:
+            continue
+        if not m[2]:
+            if tag in BLOCK or not m[4].endswith("/"):
+                opened.append((tag, place))
+                count[tag] = count.get(tag, 0) + 1
+        elif count.get(tag):
+            while True:
+                name, start = opened.pop()
+                count[name] -= 1
+                if name == tag:
+                    break
+            if tag in UNREAD:
+                ends[start] = place
+    return ends
 
 
 def page_tree(text: str) -> Node:
-    """Blocks of a page; tags that are never closed end with their parent."""
+    """Blocks of a page; tags that are never closed end with their parent, unread elements then at the next tag of a block."""
     root = Node("html", "html")
     stack = [root]
-    unread = ""  # inside an element whose content is not text
-    depth = 0
-    for m in TOKEN.finditer(text):
+    tokens = list(TOKEN.finditer(text))
+    ends = unread_ends(tokens) if any(m[3] is not None and m[3].lower() in UNREAD for m in tokens) else {}
+    until = -1  # the end of an element whose content is not text
+    unclosed = False
+    for place, m in enumerate(tokens):
+        if place <= until:
+            continue
         tag = m[3]
         if tag is None:
             piece = m[0]
-            if not unread and (piece[0] != "<" or piece == "<"):
+            if not unclosed and (piece[0] != "<" or piece == "<"):
                 stack[-1].children.append(html.unescape(piece))
             continue
         tag = tag.lower()
-        if unread:
-            depth += (tag == unread) * (-1 if m[2] else 1)
-            if depth == 0:
-                unread = ""
-            continue
         if tag in UNREAD:
             if not m[2] and not m[4].endswith("/"):
-                unread, depth = tag, 1
+                until = ends.get(place, until)
+                unclosed = unclosed or place not in ends
             continue
         if tag not in BLOCK:
             if tag == "br":
                 stack[-1].children.append("\n")
             continue
+        unclosed = False
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -208,22 +237,26 @@ def align(a: list, b: list) -> list:
 
 
 def beside(key: str) -> bool:
+    """Whether a block is beside the main text, by its tag or one whole name; an article or main element never is."""
     tag, *names = key.split(" ")
-    return tag in BESIDE or tag not in ("html", "body") and any(n in BESIDE_NAMES for n in names)
+    return tag in BESIDE or tag not in ("html", "body", "article", "main") and any(n in BESIDE_NAMES for n in names)
 
 
 def main_rank(key: str) -> int:
     """3 for an article, 2 for a main element, 1 for a block named like one."""
     tag, *names = key.split(" ")
-    return 3 if tag == "article" else 2 if tag == "main" or "main" in names else any(n in MAIN_NAMES for n in names) * 1
+    if tag in ("article", "main"):
+        return 3 if tag == "article" else 2
+    words = [set(n.replace("_", "-").split("-")) for n in names]
+    return 2 if "main" in names else any(w <= OF_MAIN and w & MAIN_NAMES for w in words) * 1
 
 
-def best_rank(entry: list) -> int:
-    """The highest rank of a region in the wrapper that is not beside the main text."""
+def best_rank(entry: list, held: bool = False) -> int:
+    """The highest rank of a region in the wrapper that is not beside the main text (``held``: or inside a block that is)."""
     best, todo = 0, [entry]
     while todo:
         e = todo.pop()
-        if e[0] != "#" and (e[0] == "" or not beside(e[0])):
+        if e[0] != "#" and (held or e[0] == "" or not beside(e[0])):
             best = max(best, main_rank(e[0]) if e[0] else 0)
             todo += e[3]
     return best
@@ -288,10 +321,14 @@ def compiled(wrapper: list) -> Part:
 def read_page(root: Node, wrapper: list) -> str:
     """The texts in the wrapper's main slots, one line per block, in page order.
 
-    A page without the host's main region is read outside the regions that are beside it.
+    Where the host has main regions only inside blocks that are beside it by their tag or name (a form around the page),
+    they are read together with the text outside such blocks. A page without the host's main region is read outside the regions that are beside it.
     """
-    rank, part = best_rank(wrapper), compiled(wrapper)
-    lines = _read(root, part, rank)
+    rank, held, part = best_rank(wrapper), False, compiled(wrapper)
+    if not rank:
+        rank = best_rank(wrapper, True)
+        held = rank > 0
+    lines = _read(root, part, rank, held)
     return "\n".join(lines if lines is not None or not rank else _read(root, part, 0) or [])
 
 
@@ -307,11 +344,14 @@ def matched(node: Node, part: Part | None) -> Iterator[tuple[Node | str, Part |
         yield child, None if place < 0 else part.inner[place]
 
 
-def _read(root: Node, wrapper: Part, rank: int) -> list[str] | None:
-    """Lines of the regions of this rank (0: the whole page); None if the page has none."""
+def _read(root: Node, wrapper: Part, rank: int, held: bool = False) -> list[str] | None:
+    """Lines of the regions of this rank (0: the whole page); None if the page has none.
+
+    ``held``: lines outside the blocks beside the main text, and of the regions of this rank inside these blocks.
+    """
     lines: list[str] = []
     text: list[str] = []
-    met = rank == 0
+    met = rank == 0 or held
 
     def end() -> None:
         line = " ".join("".join(text).split())
@@ -319,7 +359,8 @@ def _read(root: Node, wrapper: Part, rank: int) -> list[str] | None:
             lines.append(line)
         text.clear()
 
-    todo: list = [(root, wrapper, rank == 0)]
+    todo: list = [(root, wrapper, met)]
+    regions: set[int] = set()  # blocks inside a region
     while todo:
         item = todo.pop()
         if item is None:
@@ -330,10 +371,15 @@ def _read(root: Node, wrapper: Part, rank: int) -> list[str] | None:
             if inside:
                 text.append(node)
             continue
+        region = id(node) in regions
         if beside(node.key):
-            continue
-        if not inside and main_rank(node.key) == rank:
-            inside = met = True
+            if region or not held:
+                continue
+            inside = False
+        if not region and rank and main_rank(node.key) == rank:
+            inside = met = region = True
+        if region:
+            regions.update(id(child) for child in node.children)
         end()
         todo.append(None)
         todo += reversed([(child, its, inside) for child, its in matched(node, part)])

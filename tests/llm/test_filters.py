@@ -208,3 +208,21 @@ def test_equal_siblings_apart(spark):
     b = "<article><div>intro</div><h2>y</h2><div><p>in</p></div></article>"
     assert _texts(spark, a) == ["First\nx"] and _texts(spark, b) == ["intro\ny\nin"]
     assert _texts(spark, a, b, a.replace("First", "Other")) == ["First\nx", "intro\ny\nin", "Other\nx"]
+
+
+def test_names_and_unread_elements(spark):
+    for i, (a, b) in enumerate([
+            ("<div class='content has-sidebar'>", "</div>"), ("<main class='no-sidebar'>", "</main>"),
+            ("<article class='post category-social comment-enabled'>", "</article>"),
+            ("<main class='search'>", "</main>"), ("<div class='main-content'>", "</div>")]):
+        pages = [f"<nav>n</nav><div class=x><p>out</p></div>{a}<h1>t{k}</h1><p>text<div class='ad'>buy</div>{b}" for k in range(2)]
+        assert _texts(spark, *pages, host=f"http://h{i}.com/") == ["t0\ntext", "t1\ntext"], a
+    page = "<form class=search><input>go<article><h1>t%d</h1>text<div class=ad>buy</div></article></form>"
+    assert _texts(spark, page % 1, page % 2) == ["t1\ntext", "t2\ntext"]
+    page = "<div class=x>%s</div><aside>more<article>%s</article></aside>"
+    assert _texts(spark, page % ("one", "two"), page % ("three", "four")) == ["one\ntwo", "three\nfour"]
+    texts = _texts(
+        spark, "<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>", "<article><p>a <button>b <p>c</p><p>d</p></article>",
+        "<article><object data=x><p>e</p></article>", "<article><p>f <button>g<div>h</div></button> i</p><svg><svg></svg>j</svg></article>",
+        "<article><select><option>k<p>l</p></article><footer>z")
+    assert texts == ["let x=2 be", "a\nc\nd", "e", "f i", "l"]
