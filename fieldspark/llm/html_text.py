@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import json
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 import regex
@@ -168,7 +168,7 @@ def structure(node: Node) -> list:
                 entry[3].append(place)
                 todo.append((child, place))
     for entry in reversed(made):  # inner blocks first
-        entry[3] = fold([c if c is SLOT or len(c) == 4 and isinstance(c[0], str) else c[0] for c in entry[3]])
+        entry[3] = _run(_fold([c if c is SLOT or len(c) == 4 and isinstance(c[0], str) else c[0] for c in entry[3]]))
     return out[0]
 
 
@@ -177,7 +177,29 @@ def alike(a: list, b: list) -> bool:
     return a[0] == b[0] and (a[0] != "" or [x[0] for x in a[3]] == [x[0] for x in b[3]])
 
 
-def fold(entries: list) -> list:
+def _run(call: Generator) -> list:
+    """The result of a generator that yields the generators whose results it needs: calls that may nest without limit."""
+    stack, value = [call], None
+    while stack:
+        try:
+            call = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(call)
+            value = None
+    return value
+
+
+def _merge_all(a: list, b: list) -> Generator:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        out.append((yield _merge(x, y)))
+    return out
+
+
+def _fold(entries: list) -> Generator:
     """Neighbouring runs of the same keys become one repeated entry or group."""
     out: list = []
     for entry in entries:
@@ -189,10 +211,10 @@ def fold(entries: list) -> list:
                 run = out[-n:]
                 if n > 1 and len(out) > n and out[-n - 1][0] == "" and [x[0] for x in out[-n - 1][3]] == [x[0] for x in run]:
                     group = out[-n - 1]
-                    out[-n - 1:] = [["", True, group[2], [merge(a, b) for a, b in zip(group[3], run, strict=True)]]]
+                    out[-n - 1:] = [["", True, group[2], (yield _merge_all(group[3], run))]]
                     again = True
                 elif len(out) >= 2 * n and all(alike(a, b) for a, b in zip(out[-2 * n:-n], run, strict=True)):
-                    merged = [merge(a, b) for a, b in zip(out[-2 * n:-n], run, strict=True)]
+                    merged = yield _merge_all(out[-2 * n:-n], run)
                     out[-2 * n:] = [[merged[0][0], True, merged[0][2], merged[0][3]]] if n == 1 else [["", True, False, merged]]
                     again = n > 1 or merged[0][0] != "#"
                     if merged[0][0] == "#" and n == 1:
@@ -209,15 +231,17 @@ def fold(entries: list) -> list:
 
 def merge(a: list, b: list) -> list:
     """The entry that matches what either matches."""
-    if a == b:
-        return a
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
+    return _run(_merge(a, b))
+
 
+def _merge(a: list, b: list) -> Generator:
+    return [a[0], a[1] or b[1], a[2] or b[2], (yield _align(a[3], b[3])) if a[3] or b[3] else []]
 
-def align(a: list, b: list) -> list:
+
+def _align(a: list, b: list) -> Generator:
     """One sequence from two: entries in a longest common subsequence are merged, all others become optional."""
-    if a == b:
-        return a
+    if len(a) == len(b) and all(alike(x, y) for x, y in zip(a, b, strict=True)):
+        return (yield _fold((yield _merge_all(a, b))))
     reach = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -225,7 +249,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and alike(a[i], b[j]) and reach[i][j] == reach[i + 1][j + 1] + 1:
-            out.append(merge(a[i], b[j]))
+            out.append((yield _merge(a[i], b[j])))
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and reach[i + 1][j] >= reach[i][j + 1]:
             out.append([a[i][0], a[i][1], True, a[i][3]])
@@ -233,7 +257,32 @@ def align(a: list, b: list) -> list:
         else:
             out.append([b[j][0], b[j][1], True, b[j][3]])
             j += 1
-    return fold(out)
+    return (yield _fold(out))
+
+
+def packed(entry: list) -> str:
+    """An entry as text: keys, flags and numbers of inner entries in page order, not nested."""
+    flat: list = []
+    todo = [entry]
+    while todo:
+        e = todo.pop()
+        flat += (e[0], e[1] + 2 * e[2], len(e[3]))
+        todo += reversed(e[3])
+    return json.dumps(flat, separators=(",", ":"))
+
+
+def unpacked(text: str) -> list:
+    flat = json.loads(text)
+    top: list = []
+    open_: list = [[top, 1]]
+    for k in range(0, len(flat), 3):
+        while not open_[-1][1]:
+            open_.pop()
+        open_[-1][1] -= 1
+        entry = [flat[k], flat[k + 1] % 2 == 1, flat[k + 1] > 1, []]
+        open_[-1][0].append(entry)
+        open_.append([entry[3], flat[k + 2]])
+    return top[0]
 
 
 def beside(key: str) -> bool:
@@ -394,7 +443,7 @@ def _signatures(pages: DataFrame, host: str, page: str) -> DataFrame:
 
     @F.arrow_udf("string")
     def built(texts: pa.Array) -> pa.Array:
-        return pa.array([json.dumps(structure(page_tree(t.as_py() or "")), separators=(",", ":")) for t in texts], pa.string())
+        return pa.array([packed(structure(page_tree(t.as_py() or ""))) for t in texts], pa.string())
 
     return pages.select(F.col(host).alias("host"), built(F.col(page)).alias("structure")).distinct()
 
@@ -407,18 +456,18 @@ def _aligned(structures: DataFrame, keys: list[str]) -> DataFrame:
         out: list[tuple] = []
         for batch in batches:
             for *key, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                entry = json.loads(s)
+                entry = unpacked(s)
                 if now == key:
                     wrapper = merge(wrapper, entry)
                 else:
                     if now is not None:
-                        out.append((*now, json.dumps(wrapper, separators=(",", ":"))))
+                        out.append((*now, packed(wrapper)))
                     now, wrapper = key, entry
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=kind)
                 out = []
         if now is not None:
-            last = dict(zip(names, (*now, json.dumps(wrapper, separators=(",", ":"))), strict=True))
+            last = dict(zip(names, (*now, packed(wrapper)), strict=True))
             yield pa.RecordBatch.from_pylist([last], schema=kind)
 
     names = [*keys, "structure"]
@@ -443,7 +492,7 @@ def text_column(page: Column, wrapper: Column) -> Column:
         for p, w in zip(pages, wrappers, strict=True):
             w = w.as_py()
             if w not in known:
-                known[w] = json.loads(w)
+                known[w] = unpacked(w)
             out.append(read_page(page_tree(p.as_py() or ""), known[w]))
         return pa.array(out, pa.string())
 

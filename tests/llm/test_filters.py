@@ -226,3 +226,11 @@ def test_names_and_unread_elements(spark):
         "<article><object data=x><p>e</p></article>", "<article><p>f <button>g<div>h</div></button> i</p><svg><svg></svg>j</svg></article>",
         "<article><select><option>k<p>l</p></article><footer>z")
     assert texts == ["let x=2 be", "a\nc\nd", "e", "f i", "l"]
+
+
+def test_different_deep_pages(spark):
+    a, b = ("<div>" * n + f"deep {n}<p>x" for n in (6000, 20_000))
+    assert _texts(spark, a, b) == ["deep 6000\nx", "deep 20000\nx"]
+    assert _texts(spark, a + "</div>" * 6000 + b + "</div>" * 20_000) == ["deep 6000\nx\ndeep 20000\nx"]
+    deep = html_text.structure(html_text.page_tree(b))
+    assert html_text.packed(html_text.unpacked(html_text.packed(deep))) == html_text.packed(deep)
