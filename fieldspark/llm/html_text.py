@@ -3,16 +3,20 @@
 A page becomes a stream of block tags and text, inline markup left out. Repetitions in the stream are folded into
 repeated groups, which leaves few different structures per host. The structures of a host are aligned one after the other:
 tags that match are merged, runs that repeat become repeated groups, what only some pages have becomes optional, and text
-becomes a slot. In the wrapper that results every slot is inside or outside the main region, by the tags and names
-around it. Pages are then read through their host's wrapper.
+becomes a place for text. In the wrapper that results every place is inside or outside the main region, by the tags and names
+around it. The texts of all pages are then compared place by place: where they differ the place is a slot, where the pages
+of a host have the same text it belongs to the wrapper. Pages are read through their host's wrapper: the main region whole, and
+without a main region the slots.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Generator, Iterator
+from itertools import count
 
 import pyarrow as pa
 import regex
@@ -75,7 +79,7 @@ def unread_ends(tokens: list) -> dict[int, int]:
     """Where each unread element ends, by the place of its start; those that are not closed inside their parent block are left out."""
     ends: dict[int, int] = {}
     opened: list[tuple[str, int]] = []
-    count: dict[str, int] = {}
+    depth: dict[str, int] = {}
     for place, m in enumerate(tokens):
         if m[3] is None:
             continue
@@ -85,11 +89,11 @@ def unread_ends(tokens: list) -> dict[int, int]:
         if not m[2]:
             if tag in BLOCK or not m[4].endswith("/"):
                 opened.append((tag, place))
-                count[tag] = count.get(tag, 0) + 1
-        elif count.get(tag):
+                depth[tag] = depth.get(tag, 0) + 1
+        elif depth.get(tag):
             while True:
                 name, start = opened.pop()
-                count[name] -= 1
+                depth[name] -= 1
                 if name == tag:
                     break
             if tag in UNREAD:
@@ -195,7 +199,8 @@ def _run(call: Generator) -> list:
 def _merge_all(a: list, b: list) -> Generator:
     out = []
     for x, y in zip(a, b, strict=True):
-        out.append((yield _merge(x, y)))
+        bare = len(x[3]) == len(y[3]) == 1 and x[3][0][0] == y[3][0][0] == "#"  # so that == does not nest
+        out.append(x if bare and x == y else (yield _merge(x, y)))
     return out
 
 
@@ -314,10 +319,10 @@ def best_rank(entry: list, held: bool = False) -> int:
 class Part:
     """A wrapper's entry made ready for reading: its inner entries in sequence, groups resolved into spans that repeat."""
 
-    __slots__ = ("key", "repeated", "inner", "places", "spans")
+    __slots__ = ("key", "repeated", "number", "inner", "places", "spans")
 
     def __init__(self, entry: list):
-        self.key, self.repeated = entry[0], entry[1]
+        self.key, self.repeated, self.number = entry[0], entry[1], 0
         self.inner: list[Part] = []
         self.places: dict[str, list[int]] = {}
         self.spans: list[tuple[int, int]] = []
@@ -349,6 +354,7 @@ class Part:
 def compiled(wrapper: list) -> Part:
     top = Part(wrapper)
     todo = [(top, wrapper[3])]
+    numbers = count(1)
     while todo:
         part, entries = todo.pop()
         for entry in entries:
@@ -360,6 +366,7 @@ def compiled(wrapper: list) -> Part:
                     members += reversed(e[3])
                 else:
                     inner = Part(e)
+                    inner.number = next(numbers)
                     part.places.setdefault(e[0], []).append(len(part.inner))
                     part.inner.append(inner)
                     todo.append((inner, e[3]))
@@ -367,18 +374,42 @@ def compiled(wrapper: list) -> Part:
     return top
 
 
-def read_page(root: Node, wrapper: list) -> str:
+def prepared(wrapper: list) -> tuple[int, bool, Part]:
+    """A wrapper as pages are read through it: the rank of its main regions, whether only blocks beside them hold some, its parts."""
+    rank = best_rank(wrapper)
+    return rank or best_rank(wrapper, True), not rank and best_rank(wrapper, True) > 0, compiled(wrapper)
+
+
+def read_page(root: Node, wrapper: tuple[int, bool, Part], constant: frozenset[int] = frozenset()) -> str:
     """The texts in the wrapper's main slots, one line per block, in page order.
 
     Where the host has main regions only inside blocks that are beside it by their tag or name (a form around the page),
-    they are read together with the text outside such blocks. A page without the host's main region is read outside the regions that are beside it.
+    they are read together with the text outside such blocks. A page without the host's main region is read outside the
+    regions that are beside it. ``constant`` holds the places whose text is the wrapper's; they are left out outside main regions.
     """
-    rank, held, part = best_rank(wrapper), False, compiled(wrapper)
-    if not rank:
-        rank = best_rank(wrapper, True)
-        held = rank > 0
-    lines = _read(root, part, rank, held)
-    return "\n".join(lines if lines is not None or not rank else _read(root, part, 0) or [])
+    rank, held, part = wrapper
+    lines = _read(root, part, rank, held, constant)
+    return "\n".join(lines if lines is not None or not rank else _read(root, part, 0, False, constant) or [])
+
+
+def _hash(texts: list) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def place_texts(root: Node, wrapper: Part) -> list[tuple[int, int, int]]:
+    """(place, hash of the page's texts there in order, hash of the page's texts); place 0 stands for the page. None without texts."""
+    found: dict[int, list[str]] = {}
+    todo: list = [(root, wrapper)]
+    while todo:
+        node, part = todo.pop()
+        for child, its in matched(node, part):
+            if not isinstance(child, str):
+                todo.append((child, its))
+            elif its is not None:
+                found.setdefault(its.number, []).append(" ".join(child.split()))
+    places = [(number, _hash(texts)) for number, texts in sorted(found.items())]
+    page = _hash([str(x) for x in places])
+    return [(number, text, page) for number, text in [(0, page), *places]] if places else []
 
 
 def matched(node: Node, part: Part | None) -> Iterator[tuple[Node | str, Part | None]]:
@@ -393,7 +424,7 @@ def matched(node: Node, part: Part | None) -> Iterator[tuple[Node | str, Part |
         yield child, None if place < 0 else part.inner[place]
 
 
-def _read(root: Node, wrapper: Part, rank: int, held: bool = False) -> list[str] | None:
+def _read(root: Node, wrapper: Part, rank: int, held: bool, constant: frozenset[int]) -> list[str] | None:
     """Lines of the regions of this rank (0: the whole page); None if the page has none.
 
     ``held``: lines outside the blocks beside the main text, and of the regions of this rank inside these blocks.
@@ -431,7 +462,9 @@ def _read(root: Node, wrapper: Part, rank: int, held: bool = False) -> list[str]
             regions.update(id(child) for child in node.children)
         end()
         todo.append(None)
-        todo += reversed([(child, its, inside) for child, its in matched(node, part)])
+        todo += reversed([
+            (child, its, inside and (region or its is None or its.number not in constant)) if isinstance(child, str) else (child, its, inside)
+            for child, its in matched(node, part)])
     end()
     return lines if met else None
 
@@ -482,27 +515,55 @@ def infer_wrappers(pages: DataFrame, host: str, page: str, parts: int = 32) -> D
     return _aligned(_aligned(structures, ["host", "part"]), ["host"]).withColumnRenamed("structure", "wrapper")
 
 
-def text_column(page: Column, wrapper: Column) -> Column:
+def constant_places(pages: DataFrame, host: str, page: str, wrapper: str) -> DataFrame:
+    """(host, constant): the places whose text belongs to each host's wrapper.
+
+    It is the same in all pages that have the place; they are at least two different pages and more than half of the host's pages.
+    """
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.int64()), ("page", pa.int64())]))
+
+    @F.arrow_udf("array<struct<place:int,text:bigint,page:bigint>>")
+    def placed(texts: pa.Array, wrappers: pa.Array) -> pa.Array:
+        known: dict[str, Part] = {}
+        out = []
+        for t, w in zip(texts, wrappers, strict=True):
+            w = w.as_py()
+            if w not in known:
+                known[w] = compiled(unpacked(w))
+            out.append([{"place": n, "text": x, "page": y} for n, x, y in place_texts(page_tree(t.as_py() or ""), known[w])])
+        return pa.array(out, kind)
+
+    seen = pages.select(F.col(host).alias("host"), F.explode(placed(F.col(page), F.col(wrapper))).alias("p")).groupBy("host", "p.place").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("p.text") == F.max("p.text")).alias("same"), (F.min("p.page") < F.max("p.page")).alias("differ"))
+    places = seen.groupBy("host").agg(
+        F.max(F.when(F.col("place") == 0, F.col("n"))).alias("n"),
+        F.sort_array(F.collect_list(F.when(F.col("same") & F.col("differ"), F.struct("place", "n")))).alias("same"))
+    most = F.filter("same", lambda x: x["n"] * 2 > F.col("n"))
+    return places.select("host", F.transform(most, lambda x: x["place"]).alias("constant"))
+
+
+def text_column(page: Column, wrapper: Column, constant: Column) -> Column:
     """Main text of each page, read through its wrapper."""
 
     @F.arrow_udf("string")
-    def read(pages: pa.Array, wrappers: pa.Array) -> pa.Array:
-        known: dict[str, list] = {}
+    def read(pages: pa.Array, wrappers: pa.Array, constants: pa.Array) -> pa.Array:
+        known: dict[str, tuple] = {}
         out = []
-        for p, w in zip(pages, wrappers, strict=True):
+        for p, w, c in zip(pages, wrappers, constants, strict=True):
             w = w.as_py()
             if w not in known:
-                known[w] = unpacked(w)
-            out.append(read_page(page_tree(p.as_py() or ""), known[w]))
+                known[w] = prepared(unpacked(w))
+            out.append(read_page(page_tree(p.as_py() or ""), known[w], frozenset(c.as_py() or ())))
         return pa.array(out, pa.string())
 
-    return read(page, wrapper)
+    return read(page, wrapper, constant)
 
 
 def extract_text(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of each page in ``out``.
 
     Character references are decoded, white space inside a block is one space, blocks are lines in page order.
+    Text that the pages of a host have in common is left out where a page has no main region.
     Null and empty pages give an empty text. Pages without a host (null or odd URL) form one host. Repeated
     rows are read alike; a host with one page is its own wrapper; other columns pass through. Wrappers are broadcast
     if their number is small by count, else joined.
@@ -511,5 +572,8 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", out: st
     wrapper = free_name(pages, "wrapper")
     named = pages.withColumn(host, host_of(F.col(url)))
     found = store(infer_wrappers(named, host, page).select(F.col("host").alias(host), F.col("wrapper").alias(wrapper)), "wrappers")
-    joined = named.join(bounded_broadcast(found, 2000), host)
-    return joined.withColumn(out, text_column(F.col(page), F.col(wrapper))).select(*[c for c in pages.columns if c != out], out)
+    constant = free_name(pages, "constant")
+    placed = constant_places(named.join(bounded_broadcast(found, 2000), host), host, page, wrapper)
+    known = store(found.join(placed.select(F.col("host").alias(host), F.col("constant").alias(constant)), host, "left"), "wrappers")
+    joined = named.join(bounded_broadcast(known, 2000), host)
+    return joined.withColumn(out, text_column(F.col(page), F.col(wrapper), F.col(constant))).select(*[c for c in pages.columns if c != out], out)

@@ -234,3 +234,15 @@ def test_different_deep_pages(spark):
     assert _texts(spark, a + "</div>" * 6000 + b + "</div>" * 20_000) == ["deep 6000\nx\ndeep 20000\nx"]
     deep = html_text.structure(html_text.page_tree(b))
     assert html_text.packed(html_text.unpacked(html_text.packed(deep))) == html_text.packed(deep)
+
+
+def test_constant_text_of_a_host(spark):
+    page = "<div class=x7>We use cookies</div><ul><li>Home<li>About</ul><div><p>text %s<p>more %s</div><div class=y>all rights <b>reserved</b></div>"
+    pages = [page % (k, k * k) for k in range(2, 5)]
+    assert _texts(spark, *pages) == [f"text {k}\nmore {k * k}" for k in range(2, 5)]
+    whole = "We use cookies\nHome\nAbout\ntext 2\nmore 4\nall rights reserved"
+    assert _texts(spark, pages[0]) == [whole] and _texts(spark, pages[0], pages[0]) == [whole] * 2  # nothing to compare with
+    odd = "<div class=y>only here</div>"  # this place differs, so it is a slot
+    assert _texts(spark, *pages, odd) == [f"text {k}\nmore {k * k}\nall rights reserved" for k in range(2, 5)] + ["only here"]
+    inside = "<main><h2>Same</h2><p>%s</main>"
+    assert _texts(spark, inside % 1, inside % 2) == ["Same\n1", "Same\n2"]
