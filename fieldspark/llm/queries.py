@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, line_dedup, near_dup, pseudonyms, sharding, topk, toxicity, url_filter
+from fieldspark.scale import scratch_path
+
+from . import (
+    bpe, decontaminate, html_text, line_dedup, near_dup, phrases, pseudonyms, repair, sharding, topk, toxicity, url_filter, warc,
+)
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +96,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("tokens.decoded", 256).alias("decoded_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = warc.resolve_revisits(warc.read_archives(spark, path, payload=False))
+    return records.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audits = repair.audit_conversations(repair.damage(table(spark, sf_dir, "conversations")))
+    return audits.withColumnRenamed("conv", "conv_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +130,9 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_bpe": op10_bpe,
+    "op11_warc": op11_warc,
+    "op12_phrases": op12_phrases,
+    "op13_repair": op13_repair,
     "pipeline": pipeline,
 }
 
@@ -186,5 +210,45 @@ items AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM word_lists LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op11_warc": r"""
+WITH full_pages AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, h, array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  (('0x' || substr(h, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) % 32 + 1, 1)), '') AS payload_digest
+  FROM full_pages)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = max(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER same THEN NULL ELSE max(page_id) OVER same END AS refers_to
+FROM coded WINDOW same AS (PARTITION BY h)
+""",
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+        FROM lists, (SELECT unnest(generate_series(1, 5)) AS m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM grams WHERE m > 1)),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN totals t ON c.lang = t.lang
+  JOIN grams x ON x.lang = c.lang AND x.phrase = c.head JOIN grams y ON y.lang = c.lang AND y.phrase = c.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM grams g WHERE g.lang = b.lang AND g.m > b.m AND 100 * g.f >= 100 * b.a
+                            AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
 """,
 }
