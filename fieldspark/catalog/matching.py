@@ -103,3 +103,27 @@ def evaluation_sparse_images(spark, sf):
 )
 def image_union(spark, sf):
     return match.image_sizes(*sides(spark, sf), "img").select("img").orderBy("img")
+
+
+# One of forty boxes lies in one image, which goes through cells of size classes.
+_HOT = """
+, hot_gt as (select case when ord % 40 = 0 then 'img_hot.jpg' else img end as img, ord, x1, y1, x2, y2 from fx_gt),
+hot_gen as (select case when ord % 40 = 0 then 'img_hot.jpg' else img end as img, ord, x1, y1, x2, y2, score from fx_detections)"""
+
+
+@query(
+    "evaluation_hot_image",
+    with_views("fx_gt", recursive=True, body=_HOT + MATCH.replace("from fx_detections", "from hot_gen").replace("fx_gt", "hot_gt") + """
+, k as (select img, count(*) tp, round(sum(iou), 4) as iou_sum from pairs group by img), p as (select img, count(*) p from gen group by img),
+g as (select img, count(*) g from hot_gt group by img)
+select img, g as num_gt, p as num_generated, coalesce(tp, 0) as num_tp, coalesce(iou_sum, 0) as iou_sum from g join p using (img) left join k using (img)"""),
+)
+def evaluation_hot_image(spark, sf):
+    """One image holds one of forty boxes, whatever the scale; images over 20 boxes are matched through cells."""
+    name = F.when(F.col("ord") % 40 == 0, "img_hot.jpg").otherwise(F.col("img"))
+    gt, gen = (side.withColumn("img", name).select("img", "ord", "box", *more) for side, more in zip(sides(spark, sf), ((), ("score",))))
+    gen = gen.filter(F.col("score") >= 0.5)
+    found = match.match_boxes(gt, gen, 0.5, "img", limit=20).groupBy("img").agg(
+        F.count(F.lit(1)).alias("num_tp"), F.round(F.sum("iou"), 4).alias("iou_sum"))
+    return match.image_sizes(gt, gen, "img").join(found, "img", "left").filter("num_gt > 0 AND num_generated > 0").select(
+        "img", "num_gt", "num_generated", F.coalesce("num_tp", F.lit(0)).alias("num_tp"), F.coalesce("iou_sum", F.lit(0.0)).alias("iou_sum"))

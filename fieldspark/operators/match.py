@@ -111,18 +111,96 @@ def _finish(pairs: DataFrame, image: str) -> DataFrame:
     return rows.select(image, F.col("_r.gt_ord"), F.col("_r.gen_ord"), (-F.col("_r.neg")).alias("iou"))
 
 
+def take_copies(pairs: list, gens: list, gts: list) -> tuple[list[int], list[int], list[float]]:
+    """Greedy choice over different boxes: ``pairs`` (gen box, gt box, iou), and the list positions of each box's copies."""
+    copies = {g["first"]: g["ords"] for g in gts}
+    used = dict.fromkeys(copies, 0)
+    partners: dict[int, list[tuple[float, int]]] = {}
+    for p in pairs:
+        partners.setdefault(p["gen"], []).append((-p["iou"], p["gt"]))
+    out: tuple[list[int], list[int], list[float]] = ([], [], [])
+    for found in partners.values():
+        found.sort(reverse=True)  # best last, so that exhausted ones are popped
+    for ord_, first in sorted((o, g["first"]) for g in gens if g["first"] in partners for o in g["ords"]):
+        found = partners[first]
+        while found and used[found[-1][1]] == len(copies[found[-1][1]]):
+            found.pop()
+        if not found:
+            continue
+        best = found[-1][0]
+        at, k = None, len(found)
+        while k and found[k - 1][0] == best:
+            k -= 1
+            box = found[k][1]
+            if used[box] < len(copies[box]) and (at is None or copies[box][used[box]] < copies[at][used[at]]):
+                at = box
+        for column, value in zip(out, (ord_, copies[at][used[at]], -best), strict=True):
+            column.append(value)
+        used[at] += 1
+    return out
+
+
+def _copies(df: DataFrame, image: str) -> DataFrame:
+    """Different boxes of each image under the ``ord`` of their first copy, with the number of copies."""
+    return df.groupBy(image, "box").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+
+
+def _with_copies(pairs: DataFrame, gt: DataFrame, gen: DataFrame, image: str) -> DataFrame:
+    """Pairs of images with many copies, decided from one row per pair of different boxes."""
+    images = pairs.select(image).distinct()
+
+    def lists(df: DataFrame, name: str) -> DataFrame:
+        of_box = df.join(images, image, "left_semi").groupBy(image, "box").agg(F.array_sort(F.collect_list("ord")).alias("ords"))
+        return of_box.groupBy(image).agg(F.collect_list(F.struct(F.element_at("ords", 1).alias("first"), "ords")).alias(name))
+
+    @F.pandas_udf("struct<gen:array<bigint>,gt:array<bigint>,iou:array<double>>")
+    def take(p: pd.Series, gens: pd.Series, gts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([take_copies(*row) for row in zip(p, gens, gts)], columns=["gen", "gt", "iou"])
+
+    body = F.struct(F.col("gen_ord").alias("gen"), F.col("gt_ord").alias("gt"), "iou")
+    both = pairs.groupBy(image).agg(F.collect_list(body).alias("_p")).join(lists(gen, "_gen"), image).join(lists(gt, "_gt"), image)
+    taken = both.select(image, take("_p", "_gen", "_gt").alias("_t"))
+    return taken.select(image, F.inline(F.arrays_zip(F.col("_t.gt").alias("gt_ord"), F.col("_t.gen").alias("gen_ord"), F.col("_t.iou").alias("iou"))))
+
+
 def _large(gt: DataFrame, gen: DataFrame, image: str, threshold: float, pair_limit: int) -> DataFrame:
     """The same result for images of any size.
 
-    Only pairs that reach the threshold are formed, through cells. An image with up to
-    ``pair_limit`` open pairs is finished in one pass. Larger ones go on in rounds of two exact steps: a
+    Only pairs that reach the threshold are formed, between different boxes, in cells that follow the boxes' sizes. An
+    image whose boxes repeat so often that their copies make more than ``pair_limit`` pairs, but the different ones do not,
+    is decided from those (its list positions, not its pairs, are held by one task). All others go on in rounds.
+    """
+    if threshold < sp.LEAST_IOU:
+        pairs = overlap_join(gen, gt, [image], max(threshold, 0.0), strict=threshold <= 0.0)
+        return _rounds(cut_lineage(pairs.select(image, F.col("l_ord").alias("gen_ord"), F.col("r_ord").alias("gt_ord"), "iou")), image, pair_limit)
+    gts, gens = cut_lineage(_copies(gt, image)), cut_lineage(_copies(gen, image))
+    once = sp.near_pairs(gens, gts, [image], threshold)
+    once = cut_lineage(once.select(image, F.col("l_ord").alias("gen_ord"), F.col("r_ord").alias("gt_ord"), "iou"))
+    if gts.filter("n > 1").isEmpty() and gens.filter("n > 1").isEmpty():
+        return _rounds(once, image, pair_limit)
+    counted = once
+    for side, name in ((gens, "gen_ord"), (gts, "gt_ord")):
+        counted = counted.join(side.select(image, F.col("ord").alias(name), F.col("n").alias(f"{name}_n")), [image, name])
+    load = counted.groupBy(image).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("gen_ord_n") * F.col("gt_ord_n")).alias("rows"))
+    copied = bounded_broadcast(cut_lineage(load.filter((F.col("rows") > pair_limit) & (F.col("pairs") <= pair_limit)).select(image)))
+    rows = once.join(copied, image, "left_anti")
+    for df, name in ((gen, "gen_ord"), (gt, "gt_ord")):
+        # every copy in place of the first one
+        own = df.select(image, "box", F.col("ord").alias("_own"))
+        firsts = _copies(df, image).select(image, "box", F.col("ord").alias(name))
+        rows = rows.join(own.join(firsts, [image, "box"]).drop("box"), [image, name]).drop(name).withColumnRenamed("_own", name)
+    rows = cut_lineage(rows.select(image, "gen_ord", "gt_ord", "iou"))
+    return _rounds(rows, image, pair_limit).unionByName(_with_copies(once.join(copied, image, "left_semi"), gt, gen, image))
+
+
+def _rounds(pairs: DataFrame, image: str, pair_limit: int) -> DataFrame:
+    """Greedy choice over candidate pairs of any number.
+
+    An image with up to ``pair_limit`` open pairs is finished in one pass. Larger ones go on in rounds of two exact steps: a
     generated box takes its best free partner if no earlier undecided box has that partner among its
     candidates; and the pairs of the first boxes in list order, about half of ``pair_limit``, are
     settled together. Each round drops the pairs of boxes that are taken or passed.
     """
-    positive = threshold <= 0.0
-    pairs = overlap_join(gen, gt, [image], max(threshold, 0.0), strict=positive)
-    pairs = cut_lineage(pairs.select(image, F.col("l_ord").alias("gen_ord"), F.col("r_ord").alias("gt_ord"), "iou"))
     parts: list[DataFrame] = []
 
     def settle(new: DataFrame, passed: DataFrame) -> DataFrame:

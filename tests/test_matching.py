@@ -98,3 +98,52 @@ def test_crop_size_without_boxes_is_passed_over(spark):
     g = spark.createDataFrame([(1024, 0.4), (512, 0.8)], "size int, iou double")
     sizes = spark.createDataFrame([(1024,), (768,), (512,)], "size int")
     assert [r.size for r in fewshot.crop_size_search(g, sizes).collect()] == [1024, 512]
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.5, 0.75, 1.0])
+@pytest.mark.parametrize("pair_limit", [40, 500_000])
+def test_large_images_with_copies_and_mixed_sizes(spark, threshold, pair_limit):
+    """Boxes of very different sizes, repeated on both sides, equal to the plan for small images."""
+    rnd = random.Random(11)
+
+    def rows(n, image):
+        out = []
+        for i in range(n):
+            w, h, x, y = 2 ** rnd.uniform(0, 9), 2 ** rnd.uniform(0, 9), rnd.uniform(-300, 300), rnd.uniform(-300, 300)
+            box = rnd.choice([(x, y, x + w, y + h), (0.0, 0.0, 64.0, 64.0), (0.0, 0.0, 64.0, 60.0), (1.0, 0.0, 65.0, 64.0), (5.0, 5.0, 5.0, 9.0)])
+            out.append((image, i, "c", 1.0, *box))
+        return out
+
+    gt = side(spark, rows(150, "a") + rows(30, "b") + rows(3, "c"))
+    gen = side(spark, rows(200, "a") + rows(40, "b") + rows(3, "c"))
+    key = ["image_path", "gt_ord", "gen_ord"]
+    small = sorted(map(tuple, match.match_boxes(gt, gen, threshold).select(key).collect()))
+    large = sorted(map(tuple, match.match_boxes(gt, gen, threshold, limit=10, pair_limit=pair_limit).select(key).collect()))
+    assert small == large and small
+
+
+def test_near_pairs_are_all_pairs(spark):
+    from fieldspark.operators import spatial
+
+    rnd = random.Random(12)
+
+    def boxes(n):
+        out = []
+        for _ in range(n):
+            w, h = 2 ** rnd.uniform(-3, 6), 2 ** rnd.uniform(-3, 6)
+            x, y = rnd.choice([0, rnd.uniform(-40, 40)]), rnd.choice([0, rnd.uniform(-40, 40)])
+            out.append((x, y, x + w, y + h))
+        return out
+
+    a, b = boxes(150), boxes(150)
+
+    def iou(p, q):
+        w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+        inter = max(w, 0) * max(h, 0)
+        return inter / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - inter)
+
+    left, right = (side(spark, [("a", i, "c", 1.0, *map(float, x)) for i, x in enumerate(s)]) for s in (a, b))
+    for t in (0.1, 0.4, 0.5, 0.8):
+        for cell_rows in (2, 1024):
+            got = sorted((r.l_ord, r.r_ord) for r in spatial.near_pairs(left, right, ["image_path"], t, cell_rows).collect())
+            assert got == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if iou(p, q) >= t)
