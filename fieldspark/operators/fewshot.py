@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from ..functions.numbers import round_to
+from ..scale import bounded_broadcast, cut_lineage
 from .similarity import similarity
 from .suppress import nms
 
@@ -53,14 +54,41 @@ def split_by_dim(supports: DataFrame, dims: DataFrame) -> tuple[DataFrame, DataF
     return good.drop("dim"), bad.groupBy("backend", "class", "dim").agg(F.count(F.lit(1)).alias("n_vectors"))
 
 
-def best_class(scored: DataFrame, ids: list[str], threshold: float | None = None) -> DataFrame:
-    """The most similar class per row, first class name on ties."""
-    if threshold is not None:
-        scored = scored.filter(F.col("similarity") > threshold)
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("class"))).alias("_b")
-    return scored.groupBy(*ids).agg(best).select(
-        *ids, F.col("_b.class").alias("class"), (-F.col("_b.s")).alias("similarity")
-    )
+def fit_supports(supports: DataFrame, dims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable supports, report of skipped classes) for support rows ``backend, class, ord, embedding``.
+
+    ``dims``: ``backend, dim`` of the proposals. A class whose vectors have that dimension is used as it is. One
+    that has exactly ``dim`` vectors of another common length was stored transposed and is turned; any other is skipped and
+    reported with its number of vectors, their shortest and longest length and the dimension asked for. A backend without
+    dimension has no proposals, so its classes are neither used nor reported.
+    """
+    keys = ["backend", "class"]
+    length = F.size("embedding")
+    shapes = supports.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_vectors"), F.min(length).alias("shortest"), F.max(length).alias("longest")
+    ).join(dims.select("backend", "dim").distinct(), "backend")
+    even = F.col("shortest") == F.col("longest")
+    shapes = cut_lineage(shapes.withColumn("_fit", F.when(even & (F.col("longest") == F.col("dim")), "used").when(
+        even & (F.col("n_vectors") == F.col("dim")), "turned").otherwise("skipped")))
+
+    def of(kind: str) -> DataFrame:
+        return bounded_broadcast(shapes.filter(F.col("_fit") == kind).select(*keys))
+
+    used = supports.join(of("used"), keys, "left_semi").select(*keys, "ord", "embedding")
+    # one value of each vector per new row; only classes with as many rows as a vector has values come here
+    values = supports.join(of("turned"), keys, "left_semi").select(*keys, "ord", F.posexplode("embedding").alias("_k", "_v"))
+    turned = values.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(F.struct("ord", "_v"))).alias("_column"))
+    turned = turned.select(*keys, F.col("_k").cast(supports.schema["ord"].dataType).alias("ord"),
+                           F.transform("_column", lambda e: e["_v"]).alias("embedding"))
+    skipped = shapes.filter("_fit = 'skipped'").select(*keys, "n_vectors", "shortest", "longest", "dim")
+    return used.unionByName(turned), skipped
+
+
+def classify_repaired(props: DataFrame, supports: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(detections of ``classify``, report of ``fit_supports``): supports are turned or skipped to fit the proposals."""
+    dims = props.groupBy("backend").agg(F.max(F.size("embedding")).alias("dim"))
+    usable, skipped = fit_supports(supports, dims)
+    return classify(props, usable, **options), skipped
 
 
 def classify(

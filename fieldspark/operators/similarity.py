@@ -2,24 +2,30 @@
 
 A reference table up to ``budget`` bytes (checked) is broadcast as one matrix per
 (keys, dimension) and multiplied inside a vectorised UDF: the other columns of the
-large side stay in the JVM and nothing is shuffled. A larger reference table is cut into
-slices that meet chunks of the other side in co-grouped tasks; partial maxima are then
-combined. Neither plan emits a row per pair of vectors.
+large side stay in the JVM and nothing is shuffled. A larger reference table is streamed:
+vectors are dealt into chunks that fit into a task, each row going to one of them, and every
+chunk reads the references in order of their class behind its vectors, keeping running maxima.
+Blocks of references whose centre and radius rule out a greater value are passed over.
+Neither plan emits a row per pair of vectors.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..scale import cut_lineage
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SLICE_BYTES = 32 * 1024 * 1024
+#: Vectors of one chunk, as doubles.
+CHUNK_BYTES = 128 * 1024 * 1024
+#: Smallest block of references whose bound is looked at first.
+BOUND_ROWS = 8
 #: Floor of a vector norm.
 EPS = 1e-12
 
@@ -81,7 +87,7 @@ def _spread(df: DataFrame, ids: list[str], found: str, outer: bool) -> DataFrame
 
 def similarity(
     vectors: DataFrame, refs: DataFrame, keys: list[str], ids: list[str], mode: str = "max",
-    budget: int = BROADCAST_BYTES, slice_bytes: int = SLICE_BYTES, best_only: Column | None = None,
+    budget: int = BROADCAST_BYTES, chunk_bytes: int = CHUNK_BYTES, best_only: Column | None = None,
     keep_unmatched: bool = False,
 ) -> DataFrame:
     """Greatest cosine per vector and class: ``ids, class, similarity``.
@@ -93,7 +99,7 @@ def similarity(
     vectors without any class with nulls.
     """
     flag = (F.lit(False) if best_only is None else best_only).alias("_one")
-    refs = refs.select(*keys, "class", "embedding")
+    refs = refs.select(*keys, "class", "embedding").filter(F.col("embedding").isNotNull())
     n_keys = len(keys)
     size = reference_bytes(refs)
     if size <= budget:
@@ -108,36 +114,161 @@ def similarity(
         row = F.struct(*[F.col(k) for k in keys], F.col("embedding"), flag)
         return _spread(vectors.select(*ids, search(row).alias("_f")), ids, "_f", keep_unmatched)
 
-    n_slices = math.ceil(size / slice_bytes)
-    # every row gets a number of its own, written down before the rows part: alike rows stay apart
-    numbered = cut_lineage(vectors.select(*vectors.columns, F.monotonically_increasing_id().alias("_id"), flag))
-    n_chunks = max(1, math.ceil(reference_bytes(numbered) / slice_bytes))
-    slim = numbered.select(*keys, "_id", "embedding", "_one")
-    number = F.pmod(F.xxhash64("_id"), F.lit(n_chunks)).alias("_c")
-    # the vector side is sent once per slice
-    left = slim.select("*", number, F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("_s"))
-    piece = F.pmod(F.xxhash64("class", "embedding"), F.lit(n_slices)).cast("int").alias("_s")
+    total = vectors.agg(F.sum(F.size("embedding").cast("bigint") * 8)).first()[0] or 0
+    return _streamed(vectors.withColumn("_one", flag), refs, keys, ids, mode, max(1, math.ceil(total / chunk_bytes)), keep_unmatched)
+
+
+def _streamed(
+    vectors: DataFrame, refs: DataFrame, keys: list[str], ids: list[str], mode: str, n_chunks: int, keep_unmatched: bool,
+) -> DataFrame:
+    """One exchange: vectors once, references once per chunk of vectors."""
+    fields = [vectors.schema[c] for c in ids]
+    row = F.struct(*ids)
+    left = vectors.select(
+        F.pmod(F.xxhash64(*keys, "embedding", row), F.lit(n_chunks)).cast("int").alias("_c"), F.lit(0).alias("_kind"), *keys,
+        F.lit(None).cast("string").alias("class"), F.col("embedding").cast("array<double>"), "_one", row.alias("_row"))
     right = refs.select(
-        "*", piece, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")).alias("_c")
-    )
-    schema = f"_id bigint, _one boolean, _f {FOUND}"
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        blocks = _blocks(b, keys, mode) if len(b) else {}
-        found = _search(blocks, a[keys], a["embedding"], a["_one"].to_numpy(dtype=bool), mode)
-        if not len(a):
-            return pd.DataFrame({"_id": [], "_one": [], "_f": pd.Series([], dtype=object)})
-        return a[["_id", "_one"]].assign(_f=found.to_dict("records"))
-
-    partial = left.groupBy("_s", "_c").cogroup(right.groupBy("_s", "_c")).applyInPandas(pair, schema)
-    rows = _spread(partial, ["_id", "_one"], "_f", True)
-    merged = rows.groupBy("_id", "_one", "class").agg(F.max("similarity").alias("similarity"))
-    each = merged.filter(~F.col("_one") & F.col("class").isNotNull()).select("_id", "class", "similarity")
-    named = F.when(F.col("class").isNotNull(), F.struct((-F.col("similarity")).alias("s"), F.col("class").alias("c")))
-    per_row = merged.groupBy("_id", "_one").agg(F.min(named).alias("_b"))
-    top = per_row.filter(F.col("_one") | F.col("_b").isNull()).select(
-        "_id", F.col("_b.c").alias("class"), (-F.col("_b.s")).alias("similarity")
-    )
-    out = each.unionByName(top if keep_unmatched else top.filter(F.col("class").isNotNull()))
-    carried = numbered.select("_id", F.struct(*ids).alias("_row"))
-    return out.join(carried, "_id").select("_row.*", "class", "similarity")
+        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_c"), F.lit(1).alias("_kind"), *keys, F.col("class").cast("string"),
+        F.col("embedding").cast("array<double>"), F.lit(False).alias("_one"), F.lit(None).cast(StructType(fields)).alias("_row"))
+    both = left.unionByName(right).repartition(n_chunks, "_c").sortWithinPartitions("_c", "_kind", *keys, "class")
+    schema = StructType([*fields, StructField("class", StringType()), StructField("similarity", DoubleType())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: _Chunk | None = None
+        for batch in batches:
+            numbers = batch.column("_c").to_numpy()
+            kinds = batch.column("_kind").to_numpy()
+            cuts = np.flatnonzero(np.diff(numbers) | np.diff(kinds)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(numbers)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if chunk is None or chunk.number != numbers[lo]:
+                    if chunk is not None:
+                        yield from chunk.rest()
+                    chunk = _Chunk(int(numbers[lo]), keys, mode, keep_unmatched)
+                if kinds[lo] == 0:
+                    chunk.add(part)
+                else:
+                    yield from chunk.compare(part)
+        if chunk is not None:
+            yield from chunk.rest()
+
+    return both.mapInArrow(search, schema)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray | None]:
+    """Each vector of a list column as a view of one array."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [None if null else values[a:b] for a, b, null in
+            zip(offsets[:-1], offsets[1:], column.is_null().to_pylist(), strict=True)]
+
+
+class _Group:
+    """Different vectors of one chunk that agree in keys and dimension, and the rows that carry them."""
+
+    def __init__(self) -> None:
+        self.vectors: dict[bytes, int] = {}
+        self.rows: list[int] = []
+        self.of: list[int] = []
+        self.one: list[bool] = []
+
+    def close(self, mode: str) -> None:
+        self.unit = unit(np.stack([np.frombuffer(v) for v in self.vectors]), mode) if self.vectors else np.empty((0, 0))
+        n = len(self.vectors)
+        self.rows, self.of, self.one = np.array(self.rows), np.array(self.of), np.array(self.one)
+        self.each = np.zeros(n, bool)
+        self.each[self.of[~self.one]] = True
+        self.best, self.name = np.full(n, -np.inf), np.full(n, None, object)
+        self.now = np.full(n, -np.inf)
+        self.seen = False
+
+    def compare(self, refs: np.ndarray) -> None:
+        """Raise the running maxima of the present class."""
+        floor = np.where(self.each, self.now, np.maximum(self.now, self.best))
+        some = np.arange(len(floor))
+        if len(refs) >= BOUND_ROWS and np.isfinite(floor).any():
+            centre = refs.mean(axis=0)
+            bound = self.unit @ centre + np.sqrt(((refs - centre) ** 2).sum(axis=1).max()) + 1e-9
+            some = np.flatnonzero(bound > floor)
+        if len(some):
+            self.now[some] = np.maximum(self.now[some], (self.unit[some] @ refs.T).max(axis=1))
+
+
+class _Chunk:
+    def __init__(self, number: int, keys: list[str], mode: str, keep_unmatched: bool):
+        self.number, self.keys, self.mode, self.keep_unmatched = number, keys, mode, keep_unmatched
+        self.groups: dict[tuple, _Group] = {}
+        self.parts: list[pa.Array] = []
+        self.n = 0
+        self.present: tuple | None = None
+        self.closed = False
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        names = list(zip(*(batch.column(k).to_pylist() for k in self.keys), strict=True)) if self.keys else [()] * len(batch)
+        for k, (key, vector, one) in enumerate(zip(names, _lists(batch.column("embedding")), batch.column("_one").to_pylist(), strict=True)):
+            group = self.groups.setdefault((key, -1 if vector is None else len(vector)), _Group())
+            group.rows.append(self.n + k)
+            group.of.append(0 if vector is None else group.vectors.setdefault(vector.tobytes(), len(group.vectors)))
+            group.one.append(bool(one))
+        self.parts.append(batch.column("_row"))
+        self.n += len(batch)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.ids = pa.concat_arrays(self.parts).flatten() if self.parts else []
+            self.parts = []
+            for (_, dim), group in self.groups.items():
+                if dim >= 0:
+                    group.close(self.mode)
+            self.closed = True
+
+    def compare(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.close()
+        names = list(zip(*(batch.column(k).to_pylist() for k in [*self.keys, "class"]), strict=True))
+        vectors = _lists(batch.column("embedding"))
+        start = 0
+        for k in range(1, len(names) + 1):
+            if k == len(names) or names[k] != names[start]:
+                if self.present != names[start]:
+                    yield from self.finish()
+                    self.present = names[start]
+                by_dim: dict[int, list[np.ndarray]] = {}
+                for v in vectors[start:k]:
+                    by_dim.setdefault(-1 if v is None else len(v), []).append(v)
+                for dim, refs in by_dim.items():
+                    group = self.groups.get((names[start][:-1], dim))
+                    if dim >= 0 and group is not None:
+                        group.seen = True
+                        group.compare(unit(np.stack(refs), self.mode))
+                start = k
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        """The maxima of the present class."""
+        if self.present is None:
+            return
+        for (key, dim), group in self.groups.items():
+            if dim < 0 or key != self.present[:-1] or not group.seen:
+                continue
+            better = group.now > group.best
+            group.best[better], group.name[better] = group.now[better], self.present[-1]
+            each = ~group.one & np.isfinite(group.now[group.of])
+            if each.any():
+                yield self.out(group.rows[each], [self.present[-1]] * int(each.sum()), group.now[group.of[each]])
+            group.now[:] = -np.inf
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """The best classes, and rows that no class fits."""
+        self.close()
+        yield from self.finish()
+        for (_, dim), group in self.groups.items():
+            if dim < 0 or not group.seen:
+                if self.keep_unmatched:
+                    yield self.out(np.array(group.rows), [None] * len(group.rows), None)
+            elif group.one.any():
+                of = group.of[group.one]
+                yield self.out(group.rows[group.one], list(group.name[of]), group.best[of])
+
+    def out(self, rows: np.ndarray, names: list, values: np.ndarray | None) -> pa.RecordBatch:
+        sims = pa.array(values) if values is not None else pa.nulls(len(rows), pa.float64())
+        at = pa.array(rows)
+        return pa.RecordBatch.from_arrays([*(c.take(at) for c in self.ids), pa.array(names, pa.string()), sims],
+                                          [*(f"c{k}" for k in range(len(self.ids))), "class", "similarity"])

@@ -143,7 +143,7 @@ def test_similarity_plans_agree_and_mismatched_dims_are_skipped(spark):
         return sorted((r.ord, r["class"], round(r.similarity, 9)) for r in s.collect())
 
     small = rows()
-    assert small == rows(budget=1, slice_bytes=400)
+    assert small == rows(budget=1, chunk_bytes=400)
     assert len(small) == 200
 
 
@@ -220,7 +220,7 @@ def test_relabel_keeps_alike_rows_beyond_the_budget(spark):
         [("a.jpg", "weed", [1.0, 0.0]), ("a.jpg", "weed", [1.0, 0.0]), ("a.jpg", "weed", [0.0, 1.0]), ("b.jpg", "crop", [0.6, 0.8])],
         "img string, label string, embedding array<double>")
     protos = spark.createDataFrame([("p", 0, [1.0, 0.0]), ("q", 1, [0.0, 1.0])], "class string, cls_ord int, embedding array<double>")
-    small, sliced = (sorted(map(tuple, rl.relabel(det, protos, **o).collect())) for o in ({}, {"budget": 1, "slice_bytes": 16}))
+    small, sliced = (sorted(map(tuple, rl.relabel(det, protos, **o).collect())) for o in ({}, {"budget": 1, "chunk_bytes": 16}))
     assert small == sliced and len(small) == 4
 
 
@@ -240,3 +240,37 @@ def test_geojson_opens(spark):
     assert got[0]["geometry"] == {"type": "Polygon", "coordinates": [[[0.5, -1.0], [2.0, 0.0], [0.5, -1.0]], [[1.0, 1.0], [1.5, 1.0], [1.0, 1.0]]]}
     assert got[1]["geometry"] == {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [0, 0]]], [[[5, 5], [6, 5], [5, 5]]]]}
     assert got[2]["geometry"] is None and got[2]["properties"] == {"level": "c", "n": 5}
+
+
+def test_streamed_similarity_keeps_rows_ties_and_unmatched(spark):
+    """Vectors of two lengths, repeated rows, null vectors, several keys, best class only for some."""
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(6, 5))
+    rows = [(f"b{i % 2}", i // 2, (centres[i % 6] + rnd.normal(scale=0.05, size=5)).round(2).tolist()) for i in range(60)]
+    rows += [rows[0]] * 5 + [("b0", 99, None), ("b2", 98, [1.0] * 5), ("b0", 97, [1.0, 2.0]), ("b1", 96, [0.0] * 5)]
+    v = spark.createDataFrame(rows, "backend string, ord int, embedding array<float>")
+    refs = [(f"b{i % 2}", f"c{i % 6}", (centres[i % 6] + rnd.normal(scale=0.05, size=5)).tolist()) for i in range(240)]
+    refs += [("b0", "same", refs[0][2]), ("b0", "c00", refs[0][2]), ("b1", "none", None)]
+    refs = spark.createDataFrame(refs, "backend string, class string, embedding array<float>")
+    for one in (None, F.col("ord") % 2 == 0, F.lit(True)):
+        for keep in (False, True):
+            def found(**kw):
+                s = similarity(v, refs, ["backend"], ["backend", "ord"], best_only=one, keep_unmatched=keep, **kw)
+                return sorted((r.backend, r.ord, r["class"] or "", -9 if r.similarity is None else round(r.similarity, 9)) for r in s.collect())
+
+            whole = found()
+            assert whole == found(budget=1, chunk_bytes=300) == found(budget=1) and len(whole) > 60
+
+
+def test_supports_are_turned_or_skipped(spark):
+    p = spark.createDataFrame([("x", "i", 0, 0.9, 0.0, 0.0, 5.0, 5.0, [1.0, 1.0, 0.0])],
+                              "backend string, image_key string, ord int, score double, x1 double, y1 double, x2 double, y2 double, embedding array<float>")
+    s = spark.createDataFrame([("x", "a", 0, [1.0, 0.5, 0.0]), ("x", "t", 0, [1.0, 0.0]), ("x", "t", 1, [1.0, 0.0]), ("x", "t", 2, [0.0, 1.0]),
+                               ("x", "m", 0, [1.0]), ("x", "m", 1, [1.0, 1.0, 0.0]), ("y", "a", 0, [1.0])],
+                              "backend string, class string, ord int, embedding array<float>")
+    usable, skipped = fewshot.fit_supports(s, spark.createDataFrame([("x", 3)], "backend string, dim int"))
+    assert sorted((r["class"], r.ord, list(r.embedding)) for r in usable.collect()) == [
+        ("a", 0, [1.0, 0.5, 0.0]), ("t", 0, [1.0, 1.0, 0.0]), ("t", 1, [0.0, 0.0, 1.0])]
+    assert [tuple(r) for r in skipped.collect()] == [("x", "m", 2, 1, 3, 3)]
+    found, skipped = fewshot.classify_repaired(p, s)
+    assert [(r["class"], round(r.score, 6)) for r in found.collect()] == [("t", 1.0)] and skipped.count() == 1
