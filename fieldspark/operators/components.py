@@ -163,13 +163,21 @@ def dissolve_counts(
     return joined.select(*by, level, count.cast("bigint").alias("crop_count"), "obj_id", "target_rate", "polygon_count")
 
 
-def dissolve_means(cells: DataFrame, by: list[str], level: str = "level") -> DataFrame:
-    """One row per level: points, unweighted mean of the cell means, and that in percent."""
+def dissolve_means(cells: DataFrame, by: list[str], level: str = "level", empty: DataFrame | None = None) -> DataFrame:
+    """One row per level: points, unweighted mean of the cell means, and that in percent.
+
+    ``empty`` (``by``, level, ``n_cells``, ``obj_id``) counts cells that are not among ``cells``: they have no points and the mean 0.
+    """
     g = cells.groupBy(*by, level).agg(
-        F.sum("pt_count").alias("pt_count"), F.avg("avg_res").alias("avg_res"),
-        F.min_by("obj_id", F.struct("i", "j")).alias("obj_id"), F.count(F.lit(1)).alias("n_cells"),
+        F.sum("pt_count").alias("pt_count"), F.sum("avg_res").alias("_sum"), F.min_by("obj_id", F.struct("i", "j")).alias("obj_id"),
+        F.count(F.lit(1)).alias("n_cells"),
     )
-    return g.withColumn("res_pct", F.col("avg_res") * 100)
+    if empty is not None:
+        g = g.unionByName(empty.filter("n_cells > 0").select(
+            *by, level, F.lit(0).cast("bigint").alias("pt_count"), F.lit(0.0).alias("_sum"), "obj_id", F.col("n_cells").cast("bigint").alias("n_cells")))
+        g = g.groupBy(*by, level).agg(*[F.sum(c).alias(c) for c in ("pt_count", "_sum")], F.min("obj_id").alias("obj_id"), F.sum("n_cells").alias("n_cells"))
+    g = g.withColumn("avg_res", F.col("_sum") / F.col("n_cells"))
+    return g.select(*by, level, "pt_count", "avg_res", "obj_id", "n_cells", (F.col("avg_res") * 100).alias("res_pct"))
 
 
 def boundary_edges(labelled: DataFrame, by: list[str], level: str = "level") -> DataFrame:

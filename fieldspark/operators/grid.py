@@ -132,21 +132,30 @@ def _onto_grid(agg: DataFrame, spec: DataFrame, by: list[str]) -> DataFrame:
     return grid_cells(spec, by).join(agg, [*by, "i", "j"], "left")
 
 
+def occupied_counts(points: DataFrame, spec: DataFrame, by: list[str]) -> DataFrame:
+    """Points per cell that has any."""
+    return points_in_cells(points, spec, by).groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("crop_count"))
+
+
 def cell_counts(points: DataFrame, spec: DataFrame, by: list[str]) -> DataFrame:
     """Points per cell, empty cells included."""
-    n = points_in_cells(points, spec, by).groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    return _onto_grid(n, spec, by).select(*by, "i", "j", F.coalesce("n", F.lit(0)).alias("crop_count"))
+    n = occupied_counts(points, spec, by)
+    return _onto_grid(n, spec, by).select(*by, "i", "j", F.coalesce("crop_count", F.lit(0)).alias("crop_count"))
+
+
+def occupied_means(points: DataFrame, spec: DataFrame, by: list[str], value: str = "residue_fraction") -> DataFrame:
+    """Points and mean value per cell that has points."""
+    return points_in_cells(points, spec, by).groupBy(*by, "i", "j").agg(
+        F.count(F.lit(1)).alias("pt_count"), F.avg(value).alias("avg_res")
+    ).withColumn("res_pct", F.col("avg_res") * 100)
 
 
 def cell_means(points: DataFrame, spec: DataFrame, by: list[str], value: str = "residue_fraction") -> DataFrame:
     """Points and mean value per cell; empty cells have 0 and 0.0."""
-    n = points_in_cells(points, spec, by).groupBy(*by, "i", "j").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("m")
-    )
-    out = _onto_grid(n, spec, by)
+    out = _onto_grid(occupied_means(points, spec, by, value), spec, by)
     return out.select(
-        *by, "i", "j", F.coalesce("n", F.lit(0)).alias("pt_count"), F.coalesce("m", F.lit(0.0)).alias("avg_res"),
-        (F.coalesce("m", F.lit(0.0)) * 100).alias("res_pct"),
+        *by, "i", "j", F.coalesce("pt_count", F.lit(0)).alias("pt_count"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_res", "res_pct")],
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..functions import geo, text
 from ..operators import components as cc
-from ..operators import grid, rings
+from ..operators import grid, rings, runs
 from ..scale import bind, bounded_broadcast, cut_lineage
 
 
@@ -20,18 +20,23 @@ from ..scale import bind, bounded_broadcast, cut_lineage
 class FieldMap:
     """Results of a map job. ``levels`` is one row per group and level; ``features`` adds its WKT.
 
-    Outlines are traced when ``polygons`` or ``features`` is first asked for.
+    Maps are made from the cells that hold points; the whole grid is formed only when ``cells`` is asked for, and
+    outlines are traced when ``polygons`` or ``features`` is first asked for.
     """
 
     points: DataFrame
     boundary: DataFrame
-    cells: DataFrame
     levels: DataFrame
     by: str
+    grid_cells: Callable[[], DataFrame]
     outlines: Callable[[], DataFrame]
     missing: DataFrame | None = None
     without_gps: DataFrame | None = None
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        return cut_lineage(self.grid_cells())
+
     @cached_property
     def polygons(self) -> DataFrame:
         return cut_lineage(self.outlines())
@@ -88,9 +93,7 @@ def farm_boundary(spec: DataFrame, by: list[str], digits: int = 9) -> DataFrame:
     )
 
 
-def spray_cells(points: DataFrame, spec: DataFrame, levels=geo.BINARY_LEVELS, by: str = "label") -> DataFrame:
-    """Counted grid cells with spray level, object id and target rate."""
-    counted = grid.cell_counts(points.select(by, "latitude", "longitude"), spec, [by])
+def _sprayed(counted: DataFrame, levels, by: str) -> DataFrame:
     counted = counted.withColumn("_l", geo.spray_level("crop_count", levels))
     return counted.select(
         by, "i", "j", "crop_count", F.col("_l.name").alias("level"), F.col("_l.obj_id").alias("obj_id"),
@@ -98,6 +101,24 @@ def spray_cells(points: DataFrame, spec: DataFrame, levels=geo.BINARY_LEVELS, by
     )
 
 
+def spray_cells(points: DataFrame, spec: DataFrame, levels=geo.BINARY_LEVELS, by: str = "label") -> DataFrame:
+    """Counted grid cells with spray level, object id and target rate."""
+    return _sprayed(grid.cell_counts(points.select(by, "latitude", "longitude"), spec, [by]), levels, by)
+
+
+def spray_runs(
+    points: DataFrame, spec: DataFrame, levels=geo.BINARY_LEVELS, by: str = "label", band_runs: int = runs.BAND_RUNS
+) -> tuple[DataFrame, DataFrame]:
+    """(cells that stand for all cells in sums and firsts, labelled runs) without forming the grid.
+
+    Of cells without points only the first one of each run is among the cells.
+    """
+    filled = cut_lineage(_sprayed(grid.occupied_counts(points.select(by, "latitude", "longitude"), spec, [by]), levels, by))
+    covering = cut_lineage(runs.field_runs(filled, spec, [by], "No"))
+    gaps = runs.first_cells(covering, [by], "No").withColumn("crop_count", F.lit(0).cast("bigint"))
+    return filled.unionByName(_sprayed(gaps, levels, by)), runs.run_components(covering, [by], band_runs)
+
+
 def weed_map(
     detections: DataFrame, gps: DataFrame, images: DataFrame | None = None, cell_ft=(30.0, 30.0),
     spray_mode: str = "binary", level_names=None, level_thresholds=None, exact_counts: bool = False, **projection,
@@ -107,18 +128,16 @@ def weed_map(
     points, missing, without = locate(detections, gps, images, **projection)
     # the extent is one row per label: kept, so that the points are scanned twice and not more
     spec = cut_lineage(grid.grid_spec(grid.extent(points, ["label"]), cell_ft))
-    cells = cut_lineage(spray_cells(points, spec, levels))
-    labelled = cc.components(cells, ["label"])
+    cells, labelled = spray_runs(points, spec, levels)
     summary = cc.dissolve_counts(cells, labelled, ["label"], exact_counts=exact_counts)
     summary = summary.withColumn("label_slug", text.slug("label"))
     return FieldMap(
-        points, farm_boundary(spec, ["label"]), cells, summary, "label",
-        lambda: rings.region_polygons(labelled, spec, ["label"]), missing, without,
+        points, farm_boundary(spec, ["label"]), summary, "label", lambda: spray_cells(points, spec, levels),
+        lambda: rings.region_polygons(runs.cells_of(labelled), spec, ["label"]), missing, without,
     )
 
 
-def residue_cells(points: DataFrame, spec: DataFrame, by: str = "field") -> DataFrame:
-    cells = grid.cell_means(points.select(by, "latitude", "longitude", "residue_fraction"), spec, [by])
+def _covered(cells: DataFrame, by: str) -> DataFrame:
     cells = cells.withColumn("_l", geo.residue_level("avg_res", "pt_count"))
     return cells.select(
         by, "i", "j", "pt_count", "avg_res", "res_pct",
@@ -126,15 +145,30 @@ def residue_cells(points: DataFrame, spec: DataFrame, by: str = "field") -> Data
     )
 
 
+def residue_cells(points: DataFrame, spec: DataFrame, by: str = "field") -> DataFrame:
+    return _covered(grid.cell_means(points.select(by, "latitude", "longitude", "residue_fraction"), spec, [by]), by)
+
+
+def residue_levels(filled: DataFrame, spec: DataFrame, by: str = "field") -> DataFrame:
+    """One row per level from the cells that hold points; the others are only counted."""
+    n = filled.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    left = (F.col("ncol").cast("bigint") * F.col("nrow") - F.coalesce("_n", F.lit(0))).alias("n_cells")
+    none = spec.join(n, by, "left").select(by, F.lit("No_Data").alias("level"), left, F.lit(0).alias("obj_id"))
+    return cc.dissolve_means(filled, [by], empty=none)
+
+
 def residue_map(points: DataFrame, cell_ft=(30.0, 30.0), name: str = "output") -> FieldMap:
     """Residue samples (``latitude, longitude, residue_fraction``) to a level map."""
     points = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     points = points.withColumn("field", text.slug(F.lit(name), "output"))
     points = points.withColumn("residue_fraction", F.coalesce("residue_fraction", F.lit(0.0)))
     spec = cut_lineage(grid.grid_spec(grid.extent(points, ["field"], pad=0.0), cell_ft))
-    cells = cut_lineage(residue_cells(points, spec))
-    summary = cc.dissolve_means(cells, ["field"]).withColumn("label_slug", F.col("field"))
-    return FieldMap(
-        points, farm_boundary(spec, ["field"]), cells, summary, "field",
-        lambda: rings.region_polygons(cc.components(cells, ["field"]), spec, ["field"]),
-    )
+    filled = cut_lineage(_covered(
+        grid.occupied_means(points.select("field", "latitude", "longitude", "residue_fraction"), spec, ["field"]), "field"))
+    summary = residue_levels(filled, spec).withColumn("label_slug", F.col("field"))
+
+    def outlines() -> DataFrame:
+        covering = cut_lineage(runs.field_runs(filled, spec, ["field"], "No_Data"))
+        return rings.region_polygons(runs.cells_of(runs.run_components(covering, ["field"])), spec, ["field"])
+
+    return FieldMap(points, farm_boundary(spec, ["field"]), summary, "field", lambda: residue_cells(points, spec), outlines)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import boxes as bx
 from fieldspark.functions import geo, text
 from fieldspark.operators import components as cc
-from fieldspark.operators import grid, rings
+from fieldspark.operators import grid, rings, runs
 from fieldspark.plans import maps
 
 
@@ -164,3 +164,36 @@ def test_strict_number_raises(spark):
     with pytest.raises(Exception):
         one(spark, text.to_double(F.lit("abc"), strict=True))
     assert one(spark, text.to_double(F.lit("abc"))) is None
+
+
+@pytest.mark.parametrize("band_runs", [3, 40, 500_000])
+def test_runs_label_the_grid_like_its_cells(spark, band_runs):
+    """Every cell, empty ones and a cell with points of the empty level included, in one band or many."""
+    rnd = random.Random(21)
+    rows, sizes = [], {"a": (23, 19), "b": (7, 40), "c": (5, 3)}
+    for field, (ncol, nrow) in sizes.items():
+        for j in rnd.sample(range(nrow), max(1, nrow // 2)):
+            for i in rnd.sample(range(ncol), rnd.randrange(1, ncol + 1)):
+                rows.append((field, i, j, rnd.choice(["hi", "hi", "lo", "No"])))
+    filled = spark.createDataFrame([r for r in rows if r[0] != "c"], "field string, i int, j int, level string")
+    spec = spark.createDataFrame([(f, *s) for f, s in sizes.items()], "field string, ncol int, nrow int")
+    covering = runs.field_runs(filled, spec, ["field"], "No")
+    labelled = runs.run_components(covering, ["field"], band_runs)
+    got = {(r.field, r.i, r.j): (r.level, r.component) for r in runs.cells_of(labelled).collect()}
+    known = {(r.field, r.i, r.j): r.level for r in filled.collect()}
+    dense = [(f, i, j, known.get((f, i, j), "No")) for f, (ncol, nrow) in sizes.items() for i in range(ncol) for j in range(nrow)]
+    cells = spark.createDataFrame(dense, "field string, i int, j int, level string")
+    want = {(r.field, r.i, r.j): (r.level, r.component) for r in cc.components(cells, ["field"]).collect()}
+    assert got == want and len(got) == len(dense)
+
+
+def test_a_stray_point_costs_no_cells(spark):
+    """A point in another country makes a grid of 10^12 cells; the map is made from two dozen of them."""
+    points = [("weed", 40.0 + k * 1e-3, -83.0 + (k % 5) * 1e-3) for k in range(20)] + [("weed", 49.0, -72.0)]
+    p = spark.createDataFrame(points, "label string, latitude double, longitude double")
+    spec = grid.grid_spec(grid.extent(p, ["label"]), (3.0, 3.0))
+    size = spec.first()
+    assert size.ncol * size.nrow > 10**11
+    cells, labelled = maps.spray_runs(p, spec)
+    out = {r.level: (r.crop_count, r.polygon_count) for r in cc.dissolve_counts(cells, labelled, ["label"], exact_counts=True).collect()}
+    assert out == {"Yes": (21, 21), "No": (0, 1)} and labelled.count() < 100
