@@ -26,8 +26,9 @@ def test_toxicity_pieces_and_awkward_texts(monkeypatch):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(300)]
     texts = [" ".join(rng.choice(words, 40)) + (" vile" if i % 3 == 0 else "") for i in range(200)]
-    model = toxicity.train(texts, np.array([int(i % 3 == 0) for i in range(200)]))
-    toxicity.calibrate(model, texts, np.array([int(i % 3 == 0) for i in range(200)]))
+    packed = toxicity.pack(pa.array(texts), toxicity.Settings())
+    model = toxicity.train(packed, np.array([int(i % 3 == 0) for i in range(200)]))
+    toxicity.calibrate(model, packed, np.array([int(i % 3 == 0) for i in range(200)]))
     whole = model.scores(pa.array([*texts, *AWKWARD], pa.string()))
     assert (whole[:200] >= 0.5).tolist() == [i % 3 == 0 for i in range(200)]
     assert np.isfinite(whole).all() and whole[200] == whole[201] == whole[202]
@@ -35,6 +36,35 @@ def test_toxicity_pieces_and_awkward_texts(monkeypatch):
     assert np.allclose(model.scores(pa.array([*texts, *AWKWARD], pa.string())), whole, atol=1e-5)
 
 
+def test_toxicity_of_a_text_in_pieces_is_that_of_the_whole(monkeypatch):
+    """Different words, cut at many places: not one bit differs, and a plain pass over all windows agrees."""
+    rng = np.random.default_rng(1)
+    model = toxicity.Model.start(toxicity.Settings())
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, n)) for n in (0, 1, 2, 3, 57, 400, 1001)]
+    packed = toxicity.pack(pa.array(texts), model.settings)
+    whole = model.logits(packed)
+    for size in (3, 4, 7, 50, 56, 57, 58, 399):
+        monkeypatch.setattr(toxicity, "PIECE_WORDS", size)
+        assert (model.logits(packed) == whole).all()
+    for text, logit in zip(texts, whole, strict=True):
+        words = text.split()
+        vectors = [model.embedding[b].sum(0) for b in toxicity.word_buckets(words, model.settings)] if words else []
+        vectors += [np.zeros(model.settings.size)] * max(model.settings.widths)
+        tops = [np.max([sum(vectors[p + j] @ model.filters[w][j] for j in range(w)) for p in range(len(words) + 1)], axis=0) for w in model.settings.widths]
+        assert abs(np.maximum(np.concatenate(tops), 0) @ model.out + model.out_bias - logit) < 1e-4
+
+
+def test_toxicity_sample_passes_over_a_huge_text(spark):
+    rows = [(i, f"plain text number {i} of many" + (" vile" if i % 3 == 0 else "")) for i in range(300)] + [(k, "huge " * 5000) for k in range(300, 330)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(330)] + [(None, 1)], "doc_id long, toxic int")
+    d = docs(spark, [*rows, (None, "no id"), (5, "another text of an id")])
+    model = toxicity.fit(d, labels, sample_chars=20_000)
+    assert model.constant is None
+    got = {r.doc_id: r.s for r in toxicity.score(d, model, out="s").filter("doc_id < 300").collect()}
+    assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in range(300)]) > 0.95
+    assert [r.h for r in d.filter("doc_id IS NULL").select(toxicity.held_out().alias("h")).collect()] == [False]
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, AWKWARD, score="taken")
     none = spark.createDataFrame([], "doc_id long, toxic int")
