@@ -3,10 +3,11 @@
 A document is the set of its word shingles, its sketch the ``k`` smallest hashes of the set. Inverted lists of the
 retained values propose pairs, the sketch of the union estimates their similarity, and the full sets decide.
 
-Which lists a document enters. Values that one document alone retains link nothing. The others are ranked by how
-many documents retain them, rarest first. Of two sets with similarity ``t`` or more, each lacks few of the other's retained
+Which lists a document enters. Retained values are ranked in one order for all documents: by hash, with the values that
+very many fronts hold at the end. Of two sets with similarity ``t`` or more, each lacks few of the other's retained
 values, so the first value they share stands near the front of both rankings; only that front is listed, and two
-members of a list are a pair only if it stands near enough to both fronts for their sizes. For sets that fit into the
+members of a list are a pair only if it stands near enough to both fronts for their sizes. Values that one front alone
+holds link nothing. For sets that fit into the
 sketch this is certain; beyond, a pair that is just at the similarity is missed with a probability under ``MISS``, and other
 pairs with far smaller ones.
 
@@ -33,6 +34,9 @@ from .tables import mix64, slices, store
 
 SKETCH = 128
 MISS = 1e-6
+#: Values counted as heavy: more than 1 / HEAVY_VALUES of all shared entries hold one, and LEAST_HEAVY sets at least.
+HEAVY_VALUES = 20_000
+LEAST_HEAVY = 50
 LEADERS = 3
 ROUNDS = 8
 #: Pairs per list entry up to which all remaining pairs are compared at once.
@@ -177,15 +181,34 @@ def near_front(a: Column, b: Column, k: int, percent: int) -> Column:
 # ---------------------------------------------------------------- lists
 
 def list_entries(nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, node, n, r): the lists each node enters, by the rarest of its retained values; r is the value's rank."""
-    postings = nodes.select("node", "n", F.explode("sketch").alias("v"))
-    shared = store(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-values")
-    ranked = postings.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
-    n = F.col("n")
-    own = F.least(n, F.lit(k)) - F.size("vs")  # values of no other document rank first
-    room = F.greatest(reach(n, k, percent) - own, F.lit(0)).cast("int")
-    return ranked.select("node", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, room)).alias("p", "e")).select(
-        F.col("e.v").alias("v"), "node", "n", (F.col("own") + F.col("p") + 1).cast("bigint").alias("r"))
+    """(v, node, n, r): the lists each node enters, by the front of its sketch; r is the value's rank.
+
+    Sketches are in order of hash; values that many fronts hold are put last in all of them. There are at most
+    HEAVY_VALUES of those, since each holds more than that share of all entries.
+    """
+    room = reach(F.col("n"), k, percent).cast("int")
+    fronts = nodes.select(F.explode(F.slice("sketch", 1, room)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    counts = store(fronts.filter("c > 1"), "shared-values")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    least = max(LEAST_HEAVY, total // HEAVY_VALUES)
+    heavy = [r.v for r in counts.filter(F.col("c") > least).select("v").collect()]
+    order = F.col("sketch")
+    if heavy:
+        held = nodes.sparkSession.sparkContext.broadcast(np.array(sorted(heavy), np.int64))
+
+        @F.arrow_udf("array<bigint>")
+        def heavy_last(sketches: pa.Array) -> pa.Array:
+            values, offsets = sketches.flatten().to_numpy(zero_copy_only=False), sketches.offsets.to_numpy()
+            row = np.repeat(np.arange(len(sketches)), np.diff(offsets))
+            moved = np.lexsort((np.isin(values, held.value), row))  # stable: hash order stays within both parts
+            return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(values[moved], pa.int64()))
+
+        order = heavy_last(F.col("sketch").cast("array<bigint>"))
+    entries = nodes.select("node", "n", F.posexplode(F.slice(order, 1, room)).alias("p", "v"))
+    if heavy:
+        counts = store(entries.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-values")
+    # a value in one front alone links nothing
+    return entries.join(hinted(counts.select("v")), "v", "left_semi").select("v", "node", "n", (F.col("p") + 1).cast("bigint").alias("r"))
 
 
 MEMBER = ("node", "comp", "n", "r")
