@@ -68,12 +68,23 @@ def parts_of(text: bytes, limit: int) -> Iterator[tuple[bytes, int]]:
     yield text[at:], 0
 
 
-def coded(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words in dense numbering, and the hash of each distinct word."""
+#: One random number per byte and per place; places beyond the last start again.
+BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+PLACE = mix64(np.arange(1000, 1064, dtype=np.uint64)) | np.uint64(1)
+
+
+def word_hashes(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A hash of each word; words lie one behind the other from ``offsets``."""
+    if len(offsets) < 2:
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(values)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return mix64(np.add.reduceat(BYTE[values] * PLACE[place & 63], offsets[:-1]))
+
+
+def numbered(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Dense numbers of the words, equal for equal words."""
     words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
-    once = words.dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in once.dictionary.to_pylist()], np.uint64)
-    return once.indices.to_numpy(zero_copy_only=False), hashes
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def next_hash(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -99,12 +110,11 @@ def chunks_of(parts: list[tuple[bytes, int, str]], period: int) -> pa.RecordBatc
     inside[e] = True
     values = values[inside]
     offsets = np.concatenate([[0], np.cumsum(e - s + 1)])
-    numbers, hashes = coded(offsets, values)
 
     first = np.diff(piece, prepend=-1) != 0
     begins = first.copy()
     if n >= OVERLAP:
-        word = hashes[numbers]
+        word = word_hashes(offsets, values)
         window = word[:n - OVERLAP + 1]
         for k in range(1, OVERLAP):
             window = next_hash(window, word[k:n - OVERLAP + 1 + k])
@@ -201,13 +211,11 @@ class Grams:
         self.offsets = np.concatenate([[0], np.flatnonzero(self.values == 32) + 1])
         first = np.searchsorted(self.offsets, at - at[0])
         count = np.diff(first)
-        self.numbers, hashes = coded(self.offsets, self.values)
-        self.vocabulary = max(1, len(hashes))
         names = langs.dictionary_encode()
         self.names = names.dictionary.to_pylist()
         lang = np.repeat(names.indices.to_numpy(zero_copy_only=False), count)
         salt = np.array([xxhash.xxh64_intdigest(x) for x in self.names], np.uint64)
-        self.word = hashes[self.numbers]
+        self.word = word_hashes(self.offsets, self.values)
         local = np.arange(len(self.word)) - np.repeat(first[:-1], count)
         self.left = np.repeat(count, count) - local
         self.weight = np.where(local < np.repeat(starts.to_numpy(), count), np.repeat(freq.to_numpy(), count), 0)
@@ -263,11 +271,14 @@ def text_counts(dictionary: DataFrame, sets: list) -> DataFrame:
             grams = Grams(batch)
             # dense numbers of equal phrases, so that no hash decides what is equal
             number = np.zeros(len(grams.word) + 1, np.int64)
-            number[:-1] = grams.numbers.astype(np.int64) * len(grams.names) + grams.lang
+            word = numbered(grams.offsets, grams.values)
+            vocabulary = int(word.max(initial=0)) + 1
+            number[:-1] = word * len(grams.names) + grams.lang
+            data = grams.values.tobytes()
             for length in range(1, LONGEST + 1):
                 if length > 1:
                     grams.longer()
-                    number[grams.at] = number[grams.at] * grams.vocabulary + grams.numbers[grams.at + length - 1]
+                    number[grams.at] = number[grams.at] * vocabulary + word[grams.at + length - 1]
                 if length <= len(known):
                     grams.keep(known[length - 1].holds(grams.hash))
                 _, sample, back = np.unique(number[grams.at], return_index=True, return_inverse=True)
@@ -276,7 +287,6 @@ def text_counts(dictionary: DataFrame, sets: list) -> DataFrame:
                 number[grams.at] = back
                 some = f > 0
                 spot = grams.at[sample[some]]
-                data = grams.values.tobytes()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([grams.names[k] for k in grams.lang[spot]], pa.string()), pa.array(np.full(len(spot), length, np.int32)),
                     pa.array([data[a:b - 1].decode("utf-8", "surrogatepass") for a, b in zip(grams.offsets[spot], grams.offsets[spot + length], strict=True)],
