@@ -2,8 +2,8 @@
 
 Records are ordered by (hash of the text, id), so that equal texts are neighbours. A sample in which a record's chance
 grows with its size gives quantile boundaries between groups of equal texts; they cut the records into many
-more ranges than shards. Ranges that turn out overfull are subdivided by further splitters drawn inside them, down
-to single records if need be. Sizes of ranges give every record its exact place in the byte order of the whole table, and the
+more ranges than shards. Ranges that turn out overfull are subdivided by further splitters drawn inside them, between
+groups of equal texts and, in groups that are too large to stay together, between single records. Sizes of ranges give every record its exact place in the byte order of the whole table, and the
 place gives the shard. The law is ``bytes``: shards hold nearly equal bytes.
 """
 
@@ -86,9 +86,13 @@ def _first_splitters(rows: DataFrame, total: int, ranges: int) -> tuple[np.ndarr
     return _ordered(h, np.full(len(h), LOWEST))  # a range starts with a group of equal texts
 
 
-def split_ranges(rows: DataFrame, total: int, ranges: int) -> tuple[DataFrame, list]:
-    """``rows`` with their range, and the bytes, rows and largest record of every range."""
+def split_ranges(rows: DataFrame, total: int, ranges: int, large: set[int]) -> tuple[DataFrame, list]:
+    """``rows`` with their range, and the bytes, rows and largest record of every range.
+
+    Only groups of equal texts whose hash is in ``large`` are cut.
+    """
     spark = rows.sparkSession
+    many = np.array(sorted(large), np.int64)
     h, tie = _first_splitters(rows, total, ranges)
     target = total / ranges
     for turn in range(1, 20):
@@ -97,7 +101,9 @@ def split_ranges(rows: DataFrame, total: int, ranges: int) -> tuple[DataFrame, l
             F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("largest"),
             F.min(F.struct("h", "tie")).alias("lo"), F.max(F.struct("h", "tie")).alias("hi"),
         ).collect()  # one row per range
-        full = [r for r in sizes if r.bytes - r.largest > OVERFULL * target and r.lo != r.hi]
+        full = [
+            r for r in sizes
+            if r.bytes - r.largest > OVERFULL * target and (r.lo.h != r.hi.h or r.lo.h in large and r.lo != r.hi)]
         if not full:
             break
         overfull = spark.createDataFrame([(r.range,) for r in full], "range int")
@@ -111,8 +117,11 @@ def split_ranges(rows: DataFrame, total: int, ranges: int) -> tuple[DataFrame, l
             if own.empty:
                 continue
             cut = _quantiles(own["h"].to_numpy(), own["w"].to_numpy(), int(r.bytes // target) + 1)
-            more_h.append(own["h"].to_numpy(np.int64)[cut])
-            more_tie.append(own["tie"].to_numpy(np.int64)[cut])
+            cut_h, cut_tie = own["h"].to_numpy(np.int64)[cut], own["tie"].to_numpy(np.int64)[cut]
+            later = np.append(cut_h[cut_h > r.lo.h], r.hi.h)  # the last group starts a range, so that every turn gets on
+            inside = np.isin(cut_h, many)
+            more_h += [cut_h[inside], later]
+            more_tie += [cut_tie[inside], np.full(len(later), LOWEST)]
         h, tie = _ordered(np.concatenate(more_h), np.concatenate(more_tie))
     return placed, sizes
 
@@ -134,7 +143,10 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id",
     whole = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     total = whole.bytes or 1
     ranges = min(MOST_RANGES, max(min(RANGES_PER_SHARD * shards, whole.rows // FEWEST_ROWS), -(-whole.rows // RANGE_ROWS), 1))
-    placed, sizes = split_ranges(rows, total, ranges)
+    # fewer than WHOLE_GROUP * shards groups can be larger than that part of all bytes
+    groups = rows.groupBy("h").agg(F.sum("size").alias("bytes"))
+    large = {r.h for r in groups.filter(F.col("bytes") * (WHOLE_GROUP * shards) > total).collect()}
+    placed, sizes = split_ranges(rows, total, ranges, large)
     placed = store(placed, "ranges")
     before, done = [], [0, 0]
     for r in sorted(sizes, key=lambda r: r.range):
@@ -147,10 +159,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id",
     reach = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ordered = placed.withColumns({"end": reach, "row": F.row_number().over(order)}).withColumns({
         "group_bytes": F.sum("size").over(group), "group_start": F.min(F.col("end") - F.col("size")).over(group)})
-    together = F.col("group_bytes") * (WHOLE_GROUP * shards) <= total
+    together = F.col("large").isNull()  # such a group lies in one range
     # the middle of the record, or of its group, doubled to stay whole
     middle = F.when(together, 2 * F.col("group_start") + F.col("group_bytes")).otherwise(2 * F.col("end") - F.col("size"))
-    at = ordered.join(F.broadcast(offsets), "range").select(  # one row per range, at most MOST_RANGES and their splits
+    known = rows.sparkSession.createDataFrame([(h, True) for h in sorted(large)], "h long, large boolean")
+    at = ordered.join(F.broadcast(known), "h", "left").join(F.broadcast(offsets), "range").select(  # one row per range, at most MOST_RANGES and their splits
         "doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("row") - 1).alias("place"),
         (2 * F.col("bytes_before") + middle).alias("middle"))
     sharded = store(at.withColumn(

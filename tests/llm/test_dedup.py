@@ -195,6 +195,39 @@ def test_shards(spark):
     assert sharding.assign_shards(d.limit(0)).count() == 0
 
 
+def _places(keys, shards):
+    """(shard, slot) of every (h, tie, size) by one plain walk in their order."""
+    total, groups = sum(s for _, _, s in keys), Counter()
+    for h, _, s in keys:
+        groups[h] += s
+    out, at, starts, seen = [], 0, {}, Counter()
+    for h, tie, s in sorted(keys):
+        starts.setdefault(h, at)
+        whole = groups[h] * sharding.WHOLE_GROUP * shards <= total
+        middle = 2 * starts[h] + groups[h] if whole else 2 * at + s
+        shard = middle * shards // (2 * total)
+        out.append(((h, tie), shard, seen[shard]))
+        seen[shard] += 1
+        at += s
+    return out
+
+
+@pytest.mark.parametrize("ranges", [64, 2048])
+def test_shards_are_those_of_a_plain_walk(spark, monkeypatch, ranges):
+    monkeypatch.setattr(sharding, "RANGES_PER_SHARD", ranges)
+    monkeypatch.setattr(sharding, "FEWEST_ROWS", 1)
+    texts = [f"group {i % 1500} " * (1 + i % 1500 % 3) for i in range(12_000)] + ["hot copy " * 40] * 800 + ["x"] * 500
+    d = docs(spark, list(enumerate(texts)))
+    keys = [(r.h, r.doc_id, r.n) for r in d.select(F.xxhash64("text").alias("h"), "doc_id", (F.octet_length("text") + 1).alias("n")).collect()]
+    by_id = {k[1]: k[0] for k in keys}
+    rows = sharding.assign_shards(d).collect()
+    assert sorted(((by_id[r.doc_id], r.doc_id), r.shard, r.slot) for r in rows) == sorted(_places(keys, 16))
+    shards = {}
+    for r in rows:
+        shards.setdefault(by_id[r.doc_id], set()).add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 2  # only the groups of hundreds of copies
+
+
 def test_shards_of_the_table(spark, sf):
     got = queries.op2_sharding(spark, sf).toPandas()
     assert got["doc_id"].is_unique and len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
