@@ -7,6 +7,7 @@ inner product. Candidates are evaluated in the order of that bound, until it fal
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ SAMPLE = 2048
 BLOCK = 1024
 #: Candidates whose bounds are computed at a time.
 ROWS = 2048
+#: Bits of the largest component that are squared as they are.
+LARGE_BITS = 400
 
 
 def whole_numbers(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -55,7 +58,8 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
 
 def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers: as doubles while they fit, else as Python integers held to 64 bits."""
-    most = np.abs(q).max(initial=0) * np.abs(rows).max(initial=0) * max(1, rows.shape[1])
+    with np.errstate(over="ignore"):
+        most = np.abs(q).max(initial=0) * np.abs(rows).max(initial=0) * max(1, rows.shape[1])
     if most < 1 << 53:
         return (rows @ q).astype(np.int64)
     mine = [int(v) for v in q]
@@ -79,14 +83,24 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1) if len(pivots) else np.zeros((len(x), 0))
 
 
-def upper_bounds(q: np.ndarray, dq: np.ndarray, x: np.ndarray, dx: np.ndarray) -> np.ndarray:
-    """[candidates, queries]: no inner product is larger. A little is added for rounding."""
+def unit_of(most: float) -> float:
+    """The power of two in which vectors are measured, so that squares of components up to ``most`` stay finite."""
+    return 2.0 ** max(0, math.frexp(most)[1] - LARGE_BITS)
+
+
+def upper_bounds(q: np.ndarray, dq: np.ndarray, x: np.ndarray, dx: np.ndarray, unit: float = 1.0) -> np.ndarray:
+    """[candidates, queries]: no inner product, held to 64 bits, is larger. A little is added for rounding.
+
+    Distances are given in ``unit``.
+    """
+    q, x = q / unit, x / unit
     lower = np.zeros((len(x), len(q)))
     for p in range(dx.shape[1]):
         np.maximum(lower, np.abs(dx[:, p, None] - dq[None, :, p]), out=lower)
     own, other = (q * q).sum(1), (x * x).sum(1)
     room = own[None, :] + other[:, None]
-    return (room - lower * lower) / 2 + 1e-9 * room + 1e-3
+    with np.errstate(over="ignore"):  # an infinite bound rules nothing out
+        return np.maximum(((room - lower * lower) / 2 + 1e-9 * room + 1e-3) * unit * unit, -float(1 << 63))
 
 
 class Best:
@@ -109,9 +123,12 @@ class Best:
         self.scores, self.ids = scores[order], ids[order]
 
 
-def search(best: list[Best], q_ids: np.ndarray, q: np.ndarray, dq: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray) -> int:
+def search(
+    best: list[Best], q_ids: np.ndarray, q: np.ndarray, dq: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray,
+    unit: float = 1.0,
+) -> int:
     """Add a batch of candidates to the best of each query; returns how many products were computed."""
-    bounds = upper_bounds(q, dq, x, dx)
+    bounds = upper_bounds(q, dq, x, dx, unit)
     done = 0
     for k, b in enumerate(best):
         hope = np.flatnonzero((bounds[:, k] >= b.need()) & (ids != q_ids[k]))
@@ -141,19 +158,28 @@ def top_k(
     spark = vectors.sparkSession
     base = store(whole_numbers(vectors, vec_id, vector, scale).groupBy("vec_id").agg(F.min("x").alias("x")), "whole-vectors")
     picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    facts = base.agg(F.max(F.size("x")).alias("width"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
-    width = facts.width or 0
+    facts = base.agg(
+        F.max(F.size("x")).alias("width"), F.count_if(F.col("vec_id") % every == 0).alias("queries"),
+        F.max(F.aggregate("x", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))).alias("most")).first()
+    width, unit = facts.width or 0, unit_of(facts.most or 0.0)
     sample = np.zeros((len(picked), width))
     for row, r in zip(sample, picked, strict=True):
         row[:len(r.x)] = r.x
     sample_ids = np.array([r.vec_id for r in picked], np.int64)
-    chosen = choose_pivots(sample, pivots)
+    chosen = choose_pivots(sample / unit, pivots)
     shared = spark.sparkContext.broadcast(chosen)
+    sampled = spark.sparkContext.broadcast((sample_ids, sample))
+
+    @F.arrow_udf("long")
+    def reached(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, xs in columns:
+            rows = zip(ids.to_pylist(), _matrix(xs, width), strict=True)
+            yield pa.array([_kth(*sampled.value, i, v, k) for i, v in rows], pa.int64())
 
     @F.arrow_udf("array<double>")
     def to_pivots(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for xs in columns:
-            d = distances(_matrix(xs, width), shared.value)
+            d = distances(_matrix(xs, width) / unit, shared.value)
             yield pa.ListArray.from_arrays(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1], pa.array(d.reshape(-1)))
 
     pivot_table = store(base.withColumn("d", to_pivots("x")), "pivot-table")
@@ -163,14 +189,14 @@ def top_k(
         queries = pivot_table.filter(F.col("vec_id") % every == 0)
         if blocks > 1:
             queries = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number)
-        rows = {r.vec_id: r for r in queries.orderBy("vec_id").collect()}  # about ``block`` rows
+        rows = {r.vec_id: r for r in queries.withColumn("least", reached("vec_id", "x")).orderBy("vec_id").collect()}  # about ``block`` rows
         q = np.zeros((len(rows), width))
         for row, r in zip(q, rows.values(), strict=True):
             row[:len(r.x)] = r.x
         q_ids = np.array(list(rows), np.int64)
         dq = np.array([r.d for r in rows.values()]).reshape(len(rows), len(chosen))
-        least = [_kth(sample_ids, sample, i, v, k) for i, v in zip(q_ids, q, strict=True)]
-        part = _pass(pivot_table, spark.sparkContext.broadcast((q_ids, q, dq, least)), width, k)
+        least = [r.least for r in rows.values()]
+        part = _pass(pivot_table, spark.sparkContext.broadcast((q_ids, q, dq, least)), width, k, unit)
         part = store(part, "found") if blocks > 1 else part
         found = part if found is None else found.unionByName(part)
     ranked = found.withColumn("rank", F.row_number().over(
@@ -184,7 +210,7 @@ def _kth(sample_ids: np.ndarray, sample: np.ndarray, query_id: int, q: np.ndarra
     return int(np.sort(products(q, others))[-k]) if len(others) >= k else None
 
 
-def _pass(pivot_table: DataFrame, shared, width: int, k: int) -> DataFrame:
+def _pass(pivot_table: DataFrame, shared, width: int, k: int, unit: float) -> DataFrame:
     """One pass over the pivot table: each task's best candidates of every query."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +221,7 @@ def _pass(pivot_table: DataFrame, shared, width: int, k: int) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 if len(best):
-                    search(best, q_ids, q, dq, ids, _matrix(part.column(1), width), _matrix(part.column(2), dq.shape[1]))
+                    search(best, q_ids, q, dq, ids, _matrix(part.column(1), width), _matrix(part.column(2), dq.shape[1]), unit)
         n = [len(b.ids) for b in best]
         yield pa.RecordBatch.from_arrays([
             pa.array(np.repeat(q_ids, n), pa.int64()),

@@ -48,6 +48,22 @@ def test_top_k(spark, block):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [1e160, 1.5e305])
+def test_top_k_of_huge_components(spark, large):
+    """Squares of finite components may overflow; no row is lost and scores are held to 64 bits."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-2, 6)).tolist()) for i in range(60)]
+    rows += [(100, [large, 0.0, 1.0, -large]), (200, [-large, large, 0.5, 0.0]), (201, [0.0, 0.0, 3.0, 0.0]), (300, [0.0, 0.0, 2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [int(np.floor(c * 1024)) for c in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 100 == 0):
+        held = {i: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], x)))) for i, x in whole.items() if i != q}
+        best = sorted(held.items(), key=lambda e: (-e[1], e[0]))[:10]
+        want += [(q, n, i, s) for n, (i, s) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
 def test_bounds_hold_and_spare_work():
     rng = np.random.default_rng(2)
     x = np.floor(1024 * (rng.normal(size=(20, 16))[np.arange(3000) % 20] + 0.05 * rng.normal(size=(3000, 16))))
