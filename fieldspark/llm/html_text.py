@@ -16,6 +16,7 @@ import html
 import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Generator, Iterator
+from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
@@ -46,6 +47,12 @@ BESIDE_NAMES = frozenset((
     "ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs comment comments cookie cookies footer form header "
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related reply "
     "replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget").split())
+#: With these, joined by hyphens or underscores, names beside the main text stay so.
+OF_BESIDE = BESIDE_NAMES | frozenset((
+    "area bar block box button buttons center container disqus inner items links list outer posts section slot the thread unit "
+    "wrap wrapper").split())
+#: Whole names of a reader's comment, and of the blocks that hold them.
+COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
 #: With these, joined by hyphens or underscores, names of the main text stay names of it.
 OF_MAIN = MAIN_NAMES | frozenset("area body container page section site text the wrap wrapper".split())
@@ -53,8 +60,11 @@ OF_MAIN = MAIN_NAMES | frozenset("area body container page section site text the
 TOKEN = regex.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)"
     r"|<(script|style|textarea|title)\b[^>]*+>.*?(?:</\1\s*+>|$)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|[^<]++|<""", regex.S | regex.I)
-NAMED = regex.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", regex.I)
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>"""
+    r"|<[!?/][^>]*+>|[^<]++|<", regex.S | regex.I)
+#: An attribute: quotes delimit a value only where it begins; elsewhere they are characters.
+ATTRIBUTE = regex.compile(r"""([^\s/=>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+NAMING = frozenset(("class", "id", "role"))
 DIGITS = regex.compile(r"[0-9]+")
 
 
@@ -71,7 +81,8 @@ def block_key(tag: str, attributes: str) -> str:
     """The tag with the whole names of its class, id and role, without their digits (so that numbered names are one)."""
     if "=" not in attributes:
         return tag
-    names = {DIGITS.sub("", n).strip("-_") for m in NAMED.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()}
+    values = [m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in NAMING]
+    names = {DIGITS.sub("", n).strip("-_") for v in values for n in v.lower().split()}
     return " ".join([tag, *sorted(names - {""})])
 
 
@@ -290,19 +301,33 @@ def unpacked(text: str) -> list:
     return top[0]
 
 
+def _compound(names: list[str], kind: frozenset, others: frozenset) -> bool:
+    """Whether a name, cut at hyphens and underscores, has a word of ``kind`` and none that is not among ``others``."""
+    words = (set(n.replace("_", "-").split("-")) for n in names)
+    return any(w <= others and w & kind for w in words)
+
+
+@lru_cache(4096)
 def beside(key: str) -> bool:
-    """Whether a block is beside the main text, by its tag or one whole name; an article or main element never is."""
+    """Whether a block is beside the main text, by its tag or one of its names, whole or made of such words only.
+
+    A main element never is, an article only where it is named as a reader's comment and not as main text.
+    """
     tag, *names = key.split(" ")
-    return tag in BESIDE or tag not in ("html", "body", "article", "main") and any(n in BESIDE_NAMES for n in names)
+    if tag == "article":
+        return any(n in COMMENT_NAMES for n in names) and not any(n in MAIN_NAMES for n in names)
+    if tag in ("html", "body", "main"):
+        return False
+    return tag in BESIDE or _compound(names, BESIDE_NAMES | {"disqus"}, OF_BESIDE)
 
 
+@lru_cache(4096)
 def main_rank(key: str) -> int:
     """3 for an article, 2 for a main element, 1 for a block named like one."""
     tag, *names = key.split(" ")
     if tag in ("article", "main"):
         return 3 if tag == "article" else 2
-    words = [set(n.replace("_", "-").split("-")) for n in names]
-    return 2 if "main" in names else any(w <= OF_MAIN and w & MAIN_NAMES for w in words) * 1
+    return 2 if "main" in names else _compound(names, MAIN_NAMES, OF_MAIN) * 1
 
 
 def best_rank(entry: list, held: bool = False) -> int:

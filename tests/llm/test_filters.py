@@ -276,3 +276,16 @@ def test_constant_text_of_a_host(spark):
     assert _texts(spark, *pages, odd) == [f"text {k}\nmore {k * k}\nall rights reserved" for k in range(2, 5)] + ["only here"]
     inside = "<main><h2>Same</h2><p>%s</main>"
     assert _texts(spark, inside % 1, inside % 2) == ["Same\n1", "Same\n2"]
+
+
+def test_reader_comments_and_quotes(spark):
+    page = "<main><p>Real text %d</p></main><div><article class='comment'>nice</article><article class='comment'>no %d</article></div>"
+    assert _texts(spark, page % (1, 2), page % (3, 4)) == ["Real text 1", "Real text 3"]
+    own = "<article class='post comment'>mine<article class=comment>theirs</article></article>"
+    assert _texts(spark, own, host="http://own.com/") == ["mine"]
+    quoted = "<article><p>One <a href=it's>link</a> two.</p><p>We don't stop here.</p><p title=a \"b\">Last</p><p class==\"x>y</p></article>"
+    assert _texts(spark, quoted, host="http://q.com/") == ["One link two.\nWe don't stop here.\nLast\ny"]
+    named = "<article><p>kept</p>%s<div class='category-social'>also</div><p title='class=ad' data-class=ad>shown</p></article>"
+    for n, name in enumerate(("comments-area", "cookie-notice", "ad-slot", "related-posts", "share-buttons", "disqus_thread")):
+        beside = f"<div id={name}>out</div>"
+        assert _texts(spark, named % beside, host=f"http://n{n}.com/") == ["kept\nalso\nshown"], name
