@@ -212,6 +212,37 @@ def detection_file(spark, sf):
     return back.select("key", "prediction", "label", "confidence", F.get(b, F.lit(0)).alias("x1"), F.get(b, F.lit(3)).alias("y2"))
 
 
+@query(
+    "detection_lists",
+    with_views("fx_detections", body="select img as key, term as label, score as confidence, x1, y2 from fx_detections"),
+)
+def detection_lists(spark, sf):
+    """Lists of any size, written one per task and read in blocks."""
+    d = view(spark, sf, "fx_detections").select(
+        F.concat(F.lit("in/"), "img").alias("img"), F.col("term").alias("label"), F.col("score").alias("confidence"),
+        F.array("x1", "y1", "x2", "y2").alias("bounding_box"))
+    path = scratch_path(spark, "detection-lists")
+    writers.write_list_documents(d, path)
+    b = F.col("bounding_box")
+    return readers.read_detections(spark, path, split=True).select(
+        "key", "label", "confidence", F.get(b, F.lit(0)).alias("x1"), F.get(b, F.lit(3)).alias("y2"))
+
+
+@query(
+    "annotation_lists",
+    with_views("fx_gt", body="""
+select img as image_path, class, case when ord % 2 = 0 then 0.5e0 end as score, x2 from fx_gt"""),
+)
+def annotation_lists(spark, sf):
+    g = view(spark, sf, "fx_gt").select(
+        F.col("img").alias("image_path"), F.array("x1", "y1", "x2", "y2").alias("bounding_box"), "class",
+        F.when(F.col("ord") % 2 == 0, F.lit(0.5)).alias("score"))
+    path = scratch_path(spark, "annotation-lists")
+    writers.write_list_documents(g, path, "annotations")
+    return readers.read_annotations(spark, path, split=True).select(
+        "image_path", "class", "score", F.get("bounding_box", F.lit(2)).alias("x2"))
+
+
 @query(
     "detections_by_backend",
     with_views("fx_detections", body="select case when ord % 3 = 0 then 'a' else 'b' end as backend, count(*) as n, sum(x1) as sx from fx_detections group by 1"),

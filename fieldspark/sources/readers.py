@@ -1,16 +1,18 @@
 """Readers. Each ``read_*`` has a ``parse_*`` twin that works on a text column.
 
 Whole JSON documents are one record each; ``lines=True`` reads JSON lines, which
-Spark can split. Image bytes are never read when only paths are asked for.
+Spark can split, and ``split=True`` documents of any size by many tasks. Image bytes are never read when only paths are asked for.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text
+from .lists import read_list_items
 
 FAIL = {"mode": "FAILFAST"}
 
@@ -30,7 +32,15 @@ def parse_detections(df: DataFrame, col: str = "value") -> DataFrame:
     return out.select(*_carried(df, col), F.col("ord").cast("bigint"), "_d.*").withColumn("key", text.basename("img"))
 
 
-def read_detections(spark: SparkSession, path, lines: bool = False) -> DataFrame:
+def _split(spark: SparkSession, path, section: str, fields: str) -> DataFrame:
+    """The objects of one list as rows with ``file`` and their position."""
+    items = read_list_items(spark, path).filter(F.col("section") == section)
+    return items.select("file", "ord", F.from_json("value", fields, FAIL).alias("_d")).select("file", "ord", "_d.*")
+
+
+def read_detections(spark: SparkSession, path, lines: bool = False, split: bool = False) -> DataFrame:
+    if split:
+        return _split(spark, path, "", schemas.DETECTION).drop("file").withColumn("key", text.basename("img"))
     if lines:
         rows = spark.read.schema(schemas.DETECTION).json(path, mode="FAILFAST")
         return rows.withColumn("key", text.basename("img"))
@@ -44,7 +54,9 @@ def parse_annotations(df: DataFrame, col: str = "value") -> DataFrame:
     return out.select(*_carried(df, col), F.col("ord").cast("bigint"), "_a.*")
 
 
-def read_annotations(spark: SparkSession, path) -> DataFrame:
+def read_annotations(spark: SparkSession, path, split: bool = False) -> DataFrame:
+    if split:
+        return _split(spark, path, "annotations", schemas.ANNOTATION).drop("file")
     return parse_annotations(_documents(spark, path))
 
 
@@ -154,14 +166,17 @@ def read_supports(spark: SparkSession, path: str) -> DataFrame:
     return repair_supports(df) if "vectors" in df.columns else df
 
 
+def _with_defaults(anns: DataFrame) -> DataFrame:
+    box_area = F.get("bbox", F.lit(2)) * F.get("bbox", F.lit(3))
+    return anns.withColumn("area", F.coalesce("area", box_area)).withColumn("iscrowd", F.coalesce("iscrowd", F.lit(0)))
+
+
 def parse_coco(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations with defaults, categories)."""
     keep = _carried(df, col)
     doc = df.select(*keep, F.from_json(F.col(col), schemas.COCO, FAIL).alias("_c"))
     images = doc.select(*keep, F.explode("_c.images").alias("r")).select(*keep, F.col("r.id").alias("image_id"), "r.file_name")
-    anns = doc.select(*keep, F.explode("_c.annotations").alias("r")).select(*keep, "r.*")
-    box_area = F.get("bbox", F.lit(2)) * F.get("bbox", F.lit(3))
-    anns = anns.withColumn("area", F.coalesce("area", box_area)).withColumn("iscrowd", F.coalesce("iscrowd", F.lit(0)))
+    anns = _with_defaults(doc.select(*keep, F.explode("_c.annotations").alias("r")).select(*keep, "r.*"))
     cats = doc.select(*keep, F.explode("_c.categories").alias("r")).select(*keep, F.col("r.id").alias("category_id"), "r.name")
     return images, anns, cats
 
@@ -172,8 +187,16 @@ def join_coco(images: DataFrame, anns: DataFrame, cats: DataFrame, keys: list[st
     return images.join(anns, [*keys, "image_id"], "left").join(cats, [*keys, "category_id"], "left")
 
 
-def read_coco(spark: SparkSession, path: str) -> DataFrame:
+def read_coco(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """Images with their annotations of every file; ids count within their ``file``, so files never mix."""
+    if split:
+        lists = T.StructType.fromDDL(schemas.COCO)
+        images, anns, cats = (
+            _split(spark, path, name, lists[name].dataType.elementType.simpleString()).drop("ord")
+            for name in ("images", "annotations", "categories"))
+        return join_coco(
+            images.withColumnRenamed("id", "image_id"), _with_defaults(anns),
+            cats.withColumnRenamed("id", "category_id"), keys=["file"])
     docs = _documents(spark, path).select(F.col("_metadata.file_path").alias("file"), "value")
     return join_coco(*parse_coco(docs), keys=["file"])
 

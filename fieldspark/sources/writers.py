@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +79,21 @@ def append_metrics(spark: SparkSession, path: str, task: str, framework: str, me
 def append_metrics_table(rows: DataFrame, path: str) -> None:
     """Adds many run records at once."""
     rows.write.mode("append").parquet(path)
+
+
+def write_list_documents(df: DataFrame, path: str, key: str | None = None) -> None:
+    """Rows as JSON documents, one per task: a list of objects, under ``key`` if one is given. Tasks stream their rows."""
+    head, tail = ("[", "]") if key is None else (f'{{"{key}": [', "]}")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = head
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out.append(lead + value)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([tail if lead == "," else head + tail])], ["value"])
+
+    items = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
+    items.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
