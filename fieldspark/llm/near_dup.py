@@ -3,8 +3,9 @@
 A document is the set of its word shingles, its sketch the ``k`` smallest hashes of the set. Inverted lists of the
 retained values propose pairs, the sketch of the union estimates their similarity, and the full sets decide.
 
-Which lists a document enters. Values that one document alone retains link nothing. The others are ranked by how
-many documents retain them, rarest first. Of two sets with similarity ``t`` or more, each lacks few of the other's retained
+Which lists a document enters. Values that one document alone retains link nothing. All are ranked by how many
+documents retain them, rarest first, as counted in a bounded array of counters (any common order gives the same rows, a good
+one short lists). Of two sets with similarity ``t`` or more, each lacks few of the other's retained
 values, so the first value they share stands near the front of both rankings; only that front is listed, and two
 members of a list are a pair only if it stands near enough to both fronts for their sizes. For sets that fit into the
 sketch this is certain; beyond, a pair that is just at the similarity is missed with a probability under ``MISS``, and other
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ from .tables import mix64, slices, store
 
 SKETCH = 128
 MISS = 1e-6
+#: Counters of retained values, one byte each.
+COUNTERS = 1 << 24
+#: Counters in one block, parts that a block is added up in, and values that a task counts at once.
+BLOCK, PARTS, COUNTED_AT_ONCE = 1 << 16, 16, 1 << 21
 LEADERS = 3
 ROUNDS = 8
 #: Pairs per list entry up to which all remaining pairs are compared at once.
@@ -176,16 +182,99 @@ def near_front(a: Column, b: Column, k: int, percent: int) -> Column:
 
 # ---------------------------------------------------------------- lists
 
+def bucket(values: np.ndarray, size: int) -> np.ndarray:
+    """The counter of each retained value; sketches hold small hashes, so the low bits are the even ones."""
+    return (values & np.int64(size - 1)).astype(np.uint32)
+
+
+def rarity(nodes: DataFrame) -> np.ndarray:
+    """Counters of all retained values, as bytes: 0 for a value of one set alone, then eight steps per doubling.
+
+    Tasks send runs of counted values per block of counters, which are added up per block and part first; the result
+    has at most COUNTERS bytes whatever the size of the input. Values that share a counter only rank later.
+    """
+    total = nodes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    size = min(max(1 << int(total).bit_length(), BLOCK), COUNTERS)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            waiting.append(bucket(batch.column(0).flatten().to_numpy(zero_copy_only=False), size))
+            held += len(waiting[-1])
+            if held >= COUNTED_AT_ONCE:
+                yield from packed(waiting)
+                waiting, held = [], 0
+        yield from packed(waiting)
+
+    def packed(waiting: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not waiting:
+            return
+        found, times = np.unique(np.concatenate(waiting), return_counts=True)
+        cuts = np.searchsorted(found, np.arange(0, size + 1, BLOCK))
+        runs = [(i, slice(x, y)) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+        part = TaskContext.get().partitionId() % PARTS  # the same when a task is repeated
+        yield pa.RecordBatch.from_arrays([
+            pa.array([i for i, _ in runs], pa.int32()), pa.array([part] * len(runs), pa.int32()),
+            pa.array([(found[r] % BLOCK).astype(np.uint16).tobytes() for _, r in runs], pa.binary()),
+            pa.array([times[r].astype(np.uint32).tobytes() for _, r in runs], pa.binary()),
+        ], ["block", "part", "at", "c"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
+        sums, block = np.zeros(BLOCK, np.int64), 0
+        for batch in batches:
+            block = batch.column("block")[0].as_py()
+            for at, c in zip(batch.column("at"), batch.column("c"), strict=True):
+                sums[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(c.as_buffer(), np.uint32)
+        return block, np.minimum(sums, np.iinfo(np.uint32).max)
+
+    def part_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = added(batches)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+            pa.array([sums[at].astype(np.uint32).tobytes()], pa.binary())], ["block", "at", "c"])
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = added(batches)
+        steps = np.minimum(np.floor(8 * np.log2(np.maximum(sums, 1))), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([steps.tobytes()], pa.binary())], ["block", "codes"])
+
+    runs = nodes.select("sketch").mapInArrow(counted, "block int, part int, at binary, c binary")
+    parts = runs.groupBy("block", "part").applyInArrow(part_sums, "block int, at binary, c binary")
+    out = np.zeros(size, np.uint8)
+    for row in parts.groupBy("block").applyInArrow(codes, "block int, codes binary").toLocalIterator():
+        out[row.block * BLOCK:(row.block + 1) * BLOCK] = np.frombuffer(row.codes, np.uint8)
+    return out
+
+
 def list_entries(nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, node, n, r): the lists each node enters, by the rarest of its retained values; r is the value's rank."""
-    postings = nodes.select("node", "n", F.explode("sketch").alias("v"))
-    shared = store(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-values")
-    ranked = postings.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
-    n = F.col("n")
-    own = F.least(n, F.lit(k)) - F.size("vs")  # values of no other document rank first
-    room = F.greatest(reach(n, k, percent) - own, F.lit(0)).cast("int")
-    return ranked.select("node", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, room)).alias("p", "e")).select(
-        F.col("e.v").alias("v"), "node", "n", (F.col("own") + F.col("p") + 1).cast("bigint").alias("r"))
+    """(v, node, n, r): the lists each node enters, by the rarest of its retained values; r is the value's rank.
+
+    Ranks follow the counters and then the hash, one order for all nodes. Only the front that a linked set can need
+    leaves the task, and of it only values that other fronts hold too.
+    """
+    codes = rarity(nodes)
+    held, size = nodes.sparkSession.sparkContext.broadcast(codes), len(codes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("sketch").flatten().to_numpy(zero_copy_only=False)
+            lengths = pc.list_value_length(batch.column("sketch")).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            code = held.value[bucket(values, size)]
+            order = np.lexsort((values, code, row))
+            rank = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+            room = batch.column("room").to_numpy(zero_copy_only=False)
+            listed = (rank <= room[row]) & (code[order] > 0)
+            who = pa.array(row[listed])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(values[order][listed], pa.int64()), batch.column("node").take(who), batch.column("n").take(who),
+                pa.array(rank[listed], pa.int64())], ["v", "node", "n", "r"])
+
+    fronts = nodes.select("node", "n", "sketch", reach(F.col("n"), k, percent).cast("bigint").alias("room")).mapInArrow(
+        rows, "v long, node long, n long, r long")
+    shared = store(fronts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v"), "shared-values")
+    return fronts.join(hinted(shared), "v", "left_semi")
 
 
 MEMBER = ("node", "comp", "n", "r")
@@ -327,7 +416,8 @@ def near_duplicates(
 
     Texts without words have an empty set and are linked with nothing. Equal sets are one
     node from the start, so copies are never paired. Rows without an id are linked with nothing, keep a null
-    component and are kept. Rows that share an id are taken as one document. Other columns play no part.
+    component and are kept. Rows that share an id are one document: the components of its texts are joined. Other columns
+    play no part.
     """
     base = store(sketched(docs, doc_id, text, words, k), "sketches")
     reps = hinted(store(base.filter("n > 0 and doc is not null").groupBy("print").agg(F.min("doc").alias("node")), "distinct-sets"))
@@ -338,6 +428,7 @@ def near_duplicates(
     if not listed.isEmpty():
         sets = store(full_sets(docs, doc_id, text, words, k, listed), "listed-sets")
         labels = _settle(entries, labels, sets, k, percent)
+    labels = _join_texts(base, reps, labels)
     named = hinted(labels)
     members = base.select("doc", "n", "print").join(reps, "print", "left")
     component = F.coalesce("comp", "node", "doc")
@@ -347,6 +438,21 @@ def near_duplicates(
     )
 
 
+def _join_texts(base: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` with the components of different texts of one id joined."""
+    known = base.filter("n > 0 and doc is not null")
+    ends = known.groupBy("doc").agg(F.min(F.xxhash64("print")).alias("lo"), F.max(F.xxhash64("print")).alias("hi"))
+    several = store(ends.filter("lo <> hi").select("doc"), "ids-of-texts")
+    if several.isEmpty():
+        return labels
+    held = known.join(hinted(several), "doc", "left_semi").join(reps, "print").select("doc", F.col("node").alias("b"))
+    first = held.groupBy("doc").agg(F.min("b").alias("a"))
+    links = store(held.join(first, "doc").filter("a < b").select("a", "b").distinct(), "text-links")
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    labels = store(labels.unionByName(nodes.withColumn("comp", F.col("node"))), "labels")
+    return merge_components(labels, links)
+
+
 def _settle(entries: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Rounds of leaders, then everything that is left."""
     size = entries.count()
