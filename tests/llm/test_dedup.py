@@ -86,16 +86,6 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert got == {(5, 3, False), (3, 3, True), (9, 3, False), (11, 11, True)}
 
 
-def test_rarity_counts_every_value(spark, monkeypatch):
-    """Counters are exact up to shared ones, however often a task sends what it has."""
-    monkeypatch.setattr(near_dup, "COUNTED_AT_ONCE", 100)
-    sketches = [list(range(i, i + 40)) for i in range(0, 400, 7)]
-    nodes = spark.createDataFrame([(s,) for s in sketches], "sketch array<long>").repartition(7)
-    codes = near_dup.rarity(nodes)
-    times = Counter(int(near_dup.bucket(np.int64(v), len(codes))) for s in sketches for v in s)
-    assert {i: int(c) for i, c in enumerate(codes) if c} == {i: int(8 * np.log2(c)) for i, c in times.items() if c > 1}
-
-
 def test_depths_and_estimates_miss_nothing(spark):
     k = near_dup.SKETCH
     assert near_dup._tail(k, 0.2, k - near_dup.least_shared(k, 80) + 1) < near_dup.MISS
