@@ -32,12 +32,14 @@ from fieldspark.scale import BROADCAST_ROWS
 from .tables import mix64, slices, store
 
 SKETCH = 128
+#: Smallest values of a sketch that are compared first; they are a sketch too, a quarter of its bytes.
+HEAD = 32
 MISS = 1e-6
 LEADERS = 3
 ROUNDS = 8
 #: Pairs per list entry up to which all remaining pairs are compared at once.
 PAIRS_PER_ENTRY = 1
-#: Pairs up to which sketches are not read before the sets that contain them.
+#: Pairs up to which whole sketches are not read before the sets that contain them.
 FEW_PAIRS = 50_000
 
 
@@ -103,20 +105,25 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words: int, k: int) -> Dat
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, words: int, k: int, wanted: DataFrame) -> DataFrame:
-    """(node, set, sketch) of the documents in ``wanted`` (node): all sorted hashes, and the upper halves of the ``k`` smallest."""
+    """(node, set, sketch, head) of the documents in ``wanted`` (node).
+
+    All sorted hashes, the upper halves of the ``k`` smallest, and those of the HEAD smallest.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingle_sets(part.column(1), words))
+                halves = [(s[:k] >> np.uint64(32)).astype(np.uint32) for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()),
-                    pa.array([(s[:k] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary()),
-                ], ["node", "set", "sketch"])
+                    pa.array([h.tobytes() for h in halves], pa.binary()),
+                    pa.array([h[:HEAD].tobytes() for h in halves], pa.binary()),
+                ], ["node", "set", "sketch", "head"])
 
     picked = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("t")).join(
         hinted(wanted), "node", "left_semi")
-    return picked.mapInArrow(rows, "node long, set binary, sketch binary")
+    return picked.mapInArrow(rows, "node long, set binary, sketch binary, head binary")
 
 
 # ---------------------------------------------------------------- how deep lists and sketches must be read
@@ -245,8 +252,8 @@ def remaining_pairs(entries: DataFrame, lists: DataFrame, k: int, percent: int)
 
 # ---------------------------------------------------------------- verification
 
-def promising(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose sketches, merged into the sketch of their union, show enough values that both hold."""
+def promising(pairs: DataFrame, sets: DataFrame, k: int, percent: int, value: str = "sketch") -> DataFrame:
+    """Pairs whose sketches of ``k`` values, merged into the sketch of their union, show enough values that both hold."""
     need = least_shared(k, percent)
 
     @F.arrow_udf("boolean")
@@ -254,7 +261,7 @@ def promising(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFr
         both = zip(xs, ys, strict=True)
         return pa.array([hopeful(*(np.frombuffer(v.as_buffer(), np.uint32) for v in pair), k, need) for pair in both], pa.bool_())
 
-    return _paired(pairs, sets, "sketch").filter(likely("x", "y")).select("a", "b")
+    return _paired(pairs, sets, value).filter(likely("x", "y")).select("a", "b")
 
 
 def hopeful(p: np.ndarray, q: np.ndarray, k: int, need: int) -> bool:
@@ -280,6 +287,10 @@ def linked(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def _paired(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """Pairs with both values; of the sets only those that occur in pairs are shuffled, where their list can be broadcast."""
+    used = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired-nodes")
+    if used.count() <= BROADCAST_ROWS:
+        sets = sets.join(F.broadcast(used), "node", "left_semi")
     first, second = (sets.select(F.col("node").alias(n), F.col(value).alias(v)) for n, v in (("a", "x"), ("b", "y")))
     return hinted(pairs).join(first, "a").join(second, "b")
 
@@ -380,7 +391,10 @@ def _settle(entries: DataFrame, labels: DataFrame, sets: DataFrame, k: int, perc
         if tried is not None:
             pairs = pairs.join(hinted(tried), ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
-        likely = pairs if pairs.count() <= FEW_PAIRS else store(promising(pairs, sets, k, percent), "promising")
+        head = min(HEAD, k)
+        likely = store(promising(pairs, sets, head, percent, "head"), "promising")
+        if likely.count() > FEW_PAIRS:
+            likely = store(promising(likely, sets, k, percent), "promising")
         links = store(linked(likely, sets, k, percent), "links")
         found = links if found is None else found.unionByName(links)
         # between rounds a first contraction will do: it only spares comparisons
