@@ -288,7 +288,8 @@ def linked(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame
 
 def _paired(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
     """Pairs with both values; of the sets only those that occur in pairs are shuffled, where their list can be broadcast."""
-    used = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired-nodes")
+    ends = [pairs.select(F.col(c).alias("node")).distinct() for c in ("a", "b")]
+    used = store(ends[0].unionByName(ends[1]).distinct(), "paired-nodes")
     if used.count() <= BROADCAST_ROWS:
         sets = sets.join(F.broadcast(used), "node", "left_semi")
     first, second = (sets.select(F.col("node").alias(n), F.col(value).alias(v)) for n, v in (("a", "x"), ("b", "y")))
