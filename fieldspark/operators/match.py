@@ -7,19 +7,26 @@ threshold. Classes are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import boxes as bx
 from ..scale import GROUP_LIMIT, bounded_broadcast, cut_lineage
 from . import spatial as sp
+from .streamed import FreeBoxes, box_rows, group_parts, in_order
 from .suppress import field_array, overlap_join
 
 PAIR = "struct<gt:array<int>,iou:array<double>>"
 #: Largest number of candidate pairs of one image that is held in one array.
 PAIR_LIMIT = 500_000
+#: Largest number of true boxes of one image that one task holds, as an index of the free ones.
+HELD_TRUTH = 2_000_000
 
 
 def greedy(gt: np.ndarray, gen: np.ndarray, threshold: float):
@@ -111,6 +118,41 @@ def _finish(pairs: DataFrame, image: str) -> DataFrame:
     return rows.select(image, F.col("_r.gt_ord"), F.col("_r.gen_ord"), (-F.col("_r.neg")).alias("iou"))
 
 
+def _streamed(gt: DataFrame, gen: DataFrame, image: str, threshold: float) -> DataFrame:
+    """Images read in list order by one task each: the true boxes are held, the generated ones pass by. No pair is stored."""
+    fields = gt.schema
+    schema = StructType([StructField("gt_ord", fields["ord"].dataType), StructField("gen_ord", gen.schema["ord"].dataType),
+                         StructField("iou", DoubleType()), StructField(image, fields[image].dataType)])
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        flat = [F.col("box")[e].alias(e) for e in bx.EDGES]
+        return df.select(F.col(image).alias("_k"), F.lit(kind).alias("_kind"), F.col("ord").cast("bigint").alias("_ord"), *flat).dropna()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        truth: list[tuple[np.ndarray, np.ndarray]] = []
+        free: FreeBoxes | None = None
+        for begins, part in group_parts(batches):
+            if begins:
+                truth, free = [], None
+            kinds, ords, boxes = part.column(1).to_numpy(), part.column(2).to_numpy(), box_rows(part, 3)
+            first = int(np.searchsorted(kinds, 1))
+            if first:
+                truth.append((boxes[:first], ords[:first]))
+            if first == len(kinds) or not (truth or free):
+                continue
+            if free is None:
+                free, truth = FreeBoxes(*(np.concatenate(column) for column in zip(*truth, strict=True)), threshold), []
+            found = [(ord_, *pair) for ord_, box in zip(ords[first:].tolist(), boxes[first:], strict=True) if (pair := free.take(box))]
+            if found:
+                gen_ord, gt_ord, iou = zip(*found, strict=True)
+                same = pa.DictionaryArray.from_arrays(pa.array([0] * len(found), pa.int32()), part.column(0)[:1]).dictionary_decode()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gt_ord, pa.int64()).cast(to_gt), pa.array(gen_ord, pa.int64()).cast(to_gen), pa.array(iou), same], schema.names)
+
+    to_gt, to_gen = (pa.int32() if schema[k].dataType.typeName() == "integer" else pa.int64() for k in ("gt_ord", "gen_ord"))
+    return in_order(rows(gt, 0).unionByName(rows(gen, 1)), ["_kind", "_ord"], run, schema).select(image, "gt_ord", "gen_ord", "iou")
+
+
 def take_copies(pairs: list, gens: list, gts: list) -> tuple[list[int], list[int], list[float]]:
     """Greedy choice over different boxes: ``pairs`` (gen box, gt box, iou), and the list positions of each box's copies."""
     copies = {g["first"]: g["ords"] for g in gts}
@@ -164,7 +206,7 @@ def _with_copies(pairs: DataFrame, gt: DataFrame, gen: DataFrame, image: str) ->
 
 
 def _large(gt: DataFrame, gen: DataFrame, image: str, threshold: float, pair_limit: int) -> DataFrame:
-    """The same result for images of any size.
+    """The same result for images with more true boxes than one task holds, and for thresholds below ``sp.LEAST_IOU``.
 
     Only pairs that reach the threshold are formed, between different boxes, in cells that follow the boxes' sizes. An
     image whose boxes repeat so often that their copies make more than ``pair_limit`` pairs, but the different ones do not,
@@ -239,12 +281,13 @@ def image_sizes(gt: DataFrame, gen: DataFrame, image: str, counted: Column | Non
 
 def match_boxes(
     gt: DataFrame, gen: DataFrame, iou_threshold: float = 0.5, image: str = "image_path",
-    limit: int = GROUP_LIMIT, sizes: DataFrame | None = None, pair_limit: int = PAIR_LIMIT,
+    limit: int = GROUP_LIMIT, sizes: DataFrame | None = None, pair_limit: int = PAIR_LIMIT, held_truth: int = HELD_TRUTH,
 ) -> DataFrame:
     """Matched pairs ``(image, gt_ord, gen_ord, iou)``.
 
-    Both inputs carry the image key, ``ord`` (list position) and ``box``. ``sizes`` may
-    give the counts per image (``image_sizes``) if they are at hand.
+    Both inputs carry the image key, ``ord`` (list position, an integer) and ``box``. ``sizes`` may
+    give the counts per image (``image_sizes``) if they are at hand. Images over ``limit`` boxes are streamed through one task
+    each, those with more than ``held_truth`` true boxes are matched in rounds over stored pairs.
     """
     gt, gen = gt.select(image, "ord", "box"), gen.select(image, "ord", "box")
     sizes = image_sizes(gt, gen, image) if sizes is None else sizes
@@ -253,9 +296,16 @@ def match_boxes(
     if hot.isEmpty():
         return _small(gt, gen, image, iou_threshold)
     hot = bounded_broadcast(hot)
-    small = _small(gt.join(hot, image, "left_anti"), gen.join(hot, image, "left_anti"), image, iou_threshold)
-    large = _large(gt.join(hot, image, "left_semi"), gen.join(hot, image, "left_semi"), image, iou_threshold, pair_limit)
-    return small.unionByName(large)
+    out = _small(gt.join(hot, image, "left_anti"), gen.join(hot, image, "left_anti"), image, iou_threshold)
+    gt, gen = gt.join(hot, image, "left_semi"), gen.join(hot, image, "left_semi")
+    if iou_threshold >= sp.LEAST_IOU:
+        huge = cut_lineage(sizes.filter(F.col("num_gt") > held_truth).select(image))
+        if huge.isEmpty():
+            return out.unionByName(_streamed(gt, gen, image, iou_threshold))
+        huge = bounded_broadcast(huge)
+        out = out.unionByName(_streamed(gt.join(huge, image, "left_anti"), gen.join(huge, image, "left_anti"), image, iou_threshold))
+        gt, gen = gt.join(huge, image, "left_semi"), gen.join(huge, image, "left_semi")
+    return out.unionByName(_large(gt, gen, image, iou_threshold, pair_limit))
 
 
 def _ratio(n, d):

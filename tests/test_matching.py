@@ -147,3 +147,25 @@ def test_near_pairs_are_all_pairs(spark):
         for cell_rows in (2, 1024):
             got = sorted((r.l_ord, r.r_ord) for r in spatial.near_pairs(left, right, ["image_path"], t, cell_rows).collect())
             assert got == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if iou(p, q) >= t)
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.5, 0.8, 1.0])
+def test_streamed_images_equal_small_and_store_no_pairs(spark, threshold, monkeypatch):
+    """Images over the limit are matched without a table of pairs; only those with too many true boxes store pairs."""
+    rnd = random.Random(21)
+
+    def rows(n, image, seed_box=(0.0, 0.0, 64.0, 64.0)):
+        out = []
+        for i in range(n):
+            w, h, x, y = 2 ** rnd.uniform(-2, 8), 2 ** rnd.uniform(-2, 8), rnd.uniform(-200, 200), rnd.uniform(-200, 200)
+            near = tuple(v + rnd.randint(-3, 3) for v in seed_box)
+            out.append((image, 3 * i % n if n % 3 else i, "c", 1.0, *rnd.choice([(x, y, x + w, y + h), near, seed_box, (9.0, 9.0, 5.0, 5.0)])))
+        return out
+
+    gt = side(spark, rows(200, "a") + rows(50, "b") + rows(4, "c") + rows(40, "only"))
+    gen = side(spark, rows(250, "a") + rows(50, "b") + rows(4, "c"))
+    want = sorted(map(tuple, match.match_boxes(gt, gen, threshold).collect()))
+    rounds = sorted(map(tuple, match.match_boxes(gt, gen, threshold, limit=10, held_truth=100).collect()))
+    assert rounds == want and want
+    monkeypatch.setattr(match.sp, "near_pairs", None)
+    assert sorted(map(tuple, match.match_boxes(gt, gen, threshold, limit=10).collect())) == want
