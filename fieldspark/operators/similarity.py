@@ -24,6 +24,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 BROADCAST_BYTES = 64 * 1024 * 1024
 #: Vectors of one chunk, as doubles.
 CHUNK_BYTES = 128 * 1024 * 1024
+#: Least share of the references' bytes in one chunk of vectors: all copies of the references stay within so many times the vectors.
+COPIES = 8
+#: Values of one matrix product; larger ones are made block by block.
+PRODUCT_VALUES = 1 << 21
 #: Smallest block of references whose bound is looked at first.
 BOUND_ROWS = 8
 #: Floor of a vector norm.
@@ -57,6 +61,13 @@ def _blocks(refs: pd.DataFrame, keys: list[str], mode: str) -> dict:
     return out
 
 
+def _pieces(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows whose products with ``width`` vectors stay within ``PRODUCT_VALUES``."""
+    step = max(1, PRODUCT_VALUES // max(1, width))
+    for k in range(0, n, step):
+        yield slice(k, min(n, k + step))
+
+
 def _search(blocks: dict, keys: pd.DataFrame, vectors: pd.Series, best_only: np.ndarray, mode: str) -> pd.DataFrame:
     """Class names and greatest similarities per vector; only the best class where ``best_only``."""
     none = np.empty(0, dtype=object), np.empty(0)
@@ -66,7 +77,8 @@ def _search(blocks: dict, keys: pd.DataFrame, vectors: pd.Series, best_only: np.
         if group not in blocks:
             continue
         ref, starts, names = blocks[group]
-        best = np.maximum.reduceat(unit(matrix(vectors.iloc[rows]), mode) @ ref.T, starts, axis=1)
+        sought = unit(matrix(vectors.iloc[rows]), mode)
+        best = np.concatenate([np.maximum.reduceat(sought[p] @ ref.T, starts, axis=1) for p in _pieces(len(rows), len(ref))])
         top = best.argmax(axis=1)
         for k, row in enumerate(rows):
             if best_only[row]:
@@ -115,22 +127,27 @@ def similarity(
         return _spread(vectors.select(*ids, search(row).alias("_f")), ids, "_f", keep_unmatched)
 
     total = vectors.agg(F.sum(F.size("embedding").cast("bigint") * 8)).first()[0] or 0
-    return _streamed(vectors.withColumn("_one", flag), refs, keys, ids, mode, max(1, math.ceil(total / chunk_bytes)), keep_unmatched)
+    return _streamed(vectors.withColumn("_one", flag), refs, keys, ids, mode, chunk_count(total, size, chunk_bytes), keep_unmatched)
+
+
+def chunk_count(vector_bytes: int, ref_bytes: int, chunk_bytes: int) -> int:
+    """Chunks of ``chunk_bytes``, or as large as ``COPIES`` asks for, but then not beyond ``CHUNK_BYTES``."""
+    return max(1, math.ceil(vector_bytes / max(chunk_bytes, min(CHUNK_BYTES, ref_bytes / COPIES))))
 
 
 def _streamed(
     vectors: DataFrame, refs: DataFrame, keys: list[str], ids: list[str], mode: str, n_chunks: int, keep_unmatched: bool,
 ) -> DataFrame:
-    """One exchange: vectors once, references once per chunk of vectors."""
+    """One exchange: vectors once, references once per chunk of vectors, copied by many tasks."""
     fields = [vectors.schema[c] for c in ids]
     row = F.struct(*ids)
     left = vectors.select(
         F.pmod(F.xxhash64(*keys, "embedding", row), F.lit(n_chunks)).cast("int").alias("_c"), F.lit(0).alias("_kind"), *keys,
         F.lit(None).cast("string").alias("class"), F.col("embedding").cast("array<double>"), "_one", row.alias("_row"))
-    right = refs.select(
+    right = refs.repartition(max(n_chunks, refs.sparkSession.sparkContext.defaultParallelism)).select(
         F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_c"), F.lit(1).alias("_kind"), *keys, F.col("class").cast("string"),
         F.col("embedding").cast("array<double>"), F.lit(False).alias("_one"), F.lit(None).cast(StructType(fields)).alias("_row"))
-    both = left.unionByName(right).repartition(n_chunks, "_c").sortWithinPartitions("_c", "_kind", *keys, "class")
+    both = left.unionByName(right).repartitionById(n_chunks, F.col("_c")).sortWithinPartitions("_c", "_kind", *keys, "class")
     schema = StructType([*fields, StructField("class", StringType()), StructField("similarity", DoubleType())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +191,7 @@ class _Group:
     def close(self, mode: str) -> None:
         self.unit = unit(np.stack([np.frombuffer(v) for v in self.vectors]), mode) if self.vectors else np.empty((0, 0))
         n = len(self.vectors)
+        self.vectors.clear()
         self.rows, self.of, self.one = np.array(self.rows), np.array(self.of), np.array(self.one)
         self.each = np.zeros(n, bool)
         self.each[self.of[~self.one]] = True
@@ -189,8 +207,9 @@ class _Group:
             centre = refs.mean(axis=0)
             bound = self.unit @ centre + np.sqrt(((refs - centre) ** 2).sum(axis=1).max()) + 1e-9
             some = np.flatnonzero(bound > floor)
-        if len(some):
-            self.now[some] = np.maximum(self.now[some], (self.unit[some] @ refs.T).max(axis=1))
+        for p in _pieces(len(some), len(refs)):
+            rows = some[p]
+            self.now[rows] = np.maximum(self.now[rows], (self.unit[rows] @ refs.T).max(axis=1))
 
 
 class _Chunk:

@@ -274,3 +274,32 @@ def test_supports_are_turned_or_skipped(spark):
     assert [tuple(r) for r in skipped.collect()] == [("x", "m", 2, 1, 3, 3)]
     found, skipped = fewshot.classify_repaired(p, s)
     assert [(r["class"], round(r.score, 6)) for r in found.collect()] == [("t", 1.0)] and skipped.count() == 1
+
+
+def test_similarity_products_and_copies_are_bounded():
+    """Memory follows the vectors, not vectors times references; copies of the references follow the vectors."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from fieldspark.operators import similarity as sim
+
+    rng = np.random.default_rng(3)
+    refs, rows = rng.normal(size=(6000, 16)), rng.normal(size=(4000, 16))
+    blocks = {("b", 16): (sim.unit(refs), np.array([0, 2500]), np.array(["p", "q"], object))}
+    group = sim._Group()
+    group.vectors, group.rows, group.of, group.one = {v.tobytes(): k for k, v in enumerate(rows)}, [*range(4000)], [*range(4000)], [True] * 4000
+    group.close("max")
+    tracemalloc.start()
+    got = sim._search(blocks, pd.DataFrame({"backend": ["b"] * 4000}), pd.Series(list(rows)), np.zeros(4000, bool), "max")
+    group.compare(sim.unit(refs))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4000 * 6000 * 8 / 3
+    whole = sim.unit(rows) @ sim.unit(refs).T
+    assert np.allclose(np.stack(got["similarity"]), np.stack([whole[:, :2500].max(1), whole[:, 2500:].max(1)], 1))
+    assert np.allclose(group.now, whole.max(1))
+    for n in (10**6, 10**8, 10**10):
+        assert sim.chunk_count(9 * n, n, 64 * 1024) * n <= 9 * sim.COPIES * n + n or n > sim.COPIES * sim.CHUNK_BYTES
+        assert sim.chunk_count(9 * n, n, sim.CHUNK_BYTES) == -(-9 * n // sim.CHUNK_BYTES) or n > sim.COPIES * sim.CHUNK_BYTES
