@@ -5,12 +5,14 @@ forms share their stem. Filters of several widths slide over the word vectors; e
 goes through a rectifier into a logistic unit. Since a filter is linear, its products with the distinct words are
 computed once per batch and only added up along the text.
 
+All labelled rows are learnt from: each epoch runs over shards of them in parallel, and the shards' changes are averaged.
 Decision thresholds are calibrated by language on rows kept out of training; the language is guessed from the
 text's own function words. The score is shifted so that the calibrated threshold is 0.5.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,11 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.scale import bounded_broadcast, cut_lineage
+
 from .tables import mix64, slices
 
-#: Bounds of the labelled sample that the model is fitted on: rows and characters.
-SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 60_000_000
+#: Labelled rows that one task learns from in an epoch, on average.
+SHARD_ROWS = 8192
+#: Buckets of the embedding whose changes are averaged together.
+BLOCK_BUCKETS = 1024
+#: Steps of a logit in the histograms that thresholds are read from.
+LOGIT_STEPS = 128
 #: Words of a text that are convolved at a time; texts of any length go through piece by piece.
 PIECE_WORDS = 200_000
 #: Texts whose words are numbered together.
@@ -132,21 +139,6 @@ def pack(texts: pa.Array, s: Settings) -> Packed:
                   numbers.astype(np.int32), starts, guess_languages(words, numbers, starts))
 
 
-def side_by_side(parts: list[Packed], s: Settings) -> Packed:
-    """Packed texts with one numbering of their words."""
-    if not parts:
-        return pack(pa.array([], pa.string()), s)
-    hashes = np.concatenate([p.hashes for p in parts])
-    once, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-    at, numbers = 0, []
-    for p in parts:
-        numbers.append(number[at:at + len(p.hashes)].astype(np.int32)[p.numbers])
-        at += len(p.hashes)
-    lengths = np.concatenate([np.diff(p.starts) for p in parts])
-    return Packed(once, np.concatenate([p.buckets for p in parts])[first], np.concatenate(numbers),
-                  np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), np.concatenate([p.languages for p in parts]))
-
-
 # ---------------------------------------------------------------- the network
 
 @dataclass
@@ -237,6 +229,33 @@ class Model:
             k = end
         return out
 
+    def pooled_words(self, vectors: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Maximum of every filter over every text and the words at it, per width [texts, filters, width]; in bounded memory."""
+        over, n, s = max(self.settings.widths) - 1, len(starts) - 1, self.settings
+        out = np.full((n, len(self.out)), -np.inf, np.float32)
+        words = [np.full((n, s.filters, w), len(vectors) - 1, np.int64) for w in s.widths]
+
+        def look(rows: np.ndarray, part: list[np.ndarray], goes_on: np.ndarray | None) -> None:
+            at = np.concatenate([[0], np.cumsum([len(p) for p in part])])
+            top, place, padded = self.pooled(vectors, np.concatenate(part), at, argmax=True, goes_on=goes_on)
+            better = top > out[rows]  # the first of equal positions stays
+            out[rows] = np.where(better, top, out[rows])
+            for i, w in enumerate(s.widths):
+                cols = slice(i * s.filters, (i + 1) * s.filters)
+                found = padded[np.minimum(place[:, cols, None] + np.arange(w), len(padded) - 1)]
+                words[i][rows] = np.where(better[:, cols, None], found, words[i][rows])
+
+        lengths = np.diff(starts)
+        rows = np.flatnonzero(lengths <= PIECE_WORDS)
+        for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(lengths[rows]) // PIECE_WORDS)) + 1):
+            if len(some):
+                look(some, [numbers[starts[t]:starts[t + 1]] for t in some], None)
+        for t in np.flatnonzero(lengths > PIECE_WORDS):
+            for a in range(starts[t], starts[t + 1] - over, PIECE_WORDS - over):
+                b = min(starts[t + 1], a + PIECE_WORDS)
+                look(np.array([t]), [numbers[a:b]], np.array([b < starts[t + 1]]))
+        return out, words
+
     def logits(self, texts: Packed) -> np.ndarray:
         """Raw logit of each text."""
         if self.constant is not None:
@@ -253,35 +272,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64) - shift[language], -40, 40)))
 
 
-def train(texts: Packed, labels: np.ndarray, s: Settings | None = None) -> Model:
-    """Fit the network by AdaGrad on the logistic loss. Only the words at a filter's maximum get a gradient."""
-    s = s or Settings()
-    model = Model.start(s)
-    if len(labels) == 0 or labels.min() == labels.max():
-        model.constant = -20.0 if len(labels) == 0 or labels[0] == 0 else 20.0
-        return model
-    numbers, starts, buckets = texts.numbers, texts.starts, texts.buckets
-    rng = np.random.default_rng(s.seed)
-    rate = labels.mean()
-    weight = np.where(labels == 1, 0.5 / rate, 0.5 / (1 - rate))
-    model.out_bias = float(np.log(rate / (1 - rate)))
-    square = {"e": np.full(s.buckets, 1e-3, np.float32), "o": np.full(len(model.out), 1e-3), "c": 1e-3}
-    square |= {("f", w): np.full_like(model.filters[w], 1e-3) for w in s.widths}
-    square |= {("b", w): np.full_like(model.bias[w], 1e-3) for w in s.widths}
-
-    def step(value, grad, key):
-        square[key] = square[key] + grad * grad
-        return value - s.rate * grad / np.sqrt(square[key])
+class Trainer:
+    """AdaGrad on the logistic loss. Only the words at a filter's maximum get a gradient."""
 
-    for _ in range(s.epochs):
-        order = rng.permutation(len(labels))
+    def __init__(self, model: Model, rate: float):
+        s = model.settings
+        self.model, self.rate = model, rate
+        model.out_bias = float(np.log(rate / (1 - rate)))
+        self.square = {"e": np.full(s.buckets, 1e-3, np.float32), "o": np.full(len(model.out), 1e-3), "c": 1e-3}
+        self.square |= {("f", w): np.full_like(model.filters[w], 1e-3) for w in s.widths}
+        self.square |= {("b", w): np.full_like(model.bias[w], 1e-3) for w in s.widths}
+
+    def step(self, value, grad, key):
+        self.square[key] = self.square[key] + grad * grad
+        return value - self.model.settings.rate * grad / np.sqrt(self.square[key])
+
+    def learn(self, texts: Packed, labels: np.ndarray, order: np.ndarray) -> None:
+        """One pass over the rows ``order``."""
+        model, s = self.model, self.model.settings
+        numbers, starts, buckets = texts.numbers, texts.starts, texts.buckets
+        weight = np.where(labels == 1, 0.5 / self.rate, 0.5 / (1 - self.rate))
         for k in range(0, len(order), s.batch):
             rows = order[k:k + s.batch]
             part = [numbers[starts[r]:starts[r + 1]] for r in rows]
             at = np.concatenate([[0], np.cumsum([len(p) for p in part])])
             used, local = np.unique(np.concatenate(part), return_inverse=True)
             vectors = model.vectors(buckets[used])
-            top, place, padded = model.pooled(vectors, local, at, argmax=True)
+            top, words = model.pooled_words(vectors, local, at)
             pre = top + np.concatenate([model.bias[w] for w in s.widths])
             hidden = np.maximum(pre, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30)))
@@ -289,24 +306,54 @@ def train(texts: Packed, labels: np.ndarray, s: Settings | None = None) -> Model
             dh = d[:, None] * model.out * (pre > 0)
             d_vectors = np.zeros_like(vectors)
             for i, w in enumerate(s.widths):
-                cols = slice(i * s.filters, (i + 1) * s.filters)
-                g, spot = dh[:, cols], place[:, cols]
+                g = dh[:, i * s.filters:(i + 1) * s.filters]
                 d_filter = np.zeros_like(model.filters[w])
                 for j in range(w):
-                    word = padded[np.minimum(spot + j, len(padded) - 1)]
+                    word = words[i][:, :, j]
                     np.add.at(d_vectors, word, g[:, :, None] * model.filters[w][j].T)
                     d_filter[j] = np.einsum("tfs,tf->sf", vectors[word], g)
-                model.filters[w] = step(model.filters[w], d_filter + s.decay * model.filters[w], ("f", w))
-                model.bias[w] = step(model.bias[w], g.sum(0), ("b", w))
+                model.filters[w] = self.step(model.filters[w], d_filter + s.decay * model.filters[w], ("f", w))
+                model.bias[w] = self.step(model.bias[w], g.sum(0), ("b", w))
             touched = np.flatnonzero(np.abs(d_vectors[:-1]).sum(1))
             rows_e, inverse = np.unique(buckets[used[touched]], return_inverse=True)
             grad = np.zeros((len(rows_e), s.size), np.float32)
             np.add.at(grad, inverse.reshape(-1), np.repeat(d_vectors[touched], buckets.shape[1], 0))
             grad += s.decay * model.embedding[rows_e]
-            square["e"][rows_e] += (grad * grad).mean(1)
-            model.embedding[rows_e] -= s.rate * grad / np.sqrt(square["e"][rows_e])[:, None]
-            model.out = step(model.out, hidden.T @ d + s.decay * model.out, "o").astype(np.float32)
-            model.out_bias = float(step(model.out_bias, d.sum(), "c"))
+            self.square["e"][rows_e] += (grad * grad).mean(1)
+            model.embedding[rows_e] -= s.rate * grad / np.sqrt(self.square["e"][rows_e])[:, None]
+            model.out = self.step(model.out, hidden.T @ d + s.decay * model.out, "o").astype(np.float32)
+            model.out_bias = float(self.step(model.out_bias, d.sum(), "c"))
+
+    def small(self) -> np.ndarray:
+        """All values but those of the embedding, in one row."""
+        m, q = self.model, self.square
+        parts = [x for w in m.settings.widths for x in (m.filters[w], m.bias[w], q["f", w], q["b", w])]
+        return np.concatenate([np.ravel(x).astype(np.float64) for x in (*parts, m.out, m.out_bias, q["o"], q["c"])])
+
+    def set_small(self, row: np.ndarray) -> None:
+        m, q, at = self.model, self.square, 0
+
+        def next_like(x):
+            nonlocal at
+            size = np.size(x)
+            at += size
+            return row[at - size:at].reshape(np.shape(x)).astype(np.asarray(x).dtype)
+
+        for w in m.settings.widths:
+            m.filters[w], m.bias[w], q["f", w], q["b", w] = (next_like(x) for x in (m.filters[w], m.bias[w], q["f", w], q["b", w]))
+        m.out, m.out_bias, q["o"], q["c"] = next_like(m.out), float(next_like(m.out_bias)), next_like(q["o"]), float(next_like(q["c"]))
+
+
+def train(texts: Packed, labels: np.ndarray, s: Settings | None = None) -> Model:
+    """Fit the network on texts that are at hand."""
+    s = s or Settings()
+    model = Model.start(s)
+    if len(labels) == 0 or labels.min() == labels.max():
+        model.constant = -20.0 if len(labels) == 0 or labels[0] == 0 else 20.0
+        return model
+    trainer, rng = Trainer(model, labels.mean()), np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        trainer.learn(texts, labels, rng.permutation(len(labels)))
     return model
 
 
@@ -324,15 +371,19 @@ def calibrate(model: Model, texts: Packed, labels: np.ndarray, least: int = 10)
             model.thresholds[k] = best_threshold(logit[own], labels[own])
 
 
-def best_threshold(logit: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with fewest weighted errors (both classes weigh the same), in the middle of its gap; ties: the widest gap."""
+def best_threshold(logit: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """The cut with fewest weighted errors (both classes weigh the same), in the middle of its gap; ties: the widest gap.
+
+    ``counts`` says how many rows each value stands for.
+    """
     if not len(labels) or labels.min() == labels.max():
         return 0.0
     order = np.argsort(logit, kind="stable")
+    n = np.ones(len(order)) if counts is None else counts[order].astype(np.float64)
     x, y = logit[order].astype(np.float64), labels[order]
-    positives, negatives = y.sum(), (1 - y).sum()
-    below = np.concatenate([[0], np.cumsum(y)]) / positives
-    above = 1 - np.concatenate([[0], np.cumsum(1 - y)]) / negatives
+    positives, negatives = (n * y).sum(), (n * (1 - y)).sum()
+    below = np.concatenate([[0], np.cumsum(n * y)]) / positives
+    above = 1 - np.concatenate([[0], np.cumsum(n * (1 - y))]) / negatives
     edges = np.concatenate([[x[0] - 2], x, [x[-1] + 2]])
     gap = np.diff(edges)
     cost = np.where(gap > 0, below + above, np.inf)
@@ -349,56 +400,137 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text",
-    sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, settings: Settings | None = None,
+    sample_chars: int | None = None, settings: Settings | None = None, shard_rows: int = SHARD_ROWS,
 ) -> Model:
-    """Fit and calibrate on at most ``sample_rows`` labelled rows and ``sample_chars`` characters of whole texts.
+    """Fit and calibrate on all labelled rows and their whole texts.
 
-    The sample is the labelled rows with the smallest hash of their id, without held-out ones (remainder 0 of
-    crc32 modulo 5); remainder 1 calibrates, the others train. Null labels, ids and texts take no part, equal
-    texts count once; a text that would exceed the characters is passed over. Without rows of both classes the score is constant.
-    A null id is neither held out nor learnt from: ``held_out`` is false there.
+    Held-out rows (remainder 0 of crc32 modulo 5) take no part; remainder 1 calibrates, the others train. Null labels, ids and
+    texts take no part either, equal texts count once, under their smallest hash of an id. Shards are made of the tasks that read the texts, about ``shard_rows`` each;
+    an epoch starts every shard from the same model and averages what they changed, a bucket of the embedding over the shards that have
+    its words. Without rows of both classes the score is constant. ``sample_chars``, if a caller sets it, passes over
+    longer texts. A null id is neither held out nor learnt from: ``held_out`` is false there.
     """
     s = settings or Settings()
     remainder = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
     chosen = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(
-        F.col(doc_id).alias("k")
-    ).agg(F.max(F.col(label)).alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
-    rows = docs.filter(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("k"), F.col(text).alias("t"), remainder.alias("r"), F.sha2(F.col(text), 256).alias("same")
-    ).join(F.broadcast(chosen), "k")  # chosen has at most sample_rows rows
-    seen: set[str] = set()
-    chars = 0
-    # of rows that share an id and differ, at most sample_rows are looked at
-    for r in rows.select("k", "same", F.length("t").alias("n")).orderBy(F.xxhash64("k"), "k", "same").limit(sample_rows).collect():
-        if r.same not in seen and chars + r.n <= sample_chars:
-            chars += r.n
-            seen.add(r.same)
-    picked = rows.sparkSession.createDataFrame([(x,) for x in sorted(seen)], "same string")
-    sample = rows.join(F.broadcast(picked), "same", "left_semi").groupBy("same").agg(F.min(F.struct(F.xxhash64("k"), "k", "r", "y")).alias("m"), F.first("t").alias("t"))
-    numpy_of = {"hashes": np.uint64, "buckets": np.uint16 if s.buckets <= 1 << 16 else np.int32, "numbers": np.int32, "starts": np.int64, "languages": np.int64}
+        F.col(doc_id).alias("k")).agg(F.max(F.col(label)).alias("y"))
+    rows = docs.filter(F.col(text).isNotNull() if sample_chars is None else F.length(text) <= sample_chars).select(
+        F.col(doc_id).alias("k"), F.col(text).alias("t"), remainder.alias("r"), F.unhex(F.sha2(F.col(text), 256)).alias("same"))
+    # without texts: one row of one id per text, and how many rows have that id and text
+    known = rows.select("k", "r", "same").join(bounded_broadcast(chosen), "k").groupBy("k", "same").agg(
+        F.min("r").alias("r"), F.max("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.xxhash64("k").alias("h"), "k", "r", "y", "n")).alias("m")
+    known = cut_lineage(known.groupBy("same").agg(first).select("m.k", "same", "m.r", "m.y", "m.n"))
+    shards = max(1, -(-known.count() // shard_rows))
+
+    def whole(part: DataFrame) -> DataFrame:
+        return rows.select("k", "t", "same").join(bounded_broadcast(part.drop("n")), ["k", "same"])
+
+    dealt, repeated = whole(known.filter("n = 1")), known.filter("n > 1")
+    if not repeated.isEmpty():
+        dealt = dealt.unionByName(whole(repeated).dropDuplicates(["k", "same"]))
+    dealt = dealt.select("t", F.col("r").cast("bigint").alias("r"), (F.col("y") > 0).cast("bigint").alias("y"))
+    texts = cut_lineage(dealt.mapInArrow(_packing(s), ", ".join(f"{c} binary" for c in _NUMPY) + ", r array<long>, y array<long>"))
+    texts = texts.coalesce(shards)
+    learnt = texts.select(F.explode(F.arrays_zip("r", "y")).alias("z")).filter("z.r <> 1").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("z.y").alias("toxic")).first()
+    model = Model.start(s)
+    if not learnt.n or learnt.toxic in (0, learnt.n):
+        model.constant = 20.0 if learnt.n and learnt.toxic else -20.0
+        return model
+    trainer = Trainer(model, learnt.toxic / learnt.n)
+    for epoch in range(s.epochs):
+        _epoch(trainer, texts, epoch)
+    _calibrate(model, texts)
+    return model
+
 
+_NUMPY = {"hashes": np.uint64, "buckets": np.int32, "numbers": np.int32, "starts": np.int64, "languages": np.int64}
+
+
+def _packing(s: Settings):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, TEXTS_AT_ONCE):
                 got = pack(part.column(0), s)
-                columns = [pa.array([getattr(got, c).astype(kind).tobytes()], pa.binary()) for c, kind in numpy_of.items()]
+                columns = [pa.array([getattr(got, c).astype(kind).tobytes()], pa.binary()) for c, kind in _NUMPY.items()]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())),
-                                                  pa.array([part.column(2).to_pylist()], pa.list_(pa.int64()))], [*numpy_of, "r", "y"])
-
-    # the driver gets numbers of words, a few hundred texts at a time, and no text
-    ordered = sample.orderBy("m").select("t", F.col("m.r").cast("bigint").alias("r"), (F.col("m.y") > 0).cast("bigint").alias("y"))
-    parts, r, y = [], [], []
-    for row in ordered.mapInArrow(packed, ", ".join(f"{c} binary" for c in numpy_of) + ", r array<long>, y array<long>").toLocalIterator():
-        values = {c: np.frombuffer(row[c], kind) for c, kind in numpy_of.items()}
-        values["buckets"] = values["buckets"].reshape(len(values["hashes"]), -1)
-        parts.append(Packed(**values))
-        r += row["r"]
-        y += row["y"]
-    texts, r, y = side_by_side(parts, s), np.array(r, np.int64), np.array(y, np.int64)
-    del parts
-    model = train(texts.take(np.flatnonzero(r != 1)), y[r != 1], s)
-    calibrate(model, texts.take(np.flatnonzero(r == 1)), y[r == 1])
-    return model
+                                                  pa.array([part.column(2).to_pylist()], pa.list_(pa.int64()))], [*_NUMPY, "r", "y"])
+
+    return packed
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Packed, np.ndarray, np.ndarray]]:
+    """Packed texts with their remainders and labels, a few hundred at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            values = {c: np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in _NUMPY.items()}
+            values["buckets"] = values["buckets"].reshape(len(values["hashes"]), -1)
+            yield Packed(**values), np.array(batch.column("r")[k].as_py(), np.int64), np.array(batch.column("y")[k].as_py(), np.int64)
+
+
+def _epoch(trainer: Trainer, texts: DataFrame, epoch: int) -> None:
+    """One pass over all shards; ``trainer`` takes the mean of their changes."""
+    shared = texts.sparkSession.sparkContext.broadcast(trainer)
+    size, buckets = trainer.model.settings.size, trainer.model.settings.buckets
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, own = shared.value, copy.deepcopy(shared.value)
+        rng, any_text = np.random.default_rng([own.model.settings.seed, epoch]), False
+        for packed, r, y in _unpacked(batches):
+            any_text |= bool((r != 1).any())
+            own.learn(packed, y, rng.permutation(np.flatnonzero(r != 1)))
+        if not any_text:
+            return
+        change = np.column_stack([own.model.embedding - before.model.embedding, own.square["e"] - before.square["e"]])
+        for k in range(0, buckets, BLOCK_BUCKETS):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([change[k:k + BLOCK_BUCKETS].astype(np.float32).tobytes()], pa.binary())], ["block", "change"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([(own.small() - before.small()).tobytes()], pa.binary())], ["block", "change"])
+
+    def mean(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for batch in batches:
+            for value in batch.column("change"):
+                if key[0].as_py() < 0:
+                    row, seen = np.frombuffer(value.as_py()), 1
+                else:
+                    row = np.frombuffer(value.as_py(), np.float32).reshape(-1, size + 1).astype(np.float64)
+                    seen = row[:, -1:] > 0  # the words of a bucket raise its squares
+                total, n = total + row, n + np.asarray(seen, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.ravel(total / np.maximum(n, 1)).tobytes()], pa.binary())], ["block", "change"])
+
+    schema = "block int, change binary"
+    for row in texts.mapInArrow(learn, schema).groupBy("block").applyInArrow(mean, schema).collect():
+        change = np.frombuffer(row.change)
+        if row.block < 0:
+            trainer.set_small(trainer.small() + change)
+        else:
+            part = slice(row.block, row.block + BLOCK_BUCKETS)
+            change = change.reshape(-1, size + 1).astype(np.float32)
+            trainer.model.embedding[part] += change[:, :-1]
+            trainer.square["e"][part] += change[:, -1]
+    shared.unpersist()
+
+
+def _calibrate(model: Model, texts: DataFrame, least: int = 10) -> None:
+    """``calibrate`` on counts of all calibration rows by language, label and logit in steps."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed, r, y in _unpacked(batches):
+            own = np.flatnonzero(r == 1)
+            if len(own):
+                steps = np.floor(np.clip(shared.value.logits(packed.take(own)).astype(np.float64), -40, 40) * LOGIT_STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(packed.languages[own]), pa.array(y[own]), pa.array(steps)], ["language", "y", "step"])
+
+    counted = texts.mapInArrow(count, "language long, y long, step long").groupBy("language", "y", "step").agg(F.count(F.lit(1)).alias("n"))
+    found = np.array([tuple(r) for r in counted.orderBy("step", "y", "language").collect()], np.int64).reshape(-1, 4)
+    logit = (found[:, 2] + 0.5) / LOGIT_STEPS
+    model.thresholds[-1] = best_threshold(logit, found[:, 1], found[:, 3])
+    for k in range(len(LANGUAGES)):
+        own = found[:, 0] == k
+        if min(found[own & (found[:, 1] == y), 3].sum() for y in (0, 1)) >= least:
+            model.thresholds[k] = best_threshold(logit[own], found[own, 1], found[own, 3])
 
 
 def score_column(text: Column, model) -> Column:

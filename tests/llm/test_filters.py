@@ -65,6 +65,29 @@ def test_toxicity_sample_passes_over_a_huge_text(spark):
     assert [r.h for r in d.filter("doc_id IS NULL").select(toxicity.held_out().alias("h")).collect()] == [False]
 
 
+def test_toxicity_learns_from_all_labelled_rows_in_shards(spark):
+    """Toxic rows that come after the first ten thousand ids by hash are learnt from, in several shards."""
+    ids = spark.range(14_000).filter(~toxicity.held_out("id")).orderBy(F.xxhash64("id")).toPandas()["id"].tolist()
+    toxic = set(ids[10_000:])
+    assert len(toxic) > 500
+    rows = [(k, f"plain number w{k} of many" + (" vile" if k in toxic else "")) for k in ids]
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k in ids], "doc_id long, toxic int")
+    d = docs(spark, [*rows, (-1, "long " * 3000)])
+    model = toxicity.fit(d, labels.union(spark.createDataFrame([(-1, 0)], labels.schema)), shard_rows=3000)
+    assert model.constant is None
+    got = {r.doc_id: r.s for r in toxicity.score(d, model, out="s").collect()}
+    assert np.mean([(got[k] >= 0.5) == (k in toxic) for k in ids]) > 0.99
+
+
+def test_toxicity_training_in_pieces_is_that_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in rng.integers(0, 90, 64)]
+    packed, labels = toxicity.pack(pa.array(texts), toxicity.Settings()), np.arange(64) % 2
+    whole = toxicity.train(packed, labels)
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 20)
+    assert np.allclose(toxicity.train(packed, labels).embedding, whole.embedding, atol=1e-5)
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, AWKWARD, score="taken")
     none = spark.createDataFrame([], "doc_id long, toxic int")
