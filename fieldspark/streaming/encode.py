@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.detect import first_config
 
 KEYS = ["pipe_id", "image_id"]
+#: Groups that share a call and a state; calls and not rows are what a stream of many keys spends its time on.
+BUCKETS = 1024
 OUT = "pipe_id string, image_id string, event_id bigint, ts timestamp"
 
 
@@ -33,44 +35,47 @@ def _micros(ts: pd.Series) -> np.ndarray:
     return ts.to_numpy("datetime64[us]").astype(np.int64)
 
 
-def encode_once(stream: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
+def encode_once(stream: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Requests that need an encode: the first per key, and the first after each expiry.
 
     An encoding lives ``ttl_s`` seconds from its encode time; reads do not extend it.
-    State is one timestamp per key and is dropped once the watermark passes its expiry. A request that arrives
-    more than ``delay`` behind the newest one seen may be dropped as late, as watermarks do;
+    State is one timestamp per key, held for the keys of a bucket together, and a key is dropped once the watermark has passed its
+    expiry. A request that arrives more than ``delay`` behind the newest one seen may be dropped as late, as watermarks do;
     ``encode_once_batch`` keeps every row.
     ``stream``: ``pipe_id, image_id, event_id, ts`` (TIMESTAMP).
     """
     ttl = ttl_s * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        # of a batch's requests of one key only times and ids are held: 16 bytes each
-        parts = [(_micros(f["ts"]), f["event_id"].to_numpy(np.int64)) for f in frames]
-        times, ids = (np.concatenate(p) for p in zip(*parts))
-        order = np.lexsort((ids, times))
-        times, ids = times[order], ids[order]
-        at = due(times, last, ttl)
-        if at:
-            last = int(times[at[-1]])
-            state.update((last,))
-        expiry = (last + ttl) // 1000
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-        else:  # nothing that can still arrive finds this encoding alive
+        now = state.getCurrentWatermarkMs()
+        live = dict(zip(zip(*state.get[:2]), state.get[2])) if state.exists else {}
+        found = None
+        if not state.hasTimedOut:
+            rows = pd.concat([f[[*KEYS, "event_id", "ts"]] for f in frames], ignore_index=True)
+            rows = rows.sort_values([*KEYS, "ts", "event_id"], kind="stable", ignore_index=True)
+            times, picked = _micros(rows["ts"]), []
+            starts = np.flatnonzero((rows[KEYS] != rows[KEYS].shift()).any(axis=1).to_numpy())
+            names = list(zip(*(rows[k].to_numpy()[starts] for k in KEYS)))
+            for name, lo, hi in zip(names, starts, [*starts[1:], len(rows)]):
+                at = due(times[lo:hi], live.get(name), ttl)
+                if at:
+                    live[name] = int(times[lo + at[-1]])
+                    picked.extend(lo + k for k in at)
+            found = rows[["pipe_id", "image_id", "event_id", "ts"]].iloc[picked]
+        # nothing that can still arrive finds the others alive
+        live = {name: last for name, last in live.items() if (last + ttl) // 1000 > now}
+        if live:
+            state.update((*(list(part) for part in zip(*live)), list(live.values())))
+            state.setTimeoutTimestamp((min(live.values()) + ttl) // 1000)
+        elif state.exists:
             state.remove()
-        if at:
-            yield pd.DataFrame({
-                "pipe_id": key[0], "image_id": key[1], "event_id": ids[at], "ts": times[at].astype("datetime64[us]"),
-            })
-
-    marked = stream.select(*KEYS, "event_id", "ts").withWatermark("ts", delay)
-    return marked.groupBy(*KEYS).applyInPandasWithState(
-        step, OUT, "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout
+        if found is not None and len(found):
+            yield found
+
+    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).alias("bucket")
+    marked = stream.select(*KEYS, "event_id", "ts", bucket).withWatermark("ts", delay)
+    return marked.groupBy("bucket").applyInPandasWithState(
+        step, OUT, "pipe_ids array<string>, image_ids array<string>, last_us array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

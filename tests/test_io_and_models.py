@@ -108,6 +108,26 @@ def test_stream_over_several_batches_equals_batch_twin(spark, tmp_path):
     assert got == sorted(r.event_id for r in encode.encode_once_batch(df).collect())
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_stream_keys_of_one_bucket_stay_apart(spark, tmp_path, buckets):
+    rnd, start = random.Random(5), datetime(2024, 1, 1)
+    times = sorted(rnd.randint(0, 60_000) for _ in range(600))
+    rows = [(rnd.choice(["p", "q", None]), rnd.choice(["i", "j", None]), k, start + timedelta(seconds=t)) for k, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "pipe_id string, image_id string, event_id long, ts timestamp")
+    src = str(tmp_path / "src")
+    for k in range(3):
+        df.filter((F.col("event_id") >= k * 200) & (F.col("event_id") < (k + 1) * 200)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    encode.drain(encode.encode_once(stream, buckets=buckets), str(tmp_path / "out"))
+    got = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out/table")).collect())
+    last, want = {}, []
+    for pipe, image, k, ts in rows:
+        if (pipe, image) not in last or ts >= last[pipe, image] + timedelta(seconds=3600):
+            last[pipe, image] = ts
+            want.append(k)
+    assert got == want
+
+
 def test_first_config_in_list_order(spark):
     t = spark.createDataFrame([("a", "late", 2, 1, 0), ("a", "early", 1, 0, 5)], "term string, class_name string, prediction_value int, cfg_ord int, term_ord int")
     assert first_config(t).first().class_name == "early"
