@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldspark.functions import boxes as bx
@@ -169,3 +171,22 @@ def test_streamed_images_equal_small_and_store_no_pairs(spark, threshold, monkey
     assert rounds == want and want
     monkeypatch.setattr(match.sp, "near_pairs", None)
     assert sorted(map(tuple, match.match_boxes(gt, gen, threshold, limit=10).collect())) == want
+
+
+def test_rows_cross_the_exchange_packed():
+    from fieldspark.operators.streamed import pack, unpack
+
+    rng = np.random.default_rng(0)
+    n = 40_000
+    rows = pa.table({
+        "_k": pa.array([None if k == 7 else f"img_{k:04d}.jpg" for k in rng.integers(0, 50, n)]), "_ord": pa.array(np.arange(n)),
+        **{e: pa.array(rng.integers(0, 1000, n).astype(float)) for e in ("x1", "y1", "x2", "y2")}, "_task": pa.array(rng.integers(0, 6, n), pa.int32()),
+    })
+    packed = list(pack(iter(rows.to_batches(max_chunksize=7000))))
+    assert sum(sum(len(b) for b in p.column(1).to_pylist()) for p in packed) < rows.nbytes / 3
+    got = pa.Table.from_batches([b for p in packed for b in unpack(iter([p]))])
+    assert got.sort_by("_ord") == rows.drop_columns("_task")
+    for p in packed:
+        for task, part in zip(p.column(0).to_pylist(), range(len(p)), strict=True):
+            own = pa.Table.from_batches(unpack(iter([p.slice(part, 1)])))
+            assert set(rows.column("_task").take(own.column("_ord")).to_pylist()) == {task}
