@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 #: Vectors of one chunk, as doubles.
@@ -30,6 +31,8 @@ COPIES = 8
 PRODUCT_VALUES = 1 << 21
 #: Smallest block of references whose bound is looked at first.
 BOUND_ROWS = 8
+#: Vectors that are brought to unit length at a time.
+UNIT_ROWS = 4096
 #: Floor of a vector norm.
 EPS = 1e-12
 
@@ -141,12 +144,15 @@ def _streamed(
     """One exchange: vectors once, references once per chunk of vectors, copied by many tasks."""
     fields = [vectors.schema[c] for c in ids]
     row = F.struct(*ids)
+    # two tables of floats stay floats until they are multiplied
+    floats = all(df.schema["embedding"].dataType.elementType == FloatType() for df in (vectors, refs))
+    kind = "array<float>" if floats else "array<double>"
     left = vectors.select(
         F.pmod(F.xxhash64(*keys, "embedding", row), F.lit(n_chunks)).cast("int").alias("_c"), F.lit(0).alias("_kind"), *keys,
-        F.lit(None).cast("string").alias("class"), F.col("embedding").cast("array<double>"), "_one", row.alias("_row"))
+        F.lit(None).cast("string").alias("class"), F.col("embedding").cast(kind), "_one", row.alias("_row"))
     right = refs.repartition(max(n_chunks, refs.sparkSession.sparkContext.defaultParallelism)).select(
         F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_c"), F.lit(1).alias("_kind"), *keys, F.col("class").cast("string"),
-        F.col("embedding").cast("array<double>"), F.lit(False).alias("_one"), F.lit(None).cast(StructType(fields)).alias("_row"))
+        F.col("embedding").cast(kind), F.lit(False).alias("_one"), F.lit(None).cast(StructType(fields)).alias("_row"))
     both = left.unionByName(right).repartitionById(n_chunks, F.col("_c")).sortWithinPartitions("_c", "_kind", *keys, "class")
     schema = StructType([*fields, StructField("class", StringType()), StructField("similarity", DoubleType())])
 
@@ -188,10 +194,14 @@ class _Group:
         self.of: list[int] = []
         self.one: list[bool] = []
 
-    def close(self, mode: str) -> None:
-        self.unit = unit(np.stack([np.frombuffer(v) for v in self.vectors]), mode) if self.vectors else np.empty((0, 0))
+    def close(self, mode: str, dtype: np.dtype = np.dtype(np.float64)) -> None:
+        """Unit vectors, made block by block: beside them only the different vectors as they came are held."""
         n = len(self.vectors)
-        self.vectors.clear()
+        self.unit = np.empty((n, len(next(iter(self.vectors))) // dtype.itemsize if n else 0))
+        vectors, self.vectors = iter(self.vectors), {}
+        for lo in range(0, n, UNIT_ROWS):
+            part = np.frombuffer(b"".join(islice(vectors, UNIT_ROWS)), dtype).reshape(-1, self.unit.shape[1])
+            self.unit[lo : lo + UNIT_ROWS] = unit(part.astype(np.float64), mode)
         self.rows, self.of, self.one = np.array(self.rows), np.array(self.of), np.array(self.one)
         self.each = np.zeros(n, bool)
         self.each[self.of[~self.one]] = True
@@ -216,6 +226,7 @@ class _Chunk:
     def __init__(self, number: int, keys: list[str], mode: str, keep_unmatched: bool):
         self.number, self.keys, self.mode, self.keep_unmatched = number, keys, mode, keep_unmatched
         self.groups: dict[tuple, _Group] = {}
+        self.dtype = np.dtype(np.float64)
         self.parts: list[pa.Array] = []
         self.n = 0
         self.present: tuple | None = None
@@ -223,6 +234,7 @@ class _Chunk:
 
     def add(self, batch: pa.RecordBatch) -> None:
         names = list(zip(*(batch.column(k).to_pylist() for k in self.keys), strict=True)) if self.keys else [()] * len(batch)
+        self.dtype = np.dtype(batch.schema.field("embedding").type.value_type.to_pandas_dtype())
         for k, (key, vector, one) in enumerate(zip(names, _lists(batch.column("embedding")), batch.column("_one").to_pylist(), strict=True)):
             group = self.groups.setdefault((key, -1 if vector is None else len(vector)), _Group())
             group.rows.append(self.n + k)
@@ -237,7 +249,7 @@ class _Chunk:
             self.parts = []
             for (_, dim), group in self.groups.items():
                 if dim >= 0:
-                    group.close(self.mode)
+                    group.close(self.mode, self.dtype)
             self.closed = True
 
     def compare(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -257,7 +269,7 @@ class _Chunk:
                     group = self.groups.get((names[start][:-1], dim))
                     if dim >= 0 and group is not None:
                         group.seen = True
-                        group.compare(unit(np.stack(refs), self.mode))
+                        group.compare(unit(np.stack(refs).astype(np.float64), self.mode))
                 start = k
 
     def finish(self) -> Iterator[pa.RecordBatch]:

@@ -323,3 +323,33 @@ def test_similarity_products_and_copies_are_bounded():
     for n in (10**6, 10**8, 10**10):
         assert sim.chunk_count(9 * n, n, 64 * 1024) * n <= 9 * sim.COPIES * n + n or n > sim.COPIES * sim.CHUNK_BYTES
         assert sim.chunk_count(9 * n, n, sim.CHUNK_BYTES) == -(-9 * n // sim.CHUNK_BYTES) or n > sim.COPIES * sim.CHUNK_BYTES
+
+
+def test_chunk_of_vectors_is_held_about_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldspark.operators.similarity import _Chunk
+
+    n, dim = 20_000, 64
+    values = np.random.default_rng(0).normal(size=n * dim).astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(values))
+    ids = pa.StructArray.from_arrays([pa.array(np.arange(n))], ["ord"])
+    columns = [pa.array(["b"] * n), pa.array(["c"] * n), lists, pa.array([True] * n), ids]
+    batch = pa.RecordBatch.from_arrays(columns, ["backend", "class", "embedding", "_one", "_row"])
+    chunk = _Chunk(0, ["backend"], "max", False)
+    tracemalloc.start()
+    chunk.add(batch)
+    chunk.close()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * n * dim * 8
+    assert not list(chunk.compare(batch.slice(0, 100)))
+    out, = chunk.rest()
+    got = np.zeros(n)
+    got[out.column("c0").to_numpy()] = out.column("similarity").to_numpy()
+    rows = values.reshape(n, dim).astype(float)
+    rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    assert np.allclose(got, (rows @ rows[:100].T).max(axis=1))
