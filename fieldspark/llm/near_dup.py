@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.scale import BROADCAST_ROWS
 
-from .tables import mix64, slices, store
+from .tables import discard, mix64, slices, store
 
 SKETCH = 128
 #: Smallest values of a sketch that are compared first; they are a sketch too, a quarter of its bytes.
@@ -184,15 +184,17 @@ def near_front(a: Column, b: Column, k: int, percent: int) -> Column:
 # ---------------------------------------------------------------- lists
 
 def list_entries(nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, node, n, r): the lists each node enters, by the rarest of its retained values; r is the value's rank."""
+    """(v, node, n, r): the lists each node enters, by the rarest of its retained values; r is the value's rank. Stored."""
     postings = nodes.select("node", "n", F.explode("sketch").alias("v"))
     shared = store(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-values")
     ranked = postings.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
     n = F.col("n")
     own = F.least(n, F.lit(k)) - F.size("vs")  # values of no other document rank first
     room = F.greatest(reach(n, k, percent) - own, F.lit(0)).cast("int")
-    return ranked.select("node", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, room)).alias("p", "e")).select(
-        F.col("e.v").alias("v"), "node", "n", (F.col("own") + F.col("p") + 1).cast("bigint").alias("r"))
+    entries = store(ranked.select("node", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, room)).alias("p", "e")).select(
+        F.col("e.v").alias("v"), "node", "n", (F.col("own") + F.col("p") + 1).cast("bigint").alias("r")), "list-entries")
+    discard(shared)
+    return entries
 
 
 MEMBER = ("node", "comp", "n", "r")
@@ -342,10 +344,14 @@ def near_duplicates(
     component and are kept. Rows that share an id are one document: the components of its texts are joined. Other columns
     play no part.
     """
-    base = store(sketched(docs, doc_id, text, words, k), "sketches")
+    sketches = store(sketched(docs, doc_id, text, words, k), "sketches")
+    base = store(sketches.select("doc", "n", "print"), "sets-of-documents")
     reps = hinted(store(base.filter("n > 0 and doc is not null").groupBy("print").agg(F.min("doc").alias("node")), "distinct-sets"))
-    nodes = store(base.join(reps, (base["print"] == reps["print"]) & (base["doc"] == reps["node"])).select("node", "n", "sketch"), "set-nodes")
-    entries = store(list_entries(nodes, k, percent), "list-entries")
+    one = (sketches["print"] == reps["print"]) & (sketches["doc"] == reps["node"])
+    nodes = store(sketches.join(reps, one).select("node", "n", "sketch"), "set-nodes")
+    discard(sketches)
+    entries = list_entries(nodes, k, percent)
+    discard(nodes)
     listed = store(entries.select("node").distinct(), "listed-nodes")
     labels = listed.withColumn("comp", F.col("node"))
     if not listed.isEmpty():

@@ -72,6 +72,18 @@ def test_near_duplicates_rounds_and_chains(spark, monkeypatch):
     assert got == _components(texts, 4, 80)
 
 
+def test_near_duplicates_keeps_no_spent_sketches(spark, monkeypatch, tmp_path):
+    from fieldspark.llm import tables
+
+    monkeypatch.setattr(tables, "scratch_path", lambda _spark, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}-{id(object())}")
+    texts = [f"{k % 5} " + " ".join(f"w{k % 5}x{j}" for j in range(40)) + f" end{k}" for k in range(20)]
+    got = near_dup.near_duplicates(docs(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 5 for k in range(20)}
+    kept = {p.name.split("-")[0] + "-" + p.name.split("-")[1] for p in tmp_path.iterdir()}
+    assert "sets-of" in kept and "list-entries" in kept
+    assert not kept & {"set-nodes", "shared-values"} and not any(k.startswith("sketches") for k in kept)
+
+
 def test_near_duplicates_odd_rows(spark):
     d = docs(spark, [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, "a b c d e"), (8, None)])
     got = sorted(map(str, (tuple(r) for r in near_dup.near_duplicates(d).collect())))
