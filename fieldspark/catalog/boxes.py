@@ -9,6 +9,7 @@ from ..functions import boxes as bx
 from ..functions import text
 from ..functions import vectors as vec
 from ..operators import grid
+from ..scale import bounded_broadcast, cut_lineage
 from . import query
 
 
@@ -17,7 +18,9 @@ def detections(spark, sf):
 
 
 def sized(spark, sf):
-    return detections(spark, sf).join(view(spark, sf, "fx_images"), "img")
+    """Detections with the size of their image; the image table is counted once and sent to the tasks, so detections stay in place."""
+    images = bounded_broadcast(cut_lineage(view(spark, sf, "fx_images")))
+    return detections(spark, sf).join(images, "img")
 
 
 def r6(c):
