@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from fieldspark.scale import BROADCAST_ROWS
 
-from .tables import discard, mix64, slices, store
+from .phrases import Bits, bits_of
+from .tables import discard, mix64, release, slices, store
 
 SKETCH = 128
 #: Smallest values of a sketch that are compared first; they are a sketch too, a quarter of its bytes.
@@ -185,18 +186,38 @@ def near_front(a: Column, b: Column, k: int, percent: int) -> Column:
 
 def list_entries(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(v, node, n, r): the lists each node enters, by the rarest of its retained values; r is the value's rank. Stored."""
-    postings = nodes.select("node", "n", F.explode("sketch").alias("v"))
+    postings = nodes.select(F.explode("sketch").alias("v"))
     shared = store(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-values")
-    ranked = postings.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
+    release(nodes.sparkSession)
+    # most values are retained once: a bit array keeps them out of the exchange, the join decides
+    bits = bits_of(shared.select(F.col("v").alias("h")))
+    likely = nodes.select("node", "n", F.explode(held_in(bits)("sketch")).alias("v"))
+    ranked = likely.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
     n = F.col("n")
     own = F.least(n, F.lit(k)) - F.size("vs")  # values of no other document rank first
     room = F.greatest(reach(n, k, percent) - own, F.lit(0)).cast("int")
     entries = store(ranked.select("node", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, room)).alias("p", "e")).select(
         F.col("e.v").alias("v"), "node", "n", (F.col("own") + F.col("p") + 1).cast("bigint").alias("r")), "list-entries")
     discard(shared)
+    release(nodes.sparkSession)
     return entries
 
 
+def held_in(bits: tuple[int, list]):
+    """The values of an array that the bit array may hold."""
+
+    @F.arrow_udf("array<long>")
+    def run(sketches: pa.Array) -> pa.Array:
+        known = Bits(*bits)
+        flat = sketches.flatten()
+        sizes = pc.fill_null(pc.list_value_length(sketches), 0).to_numpy(zero_copy_only=False)
+        keep = known.holds(flat.to_numpy(zero_copy_only=False).view(np.uint64))
+        ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(keep)))
+
+    return run
+
+
 MEMBER = ("node", "comp", "n", "r")
 
 
@@ -346,12 +367,14 @@ def near_duplicates(
     """
     sketches = store(sketched(docs, doc_id, text, words, k), "sketches")
     base = store(sketches.select("doc", "n", "print"), "sets-of-documents")
-    reps = hinted(store(base.filter("n > 0 and doc is not null").groupBy("print").agg(F.min("doc").alias("node")), "distinct-sets"))
-    one = (sketches["print"] == reps["print"]) & (sketches["doc"] == reps["node"])
-    nodes = store(sketches.join(reps, one).select("node", "n", "sketch"), "set-nodes")
-    discard(sketches)
+    reps = hinted(store(base.filter("n > 0 and doc is not null").groupBy("print").agg(
+        F.min("doc").alias("node"), F.max("doc").alias("last")), "distinct-sets"))
+    nodes = set_nodes(sketches, reps)
     entries = list_entries(nodes, k, percent)
-    discard(nodes)
+    discard(sketches)
+    if hasattr(nodes, "stored_path"):
+        discard(nodes)
+    reps = reps.drop("last")
     listed = store(entries.select("node").distinct(), "listed-nodes")
     labels = listed.withColumn("comp", F.col("node"))
     if not listed.isEmpty():
@@ -367,6 +390,19 @@ def near_duplicates(
     )
 
 
+def set_nodes(sketches: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, n, sketch) of the first document of every set. Stored only if the sets with copies are too many to broadcast.
+
+    Copies are taken out rather than first documents looked up: sets that have copies are far fewer, and sketches stay in place.
+    """
+    copied = reps.filter("last > node").select("print", "node")
+    later = (sketches["print"] == copied["print"]) & (sketches["doc"] > copied["node"])
+    few = copied.count() <= BROADCAST_ROWS
+    nodes = sketches.filter("n > 0 and doc is not null").join(F.broadcast(copied) if few else copied, later, "left_anti").select(
+        F.col("doc").alias("node"), "n", "sketch")
+    return nodes if few else store(nodes, "set-nodes")
+
+
 def _join_texts(base: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` with the components of different texts of one id joined."""
     known = base.filter("n > 0 and doc is not null")
@@ -410,4 +446,5 @@ def _settle(entries: DataFrame, labels: DataFrame, sets: DataFrame, k: int, perc
         if last:
             break
         left = still
+        release(labels.sparkSession)
     return labels

@@ -35,6 +35,11 @@ def discard(*stored: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: its cleaner does so once the driver's JVM has dropped their plans."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use yet."""
     taken = {c.lower() for c in df.columns}

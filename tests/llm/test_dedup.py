@@ -84,6 +84,35 @@ def test_near_duplicates_keeps_no_spent_sketches(spark, monkeypatch, tmp_path):
     assert not kept & {"set-nodes", "shared-values"} and not any(k.startswith("sketches") for k in kept)
 
 
+def test_near_duplicates_copies_leave_sketches_in_place(spark, monkeypatch):
+    rows = [(None, 2, b"p", [1, 2]), (7, 2, b"p", [1, 2]), (5, 2, b"p", [1, 2]), (5, 2, b"q", [2, 3]), (9, 1, b"r", [4]), (8, 0, None, [])]
+    sketches = spark.createDataFrame(rows, "doc long, n long, print binary, sketch array<long>")
+    reps = sketches.filter("n > 0 and doc is not null").groupBy("print").agg(F.min("doc").alias("node"), F.max("doc").alias("last"))
+    want = [(5, 2, [1, 2]), (5, 2, [2, 3]), (9, 1, [4])]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = near_dup.set_nodes(sketches, near_dup.store(reps, "reps"))
+        plan = nodes._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert sorted(map(tuple, nodes.collect())) == want
+        monkeypatch.setattr(near_dup, "BROADCAST_ROWS", 0)
+        assert sorted(map(tuple, near_dup.set_nodes(sketches, near_dup.store(reps, "reps")).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_values_of_one_document_stay_out_of_the_exchange(spark):
+    known = [-5, 3, 1 << 40, -(1 << 62)]
+    bits = near_dup.bits_of(spark.createDataFrame([(v,) for v in known], "h long"))
+    rng = random.Random(3)
+    rows = [(k, [rng.getrandbits(63) - (1 << 62) for _ in range(50)] + known[:k % 5]) for k in range(40)] + [(40, []), (41, None)]
+    d = spark.createDataFrame(rows, "k int, s array<long>").repartition(3)
+    got = {r.k: r.s or [] for r in d.select("k", near_dup.held_in(bits)("s").alias("s")).collect()}
+    assert all([v for v in got[k] if v in known] == (s or [])[50:] for k, s in rows)
+    assert sum(map(len, got.values())) < 0.1 * sum(len(s or []) for _, s in rows) + 80
+
+
 def test_near_duplicates_odd_rows(spark):
     d = docs(spark, [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, "a b c d e"), (8, None)])
     got = sorted(map(str, (tuple(r) for r in near_dup.near_duplicates(d).collect())))
