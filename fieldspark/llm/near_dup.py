@@ -10,9 +10,11 @@ members of a list are a pair only if it stands near enough to both fronts for th
 sketch this is certain; beyond, a pair that is just at the similarity is missed with a probability under ``MISS``, and other
 pairs with far smaller ones.
 
-Large lists. No list is expanded into all its pairs at once. In a round every member is compared with a few
-leaders of each list, verified links join components, and members of one component need no comparison any more. When the
-pairs that are left in lists across components are few (or rounds do not reduce them), all of them are compared.
+Large lists. No list is expanded into its pairs. Sets that share lists are gathered in blocks of bounded size, and where lists
+propose many pairs between two blocks, all sets of the two are compared at once: what they share is a product of matrices, and only links
+that join components leave a task. Pairs that lists propose between other blocks are compared one by one, if they are few. If not, rounds
+come before: every member is compared with a few leaders of each list, verified links join components, and members of
+one component need no comparison any more.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.operators.components import union_roots
 from fieldspark.scale import BROADCAST_ROWS
 
 from .phrases import Bits, bits_of
@@ -38,8 +41,17 @@ HEAD = 32
 MISS = 1e-6
 LEADERS = 3
 ROUNDS = 8
-#: Pairs per list entry up to which all remaining pairs are compared at once.
+#: Pairs per list entry up to which all pairs outside of dense blocks are compared at once.
 PAIRS_PER_ENTRY = 1
+#: Sets and values of a block, about; values that one call compares, about.
+BLOCK_ROWS = 1024
+BLOCK_VALUES = 1 << 19
+BUCKET_VALUES = 1 << 18
+#: Pairs that lists propose between two blocks, for each of their sets, from which all their sets are compared.
+DENSE = 0.5
+#: Columns of a matrix; the part of all pairs of sets from which a value they share is such a column.
+COLUMNS = 1024
+OFTEN = 1 / 256
 #: Pairs up to which whole sketches are not read before the sets that contain them.
 FEW_PAIRS = 50_000
 
@@ -221,8 +233,14 @@ def held_in(bits: tuple[int, list]):
 MEMBER = ("node", "comp", "n", "r")
 
 
-def list_leaders(entries: DataFrame, turn: int) -> DataFrame:
-    """(v, m, leaders) of lists with several components.
+def open_lists(entries: DataFrame) -> DataFrame:
+    """(v, m): lists with several components and their number of members."""
+    return entries.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
+        "lo < hi").select("v", "m")
+
+
+def list_leaders(entries: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
+    """(v, leaders) of ``lists``.
 
     One leader is a member to which the value ranks highest: it has fewest values of its own, as the
     original of many edited copies. The others have the smallest salted hashes. Only partial aggregates are shuffled.
@@ -233,10 +251,9 @@ def list_leaders(entries: DataFrame, turn: int) -> DataFrame:
         if i == 0:
             order = F.shiftleft("r", 40) + F.pmod(order, F.lit(1 << 40))
         picks += [F.min_by(c, order).alias(f"{c}{i}") for c in MEMBER]
-    lists = entries.groupBy("v").agg(
-        F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *picks).filter("lo < hi")
     leaders = F.array(*[F.struct(*[F.col(f"{c}{i}").alias(c) for c in MEMBER]) for i in range(LEADERS)])
-    return lists.select("v", "m", F.array_distinct(leaders).alias("leaders"))
+    held = entries.join(hinted(lists.select("v")), "v", "left_semi")
+    return held.groupBy("v").agg(*picks).select("v", F.array_distinct(leaders).alias("leaders"))
 
 
 def leader_pairs(entries: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
@@ -247,22 +264,21 @@ def leader_pairs(entries: DataFrame, lists: DataFrame, k: int, percent: int) ->
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def open_pairs(entries: DataFrame, lists: DataFrame) -> int:
-    """Pairs across components that the lists still hold."""
-    per = entries.join(hinted(lists.select("v")), "v", "left_semi").groupBy("v", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    sums = per.groupBy("v").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    return int(sums.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+def remaining_pairs(entries: DataFrame, meets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): pairs across components that share a list in which their blocks meet; each comes once, from the first list that it shares.
 
-
-def remaining_pairs(entries: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): all pairs across components that share a list; each comes once, from the first list that it shares."""
-    still = entries.join(hinted(lists.select("v")), "v", "left_semi").groupBy("node", "comp", "n").agg(
+    ``entries`` (v, node, n, r, comp, block) are those of open lists; ``meets`` has all lists (v, a, b) of two blocks that are looked at.
+    """
+    ends = meets.select("v", F.explode(F.array("a", "b")).alias("block")).distinct()
+    nodes = store(entries.join(hinted(ends), ["v", "block"], "left_semi").select("node").distinct(), "open-nodes")
+    still = entries.join(hinted(nodes), "node", "left_semi").groupBy("node", "comp", "n", "block").agg(
         F.array_sort(F.collect_list(F.struct("r", "v"))).alias("rv"))
     listed = F.transform("rv", lambda e: e["v"])
     rows = still.select("*", F.posexplode("rv").alias("p", "e")).select(
-        F.col("e.v").alias("v"), F.struct("node", "comp", "n", F.col("e.r").alias("r"), "p", listed.alias("vs")).alias("x"))
+        F.col("e.v").alias("v"), F.col("block").alias("a"), F.struct("node", "comp", "n", F.col("e.r").alias("r"), "p", listed.alias("vs")).alias("x"))
     rows = store(rows, "open-entries")
-    other = rows.withColumnRenamed("x", "y")
+    other = rows.select("v", F.col("a").alias("b"), F.col("x").alias("y"))
+    both = meets.select("v", "a", "b").unionByName(meets.filter("a <> b").select("v", F.col("b").alias("a"), F.col("a").alias("b")))
     x, y = F.col("x"), F.col("y")
     first = ~F.arrays_overlap(F.slice(x["vs"], 1, x["p"]), F.slice(y["vs"], 1, y["p"]))
     # of the ranks that both list, linked sets lack no more than the depth allows: all others are in both fronts
@@ -270,7 +286,116 @@ def remaining_pairs(entries: DataFrame, lists: DataFrame, k: int, percent: int)
     need = F.least(reach(x["n"], k, percent), reach(y["n"], k, percent)) - deep + 1
     enough = F.size(F.array_intersect(x["vs"], y["vs"])) >= need
     met = (x["node"] < y["node"]) & (x["comp"] != y["comp"]) & near_front(x, y, k, percent) & first & enough
-    return rows.join(other, (rows["v"] == other["v"]) & met).select(x["node"].alias("a"), y["node"].alias("b"))
+    return rows.join(hinted(both), ["v", "a"]).join(other, ["v", "b"]).filter(met).select(x["node"].alias("a"), y["node"].alias("b"))
+
+
+# ---------------------------------------------------------------- blocks
+
+def list_blocks(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, comp, n, block): the nodes of ``lists`` in blocks of bounded size, most of those that share lists in one. Stored.
+
+    A node's home is the largest of its lists; then it moves to the home with most nodes among those it shares a list with. A
+    home that is too large for a block is dealt out.
+    """
+    listed = entries.join(hinted(lists), "v")
+    homes = store(listed.groupBy("node").agg(F.max(F.struct("m", "v"))["v"].alias("home")), "homes")
+    sized = homes.join(homes.groupBy("home").agg(F.count(F.lit(1)).alias("s")), "home").select("node", F.struct("s", "home").alias("h"))
+    largest = listed.join(sized, "node").groupBy("v").agg(F.max("h").alias("h"))
+    homes = store(listed.join(largest, "v").groupBy("node", "comp").agg(F.max("n").alias("n"), F.max("h")["home"].alias("home")), "homes")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_VALUES))
+    return store(homes.join(homes.groupBy("home").agg(parts.alias("parts")), "home").select(
+        "node", "comp", "n", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "blocks")
+
+
+def block_meets(entries: DataFrame, lists: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(v, a, b, pairs): the lists in which members of two blocks meet, a <= b, and the pairs that each proposes. Stored."""
+    held = entries.select("v", "node").join(hinted(lists.select("v")), "v", "left_semi").join(hinted(blocks.select("node", "block")), "node")
+    per = held.groupBy("v", "block").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    x, y = (per.select("v", F.col("block").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "b"))
+    pairs = F.when(F.col("a") == F.col("b"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca") * F.col("cb"))
+    return store(x.join(y, "v").filter("a <= b").select("v", "a", "b", pairs.alias("pairs")).filter("pairs > 0"), "block-meets")
+
+
+def block_pairs(meets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(a, b, pairs, dense): blocks of several components that meet, and whether all their sets are to be compared. Stored."""
+    size = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    a, b = (size.select(F.col("block").alias(n), *[F.col(c).alias(f"{c}{n}") for c in ("s", "lo", "hi")]) for n in ("a", "b"))
+    sets = F.col("sa") + F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("sb"))
+    several = F.least("loa", "lob") < F.greatest("hia", "hib")
+    return store(meets.groupBy("a", "b").agg(F.sum("pairs").alias("pairs")).join(a, "a").join(b, "b").filter(several).select(
+        "a", "b", "pairs", (F.col("pairs") >= DENSE * sets).alias("dense")), "block-pairs")
+
+
+def block_links(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes whose components are joined by links between the sets of two blocks, no more than there are components."""
+    meet = store(pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")), "block-ends")
+    values = blocks.join(hinted(meet), "block").agg(F.sum("n")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("a", "b"), F.lit(math.ceil(values / BUCKET_VALUES) or 1))
+    rows = sets.select("node", "set").join(hinted(blocks.select("node", "comp", "block")), "node").join(hinted(meet), "block").select(
+        bucket.alias("bucket"), "a", "b", "block", "node", "comp", "set")
+
+    def joined(table: pa.Table) -> pa.Table:
+        a, b, block, node, comp = (table[c].to_numpy() for c in ("a", "b", "block", "node", "comp"))
+        values = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["set"]]
+        order = np.lexsort((b, a))
+        ends = np.flatnonzero((np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) + 1
+        out = []
+        for rows in np.split(order, ends):
+            xs, ys = rows[block[rows] == a[rows]], rows[block[rows] == b[rows]]
+            i, j = alike_sets([values[r] for r in xs], [values[r] for r in ys], percent)
+            names, at, number = np.unique(comp[rows], return_index=True, return_inverse=True)
+            place = dict(zip(rows.tolist(), number.tolist(), strict=True))
+            x, y = (np.array([place[r] for r in side.tolist()], np.int64) for side in (xs, ys))
+            root = union_roots(len(names), x[i], y[j])
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            out.append(np.stack([node[rows[at[root[moved]]]], node[rows[at[moved]]]]))
+        first, second = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
+
+    return rows.groupBy("bucket").applyInArrow(joined, "a long, b long")
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of all runs one after another, and the number of the run that each is in."""
+    run = np.repeat(np.arange(len(starts)), lengths)
+    return np.arange(len(run)) + (starts - np.cumsum(lengths) + lengths)[run], run
+
+
+def shared_values(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``xs`` shares with each of ``ys``: a product of matrices for frequent values, pairs for the others."""
+    met = np.zeros((len(xs), len(ys)), np.int64)
+    sides = []
+    for sets in (xs, ys):
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(flat, kind="stable")
+        sides.append((flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]))
+    (xv, xr), (yv, yr) = sides
+    both = np.intersect1d(xv, yv)
+    x0, y0 = np.searchsorted(xv, both), np.searchsorted(yv, both)
+    xn, yn = np.searchsorted(xv, both, "right") - x0, np.searchsorted(yv, both, "right") - y0
+    often = xn * yn >= OFTEN * met.size
+    columns = np.flatnonzero(often)
+    for part in (columns[c:c + COLUMNS] for c in range(0, len(columns), COLUMNS)):
+        ones = []
+        for rows, lo, n in ((xr, x0, xn), (yr, y0, yn)):
+            at, column = _runs(lo[part], n[part])
+            ones.append(np.zeros((len(xs) if rows is xr else len(ys), len(part)), np.float32))
+            ones[-1][rows[at], column] = 1
+        met += (ones[0] @ ones[1].T).astype(np.int64)
+    rest = np.flatnonzero(~often)
+    pieces = np.cumsum(xn[rest] * yn[rest]) // (met.size + 1)
+    for part in np.split(rest, np.flatnonzero(np.diff(pieces)) + 1):
+        at, value = _runs(x0[part], xn[part])
+        other, pair = _runs(y0[part][value], yn[part][value])
+        met += np.bincount(xr[at][pair] * len(ys) + yr[other], minlength=met.size).reshape(met.shape)
+    return met
+
+
+def alike_sets(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (numbers in ``xs`` and in ``ys``) of sets that reach the similarity."""
+    met = shared_values(xs, ys)
+    size = np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in ys])
+    return np.nonzero(100 * met >= percent * (size - met))
 
 
 # ---------------------------------------------------------------- verification
@@ -319,6 +444,15 @@ def _paired(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
     return hinted(pairs).join(first, "a").join(second, "b")
 
 
+def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose sets reach the similarity: by the heads of sketches, by whole sketches, then by full sets. Stored."""
+    head = min(HEAD, k)
+    likely = store(promising(pairs, sets, head, percent, "head"), "promising")
+    if likely.count() > FEW_PAIRS:
+        likely = store(promising(likely, sets, k, percent), "promising")
+    return store(linked(likely, sets, k, percent), "links")
+
+
 # ---------------------------------------------------------------- components
 
 def merge_components(labels: DataFrame, links: DataFrame, steps: int | None = None) -> DataFrame:
@@ -419,32 +553,40 @@ def _join_texts(base: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFram
 
 
 def _settle(entries: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rounds of leaders, then everything that is left."""
+    """Dense blocks and the pairs outside of them; before, rounds of leaders as long as those are many."""
     size = entries.count()
     tried, found, left = None, None, None
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        return store(pairs if tried is None else pairs.join(hinted(tried), ["a", "b"], "left_anti"), "pairs")
+
     for turn in range(ROUNDS + 1):
         now = entries.join(hinted(labels), "node")
-        lists = store(list_leaders(now, turn), "list-leaders")
+        lists = store(open_lists(now), "open-lists")
         if lists.isEmpty():
             return merge_components(labels, found) if found is not None else labels
-        # at first every node is a component of its own
-        still = open_pairs(now, lists) if turn else lists.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0]
-        last = turn == ROUNDS or still <= PAIRS_PER_ENTRY * size or (left is not None and still > 0.8 * left)
-        pairs = remaining_pairs(now, lists, k, percent) if last else leader_pairs(now, lists, k, percent)
-        if tried is not None:
-            pairs = pairs.join(hinted(tried), ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        head = min(HEAD, k)
-        likely = store(promising(pairs, sets, head, percent, "head"), "promising")
-        if likely.count() > FEW_PAIRS:
-            likely = store(promising(likely, sets, k, percent), "promising")
-        links = store(linked(likely, sets, k, percent), "links")
+        blocks = list_blocks(now, lists)
+        meets = block_meets(now, lists, blocks)
+        met = block_pairs(meets, blocks)
+        sparse = met.filter("not dense").select("a", "b")
+        still = met.filter("not dense").agg(F.sum("pairs")).first()[0] or 0
+        if turn == ROUNDS or still <= PAIRS_PER_ENTRY * size or (left is not None and still > 0.8 * left):
+            break
+        pairs = untried(leader_pairs(now, store(list_leaders(now, lists, turn), "list-leaders"), k, percent))
+        links = verified(pairs, sets, k, percent)
         found = links if found is None else found.unionByName(links)
         # between rounds a first contraction will do: it only spares comparisons
-        labels = merge_components(labels, links if not last else found, None if last else 1)
+        labels = merge_components(labels, links, 1)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if last:
-            break
         left = still
         release(labels.sparkSession)
+    links = store(block_links(met.filter("dense"), blocks, sets, percent), "block-links")
+    release(labels.sparkSession)
+    labels = merge_components(labels, links if found is None else found.unionByName(links))
+    if still:
+        now = entries.join(hinted(lists.select("v")), "v", "left_semi").join(hinted(labels), "node").join(
+            hinted(blocks.select("node", "block")), "node")
+        pairs = untried(remaining_pairs(now, meets.join(hinted(sparse), ["a", "b"], "left_semi"), k, percent))
+        if not pairs.isEmpty():
+            labels = merge_components(labels, verified(pairs, sets, k, percent))
     return labels

@@ -72,6 +72,54 @@ def test_near_duplicates_rounds_and_chains(spark, monkeypatch):
     assert got == _components(texts, 4, 80)
 
 
+def test_near_duplicates_leaders_where_no_block_is_dense(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PAIRS_PER_ENTRY", 0)
+    monkeypatch.setattr(near_dup, "DENSE", float("inf"))
+    texts = list(enumerate(_families(11)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, texts), words=4).collect()}
+    assert got == _components(texts, 4, 80)
+
+
+def test_near_duplicates_form_no_pairs_within_a_family(spark, monkeypatch):
+    """Edited copies of one text, many of them too far from all others: lists hold most pairs of them to the end."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 20, raising=False)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.choice([2, 9, 10, 11])):
+            copy[at] = rng.choice(["new", "old", f"x{rng.random()}"])
+        texts.append(" ".join(copy))
+    texts = list(enumerate(texts))
+    rows, store = Counter(), near_dup.store
+
+    def counted(df, name):
+        out = store(df, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "store", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, texts), words=4).collect()}
+    want = _components(texts, 4, 80)
+    assert got == want and len({c for _, c in want.values()}) > 10
+    assert rows["pairs"] <= len(texts) and rows["block-ends"] > 2 * len(texts) // 20
+
+
+def test_shared_values_of_blocks_are_counted_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    xs, ys = ([np.unique(rng.integers(0, 1 << m, n).astype(np.uint64)) for m, n in zip(rng.choice([4, 9, 14], k), rng.integers(1, 300, k), strict=True)]
+              for k in (37, 23))
+    want = [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    for often in (0, 1 / 256, 1 / 4, 2):
+        monkeypatch.setattr(near_dup, "OFTEN", often)
+        monkeypatch.setattr(near_dup, "COLUMNS", 50)
+        assert near_dup.shared_values(xs, ys).tolist() == want
+    assert near_dup.shared_values(xs[:1], [np.zeros(0, np.uint64)]).tolist() == [[0]]
+    i, j = near_dup.alike_sets(xs[:2], [xs[1], xs[0][:-1]], 80)
+    assert (1, 0) in set(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_near_duplicates_keeps_no_spent_sketches(spark, monkeypatch, tmp_path):
     from fieldspark.llm import tables
 
